@@ -1,0 +1,94 @@
+"""Data checks. Each returns the offending rows; an empty result means the data pass."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def unknown_mapping_ids(
+    mapping: DataFrame, dataset_ids: DataFrame, project_ids: DataFrame
+) -> DataFrame:
+    """Ids named by a mapping that the dataset (from) or the project (to) does not have.
+
+    ``dataset_ids`` and ``project_ids`` have one column, ``id``.
+    """
+
+    def missing(side: str, known: DataFrame) -> DataFrame:
+        named = mapping.select(F.col(f"{side}_id").alias("id")).distinct()
+        return named.join(known.select("id"), "id", "left_anti").select(
+            F.lit(side).alias("side"), "id"
+        )
+
+    return missing("from", dataset_ids).unionByName(missing("to", project_ids))
+
+
+def time_gaps(
+    df: DataFrame,
+    series: Sequence[str],
+    step_hours: int,
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
+    """Missing and misplaced timestamps of each series.
+
+    All series must run from ``start`` to ``end`` (by default the earliest and
+    latest timestamp of any series) in steps of ``step_hours``. A first pass
+    counts the timestamps in place: only series that lack some are expanded to
+    the full list of steps and compared with it.
+    """
+    columns = [*series, "timestamp"]
+    ts = F.col("timestamp")
+    points = df.select(*columns).distinct()
+    origin = F.lit(start).cast("timestamp_ntz") if start else df.agg(F.min(ts)).scalar()
+    final = F.lit(end).cast("timestamp_ntz") if end else df.agg(F.max(ts)).scalar()
+    seconds = F.lit(step_hours * 3600)
+    placed = points.select(
+        *columns, origin.alias("_from"), final.alias("_to")
+    ).withColumn(
+        "_in_place",
+        (F.pmod(F.timestamp_diff("SECOND", F.col("_from"), ts), seconds) == 0)
+        & ts.between(F.col("_from"), F.col("_to")),
+    )
+    wanted = F.floor(F.timestamp_diff("SECOND", F.col("_from"), F.col("_to")) / seconds) + 1
+    short = (
+        placed.groupBy(*series, "_from", "_to")
+        .agg(F.count_if("_in_place").alias("_n"))
+        .filter(F.col("_n") != wanted)
+    )
+    step = F.expr(f"INTERVAL '{int(step_hours)}' HOUR")
+    steps = short.select(*series, F.explode(F.sequence("_from", "_to", step)).alias("timestamp"))
+    missing = steps.join(points, columns, "left_anti")
+    misplaced = placed.filter(~F.col("_in_place"))
+    return missing.select(F.lit("missing").alias("issue"), *columns).unionByName(
+        misplaced.select(F.lit("misplaced").alias("issue"), *columns)
+    )
+
+
+def association_gaps(
+    df: DataFrame,
+    records: DataFrame,
+    others: Mapping[str, Sequence[str]],
+    allowed: DataFrame | None = None,
+) -> DataFrame:
+    """Dimension combinations that are missing from the data, or that no dimension knows.
+
+    ``records`` holds the ids of the largest dimension in its only column; the
+    ids of the other dimensions come from the project configuration. Rows of
+    ``allowed`` are known to be missing and are not reported.
+    """
+    first = records.columns[0]
+    dims = [first, *others]
+    expected = records.select(first).distinct()
+    for name, ids in others.items():
+        expected = expected.withColumn(name, F.explode(F.lit(list(ids))))
+    present = df.select(*dims).distinct()
+    missing = expected.join(present, dims, "left_anti")
+    if allowed is not None:
+        missing = missing.join(allowed.select(*dims), dims, "left_anti")
+    orphan = present.join(expected, dims, "left_anti")
+    return missing.select(F.lit("missing").alias("issue"), *dims).unionByName(
+        orphan.select(F.lit("orphan").alias("issue"), *dims)
+    )
