@@ -24,9 +24,7 @@ def load_duration(
     columns = {value: f"s{i}" for i, value in enumerate(values)}
     slots = list(columns.values())
     wide = widen(scope.rows(projection), [*places, "timestamp"], series, columns, F.sum)
-    tall = wide.unpivot(places, slots, "slot", "load") if places else wide.select(
-        F.explode(F.map_from_arrays(F.lit(slots), F.array(*slots))).alias("slot", "load")
-    )
+    tall = wide.unpivot(places, slots, "slot", "load")
     by_load = Window.partitionBy(*places, "slot").orderBy(F.col("load").desc_nulls_last())
     ranked = tall.withColumn("rank", (F.row_number().over(by_load) - 1).cast("long"))
     curves = widen(ranked, [*places, "rank"], "slot", {s: s for s in slots}, F.max, "load")
