@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kilocast import ModelParameters, Project, ProjectConfig, Scenario
 from kilocast.functions.calendar import add_hours, day_start, hour_start, month_of, year_of
+from kilocast.plans.storage import pin
 
 YEARS = [2025, 2030, 2035]
 WEATHER_YEAR = 1998
@@ -46,14 +47,27 @@ def _long(column: Column) -> Column:
 
 
 class Inputs:
-    """One data directory; inputs are planned when first asked for."""
+    """One data directory; inputs are planned when first asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    With ``settled`` the aggregates that many inputs are made from are written
+    once, as data tables are in a real project, instead of being planned again
+    in every place they are used.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, settled: bool = False) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._settle = pin if settled else (lambda df: df)
+        self._given: dict[str, DataFrame] = {}
+
+    @property
+    def settled(self) -> Inputs:
+        return Inputs(self.spark, self.sf_dir, settled=True)
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._given:
+            self._given[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._given[name]
 
     # Projections
 
@@ -120,18 +134,28 @@ class Inputs:
     @cached_property
     def _order_years(self) -> DataFrame:
         status = F.col("o_orderstatus")
-        return self._orders.groupBy("geography", "model_year").agg(
-            F.round(F.sum("o_totalprice"), 2).alias("price"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(status == "F").alias("n_f"),
-            F.count_if(status == "O").alias("n_o"),
-            F.count_if(status == "P").alias("n_p"),
+        return self._settle(
+            self._orders.groupBy("geography", "model_year").agg(
+                F.round(F.sum("o_totalprice"), 2).alias("price"),
+                F.count(F.lit(1)).alias("n"),
+                F.count_if(status == "F").alias("n_f"),
+                F.count_if(status == "O").alias("n_o"),
+                F.count_if(status == "P").alias("n_p"),
+            )
+        )
+
+    @cached_property
+    def _customer_groups(self) -> DataFrame:
+        return self._settle(
+            self._customers.groupBy(
+                "geography", "c_mktsegment", (F.col("c_custkey") % 2).alias("parity")
+            ).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
         )
 
     @cached_property
     def _customer_places(self) -> DataFrame:
-        return self._customers.groupBy("geography").agg(
-            F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")
+        return self._customer_groups.groupBy("geography").agg(
+            F.sum("n").alias("n"), F.round(F.sum("balance"), 2).alias("balance")
         )
 
     def _per_year(self, value: Column) -> DataFrame:
@@ -189,12 +213,10 @@ class Inputs:
                 "HOUSEHOLD": "Residential",
             },
         )
-        part = F.when(F.col("c_custkey") % 2 == 0, "Road").otherwise("Other")
-        base = (
-            self._customers.groupBy("geography", sector.alias("sector"), part.alias("subsector"))
-            .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-            .filter(~((F.col("geography") == "ASIA") & (F.col("sector") == "Commercial")))
-        )
+        part = F.when(F.col("parity") == 0, "Road").otherwise("Other")
+        base = self._customer_groups.select(
+            "geography", sector.alias("sector"), part.alias("subsector"), "n", "balance"
+        ).filter(~((F.col("geography") == "ASIA") & (F.col("sector") == "Commercial")))
         form = (
             F.when(F.col("sector") == "Residential", "lin")
             .when(
@@ -242,6 +264,8 @@ class Inputs:
 
     @cached_property
     def load_shapes(self) -> DataFrame:
+        """Mean order value, per day of a year: a number off the decimal grid, so that
+        results do not fall on rounding ties."""
         date = F.col("o_orderdate")
         priority = F.substring("o_orderpriority", 1, 1)
         metric = F.when(priority == "1", "heating").when(priority == "2", "cooling")
@@ -253,7 +277,7 @@ class Inputs:
             (F.weekday(date) < 5).alias("is_weekday"),
             _recode(F.col("c_mktsegment"), SECTORS).alias("sector"),
             metric.otherwise("other").alias("metric"),
-        ).agg((F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("value"))
+        ).agg((F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1)) / 365.25).alias("value"))
 
     @cached_property
     def weather_bait(self) -> DataFrame:

@@ -119,7 +119,7 @@ SELECT geography, model_year, month(o_orderdate) AS month, o_orderkey % 24 AS ho
             ELSE c_mktsegment END AS sector,
        CASE left(o_orderpriority, 1) WHEN '1' THEN 'heating' WHEN '2' THEN 'cooling'
             ELSE 'other' END AS metric,
-       ROUND(SUM(o_totalprice), 2) / COUNT(*) AS value
+       ROUND(SUM(o_totalprice), 2) / COUNT(*) / 365.25e0 AS value
 FROM sales GROUP BY 1, 2, 3, 4, 5, 6, 7"""
 
 RELATIONS["shipped"] = """

@@ -109,7 +109,7 @@ add(
 
 
 def _written(i: Inputs) -> DataFrame:
-    project = i.project
+    project = i.settled.project
     project.compute_energy_projection(["baseline", "ev_projection"])
     return _cut(project.get_energy_projection("ev_projection"), "value", digits=6)
 
@@ -172,7 +172,7 @@ _CONSUMPTION_SQL = (
 
 
 def _tripled(i: Inputs) -> tuple[Project, DataFrame]:
-    project = i.project
+    project = i.settled.project
     name = "energy_intensity_res_hdi_population_applied_regression"
     table = project.calculated_table("baseline", name)
     project.override_with("baseline", name, table.withColumn("value", F.col("value") * 3))
@@ -181,7 +181,7 @@ def _tripled(i: Inputs) -> tuple[Project, DataFrame]:
 
 def _override_file(i: Inputs) -> DataFrame:
     """Export, change and load a table as CSV with its columns in another order."""
-    project = i.project
+    project = i.settled.project
     name = "energy_projection_res_load_shapes"
     path = fresh_path(i.spark, ".csv")
     table = project.calculated_table("baseline", name).withColumn("value", F.col("value") * 3)
@@ -219,13 +219,13 @@ add(
 )
 add(
     "all_scenarios",
-    lambda i: _cut(i.project.energy_projection(), "value", digits=6),
+    lambda i: _cut(i.settled.project.energy_projection(), "value", digits=6),
     'SELECT scenario, "timestamp", model_year, sector, geography, metric, '
     f"{named('value', 6)} FROM projections",
 )
 add(
     "scenario_rows",
-    lambda i: i.project.energy_projection().groupBy("scenario").agg(F.count("*").alias("n")),
+    lambda i: i.settled.project.energy_projection().groupBy("scenario").agg(F.count("*").alias("n")),
     "SELECT scenario, COUNT(*) AS n FROM projections GROUP BY scenario",
 )
 _KINDS = ("heating", "cooling", "other")
@@ -590,6 +590,13 @@ add(
     ),
     _MWH + "mwh_ev WHERE sector <> 'Residential'",
 )
+
+
+def _factors(project: Project, scenario: str) -> DataFrame:
+    tables = project.catalog.scenario(scenario)
+    return scaling_factors(tables.shape_totals(_MODELLED), tables.annual_all())
+
+
 for _key, _scenario, _suffix in (
     ("scaling_factors", "baseline", ""),
     ("scaling_factors_alternate", "alternate_gdp", "_alt"),
@@ -597,17 +604,16 @@ for _key, _scenario, _suffix in (
 ):
     add(
         _key,
-        lambda i, s=_scenario: _cut(
-            scaling_factors(_totals(i), i.project.catalog.scenario(s).annual_all()),
-            "scaling_factor",
-        ),
+        lambda i, s=_scenario: _cut(_factors(i.settled.project, s), "scaling_factor"),
         f"SELECT {', '.join(_SECTOR)}, {named('scaling_factor')} FROM factors{_suffix}",
     )
 _PROJECTED = 'SELECT "timestamp", model_year, geography, sector, metric, ' + named("value", 6)
 add(
     "projection_cit",
     lambda i: _cut(
-        i.project.calculated_table("ev_projection", "energy_projection_com_ind_tra_load_shapes"),
+        i.settled.project.calculated_table(
+            "ev_projection", "energy_projection_com_ind_tra_load_shapes"
+        ),
         "value",
         digits=6,
     ),
@@ -616,7 +622,7 @@ add(
 add(
     "projection_res",
     lambda i: _cut(
-        i.project.calculated_table("baseline", "energy_projection_res_load_shapes"),
+        i.settled.project.calculated_table("baseline", "energy_projection_res_load_shapes"),
         "value",
         digits=6,
     ),
@@ -625,18 +631,20 @@ add(
 add(
     "energy_projection",
     lambda i: _cut(
-        i.project.calculated_table("alternate_gdp", "energy_projection"), "value", digits=6
+        i.settled.project.calculated_table("alternate_gdp", "energy_projection"),
+        "value",
+        digits=6,
     ),
     _PROJECTED + ", 'alternate_gdp' AS scenario FROM projection_alt",
 )
 add(
     "flagship",
-    lambda i: _consumption(i.project.energy_projection()),
+    lambda i: _consumption(i.settled.project.energy_projection()),
     _CONSUMPTION_SQL.format("projections"),
 )
 add(
     "flagship_peak",
-    lambda i: _cut(annual.peak(i.project.energy_projection(), Scope()), "value"),
+    lambda i: _cut(annual.peak(i.settled.project.energy_projection(), Scope()), "value"),
     f"SELECT scenario, geography, year, {cut('MAX(total)')} AS value FROM (SELECT scenario, "
     'geography, model_year AS year, "timestamp", SUM(value) AS total FROM projections '
     "GROUP BY ALL) GROUP BY scenario, geography, year",

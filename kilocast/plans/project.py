@@ -18,7 +18,13 @@ from kilocast.operators.mapping import MANY_TO_ONE, map_dimension
 from kilocast.operators.projection import RESULT_COLUMNS
 from kilocast.plans.models import MODELS
 from kilocast.plans.storage import fresh_path, pin
-from kilocast.plans.tables import Catalog, fusable, project_group
+from kilocast.plans.tables import (
+    Catalog,
+    group_factors,
+    group_projection,
+    share_expansion,
+    stands_alone,
+)
 from kilocast.schemas import DATA_TABLES, PROJECTION
 from kilocast.sources.files import cast_years, read_table, write_table
 
@@ -133,9 +139,10 @@ class Project:
         names = list(scenarios) if scenarios is not None else self.list_scenario_names()
         for name in names:
             self._check_scenario(name)
-        groups = fusable(self.catalog, names)
-        parts = [project_group(self.catalog, lead, members) for lead, members in groups.items()]
-        return reduce(DataFrame.unionByName, parts)
+        groups = share_expansion(self.catalog, names)
+        return reduce(
+            DataFrame.unionByName, [group_projection(self.catalog, g) for g in groups]
+        )
 
     def multiplier_statistics(self, scenario: str) -> DataFrame:
         return weather.multiplier_range(
@@ -145,18 +152,31 @@ class Project:
     def compute_energy_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
         """Compute and write the projection, partitioned by scenario and model year.
 
-        Multipliers are written once and shared by all scenarios they fit.
+        Multipliers and scaling factors are written once and, while small,
+        broadcast, so the shapes are expanded and stored without a shuffle.
         Naming scenarios recomputes those alone and replaces their partitions.
         A scenario without any row is an error, and nothing is written then.
         """
         names = list(scenarios) if scenarios is not None else self.list_scenario_names()
         self._pin_multipliers(names)
-        for name in names:
-            if self.energy_projection([name]).isEmpty():
-                raise InvalidParameter(f"scenario {name!r} produced no energy projection data")
+        parts = []
+        for members in share_expansion(self.catalog, names):
+            factors = None
+            if stands_alone(self.catalog, members[0]):
+                empty = members if self.energy_projection(members).isEmpty() else []
+            else:
+                # Where a factor exists there are shapes and days for it, hence hours.
+                factors = pin(group_factors(self.catalog, members))
+                found = {row[0] for row in factors.select("scenario").distinct().collect()}
+                empty = [name for name in members if name not in found]
+            if empty:
+                raise InvalidParameter(f"scenarios {empty} produced no energy projection data")
+            parts.append(group_projection(self.catalog, members, factors))
         if self.result_path is None:
             self.result_path = fresh_path(self.spark)
-        write_projection(self.energy_projection(names), self.result_path, scenarios is None)
+        write_projection(
+            reduce(DataFrame.unionByName, parts), self.result_path, scenarios is None
+        )
         return self.get_energy_projection()
 
     def _pin_multipliers(self, names: Sequence[str]) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ _OUTCOMES = (
     "energy_projection",
 )
 
+_MODELLED = (*NON_RESIDENTIAL, *RESIDENTIAL)
+
 
 class Catalog:
     """Data tables and overrides of all scenarios of a project."""
@@ -186,46 +189,55 @@ class ScenarioTables:
         )
 
 
-def fusable(catalog: Catalog, names: Sequence[str]) -> dict[str, list[str]]:
-    """Group scenarios whose shapes and weather are the same, by the first of each group.
+def share_expansion(catalog: Catalog, names: Sequence[str]) -> list[list[str]]:
+    """Group scenarios whose shapes and weather are the same.
 
     Their projections differ in scaling factors only, so one expansion serves
     the group. A scenario that overrides a projection or the expanded shapes
-    stands alone.
+    stands alone, and is last.
     """
-    groups: dict[str, list[str]] = {}
+    groups: list[tuple[DataFrame, DataFrame, list[str]]] = []
+    alone: list[list[str]] = []
     for name in names:
+        if stands_alone(catalog, name):
+            alone.append([name])
+            continue
         tables = catalog.scenario(name)
-        alone = any((name, outcome) in catalog.overrides for outcome in _OUTCOMES)
-        leader = None
-        if not alone:
-            for candidate in groups:
-                other = catalog.scenario(candidate)
-                if any((candidate, outcome) in catalog.overrides for outcome in _OUTCOMES):
-                    continue
-                same_shapes = tables.data("load_shapes") is other.data("load_shapes")
-                same_weather = tables.weather("temperature_multipliers") is other.weather(
-                    "temperature_multipliers"
-                )
-                if same_shapes and same_weather:
-                    leader = candidate
-                    break
-        groups.setdefault(leader or name, []).append(name)
-    return groups
-
-
-def project_group(catalog: Catalog, leader: str, members: Sequence[str]) -> DataFrame:
-    """Hourly projection of scenarios that share shapes and weather, in one expansion."""
-    if len(members) == 1:
-        return catalog.scenario(leader).table("energy_projection")
-    first = catalog.scenario(leader)
-    annual = None
-    for name in members:
-        part = catalog.scenario(name).annual_all().withColumn("scenario", F.lit(name))
-        annual = part if annual is None else annual.unionByName(part)
-    sectors = (*NON_RESIDENTIAL, *RESIDENTIAL)
-    chosen = pick_sectors(first.base_shapes(), sectors)
-    multipliers = first.weather("temperature_multipliers")
-    factors = projection.scaling_factors(shapes.annual_totals(chosen, multipliers), annual)
-    hourly = projection.project_shapes(chosen, multipliers, factors)
+        shape = tables.data("load_shapes")
+        multipliers = tables.weather("temperature_multipliers")
+        for known_shape, known_multipliers, members in groups:
+            if known_shape is shape and known_multipliers is multipliers:
+                members.append(name)
+                break
+        else:
+            groups.append((shape, multipliers, [name]))
+    return [members for _, _, members in groups] + alone
+
+
+def stands_alone(catalog: Catalog, scenario: str) -> bool:
+    return any((scenario, outcome) in catalog.overrides for outcome in _OUTCOMES)
+
+
+def group_factors(catalog: Catalog, members: Sequence[str]) -> DataFrame:
+    """Scaling factors of scenarios that share shapes and weather, with a scenario column."""
+    parts = [
+        catalog.scenario(name).annual_all().withColumn("scenario", F.lit(name))
+        for name in members
+    ]
+    totals = catalog.scenario(members[0]).shape_totals(_MODELLED)
+    return projection.scaling_factors(totals, reduce(DataFrame.unionByName, parts))
+
+
+def group_projection(
+    catalog: Catalog, members: Sequence[str], factors: DataFrame | None = None
+) -> DataFrame:
+    """Hourly projection of such scenarios in one expansion."""
+    if stands_alone(catalog, members[0]):
+        return catalog.scenario(members[0]).table("energy_projection")
+    tables = catalog.scenario(members[0])
+    hourly = projection.project_shapes(
+        pick_sectors(tables.base_shapes(), _MODELLED),
+        tables.weather("temperature_multipliers"),
+        group_factors(catalog, members) if factors is None else factors,
+    )
     return hourly.select(*projection.RESULT_COLUMNS)
