@@ -17,6 +17,7 @@ from tools.session import local_session  # noqa: E402
 def spark():
     session = local_session("tests", "4")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.maxMetadataStringLength", "100000")
     return session
 
 
