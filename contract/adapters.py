@@ -57,7 +57,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, settled: bool = False) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
-        self._settle = pin if settled else (lambda df: df)
+        self._settle = (lambda df: pin(df).table) if settled else (lambda df: df)
         self._given: dict[str, DataFrame] = {}
 
     @property

@@ -211,7 +211,7 @@ add("override_apply", _override_file, _CONSUMPTION_SQL.format(_TRIPLED))
 add("override_remove", _override_removed, _CONSUMPTION_SQL.format(_BASE_ONLY))
 add(
     "override_one_scenario",
-    lambda i: _consumption(_tripled(i)[0].energy_projection(["baseline", "ev_projection"])),
+    lambda i: _consumption(_tripled(i)[0].prepared_projection(["baseline", "ev_projection"])),
     _CONSUMPTION_SQL.format(
         "(SELECT * REPLACE (CASE WHEN scenario = 'baseline' AND sector = 'Residential' "
         "THEN 3 ELSE 1 END * value AS value) FROM projections WHERE scenario <> 'alternate_gdp')"
@@ -219,13 +219,13 @@ add(
 )
 add(
     "all_scenarios",
-    lambda i: _cut(i.settled.project.energy_projection(), "value", digits=6),
+    lambda i: _cut(i.settled.project.prepared_projection(), "value", digits=6),
     'SELECT scenario, "timestamp", model_year, sector, geography, metric, '
     f"{named('value', 6)} FROM projections",
 )
 add(
     "scenario_rows",
-    lambda i: i.settled.project.energy_projection().groupBy("scenario").agg(F.count("*").alias("n")),
+    lambda i: i.settled.project.prepared_projection().groupBy("scenario").agg(F.count("*").alias("n")),
     "SELECT scenario, COUNT(*) AS n FROM projections GROUP BY scenario",
 )
 _KINDS = ("heating", "cooling", "other")
@@ -639,12 +639,12 @@ add(
 )
 add(
     "flagship",
-    lambda i: _consumption(i.settled.project.energy_projection()),
+    lambda i: _consumption(i.settled.project.prepared_projection()),
     _CONSUMPTION_SQL.format("projections"),
 )
 add(
     "flagship_peak",
-    lambda i: _cut(annual.peak(i.settled.project.energy_projection(), Scope()), "value"),
+    lambda i: _cut(annual.peak(i.settled.project.prepared_projection(), Scope()), "value"),
     f"SELECT scenario, geography, year, {cut('MAX(total)')} AS value FROM (SELECT scenario, "
     'geography, model_year AS year, "timestamp", SUM(value) AS total FROM projections '
     "GROUP BY ALL) GROUP BY scenario, geography, year",

@@ -22,14 +22,17 @@ def annual_mwh(energy: DataFrame) -> DataFrame:
     )
 
 
+def is_road() -> Column:
+    return (F.col("sector") == "Transportation") & (F.col("subsector") == "Road")
+
+
 def replace_road_energy(energy: DataFrame, vehicle_energy: DataFrame) -> DataFrame:
     """Swap road transport (MWh) for the vehicle-based figure (TJ).
 
     The negated conjunction keeps three-valued logic: a transport row without a
     subsector goes too.
     """
-    is_road = (F.col("sector") == "Transportation") & (F.col("subsector") == "Road")
-    return energy.filter(~is_road).unionByName(annual_mwh(vehicle_energy))
+    return energy.filter(~is_road()).unionByName(annual_mwh(vehicle_energy))
 
 
 def scaling_factors(totals: DataFrame, energy: DataFrame) -> DataFrame:

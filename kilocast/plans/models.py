@@ -66,8 +66,8 @@ def _expanded(t: ScenarioTables) -> DataFrame:
 
 _CIT = "energy_intensity_com_ind_tra"
 _RES = "energy_intensity_res"
-_ANNUAL_CIT = "energy_intensity_com_ind_tra_gdp_applied_regression"
-_ANNUAL_RES = "energy_intensity_res_hdi_population_applied_regression"
+ANNUAL_NON_RESIDENTIAL = "energy_intensity_com_ind_tra_gdp_applied_regression"
+ANNUAL_RESIDENTIAL = "energy_intensity_res_hdi_population_applied_regression"
 _PROJECTION_CIT = "energy_projection_com_ind_tra_load_shapes"
 _PROJECTION_RES = "energy_projection_res_load_shapes"
 
@@ -88,10 +88,10 @@ MODELS: dict[str, Model] = {
     f"{_RES}_hdi_population": _attach(
         f"{_RES}_hdi", "population_country", "population_value", ("geography", "model_year")
     ),
-    _ANNUAL_CIT: Model(
+    ANNUAL_NON_RESIDENTIAL: Model(
         (f"{_CIT}_gdp",), lambda t: intensity.annual_energy(t.table(f"{_CIT}_gdp"), "gdp_value")
     ),
-    _ANNUAL_RES: Model(
+    ANNUAL_RESIDENTIAL: Model(
         (f"{_RES}_hdi_population",),
         lambda t: intensity.annual_energy(
             t.table(f"{_RES}_hdi_population"), "hdi_value", "population_value"
@@ -158,11 +158,11 @@ MODELS: dict[str, Model] = {
     ),
     "load_shapes_expanded": Model(("load_shapes", "temperature_multipliers"), _expanded),
     _PROJECTION_CIT: Model(
-        ("load_shapes_expanded", _ANNUAL_CIT, "ev_annual_energy_tj"),
+        ("load_shapes_expanded", ANNUAL_NON_RESIDENTIAL, "ev_annual_energy_tj"),
         lambda t: t.sector_projection(intensity.NON_RESIDENTIAL, t.annual_non_residential()),
     ),
     _PROJECTION_RES: Model(
-        ("load_shapes_expanded", _ANNUAL_RES),
+        ("load_shapes_expanded", ANNUAL_RESIDENTIAL),
         lambda t: t.sector_projection(intensity.RESIDENTIAL, t.annual_residential()),
     ),
     "energy_projection": Model(

@@ -17,7 +17,7 @@ from kilocast.operators.drivers import in_countries, in_years
 from kilocast.operators.mapping import MANY_TO_ONE, map_dimension
 from kilocast.operators.projection import RESULT_COLUMNS
 from kilocast.plans.models import MODELS
-from kilocast.plans.storage import fresh_path, pin
+from kilocast.plans.storage import Pinned, fresh_path, pin
 from kilocast.plans.tables import (
     Catalog,
     group_factors,
@@ -29,6 +29,7 @@ from kilocast.schemas import DATA_TABLES, PROJECTION
 from kilocast.sources.files import cast_years, read_table, write_table
 
 OVERRIDE_SUFFIX = "_override"
+MAX_OPEN_WRITERS = "32"
 
 
 class Project:
@@ -135,29 +136,23 @@ class Project:
     # Projection
 
     def energy_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
-        """Plan of the hourly projection; scenarios with equal shapes share one expansion."""
-        names = list(scenarios) if scenarios is not None else self.list_scenario_names()
-        for name in names:
-            self._check_scenario(name)
-        groups = share_expansion(self.catalog, names)
+        """Plan of the hourly projection; scenarios with equal shapes share one expansion.
+
+        Nothing runs yet, and the optimizer chooses the joins.
+        """
+        groups = share_expansion(self.catalog, self._names(scenarios))
         return reduce(
             DataFrame.unionByName, [group_projection(self.catalog, g) for g in groups]
         )
 
-    def multiplier_statistics(self, scenario: str) -> DataFrame:
-        return weather.multiplier_range(
-            self.calculated_table(scenario, "temperature_multipliers")
-        )
-
-    def compute_energy_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
-        """Compute and write the projection, partitioned by scenario and model year.
+    def prepared_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
+        """The same, with multipliers and scaling factors computed and stored first.
 
-        Multipliers and scaling factors are written once and, while small,
-        broadcast, so the shapes are expanded and stored without a shuffle.
-        Naming scenarios recomputes those alone and replaces their partitions.
-        A scenario without any row is an error, and nothing is written then.
+        Both are then broadcast while they are small, so the shapes are expanded
+        where they are read, without any shuffle. A scenario without rows is an
+        error.
         """
-        names = list(scenarios) if scenarios is not None else self.list_scenario_names()
+        names = self._names(scenarios)
         self._pin_multipliers(names)
         parts = []
         for members in share_expansion(self.catalog, names):
@@ -166,31 +161,48 @@ class Project:
                 empty = members if self.energy_projection(members).isEmpty() else []
             else:
                 # Where a factor exists there are shapes and days for it, hence hours.
-                factors = pin(group_factors(self.catalog, members))
+                factors = pin(group_factors(self.catalog, members)).table
                 found = {row[0] for row in factors.select("scenario").distinct().collect()}
                 empty = [name for name in members if name not in found]
             if empty:
                 raise InvalidParameter(f"scenarios {empty} produced no energy projection data")
             parts.append(group_projection(self.catalog, members, factors))
-        if self.result_path is None:
-            self.result_path = fresh_path(self.spark)
-        write_projection(
-            reduce(DataFrame.unionByName, parts), self.result_path, scenarios is None
-        )
-        return self.get_energy_projection()
+        return reduce(DataFrame.unionByName, parts)
+
+    def _names(self, scenarios: Sequence[str] | None) -> list[str]:
+        names = list(scenarios) if scenarios is not None else self.list_scenario_names()
+        for name in names:
+            self._check_scenario(name)
+        return names
 
     def _pin_multipliers(self, names: Sequence[str]) -> None:
-        written: list[tuple[DataFrame, DataFrame]] = []
+        written: list[tuple[DataFrame, Pinned]] = []
         for name in names:
             tables = self.catalog.scenario(name)
             if tables.replaced("temperature_multipliers"):
                 continue
             planned = tables.weather("temperature_multipliers")
-            kept = next((new for old, new in written if old is planned), None)
-            if kept is None:
-                kept = pin(planned)
-                written.append((planned, kept))
-            tables.pin("temperature_multipliers", kept)
+            pinned = next((new for old, new in written if old is planned), None)
+            if pinned is None:
+                pinned = pin(planned)
+                written.append((planned, pinned))
+            tables.use_pinned_multipliers(pinned)
+
+    def multiplier_statistics(self, scenario: str) -> DataFrame:
+        return weather.multiplier_range(
+            self.calculated_table(scenario, "temperature_multipliers")
+        )
+
+    def compute_energy_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
+        """Compute and write the projection, partitioned by scenario and model year.
+
+        Naming scenarios recomputes those alone and replaces their partitions.
+        """
+        projection = self.prepared_projection(scenarios)
+        if self.result_path is None:
+            self.result_path = fresh_path(self.spark)
+        write_projection(projection, self.result_path, scenarios is None)
+        return self.get_energy_projection()
 
     def get_energy_projection(self, scenario: str | None = None) -> DataFrame:
         """The written projection; one scenario reads its partitions only."""
@@ -286,14 +298,14 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 def write_projection(projection: DataFrame, path: str, replace_all: bool = True) -> None:
     """Write by scenario and model year without a shuffle or sort of the hourly rows.
 
-    Each task keeps a writer open per partition it meets, instead of sorting its
-    rows by partition first. Unless ``replace_all``, partitions that the
+    Each task keeps a writer open per partition it meets, up to a bound on memory,
+    instead of sorting its rows by partition first. Unless ``replace_all``, partitions that the
     projection does not touch stay.
     """
     spark = projection.sparkSession
     setting = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(setting, None)
-    spark.conf.set(setting, "128")
+    spark.conf.set(setting, MAX_OPEN_WRITERS)
     try:
         (
             projection.write.mode("overwrite")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,14 @@ def fresh_path(spark: SparkSession, suffix: str = ".parquet") -> str:
     return posixpath.join(shared_folder(spark), f"table-{uuid.uuid4().hex}{suffix}")
 
 
-def pin(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+class Pinned(NamedTuple):
+    """A table read back from storage; marked for broadcast if ``small``."""
+
+    table: DataFrame
+    small: bool
+
+
+def pin(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Pinned:
     """Write a table once, read it back, and mark it for broadcast if it is small.
 
     Cuts the lineage at a table that survives lost executors. The row count
@@ -42,4 +50,5 @@ def pin(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     path = fresh_path(spark)
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    small = kept.count() <= max_rows
+    return Pinned(F.broadcast(kept) if small else kept, small)

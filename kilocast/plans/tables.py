@@ -12,7 +12,8 @@ from kilocast.config import BASELINE, ModelParameters, ProjectConfig, Scenario
 from kilocast.errors import InvalidParameter
 from kilocast.operators import projection, shapes
 from kilocast.operators.intensity import NON_RESIDENTIAL, RESIDENTIAL, pick_sectors
-from kilocast.plans.models import MODELS
+from kilocast.plans.models import ANNUAL_NON_RESIDENTIAL, ANNUAL_RESIDENTIAL, MODELS
+from kilocast.plans.storage import Pinned
 
 # Where the strict mode is on, overrides of these are shown but not used by other tables.
 WEATHER_CHAIN = (
@@ -31,6 +32,9 @@ _OUTCOMES = (
     "energy_projection",
 )
 
+# Join keys per day group where the multipliers are too large to broadcast.
+SPREAD = 8
+
 _MODELLED = (*NON_RESIDENTIAL, *RESIDENTIAL)
 
 
@@ -93,6 +97,7 @@ class ScenarioTables:
         self.catalog = catalog
         self.scenario = scenario
         self._built: dict[str, DataFrame] = {}
+        self.spread = 1
 
     @property
     def countries(self) -> Sequence[str] | None:
@@ -130,8 +135,10 @@ class ScenarioTables:
         """A table of the weather chain, for use by another calculated table."""
         return self.table(name) if self.replaced(name) else self._computed(name)
 
-    def pin(self, name: str, df: DataFrame) -> None:
-        self._built[name] = df
+    def use_pinned_multipliers(self, pinned: Pinned) -> None:
+        """Take the multipliers from storage; large ones are joined on split keys."""
+        self._built["temperature_multipliers"] = pinned.table
+        self.spread = 1 if pinned.small else SPREAD
 
     def _computed(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -152,17 +159,13 @@ class ScenarioTables:
 
     def annual_non_residential(self) -> DataFrame:
         """MWh of commerce, industry and transport, with vehicle-based road energy if asked."""
-        annual = projection.annual_mwh(
-            self.table("energy_intensity_com_ind_tra_gdp_applied_regression")
-        )
+        annual = projection.annual_mwh(self.table(ANNUAL_NON_RESIDENTIAL))
         if not self.scenario.use_ev_projection:
             return annual
         return projection.replace_road_energy(annual, self.table("ev_annual_energy_tj"))
 
     def annual_residential(self) -> DataFrame:
-        return projection.annual_mwh(
-            self.table("energy_intensity_res_hdi_population_applied_regression")
-        )
+        return projection.annual_mwh(self.table(ANNUAL_RESIDENTIAL))
 
     def annual_all(self) -> DataFrame:
         """MWh of all sectors; the two sides never share a sector, overrides included."""
@@ -185,7 +188,7 @@ class ScenarioTables:
             return projection.project_expanded(hourly, factors)
         chosen = pick_sectors(self.base_shapes(), sectors)
         return projection.project_shapes(
-            chosen, self.weather("temperature_multipliers"), factors
+            chosen, self.weather("temperature_multipliers"), factors, self.spread
         )
 
 
@@ -218,14 +221,43 @@ def stands_alone(catalog: Catalog, scenario: str) -> bool:
     return any((scenario, outcome) in catalog.overrides for outcome in _OUTCOMES)
 
 
-def group_factors(catalog: Catalog, members: Sequence[str]) -> DataFrame:
-    """Scaling factors of scenarios that share shapes and weather, with a scenario column."""
+def group_annual(catalog: Catalog, members: Sequence[str]) -> DataFrame:
+    """Annual MWh of several scenarios, with a scenario column.
+
+    Scenarios mostly share their annual tables; each distinct table is planned
+    once and repeated for the scenarios that use it.
+    """
+    electric = [n for n in members if catalog.scenario(n).scenario.use_ev_projection]
+
+    def shared(table: str, names: Sequence[str]) -> list[DataFrame]:
+        users: list[tuple[DataFrame, list[str]]] = []
+        for name in names:
+            found = catalog.scenario(name).table(table)
+            known = next((u for df, u in users if df is found), None)
+            if known is None:
+                users.append((found, [name]))
+            else:
+                known.append(name)
+        return [
+            projection.annual_mwh(df).withColumn("scenario", F.explode(F.lit(names)))
+            for df, names in users
+        ]
+
     parts = [
-        catalog.scenario(name).annual_all().withColumn("scenario", F.lit(name))
-        for name in members
+        pick_sectors(part, NON_RESIDENTIAL).filter(
+            ~F.col("scenario").isin(*electric) | ~projection.is_road()
+        )
+        for part in shared(ANNUAL_NON_RESIDENTIAL, members)
     ]
+    parts += shared("ev_annual_energy_tj", electric)
+    parts += [pick_sectors(p, RESIDENTIAL) for p in shared(ANNUAL_RESIDENTIAL, members)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def group_factors(catalog: Catalog, members: Sequence[str]) -> DataFrame:
+    """Scaling factors of scenarios that share shapes and weather, with a scenario column."""
     totals = catalog.scenario(members[0]).shape_totals(_MODELLED)
-    return projection.scaling_factors(totals, reduce(DataFrame.unionByName, parts))
+    return projection.scaling_factors(totals, group_annual(catalog, members))
 
 
 def group_projection(
@@ -239,5 +271,6 @@ def group_projection(
         pick_sectors(tables.base_shapes(), _MODELLED),
         tables.weather("temperature_multipliers"),
         group_factors(catalog, members) if factors is None else factors,
+        tables.spread,
     )
     return hourly.select(*projection.RESULT_COLUMNS)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilocast.plans.storage import pin
 from kilocast.queries.scope import Scope, breakdown_column
 
 
@@ -33,7 +34,9 @@ def peak_breakdown(projection: DataFrame, scope: Scope, group_by: str) -> DataFr
     """The rows of the peak hour, one per sector and end use, not summed.
 
     The peak hour is picked by aggregation with partial maxima rather than by
-    ranking all hours; of equal peaks the earliest counts.
+    ranking all hours; of equal peaks the earliest counts. Peaks of one country
+    are one row per scenario and year, a partition of the table each, and are
+    broadcast; those of all countries are stored and counted first.
     """
     extra = breakdown_column(group_by)
     earlier = -F.unix_micros(F.col("timestamp").cast("timestamp"))
@@ -42,12 +45,13 @@ def peak_breakdown(projection: DataFrame, scope: Scope, group_by: str) -> DataFr
         .groupBy(*scope.keys)
         .agg(F.max_by("timestamp", F.struct("total", earlier)).alias("timestamp"))
     )
-    return (
+    hours = pin(hours).table if scope.places else F.broadcast(hours)
+    found = (
         scope.rows(projection)
         .join(hours, [*scope.keys, "timestamp"])
         .select(*scope.keys, *extra, "value")
-        .orderBy(*scope.order(*extra))
     )
+    return scope.sorted_rows(found, *extra)
 
 
 def _totals_and_peaks(projection: DataFrame, scope: Scope) -> DataFrame:

@@ -62,6 +62,11 @@ class Scope:
             *[F.col(c) for c in more],
         ]
 
+    def sorted_rows(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Sort row-level results of one country; those of all countries are left unsorted,
+        which spares a global sort of a large part of the projection."""
+        return df if self.places else df.orderBy(*self.order(*columns))
+
     def hourly_totals(self, projection: DataFrame, name: str = "total") -> DataFrame:
         """Load per hour: at most 8784 rows per place, scenario and year."""
         return (

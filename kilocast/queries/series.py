@@ -49,13 +49,10 @@ def comparison(
 
 def _numbered_hours(projection: DataFrame, scope: Scope) -> DataFrame:
     by_time = Window.partitionBy(*scope.keys).orderBy("timestamp")
-    return (
-        scope.hourly_totals(projection, "value")
-        .select(
-            *scope.keys, F.row_number().over(by_time).cast("long").alias("time_period"), "value"
-        )
-        .orderBy(*scope.keys, "time_period")
+    numbered = scope.hourly_totals(projection, "value").select(
+        *scope.keys, F.row_number().over(by_time).cast("long").alias("time_period"), "value"
     )
+    return scope.sorted_rows(numbered, "time_period")
 
 
 def _numbered_rows(
@@ -85,6 +82,7 @@ def _numbered_rows(
     number: Column = (
         F.col("_hour") if hour_of_year else F.col("_before") + F.row_number().over(in_hour)
     )
-    return placed.select(
+    numbered = placed.select(
         *scope.keys, number.cast("long").alias("time_period"), *extra, "value"
-    ).orderBy(*scope.keys, "time_period", *extra)
+    )
+    return scope.sorted_rows(numbered, "time_period", *extra)

@@ -52,7 +52,8 @@ def test_year_ids_become_numbers(spark):
 def test_pin_keeps_rows_and_checks_size(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     small, large = pin(df), pin(df, max_rows=10)
-    assert small.count() == large.count() == 100
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+    assert (small.small, large.small) == (True, False)
+    assert small.table.count() == large.table.count() == 100
+    assert "ResolvedHint" in small.table._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in large.table._jdf.queryExecution().analyzed().toString()
     assert shared_folder(spark) == shared_folder(spark)

@@ -5,8 +5,6 @@ import re
 from pyspark.sql import functions as F
 
 from kilocast.operators.weather import daily_weather
-from kilocast.plans.storage import pin
-from kilocast.plans.tables import group_factors, group_projection
 from kilocast.queries import annual, series
 from kilocast.queries.scope import Scope
 from kilocast.sources.files import write_table
@@ -42,10 +40,7 @@ def test_no_product_of_tables_anywhere(project):
 
 def test_expanded_rows_are_not_shuffled(project):
     """With pinned multipliers and factors the whole expansion is one stage."""
-    members = ["baseline", "rich"]
-    project._pin_multipliers(members)
-    factors = pin(group_factors(project.catalog, members))
-    text = plan(group_projection(project.catalog, members, factors))
+    text = plan(project.prepared_projection())
     assert "hashpartitioning" not in text and "rangepartitioning" not in text
     assert text.count("BroadcastHashJoin") >= 2
 
@@ -64,3 +59,27 @@ def test_wide_aggregates_have_map_side_partials(project):
     result = project.compute_energy_projection(["baseline"])
     text = plan(annual.peak(result, Scope(None)).select(F.sum("value")))
     assert "partial_sum" in text and "partial_max" in text
+
+
+def test_large_multipliers_are_joined_on_split_keys(project, monkeypatch):
+    from kilocast.plans import storage
+
+    monkeypatch.setattr(storage.pin, "__defaults__", (0,))
+    rows = project.energy_projection(["baseline"]).count()
+    prepared = project.prepared_projection(["baseline"])
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = project.spark.conf.get(setting)
+    project.spark.conf.set(setting, "-1")
+    try:
+        text = plan(prepared)
+        assert "BroadcastHashJoin" not in text
+        assert re.search(r"hashpartitioning\(geography#\d+, month#\d+L, day_type#\d+, _slot", text)
+        assert prepared.count() == rows
+    finally:
+        project.spark.conf.set(setting, before)
+
+
+def test_peak_hours_are_broadcast_to_the_rows(project):
+    result = project.compute_energy_projection(["baseline"])
+    text = plan(annual.peak_breakdown(result, Scope("north", ["baseline"]), "Sector"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
