@@ -176,22 +176,18 @@ class Project:
         return names
 
     def _pin_multipliers(self, names: Sequence[str]) -> None:
+        planned = {
+            name: self.catalog.scenario(name).weather("temperature_multipliers")
+            for name in names
+            if not self.catalog.scenario(name).replaced("temperature_multipliers")
+        }
         written: list[tuple[DataFrame, Pinned]] = []
-        for name in names:
-            tables = self.catalog.scenario(name)
-            if tables.replaced("temperature_multipliers"):
-                continue
-            planned = tables.weather("temperature_multipliers")
-            pinned = next((new for old, new in written if old is planned), None)
+        for name, multipliers in planned.items():
+            pinned = next((new for old, new in written if old is multipliers), None)
             if pinned is None:
-                pinned = pin(planned)
-                written.append((planned, pinned))
-            tables.use_pinned_multipliers(pinned)
-
-    def multiplier_statistics(self, scenario: str) -> DataFrame:
-        return weather.multiplier_range(
-            self.calculated_table(scenario, "temperature_multipliers")
-        )
+                pinned = pin(multipliers)
+                written.append((multipliers, pinned))
+            self.catalog.scenario(name).use_pinned_multipliers(pinned)
 
     def compute_energy_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
         """Compute and write the projection, partitioned by scenario and model year.
