@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -50,6 +49,8 @@ class Project:
         self.catalog = Catalog(config, data, scenario_data, strict)
         self.result_path = result_path
         self._overrides: list[TableOverride] = []
+        # Multipliers as planned or as stored, and where they are stored.
+        self._pinned: list[tuple[DataFrame, Pinned]] = []
 
     @classmethod
     def from_files(
@@ -181,14 +182,19 @@ class Project:
             for name in names
             if not self.catalog.scenario(name).replaced("temperature_multipliers")
         }
-        written: list[tuple[DataFrame, Pinned]] = []
         for name, multipliers in planned.items():
-            pinned = next((new for old, new in written if old is multipliers), None)
+            pinned = next((new for old, new in self._pinned if old is multipliers), None)
             if pinned is None:
                 pinned = pin(multipliers)
-                written.append((multipliers, pinned))
+                self._pinned += [(multipliers, pinned), (pinned.table, pinned)]
             self.catalog.scenario(name).use_pinned_multipliers(pinned)
 
+    def multiplier_statistics(self, scenario: str) -> DataFrame:
+        """Range of each temperature multiplier of a scenario, in one row."""
+        return weather.multiplier_range(
+            self.calculated_table(scenario, "temperature_multipliers")
+        )
+
     def compute_energy_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
         """Compute and write the projection, partitioned by scenario and model year.
 
@@ -307,7 +313,7 @@ def write_projection(projection: DataFrame, path: str, replace_all: bool = True)
             projection.write.mode("overwrite")
             .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
             .partitionBy("scenario", "model_year")
-            .parquet(posixpath.normpath(path) if "://" not in path else path)
+            .parquet(path)
         )
     finally:
         if before is None:

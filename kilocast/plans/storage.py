@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     made and set; on a cluster the setting must name shared storage.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kilocast-"))
         folder = context.getCheckpointDir()

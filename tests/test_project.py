@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from conftest import CONFIG, YEARS
 from kilocast import Project, ProjectConfig, Scenario, TableOverride
 from kilocast.errors import InvalidOperation, InvalidParameter
+from kilocast.plans import storage
 from kilocast.plans.models import MODELS
 from kilocast.plans.tables import share_expansion
 from kilocast.schemas import PROJECTION
@@ -62,6 +63,12 @@ def test_one_expansion_gives_what_each_scenario_gives(project):
     assert total(fused, "Residential", "rich") == pytest.approx(total(fused, "Residential"))
 
 
+def test_multiplier_statistics(project):
+    row = project.multiplier_statistics("rich").first()
+    assert row.min_other == row.max_other == 1.0
+    assert 0 < row.min_heating < 1 < row.max_heating
+
+
 def test_unknown_names(project):
     with pytest.raises(InvalidParameter):
         project.data_table("nobody", "gdp")
@@ -182,6 +189,16 @@ def test_written_projection_and_partial_recomputation(project):
     assert [r[0] for r in one.select("scenario").distinct().collect()] == ["electric"]
 
 
+def test_multipliers_are_stored_once(project, monkeypatch):
+    from kilocast.plans import project as module
+
+    stored = []
+    monkeypatch.setattr(module, "pin", lambda df: stored.append(df.columns) or storage.pin(df))
+    project.prepared_projection(["baseline"])
+    project.prepared_projection()
+    assert sum("heating_multiplier" in columns for columns in stored) == 1
+
+
 def test_export_of_the_projection(project, tmp_path):
     project.compute_energy_projection(["baseline"])
     path = str(tmp_path / "out.parquet")
