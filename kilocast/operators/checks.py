@@ -35,36 +35,25 @@ def time_gaps(
     """Missing and misplaced timestamps of each series.
 
     All series must run from ``start`` to ``end`` (by default the earliest and
-    latest timestamp of any series) in steps of ``step_hours``. A first pass
-    counts the timestamps in place: only series that lack some are expanded to
-    the full list of steps and compared with it.
+    latest timestamp of any series) in steps of ``step_hours``. The wanted steps
+    and the timestamps found meet in one aggregation, with partial sums before
+    the shuffle; what has only one of the two is an issue.
     """
     columns = [*series, "timestamp"]
     ts = F.col("timestamp")
-    points = df.select(*columns).distinct()
-    origin = F.lit(start).cast("timestamp_ntz") if start else df.agg(F.min(ts)).scalar()
-    final = F.lit(end).cast("timestamp_ntz") if end else df.agg(F.max(ts)).scalar()
-    seconds = F.lit(step_hours * 3600)
-    placed = points.select(
-        *columns, origin.alias("_from"), final.alias("_to")
-    ).withColumn(
-        "_in_place",
-        (F.pmod(F.timestamp_diff("SECOND", F.col("_from"), ts), seconds) == 0)
-        & ts.between(F.col("_from"), F.col("_to")),
-    )
-    wanted = F.floor(F.timestamp_diff("SECOND", F.col("_from"), F.col("_to")) / seconds) + 1
-    short = (
-        placed.groupBy(*series, "_from", "_to")
-        .agg(F.count_if("_in_place").alias("_n"))
-        .filter(F.col("_n") != wanted)
-    )
+    spans = df.groupBy(*series).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    origin = F.lit(start).cast("timestamp_ntz") if start else spans.agg(F.min("_first")).scalar()
+    final = F.lit(end).cast("timestamp_ntz") if end else spans.agg(F.max("_last")).scalar()
     step = F.expr(f"INTERVAL '{int(step_hours)}' HOUR")
-    steps = short.select(*series, F.explode(F.sequence("_from", "_to", step)).alias("timestamp"))
-    missing = steps.join(points, columns, "left_anti")
-    misplaced = placed.filter(~F.col("_in_place"))
-    return missing.select(F.lit("missing").alias("issue"), *columns).unionByName(
-        misplaced.select(F.lit("misplaced").alias("issue"), *columns)
+    wanted = spans.select(*series, F.explode(F.sequence(origin, final, step)).alias("timestamp"))
+    both = df.select(*columns, F.lit(1).alias("_found"), F.lit(0).alias("_wanted")).unionByName(
+        wanted.select(*columns, F.lit(0).alias("_found"), F.lit(1).alias("_wanted"))
+    )
+    met = both.groupBy(*columns).agg(
+        F.max("_found").alias("_found"), F.max("_wanted").alias("_wanted")
     )
+    issue = F.when(F.col("_found") == 0, "missing").when(F.col("_wanted") == 0, "misplaced")
+    return met.select(issue.alias("issue"), *columns).filter(F.col("issue").isNotNull())
 
 
 def association_gaps(
