@@ -28,6 +28,11 @@ def add_hours(ts: Column, hours: Column) -> Column:
     return ts + F.make_dt_interval(zero, hours.cast("int"), zero, F.lit(0.0))
 
 
+def hours_of(day: Column) -> Column:
+    """The 24 hours that begin with ``day``, as an array."""
+    return F.sequence(day, add_hours(day, F.lit(23)), F.expr("INTERVAL '1' HOUR"))
+
+
 def hour_start(ts: Column) -> Column:
     return add_hours(day_start(ts), F.hour(ts))
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilocast.functions.calendar import add_hours
+from kilocast.functions.calendar import add_hours, hours_of
 from kilocast.operators.drivers import in_countries, in_years
 
 # Sector names of the load shapes and of the energy intensities.
@@ -82,6 +82,7 @@ def expand(shapes: DataFrame, multipliers: DataFrame, spread: int = 1) -> DataFr
     days = multipliers.select(
         *DAY_KEYS,
         F.col("timestamp").alias("_day"),
+        hours_of(F.col("timestamp")).alias("_hours"),
         "weather_year",
         *[f"{kind}_multiplier" for kind in _KINDS],
     )
@@ -95,7 +96,10 @@ def expand(shapes: DataFrame, multipliers: DataFrame, spread: int = 1) -> DataFr
     carried = [c for c in shapes.columns if c not in ("month", "hour", "is_weekday", "day_type")]
     return tagged.join(days, keys).select(
         *[c for c in carried if c != "load_shape_value"],
-        add_hours(F.col("_day"), F.col("hour")).alias("timestamp"),
+        # Ready-made hours spare calendar arithmetic on every expanded row.
+        F.coalesce(
+            F.get("_hours", F.col("hour").cast("int")), add_hours(F.col("_day"), F.col("hour"))
+        ).alias("timestamp"),
         "weather_year",
         "load_shape_value",
         _by_kind("{}_multiplier").alias("multiplier"),

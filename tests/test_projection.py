@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,19 @@ def test_spread_keys_give_the_same_hours(project):
     assert plain.count() == spread.count() == plain.intersectAll(spread).count()
 
 
+def test_hours_outside_a_day_fall_on_its_neighbours(project):
+    base, multipliers = _parts(project)
+    hours = [-1, 0, 23, 24, 30]
+    shape = base.filter("geography = 'north' and month = 3 and day_type = 'weekday'").limit(1)
+    odd = shape.withColumn("hour", F.explode(F.lit(hours).cast("array<bigint>")))
+    found = sorted(r.timestamp for r in shapes.expand(odd, multipliers).collect())
+    days = multipliers.filter("geography = 'north' and month = 3 and day_type = 'weekday'")
+    expected = [
+        r.timestamp + dt.timedelta(hours=h) for r in days.select("timestamp").collect() for h in hours
+    ]
+    assert found == sorted(expected) and len(found) == 5 * 26
+
+
 def test_factor_is_one_without_shape_energy(spark):
     totals = spark.createDataFrame(
         [("x", 2030, "Industrial", 0.0), ("x", 2030, "Commercial", None), ("x", 2030, "Residential", 4.0)],
