@@ -122,26 +122,23 @@ add(
 )
 add(
     "valid_model_years",
-    lambda i: listing.valid_ids(i.load_shapes, "model_year"),
+    lambda i: i.project.valid_ids("load_shapes", "model_year"),
     "SELECT DISTINCT model_year FROM load_shapes",
 )
 add(
     "valid_weather_years",
-    lambda i: listing.valid_ids(
-        i.weather_bait.select(F.year("timestamp").cast("long").alias("weather_year")),
-        "weather_year",
-    ),
+    lambda i: i.project.valid_ids("weather_bait", "weather_year"),
     'SELECT DISTINCT CAST(year("timestamp") AS BIGINT) AS weather_year FROM weather_in',
 )
 add(
     "valid_countries",
-    lambda i: listing.valid_ids(i.gdp, "geography"),
+    lambda i: i.project.valid_ids("gdp", "geography"),
     "SELECT DISTINCT geography FROM gdp",
 )
 add(
     "validate_country",
     lambda i: _cut(
-        i.gdp.filter(F.col("geography") == listing.matching_id(i.gdp, "geography", "europe")),
+        i.gdp.filter(F.col("geography") == i.project.validate_country("europe")),
         "value",
     ),
     f"SELECT geography, model_year, {named('value')} FROM gdp WHERE lower(geography) = 'europe'",
@@ -859,6 +856,17 @@ for _key, _group, _column in (
             f"{_column} {cut('AVG(value)')} AS value FROM year_projection "
             "WHERE scenario = 'baseline' GROUP BY ALL",
         )
+add(
+    "ts_daily_totals_first",
+    lambda i: _cut(
+        series.comparison(i.year_projection, BASE, None, series.DAILY_MEAN, totals_first=True),
+        "value",
+    ),
+    'SELECT scenario, year, CAST(dayofyear("timestamp") + 1 AS BIGINT) AS time_period, '
+    f"{cut('AVG(total)')} AS value FROM (SELECT scenario, model_year AS year, \"timestamp\", "
+    "SUM(value) AS total FROM year_projection WHERE scenario = 'baseline' GROUP BY ALL) "
+    "GROUP BY ALL",
+)
 
 # Typical days
 

@@ -194,6 +194,13 @@ class ProjectionClient:
         tables = self.project.catalog.scenario(scenario)
         return secondary.secondary_metric(tables.table, metric, scope.years, self.geography)
 
+    def get_secondary_metric_of_scenarios(
+        self, scenarios: Sequence[str], metric: str, years: Sequence[int] | None = None
+    ) -> DataFrame:
+        scope = self._or_all(scenarios, years)
+        tables = {name: self.project.catalog.scenario(name).table for name in scenarios}
+        return secondary.secondary_of_scenarios(tables, metric, scope.years, self.geography)
+
     def get_weather_metric(self, scenario: str, year: int, wvar: str, resample: str) -> DataFrame:
         """The weather year is fixed, so ``year`` is only checked."""
         self._scope([scenario], [year])

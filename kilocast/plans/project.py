@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kilocast.config import ProjectConfig, TableOverride
+from kilocast.config import BASELINE, ProjectConfig, TableOverride
 from kilocast.errors import InvalidOperation, InvalidParameter
+from kilocast.functions.calendar import year_of
 from kilocast.operators import weather
 from kilocast.operators.drivers import in_countries, in_years
 from kilocast.operators.mapping import MANY_TO_ONE, map_dimension
@@ -24,6 +25,7 @@ from kilocast.plans.tables import (
     share_expansion,
     stands_alone,
 )
+from kilocast.queries import listing
 from kilocast.schemas import DATA_TABLES, PROJECTION
 from kilocast.sources.files import cast_years, read_table, write_table
 
@@ -97,6 +99,26 @@ class Project:
         """All calculated tables, and the overrides that exist in any scenario."""
         return [*MODELS, *sorted({f"{o.table_name}{OVERRIDE_SUFFIX}" for o in self._overrides})]
 
+    def valid_ids(self, table: str, dimension: str) -> DataFrame:
+        """Ids of a dimension that the baseline's table has; weather years come from dates."""
+        df = self.data_table(BASELINE, table)
+        if dimension == "weather_year" and dimension not in df.columns:
+            df = df.select(year_of(F.col("timestamp")).alias(dimension))
+        return listing.valid_ids(df, dimension)
+
+    def list_valid_model_years(self) -> list[int]:
+        return [row[0] for row in self.valid_ids("load_shapes", "model_year").collect()]
+
+    def list_valid_weather_years(self) -> list[int]:
+        return [row[0] for row in self.valid_ids("weather_bait", "weather_year").collect()]
+
+    def list_valid_countries(self) -> list[str]:
+        return [row[0] for row in self.valid_ids("gdp", "geography").collect()]
+
+    def validate_country(self, country: str) -> str:
+        """The country as the data spell it."""
+        return listing.matching_id(self.data_table(BASELINE, "gdp"), "geography", country)
+
     def _check_scenario(self, scenario: str) -> None:
         if scenario not in self.list_scenario_names():
             raise InvalidParameter(f"{scenario=} is not stored in the project's scenarios")

@@ -20,11 +20,12 @@ def comparison(
     group_by: str | None = None,
     resample: str = DAILY_MEAN,
     hour_of_year: bool = False,
+    totals_first: bool = False,
 ) -> DataFrame:
     """Series of each year with a common ``time_period``.
 
-    Days are numbered from 2 and weeks from 1, and their means are over rows,
-    not over hourly totals. Hourly rows with a breakdown are numbered
+    Days are numbered from 2 and weeks from 1, and their means are over rows;
+    ``totals_first`` takes means over hourly totals instead. Hourly rows with a breakdown are numbered
     one by one; ``hour_of_year`` numbers their hours instead.
     """
     extra = breakdown_column(group_by)
@@ -39,9 +40,11 @@ def comparison(
         period = week_index(ts) + 1
     else:
         raise ValueError(f"Invalid resample option: {resample}")
+    rows = scope.rows(projection)
+    if totals_first:
+        rows = rows.groupBy(*scope.keys, "timestamp", *extra).agg(F.sum("value").alias("value"))
     return (
-        scope.rows(projection)
-        .groupBy(*scope.keys, period.alias("time_period"), *extra)
+        rows.groupBy(*scope.keys, period.alias("time_period"), *extra)
         .agg(F.avg("value").alias("value"))
         .orderBy(*scope.keys, "time_period", *extra)
     )

@@ -69,6 +69,15 @@ def test_multiplier_statistics(project):
     assert 0 < row.min_heating < 1 < row.max_heating
 
 
+def test_valid_ids(project):
+    assert project.list_valid_model_years() == YEARS
+    assert project.list_valid_weather_years() == [2018]
+    assert project.list_valid_countries() == ["north", "south"]
+    assert project.validate_country("SOUTH") == "south"
+    with pytest.raises(InvalidParameter):
+        project.validate_country("west")
+
+
 def test_unknown_names(project):
     with pytest.raises(InvalidParameter):
         project.data_table("nobody", "gdp")

@@ -164,6 +164,8 @@ def test_resampled_periods(small):
         (3, 9.0),
         (4, 1.0),
     ]
+    totals = rows(series.comparison(small, scope, totals_first=True))
+    assert totals == [("baseline", 2025, 2, 7.0), ("baseline", 2025, 3, 1.0)]
     with pytest.raises(ValueError):
         series.comparison(small, scope, None, "Monthly")
 
@@ -269,6 +271,8 @@ def test_client_answers(client):
     assert client.get_seasonal_load_lines("rich").count() == 2 * 4 * 4
     assert client.get_seasonal_load_area("rich", 2030, breakdown="Sector").count() == 64
     assert client.get_secondary_metric("rich", "Population").count() == 2
+    both = client.get_secondary_metric_of_scenarios(["baseline", "rich"], "GDP")
+    assert both.count() == 4
     assert client.get_weather_metric("rich", 2030, "CDD", series.DAILY_MEAN).count() == 365
     assert client.get_weather_overlay("rich", "CDD", series.HOURLY).count() == 8760
     assert client.get_scenario_difference("baseline", "rich").count() == 2
