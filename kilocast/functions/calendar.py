@@ -44,6 +44,11 @@ def in_year(ts: Column, year: int) -> Column:
     return (ts >= first) & (ts < after)
 
 
+def minute_number(ts: Column) -> Column:
+    """Minutes on the wall clock since 1970, free of any time zone."""
+    return (F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)) * 60 + F.minute(ts)
+
+
 def year_of(ts: Column) -> Column:
     return F.year(ts).cast("long")
 

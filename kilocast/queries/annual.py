@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilocast.functions.calendar import minute_number
 from kilocast.plans.storage import pin
 from kilocast.queries.scope import Scope, breakdown_column
 
@@ -39,7 +40,7 @@ def peak_breakdown(projection: DataFrame, scope: Scope, group_by: str) -> DataFr
     broadcast; those of all countries are stored and counted first.
     """
     extra = breakdown_column(group_by)
-    earlier = -F.unix_micros(F.col("timestamp").cast("timestamp"))
+    earlier = -minute_number(F.col("timestamp"))
     hours = (
         scope.hourly_totals(projection)
         .groupBy(*scope.keys)
