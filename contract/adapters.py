@@ -110,7 +110,7 @@ class Inputs:
     # Data tables
 
     @cached_property
-    def _places(self) -> DataFrame:
+    def places(self) -> DataFrame:
         return (
             self.given("nation")
             .join(self.given("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -118,14 +118,14 @@ class Inputs:
         )
 
     @cached_property
-    def _customers(self) -> DataFrame:
+    def customers(self) -> DataFrame:
         return self.given("customer").join(
-            self._places, F.col("c_nationkey") == F.col("n_nationkey")
+            self.places, F.col("c_nationkey") == F.col("n_nationkey")
         )
 
     @cached_property
     def _orders(self) -> DataFrame:
-        buyers = self._customers.select("c_custkey", "c_mktsegment", "geography")
+        buyers = self.customers.select("c_custkey", "c_mktsegment", "geography")
         orders = self.given("orders").withColumn(
             "model_year", _long(2025 + 5 * (F.col("o_orderkey") % 3))
         )
@@ -147,7 +147,7 @@ class Inputs:
     @cached_property
     def _customer_groups(self) -> DataFrame:
         return self._settle(
-            self._customers.groupBy(
+            self.customers.groupBy(
                 "geography", "c_mktsegment", (F.col("c_custkey") % 2).alias("parity")
             ).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
         )
@@ -283,7 +283,7 @@ class Inputs:
     def weather_bait(self) -> DataFrame:
         """Quantity shipped per line as temperature, discount and tax as other variables."""
         sellers = self.given("supplier").join(
-            self._places, F.col("s_nationkey") == F.col("n_nationkey")
+            self.places, F.col("s_nationkey") == F.col("n_nationkey")
         )
         n = F.count(F.lit(1))
         return (

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from contract.adapters import CONFIG, YEARS, Inputs
 from contract.oracles import compose
-from kilocast import Project, Scenario, TableOverride
+from kilocast import Project, TableOverride
 from kilocast.functions.calendar import QUERY_WEEKEND, day_kind, day_of_year, season
 from kilocast.operators import checks, mapping, shapes, weather
-from kilocast.operators.intensity import NON_RESIDENTIAL, RESIDENTIAL, pick_sectors
+from kilocast.operators.intensity import NON_RESIDENTIAL, RESIDENTIAL
 from kilocast.operators.projection import annual_mwh, replace_road_energy, scaling_factors
 from kilocast.plans.storage import fresh_path
 from kilocast.queries import annual, duration, listing, seasonal, secondary, series
@@ -222,7 +222,9 @@ add(
 )
 add(
     "scenario_rows",
-    lambda i: i.settled.project.prepared_projection().groupBy("scenario").agg(F.count("*").alias("n")),
+    lambda i: i.settled.project.prepared_projection()
+    .groupBy("scenario")
+    .agg(F.count("*").alias("n")),
     "SELECT scenario, COUNT(*) AS n FROM projections GROUP BY scenario",
 )
 _KINDS = ("heating", "cooling", "other")
@@ -247,7 +249,7 @@ add(
 def _balances(i: Inputs) -> DataFrame:
     """Customers' balances in cents by nation and segment."""
     cents = F.round(F.col("c_acctbal") * 100)
-    return i._customers.groupBy(
+    return i.customers.groupBy(
         F.col("n_name").alias("geography"), F.col("c_mktsegment").alias("sector")
     ).agg(F.sum(cents).alias("value"))
 
@@ -260,7 +262,7 @@ add(
     "map_dim_agg",
     lambda i: mapping.map_dimension(
         _balances(i),
-        i._places.select(F.col("n_name").alias("from_id"), F.col("geography").alias("to_id")),
+        i.places.select(F.col("n_name").alias("from_id"), F.col("geography").alias("to_id")),
         "geography",
     ),
     f"SELECT region AS geography, sector, SUM(value) AS value FROM {_BALANCES} GROUP BY ALL",
@@ -269,7 +271,7 @@ add(
     "map_dim_rename",
     lambda i: mapping.map_dimension(
         _balances(i),
-        i._places.select(
+        i.places.select(
             F.col("n_name").alias("from_id"), F.concat(F.lit("id-"), "n_nationkey").alias("to_id")
         ),
         "geography",
@@ -282,12 +284,12 @@ add(
     "check_mapping",
     # Nations of indebted suppliers against all nations, regions of rich customers against all.
     lambda i: checks.unknown_mapping_ids(
-        i._places.select(F.col("n_name").alias("from_id"), F.col("geography").alias("to_id")),
+        i.places.select(F.col("n_name").alias("from_id"), F.col("geography").alias("to_id")),
         i.given("supplier")
         .filter(F.col("s_acctbal") < 0)
-        .join(i._places, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(i.places, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("n_name").alias("id")),
-        i._customers.filter(F.col("c_acctbal") > 9999).select(F.col("geography").alias("id")),
+        i.customers.filter(F.col("c_acctbal") > 9999).select(F.col("geography").alias("id")),
     ),
     "SELECT 'from' AS side, n_name AS id FROM nation WHERE n_nationkey NOT IN "
     "(SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) "
@@ -310,12 +312,12 @@ _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 def _associations(i: Inputs) -> DataFrame:
     """Nations by segment and thousands of balance; the top band may lack in Africa."""
     band = F.floor(F.col("c_acctbal") / 1000).cast("string")
-    held = i._customers.select(
+    held = i.customers.select(
         F.col("n_name").alias("geography"),
         F.col("c_mktsegment").alias("sector"),
         band.alias("metric"),
     )
-    allowed = i._places.filter(F.col("geography") == "AFRICA").select(
+    allowed = i.places.filter(F.col("geography") == "AFRICA").select(
         F.col("n_name").alias("geography"),
         F.explode(F.lit(_SEGMENTS)).alias("sector"),
         F.lit("9").alias("metric"),

@@ -25,8 +25,9 @@ def comparison(
     """Series of each year with a common ``time_period``.
 
     Days are numbered from 2 and weeks from 1, and their means are over rows;
-    ``totals_first`` takes means over hourly totals instead. Hourly rows with a breakdown are numbered
-    one by one; ``hour_of_year`` numbers their hours instead.
+    ``totals_first`` takes means over hourly totals instead. Hourly rows with a
+    breakdown are numbered one by one; ``hour_of_year`` numbers their hours
+    instead.
     """
     extra = breakdown_column(group_by)
     if resample == HOURLY:

@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from kilocast import ModelParameters, Project, ProjectConfig, Scenario  # noqa: E402
+from kilocast.functions.calendar import add_hours  # noqa: E402
 from kilocast.schemas import DATA_TABLES, PROJECTION  # noqa: E402
 from tools.session import local_session  # noqa: E402
 
@@ -37,7 +38,7 @@ def hourly(spark, rows):
 def week_load(spark):
     """All hours of 2018 in two scenarios: 1 on weekdays, 8 on weekends, per sector and end use."""
     hours = spark.range(8760).select(
-        (F.lit("2018-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("timestamp")
+        add_hours(F.lit("2018-01-01").cast("timestamp_ntz"), F.col("id")).alias("timestamp")
     )
     cells = spark.createDataFrame(
         [
