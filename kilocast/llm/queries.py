@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op8_toxicity": op8_toxicity,
     }
