@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
+from kilocast.llm.mixing import op2_mixing
 from kilocast.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op8_toxicity": op8_toxicity,
