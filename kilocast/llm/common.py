@@ -199,3 +199,34 @@ def connected(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(
                 pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
             )
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of plain files on the storage that all executors share."""
+    from pyarrow import fs
+
+    folder = fresh_path(spark, f"-{name}")
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    return folder
+
+
+def write_file(uri: str, parts: Iterable[bytes], attempt: int) -> None:
+    """Write a file under another name and move it into place, so that a repeated task leaves one whole file."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_output_stream(f"{path}.{attempt}.part") as out:
+        for part in parts:
+            out.write(part)
+    system.move(f"{path}.{attempt}.part", path)
+
+
+def read_file(uri: str, start: int = 0, length: int | None = None) -> bytes:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_file(path) as file:
+        if start < 0:
+            start += file.size()
+        return file.read_at(file.size() - start if length is None else length, start)

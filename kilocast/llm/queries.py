@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.mixing import op2_mixing
+from kilocast.llm.tokens import op9_token_files
 from kilocast.llm.toxicity import op8_toxicity
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op8_toxicity": op8_toxicity,
+        "op9_token_files": op9_token_files,
     }
 
 
