@@ -1,24 +1,78 @@
-"""From raw documents to token files: filter, deduplicate, decontaminate, mix and encode."""
+"""From raw documents to token files: filter, deduplicate, decontaminate, mix and encode.
+
+Each stage takes all that the one before has kept. ``run`` stores the result of
+every stage as Parquet in the folder of ``spark.checkpoint.dir`` and reads it
+again as the next one's documents. Rows with null in any column, repeated rows
+and empty texts pass through as each stage describes; empty tables give empty
+results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kilocast.llm import decontaminate, jaccard, mixing, tokens, toxicity
 from kilocast.llm.common import read, stored
-from kilocast.llm.toxicity import score, train
 
 # No SQL expresses the learnt stages; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
+MIX = {"growth": 1.5, "min_rate": 1.0, "max_rate": 4.0}
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half; the model is learnt from the labels of ``docs``."""
-    weights = train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return score(docs, weights).where("score < 0.5").select(*docs.columns)
+    """Documents whose toxicity score is under one half; learnt from labelled rows of ``docs``."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    weights = toxicity.train(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs, weights).where("score < 0.5").select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group linked by five-word shingles at a Jaccard index of 0.8.
+
+    Texts without words are kept, repeated rows once. Rows without doc_id are
+    kept if no document with an id is like them.
+    """
+    found = jaccard.components(docs.select("doc_id", "text"), shingle=5, percent=80)
+    keep = found.where(
+        F.col("cluster").isNull() | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    )
+    ids = keep.select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no template passage with an item of the benchmark."""
+    found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark"))
+    ids = found.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated at rates that move the domains towards their target weights.
+
+    Every document is used at least once: the weights are reached by repeats.
+    """
+    weights, _, rates = mixing.mix_documents(docs, read(spark, sf_dir, "labels"), mixing.TARGETS, **MIX)
+    whole = docs.withColumn("_row", F.struct(*docs.columns))
+    rated = rates.apply(mixing.posteriors(whole.select("_row", "text"), weights))
+    times = mixing.copies("rate", "_row.doc_id", "_row.text")
+    return rated.select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files' rows: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.read_shards(tokens.write_shards(docs, tokens.default_tokenizer()))
 
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_to_targets),
+    ("token_files", write_token_files),
 ]
 
 

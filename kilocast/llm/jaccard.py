@@ -240,7 +240,7 @@ def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shin
 
 
 def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id and cluster (a key of the component, null for empty sets) of every document."""
     docs = stored(sketch(documents, shingle, percent))
     full = docs.where(F.col("key").isNotNull())
     nodes = stored(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("signatures")))
@@ -292,13 +292,14 @@ def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     known = nodes.select("key", "doc_id").join(final.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("comp", F.coalesce("comp", "key"))
     lowest = known.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_key = known.join(lowest, "comp").select("key", "component_id")
+    of_key = known.join(lowest, "comp").select("key", "component_id", F.col("comp").alias("cluster"))
     return docs.join(of_key, "key", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "cluster",
     )
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=90)
+    return components(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=90).drop("cluster")

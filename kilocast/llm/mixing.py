@@ -8,7 +8,7 @@ r * tokens * posterior, match ``weight * budget``:
     minimise  1/2 sum_d ((S_d - T_d) / N)^2  +  RIDGE / 2 * sum_i n_i / N * (r_i - r0)^2
 
 with N all tokens, S_d the expected tokens of domain d, T_d its target and
-r0 = budget / N. Projected gradient steps in the metric of the token counts,
+r0 = budget / N the rate of equal use. Projected gradient steps in the metric of the token counts,
 with Nesterov momentum: r_i <- clip(y_i - step * (sum_d p_id (S_d - T_d) / N +
 RIDGE (y_i - r0))). The state of a document follows from its own posterior and
 the vectors S of the steps so far, so a step is one aggregation over the
@@ -118,7 +118,7 @@ def posteriors(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(weights)
     base = documents.drop("text", "n_tokens", "posterior")
     names = base.columns
-    schema = StructType(base.schema.fields).add("n_tokens", "long").add("posterior", ArrayType(DoubleType()))
+    schema = StructType(list(base.schema.fields)).add("n_tokens", "long").add("posterior", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
@@ -136,25 +136,41 @@ def posteriors(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     return documents.select(*names, bytes_of("text")).mapInArrow(run, schema)
 
 
-def _steps(history: list[np.ndarray], target: np.ndarray, total: float, r0: float, step: float, low: float, high: float):
-    """A function from posteriors (rows, D) to the point of the next step and the rate after the last one."""
+class Rates:
+    """Fitted rates: what the steps have summed, from which the rate of any posterior follows."""
 
-    def at(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rate = y = np.full(len(p), min(max(r0, low), high))
+    def __init__(self, target: np.ndarray, total: float, r0: float, step: float, low: float, high: float) -> None:
+        self.target, self.total, self.r0, self.step, self.low, self.high = target, total, r0, step, low, high
+        self.history: list[np.ndarray] = []
+
+    def points(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of posteriors (rows, D): the point of the next step and the rate after the last one."""
+        rate = y = np.full(len(p), min(max(self.r0, self.low), self.high))
         t = 1.0
-        for s in history:
-            new = np.clip(y - step * (p @ ((s - target) / total) + RIDGE * (y - r0)), low, high)
+        for s in self.history:
+            slope = p @ ((s - self.target) / self.total) + RIDGE * (y - self.r0)
+            new = np.clip(y - self.step * slope, self.low, self.high)
             after = (1 + np.sqrt(1 + 4 * t * t)) / 2
             y, rate, t = new + (t - 1) / after * (new - rate), new, after
         return y, rate
 
-    return at
+    def apply(self, table: DataFrame) -> DataFrame:
+        """``table`` (with posterior) and its column ``rate``."""
+        names, d = [c for c in table.columns if c != "rate"], len(self.target)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = b.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(self.points(p)[1], pa.float64())], [*names, "rate"])
+
+        base = table.select(names)
+        return base.mapInArrow(run, StructType(list(base.schema.fields)).add("rate", "double"))
 
 
 def fit_rates(
-    table: DataFrame, targets: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float = 8.0, steps: int = STEPS
-) -> DataFrame:
-    """``table`` (with n_tokens and posterior) with a column ``rate``; ``budget``: tokens wanted, all by default."""
+    table: DataFrame, targets: list[float], growth: float = 1.0, min_rate: float = 0.0, max_rate: float = 8.0, steps: int = STEPS
+) -> Rates:
+    """Rates for a table with n_tokens and posterior; ``growth``: tokens wanted, in times of the tokens there are."""
     weight = np.array(targets, float) / sum(targets)
     d = len(weight)
     entry: list[Column] = [F.col("posterior")[i] for i in range(d)]
@@ -164,42 +180,27 @@ def fit_rates(
         *[F.coalesce(F.sum(n * entry[i] * entry[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(d) for j in range(d)],
     ).first()
     total = max(first[0], 1.0)
-    budget = total if budget is None else budget
     # The Lipschitz constant of the gradient in the metric of the token counts.
-    step = 1 / (np.linalg.eigvalsh(np.array(first[1:]).reshape(d, d) / total)[-1] + RIDGE + 1e-12)
-    target, r0 = weight * budget, budget / total
-
-    def make(history):
-        return _steps(history, target, total, r0, step, min_rate, max_rate)
-
-    history: list[np.ndarray] = []
+    steepest = np.linalg.eigvalsh(np.array(first[1:]).reshape(d, d) / total)[-1]
+    rates = Rates(weight * growth * total, total, growth, 1 / (steepest + RIDGE + 1e-12), min_rate, max_rate)
     for _ in range(steps):
-        at = make(list(history))
 
-        def sums(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(2 * d)
             for b in batches:
                 p = b.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                y, rate = at(p)
+                y, rate = rates.points(p)
                 tokens = b.column("n_tokens").to_numpy(zero_copy_only=False)
                 out += np.concatenate([(y * tokens) @ p, (rate * tokens) @ p])
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["s"])
 
         parts = table.select("n_tokens", "posterior").mapInArrow(sums, "s array<double>")
-        s = parts.agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0.0)) for i in range(2 * d)]).first()
-        history.append(np.array(s[:d]))
-        if history[1:] and np.abs(np.array(s[d:]) - target).max() < TOLERANCE * budget:
+        s = np.array(parts.agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0.0)) for i in range(2 * d)]).first())
+        settled = len(rates.history) > 1 and np.abs(s[d:] - rates.target).max() < TOLERANCE * growth * total
+        rates.history.append(s[:d])
+        if settled:
             break
-    last = make(history)
-    names = [c for c in table.columns if c != "rate"]
-    schema = table.select(names).schema.add("rate", "double")
-
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(last(p)[1], pa.float64())], [*names, "rate"])
-
-    return table.select(names).mapInArrow(rated, schema)
+    return rates
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -218,17 +219,16 @@ def copies(rate: str, *keys: str) -> Column:
     return F.floor(F.col(rate) + draw).cast("int")
 
 
-def mix_documents(documents: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """The documents' columns other than text, with n_tokens, posterior and rate; the features are stored once."""
+def mix_documents(documents: DataFrame, labels: DataFrame, targets: dict[str, float], **options) -> tuple[np.ndarray, DataFrame, Rates]:
+    """The classifier's weights, the stored table of tokens and posteriors, and the fitted rates."""
     weights = fit_posteriors(documents.select("doc_id", "text"), label_domains(labels), list(targets))
-    table = stored(posteriors(documents, weights))
-    return fit_rates(table, list(targets.values()), **options)
+    table = stored(posteriors(documents.select("doc_id", "text"), weights))
+    return weights, table, fit_rates(table, list(targets.values()), **options)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mix_documents(documents, read(spark, sf_dir, "labels"), TARGETS)
-    return mixed.select(
+    _, table, rates = mix_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
+    return rates.apply(table).select(
         "doc_id",
         "n_tokens",
         *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)],
