@@ -11,6 +11,7 @@ from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.mixing import op2_mixing
 from kilocast.llm.tokens import op9_token_files
 from kilocast.llm.toxicity import op8_toxicity
+from kilocast.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_warc": op5_warc,
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
     }
