@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.mixing import op2_mixing
+from kilocast.llm.substrings import op10_substring_dedup
 from kilocast.llm.tokens import op9_token_files
 from kilocast.llm.toxicity import op8_toxicity
 from kilocast.llm.warc import op5_warc
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
