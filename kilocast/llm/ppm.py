@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from kilocast.llm.common import Words, blocks, bytes_of, fold, read, stored
 
-ORDER = 5
-CAPACITY = 1 << 22
+ORDER = 6
+CAPACITY = 1 << 21
 COMMON = 1 << 18
 END = b"\n"
 END_WORD = -1
