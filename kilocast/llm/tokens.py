@@ -25,7 +25,9 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,40 +47,70 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xff]*")
 
 
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in prints else next(others)) for b in range(256))
+
+
 class WordEncoder:
-    """A tokenizer with the ids of words and of their pieces kept in bounded tables."""
+    """A tokenizer with the ids of words and of their pieces kept in bounded tables.
+
+    Words of printing Latin-1 letters are cut by the tokenizer's own rule and
+    their pieces go to its model at once; all others go through it as a whole.
+    """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    _known: dict[str, WordEncoder] = {}
+
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words, self.old_pieces = self.words, self.pieces
 
-    def _learn(self, table: dict, keys: list, texts: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            table[key] = np.array(found.ids, np.uint32).tobytes()
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The Python worker's encoder: later tasks find the words of earlier ones."""
+        if path not in cls._known:
+            cls._known[path] = cls(path)
+        return cls._known[path]
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            known = self.old_pieces.get(piece)
+            if known is None:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+                known = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            self.pieces[piece] = known
+        return known
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.split() for t in texts]
-        for table in (self.words, self.pieces):
-            if len(table) > self.most:
-                table.clear()
-        new = {w for words in split for w in words if w not in self.words}
-        simple, others = {}, {}
-        for w in new:
+        if len(self.words) > self.most:  # words in use come over from the old table
+            self.old_words, self.words = self.words, {}
+        if len(self.pieces) > self.most:
+            self.old_pieces, self.pieces = self.pieces, {}
+        others = []
+        for w in set(chain.from_iterable(split)).difference(self.words):
+            known = self.old_words.get(w)
+            if known is not None:
+                self.words[w] = known
+                continue
             text = w.decode("utf-8", "replace")
             if _SIMPLE.fullmatch(text) and "<|" not in text:
-                simple[w] = _PIECE.findall(text.lower())
+                self.words[w] = b"".join(map(self._piece, _PIECE.findall(text.lower())))
             else:
-                others[w] = text
-        missing = list({p for pieces in simple.values() for p in pieces if p not in self.pieces})
-        self._learn(self.pieces, missing, missing)
-        self._learn(self.words, list(others), list(others.values()))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, pieces))) for w, pieces in simple.items())
+                others.append(w)
+        texts = [w.decode("utf-8", "replace") for w in others]
+        for w, found in zip(others, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            self.words[w] = array("I", found.ids).tobytes()
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -207,7 +239,7 @@ def write_shards(documents: DataFrame, tokenizer: str, end_id: int = END_ID, sha
     folder = new_folder(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = WordEncoder(tokenizer), TaskContext.get()
+        encoder, context = WordEncoder.of(tokenizer), TaskContext.get()
         part, end = context.partitionId(), np.array([end_id], np.uint32).tobytes()
         ids: list[int | None] = []
         coded: list[bytes] = []
