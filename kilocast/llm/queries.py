@@ -10,6 +10,7 @@ from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.mixing import op2_mixing
 from kilocast.llm.ppm import op7_ppm_scores
+from kilocast.llm.spotsigs import op6_fingerprints
 from kilocast.llm.substrings import op10_substring_dedup
 from kilocast.llm.tokens import op9_token_files
 from kilocast.llm.toxicity import op8_toxicity
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_warc": op5_warc,
+        "op6_fingerprints": op6_fingerprints,
         "op7_ppm_scores": op7_ppm_scores,
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
