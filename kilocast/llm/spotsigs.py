@@ -30,7 +30,7 @@ from kilocast.llm.common import read, stored
 
 CHAIN = 2
 SIZE = 64
-PRUNE = 0.1
+PRUNE = 0.02
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
