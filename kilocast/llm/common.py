@@ -90,7 +90,9 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         up, self._down = _POWERS.get(len(buffer) + 1)
         self._sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_LETTERS[buffer] * up[: len(buffer)], dtype=np.uint64, out=self._sums[1:])
+        letters = _LETTERS[buffer]
+        letters *= up[: len(buffer)]
+        np.cumsum(letters, dtype=np.uint64, out=self._sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes between the given positions."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kilocast.llm.chat import op1_chat_format
 from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.mixing import op2_mixing
@@ -19,6 +20,7 @@ from kilocast.llm.warc import op5_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_mixing": op2_mixing,
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
@@ -32,4 +34,77 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": CHAT, "op5_warc": WARC, "op10_substring_dedup": REPEATED}
+
+
+CHAT = """
+WITH m AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN
+      CASE WHEN turn % 8 = 1 THEN turn + 2 WHEN turn % 8 <> 3 THEN turn - 2 END END AS other,
+    CASE WHEN role = 'assistant' THEN
+      CASE WHEN turn % 5 = 4 THEN 'browse' WHEN turn % 3 = 0 THEN 'compute' ELSE 'search' END END AS tool,
+    CASE WHEN role = 'assistant' THEN 'c' || conv_id || '-' || turn END AS call_id
+  FROM conversations),
+l AS (
+  SELECT m.*, o.turn IS NOT NULL AS other_found, a.text AS answer,
+    CASE WHEN m.role = 'assistant' AND m.turn % 8 = 1 AND o.turn IS NOT NULL THEN 1
+         WHEN m.role = 'user' AND p.turn % 8 = 1 AND po.turn IS NOT NULL THEN 1 ELSE 0 END AS level
+  FROM m
+  LEFT JOIN m o ON o.conv_id = m.conv_id AND o.turn = m.other AND o.role = 'assistant'
+  LEFT JOIN m a ON a.conv_id = m.conv_id AND a.turn = m.turn + 1 AND a.role = 'user' AND m.role = 'assistant'
+  LEFT JOIN m p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1 AND p.role = 'assistant'
+  LEFT JOIN m po ON po.conv_id = p.conv_id AND po.turn = p.turn + 2 AND po.role = 'assistant'),
+e AS (
+  SELECT *, CASE WHEN tool IS NOT NULL THEN array_to_string(list_filter([
+      CASE WHEN tool = 'compute' THEN 'missing precise' END,
+      CASE WHEN tool = 'compute' AND other IS NOT NULL THEN 'unknown after' END,
+      CASE WHEN other >= 0 AND NOT other_found THEN 'unknown reference c' || conv_id || '-' || other END,
+      CASE WHEN tool = 'browse' THEN 'unknown tool' END], lambda x: x IS NOT NULL), '; ') END AS errors
+  FROM l)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn) - 1 AS step, turn, role, call_id, tool,
+  tool IS NOT NULL AND answer IS NOT NULL AS linked, errors,
+  '{' || CASE WHEN tool IS NOT NULL THEN '"call":{"arguments":{'
+      || CASE WHEN other IS NOT NULL THEN '"after":"c' || conv_id || '-' || other || '",' ELSE '' END
+      || '"limit":' || len(string_split(text, ' ')) || ',"query":'
+      || CAST(to_json(array_to_string(string_split(text, ' ')[1:4], ' ')) AS VARCHAR) || '},"id":"' || call_id || '","name":"' || tool || '"'
+      || CASE WHEN answer IS NOT NULL THEN ',"result":' || CAST(to_json(answer) AS VARCHAR) ELSE '' END
+      || ',"valid":' || CASE WHEN errors = '' THEN 'true' ELSE 'false' END || '},' ELSE '' END
+    || '"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}' AS json
+FROM e
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest FROM p),
+b AS (
+  SELECT *, max(page_id) OVER (PARTITION BY digest) AS last, CAST(CAST(unhex(digest) AS BIT) AS VARCHAR) AS bits FROM d)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * CAST(bits[5 * i + 1] AS INTEGER) + 8 * CAST(bits[5 * i + 2] AS INTEGER) + 4 * CAST(bits[5 * i + 3] AS INTEGER)
+    + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
+
+REPEATED = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+v AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM w),
+k AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS seq FROM v),
+f AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY seq) AS first FROM k),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM f WHERE first < doc_id),
+g AS (
+  SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id),
+t AS (
+  SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(words) AS n_words, len(gone) AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM t
+"""

@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from kilocast.llm.common import Words, blocks, bytes_of, mix, read
 
 MINIMISER = 3
+#: Buckets for each shuffle partition: a bucket is sorted in memory, so it is a small part of a partition.
+SPREAD = 12
 _DOC, _WORD = "<i8", "<i4"
 
 
@@ -181,7 +183,7 @@ def count_bucket(rows: list[tuple[bytes, bytes]], width: int) -> tuple[np.ndarra
 def repeated(documents: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, first, length: runs of positions at which a window starts that an earlier document has."""
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * partitions
+    buckets = SPREAD * partitions
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         docs, firsts, lengths = [], [], []
