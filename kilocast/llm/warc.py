@@ -177,7 +177,7 @@ def read_bundles(index: DataFrame, with_body: bool = False) -> DataFrame:
                     )
 
     count = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bundles = index.select("bundle").distinct().repartition(count, "bundle")
+    bundles = index.select("bundle").distinct().repartition(count)
     return bundles.mapInArrow(run, schema + (", body binary" if with_body else ""))
 
 
