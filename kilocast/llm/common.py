@@ -6,12 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilocast.plans.storage import fresh_path
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 MASK = (1 << 64) - 1
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -112,7 +113,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BL
     total = 0
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = np.array([len(x) if x is not None else 0 for x in column.to_pylist()], np.int64)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < len(lengths):
             fits = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size - total, side="right")))

@@ -94,9 +94,9 @@ def count(documents: DataFrame, order: int = ORDER) -> DataFrame:
             held[WORD] += [(hashes, n), (np.array([END_WORD]).view(np.uint64), np.array([len(texts)]))]
             held[GRAM].append(np.unique(grams_of(texts, order)[0], return_counts=True))
             for kind, parts in held.items():
-                if len(parts) > 8:
+                if len(parts) > 6:
                     held[kind] = [_merge(parts)]
-                    if len(held[kind][0][0]) > 2_000_000:
+                    if len(held[kind][0][0]) > 1_000_000:
                         yield rows(kind, held[kind])
                         held[kind] = []
         for kind, parts in held.items():

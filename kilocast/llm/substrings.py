@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from kilocast.llm.common import Words, blocks, bytes_of, mix, read
 
 MINIMISER = 3
+#: Bytes of text that are cut and reduced at once.
+BLOCK = 4 << 20
 #: Buckets for each shuffle partition: a bucket is sorted in memory, so it is a small part of a partition.
 SPREAD = 12
 _DOC, _WORD = "<i8", "<i4"
@@ -93,7 +95,7 @@ def scatter(documents: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_, turn = zstandard.ZstdCompressor(level=1), 0
         schema = pa.schema([("bucket", pa.int32()), ("texts", pa.binary()), ("heads", pa.binary()), ("marks", pa.binary())])
-        for table in blocks(batches):
+        for table in blocks(batches, size=BLOCK):
             ids = np.array(table.column("doc_id").to_pylist(), np.int64)
             order = np.argsort(ids, kind="stable")
             texts = table.column("text").to_pylist()
