@@ -57,7 +57,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, settled: bool = False) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
-        self._settle = (lambda df: pin(df).table) if settled else (lambda df: df)
+        self._settle = pin if settled else (lambda df: df)
         self._given: dict[str, DataFrame] = {}
 
     @property
@@ -216,7 +216,7 @@ class Inputs:
         part = F.when(F.col("parity") == 0, "Road").otherwise("Other")
         base = self._customer_groups.select(
             "geography", sector.alias("sector"), part.alias("subsector"), "n", "balance"
-        ).filter(~((F.col("geography") == "ASIA") & (F.col("sector") == "Commercial")))
+        )
         form = (
             F.when(F.col("sector") == "Residential", "lin")
             .when(
@@ -296,9 +296,15 @@ class Inputs:
                 (F.sum("l_quantity") / n).alias("BAIT"),
                 (F.round(F.sum("l_discount"), 2) * 100 / n).alias("Temperature"),
                 (F.round(F.sum("l_tax"), 2) * 100 / n).alias("Humidity"),
+                n.cast("double").alias("Solar_Radiation"),
+                (F.sum("l_linenumber") / n).alias("Wind_Speed"),
+                F.min("l_quantity").alias("Dew_Point"),
             )
             .unpivot(
-                ["geography", "timestamp"], ["BAIT", "Temperature", "Humidity"], "metric", "value"
+                ["geography", "timestamp"],
+                ["BAIT", "Temperature", "Humidity", "Solar_Radiation", "Wind_Speed", "Dew_Point"],
+                "metric",
+                "value",
             )
         )
 

@@ -86,7 +86,6 @@ SELECT geography,
        CASE c_custkey % 2 WHEN 0 THEN 'Road' ELSE 'Other' END AS subsector,
        COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS balance
 FROM buyers
-WHERE geography <> 'ASIA' OR c_mktsegment <> 'BUILDING'
 GROUP BY 1, 2, 3"""
 
 RELATIONS["intensity"] = """
@@ -126,14 +125,19 @@ RELATIONS["shipped"] = """
 SELECT geography, date_trunc('day', l_shipdate) AS "timestamp",
        SUM(l_quantity) / COUNT(*) AS bait,
        ROUND(SUM(l_discount), 2) * 100 / COUNT(*) AS temperature,
-       ROUND(SUM(l_tax), 2) * 100 / COUNT(*) AS humidity
+       ROUND(SUM(l_tax), 2) * 100 / COUNT(*) AS humidity,
+       CAST(COUNT(*) AS DOUBLE) AS solar, SUM(l_linenumber) / COUNT(*) AS wind,
+       MIN(l_quantity) AS dew
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN places ON s_nationkey = n_nationkey
 GROUP BY 1, 2"""
 
 RELATIONS["weather_in"] = """
 SELECT geography, "timestamp", 'BAIT' AS metric, bait AS value FROM shipped
 UNION ALL SELECT geography, "timestamp", 'Temperature', temperature FROM shipped
-UNION ALL SELECT geography, "timestamp", 'Humidity', humidity FROM shipped"""
+UNION ALL SELECT geography, "timestamp", 'Humidity', humidity FROM shipped
+UNION ALL SELECT geography, "timestamp", 'Solar_Radiation', solar FROM shipped
+UNION ALL SELECT geography, "timestamp", 'Wind_Speed', wind FROM shipped
+UNION ALL SELECT geography, "timestamp", 'Dew_Point', dew FROM shipped"""
 
 # Annual energy
 
@@ -216,8 +220,9 @@ FROM ev_energy GROUP BY geography, model_year"""
 RELATIONS["daily"] = """
 SELECT geography, "timestamp",
        MAX(value) FILTER (metric = 'Temperature') AS temperature,
-       CAST(NULL AS DOUBLE) AS solar_radiation, CAST(NULL AS DOUBLE) AS wind_speed,
-       CAST(NULL AS DOUBLE) AS dew_point,
+       MAX(value) FILTER (metric = 'Solar_Radiation') AS solar_radiation,
+       MAX(value) FILTER (metric = 'Wind_Speed') AS wind_speed,
+       MAX(value) FILTER (metric = 'Dew_Point') AS dew_point,
        MAX(value) FILTER (metric = 'Humidity') AS humidity,
        MAX(value) FILTER (metric = 'BAIT') AS bait,
        CAST(year("timestamp") AS BIGINT) AS weather_year,

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from contract.adapters import CONFIG, YEARS, Inputs
 from contract.oracles import compose
-from kilocast import Project, TableOverride
+from kilocast import Project, ProjectionClient, TableOverride
+from kilocast.errors import InvalidParameter
 from kilocast.functions.calendar import QUERY_WEEKEND, day_kind, day_of_year, season
 from kilocast.operators import checks, mapping, shapes, weather
 from kilocast.operators.intensity import NON_RESIDENTIAL, RESIDENTIAL
 from kilocast.operators.projection import annual_mwh, replace_road_energy, scaling_factors
+from kilocast.plans.project import MAPPING, schema_differences
 from kilocast.plans.storage import fresh_path
 from kilocast.queries import annual, duration, listing, seasonal, secondary, series
 from kilocast.queries import weather as weather_queries
@@ -76,6 +78,16 @@ add("src_csv", lambda i: _through_file(i, ".csv"), _GDP_SQL)
 add("src_parquet", lambda i: _through_file(i, ".parquet"), _GDP_SQL)
 
 
+def _through_partitions(i: Inputs) -> DataFrame:
+    path = fresh_path(i.spark)
+    i.gdp.write.partitionBy("model_year").parquet(path)
+    back = read_table(i.spark, path).withColumn("model_year", F.col("model_year").cast("long"))
+    return _cut(back.select("geography", "model_year", "value"), "value")
+
+
+add("src_parquet_partitioned", _through_partitions, _GDP_SQL)
+
+
 def _export(i: Inputs) -> DataFrame:
     path = fresh_path(i.spark, ".parquet")
     i.project.export_calculated_table("baseline", "temperature_multipliers", path)
@@ -102,18 +114,63 @@ add(
 )
 add(
     "show_data_table",
-    # Fifteen rows at every scale, so the limit shows all of them.
-    lambda i: _cut(i.project.show_data_table("alternate_gdp", "gdp", 20), "value"),
-    f"SELECT geography, model_year, {named('value')} FROM gdp_alt",
+    # The limit is the feature: which rows are shown is open, so their number is compared.
+    lambda i: i.project.show_data_table("alternate_gdp", "load_shapes", 20)
+    .groupBy()
+    .agg(F.count("*").alias("n")),
+    "SELECT LEAST(COUNT(*), 20) AS n FROM load_shapes",
 )
 
 
 def _written(i: Inputs) -> DataFrame:
     project = i.settled.project
-    project.compute_energy_projection(["baseline", "ev_projection"])
+    project.compute_energy_projection()
     return _cut(project.get_energy_projection("ev_projection"), "value", digits=6)
 
 
+def _written_all(i: Inputs) -> DataFrame:
+    return _cut(i.settled.project.compute_energy_projection(), "value", digits=6)
+
+
+_PROJECTION_SQL = (
+    'SELECT scenario, "timestamp", model_year, sector, geography, metric, '
+    f"{named('value', 6)} FROM projections"
+)
+add("projection_all", _written_all, _PROJECTION_SQL)
+
+
+def _years_left(i: Inputs) -> DataFrame:
+    """A scenario computed again without its last year: nothing of that year may stay."""
+    project = i.settled.project
+    project.compute_energy_projection()
+    name = "energy_intensity_res_hdi_population_applied_regression"
+    for table in (name, "energy_intensity_com_ind_tra_gdp_applied_regression"):
+        kept = project.calculated_table("baseline", table).filter("model_year < 2035")
+        project._put("baseline", table, kept)
+    return _consumption(project.compute_energy_projection(["baseline"]))
+
+
+def _query_after_override(i: Inputs) -> DataFrame:
+    """One client through computation and override."""
+    project = i.settled.project
+    project.compute_energy_projection()
+    client = ProjectionClient(project)
+    client.get_annual_electricity_consumption()
+    _triple(project)
+    return _cut(client.get_annual_electricity_consumption(group_by="Sector"), "value")
+
+
+def _query_after_removal(i: Inputs) -> DataFrame:
+    project = i.settled.project
+    project.compute_energy_projection()
+    client = ProjectionClient(project)
+    _triple(project)
+    client.get_annual_electricity_consumption()
+    name = "energy_intensity_res_hdi_population_applied_regression_override"
+    project.remove_calculated_table_overrides([TableOverride("baseline", name)])
+    return _cut(client.get_annual_electricity_consumption(group_by="Sector"), "value")
+
+
 add(
     "get_projection",
     _written,
@@ -168,12 +225,16 @@ _CONSUMPTION_SQL = (
 )
 
 
-def _tripled(i: Inputs) -> tuple[Project, DataFrame]:
-    project = i.settled.project
+def _triple(project: Project) -> DataFrame:
     name = "energy_intensity_res_hdi_population_applied_regression"
     table = project.calculated_table("baseline", name)
     project.override_with("baseline", name, table.withColumn("value", F.col("value") * 3))
-    return project, table
+    return table
+
+
+def _tripled(i: Inputs) -> tuple[Project, DataFrame]:
+    project = i.settled.project
+    return project, _triple(project)
 
 
 def _override_file(i: Inputs) -> DataFrame:
@@ -198,6 +259,10 @@ _TRIPLED = (
     "(SELECT 'baseline' AS scenario, * REPLACE "
     "(CASE sector WHEN 'Residential' THEN 3 ELSE 1 END * value AS value) FROM projection)"
 )
+_TRIPLED_ALL = (
+    "(SELECT * REPLACE (CASE WHEN scenario = 'baseline' AND sector = 'Residential' "
+    "THEN 3 ELSE 1 END * value AS value) FROM projections)"
+)
 _BASE_ONLY = "(SELECT 'baseline' AS scenario, * FROM projection)"
 add(
     "override_table",
@@ -208,12 +273,56 @@ add("override_apply", _override_file, _CONSUMPTION_SQL.format(_TRIPLED))
 add("override_remove", _override_removed, _CONSUMPTION_SQL.format(_BASE_ONLY))
 add(
     "override_one_scenario",
-    lambda i: _consumption(_tripled(i)[0].prepared_projection(["baseline", "ev_projection"])),
+    lambda i: _consumption(_tripled(i)[0].prepared_projection()),
+    _CONSUMPTION_SQL.format(_TRIPLED_ALL),
+)
+add("override_then_query", _query_after_override, _CONSUMPTION_SQL.format(_TRIPLED_ALL))
+add("override_removed_query", _query_after_removal, _CONSUMPTION_SQL.format("projections"))
+add(
+    "recompute_fewer_years",
+    _years_left,
     _CONSUMPTION_SQL.format(
-        "(SELECT * REPLACE (CASE WHEN scenario = 'baseline' AND sector = 'Residential' "
-        "THEN 3 ELSE 1 END * value AS value) FROM projections WHERE scenario <> 'alternate_gdp')"
+        "(SELECT * FROM projections WHERE scenario <> 'baseline' OR model_year < 2035)"
     ),
 )
+
+
+def _schema_problems(i: Inputs) -> DataFrame:
+    """Tables offered as an override of GDP, and what keeps each from it."""
+    gdp = i.project.calculated_table("baseline", "gdp_country")
+    offered = {
+        "same": gdp.select("value", "model_year", "geography"),
+        "narrow": gdp.withColumn("model_year", F.col("model_year").cast("int")),
+        "wide": gdp.withColumn("more", F.lit(1)),
+    }
+    rows = [(name, len(schema_differences(df.schema, gdp.schema))) for name, df in offered.items()]
+    found = i.spark.createDataFrame(rows, "name string, problems long")
+    return found.join(gdp.select("geography", "model_year"))
+
+
+add(
+    "schema_diff",
+    _schema_problems,
+    "SELECT * FROM (VALUES ('same', CAST(0 AS BIGINT)), ('narrow', 1), ('wide', 1)) t(name, problems), "
+    "(SELECT geography, model_year FROM gdp)",
+)
+
+
+def _guarded(i: Inputs) -> DataFrame:
+    """A project whose shapes are all gone must refuse, and leave no result."""
+    project = i.settled.project
+    shapes_given = project.data_table("baseline", "load_shapes")
+    project.catalog._data["baseline", "load_shapes"] = shapes_given.filter("month > 12")
+    try:
+        project.compute_energy_projection()
+    except InvalidParameter:
+        refused = project.result_path is None
+    else:
+        refused = False
+    return shapes_given.groupBy("geography").agg(F.lit(refused).alias("refused"))
+
+
+add("empty_guard", _guarded, "SELECT DISTINCT geography, TRUE AS refused FROM load_shapes")
 add(
     "all_scenarios",
     lambda i: _cut(i.settled.project.prepared_projection(), "value", digits=6),
@@ -258,6 +367,22 @@ _BALANCES = (
     "(SELECT n_name, geography AS region, c_mktsegment AS sector, "
     "SUM(round(c_acctbal * 100)) AS value FROM buyers GROUP BY ALL)"
 )
+
+
+def _mapping_file(i: Inputs) -> DataFrame:
+    """Nation to region, by padded keys, written as CSV and read as a project does."""
+    path = fresh_path(i.spark, ".csv")
+    nation = i.given("nation")
+    write_table(
+        nation.select(
+            F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("from_id"),
+            F.concat(F.lit("0"), F.col("n_regionkey").cast("string")).alias("to_id"),
+        ),
+        path,
+    )
+    return read_table(i.spark, path, MAPPING)
+
+
 add(
     "map_dim_agg",
     lambda i: mapping.map_dimension(
@@ -280,6 +405,23 @@ add(
     "SELECT concat('id-', n_nationkey) AS geography, sector, value "
     f"FROM {_BALANCES} b JOIN nation USING (n_name)",
 )
+add(
+    "map_dim_numeric_ids",
+    # Ids like 007 stay text on the way through a CSV file.
+    lambda i: mapping.map_dimension(
+        _balances(i).join(i.places.select("n_name", "n_nationkey"), F.col("n_name") == F.col("geography"))
+        .select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("geography"), "sector", "value"),
+        _mapping_file(i),
+        "geography",
+    ),
+    "SELECT concat('0', r_regionkey) AS geography, sector, SUM(value) AS value "
+    f"FROM {_BALANCES} JOIN region ON region = r_name GROUP BY ALL",
+)
+add(
+    "map_passthrough",
+    lambda i: _cut(i.project.data_table("baseline", "hdi"), "value"),
+    f"SELECT geography, model_year, {named('value')} FROM hdi",
+)
 add(
     "check_mapping",
     # Nations of indebted suppliers against all nations, regions of rich customers against all.
@@ -303,7 +445,35 @@ add(
     "(SELECT DISTINCT scenario, model_year, sector FROM month_projection) s, "
     "(SELECT unnest(generate_series(MIN(\"timestamp\"), MAX(\"timestamp\"), INTERVAL 1 HOUR)) "
     'AS "timestamp" FROM month_projection) t '
-    'EXCEPT SELECT scenario, model_year, sector, "timestamp" FROM month_projection)',
+    'EXCEPT SELECT scenario, model_year, sector, "timestamp" FROM month_projection) '
+    'UNION ALL SELECT \'duplicate\', scenario, model_year, sector, "timestamp" '
+    "FROM month_projection GROUP BY ALL HAVING COUNT(*) > 1",
+)
+_SERIES = ["scenario", "model_year", "sector", "metric"]
+add(
+    "check_time_duplicates",
+    # Every series once more from the fifteenth day on.
+    lambda i: checks.time_gaps(
+        i.month_projection.unionByName(i.month_projection.filter(F.dayofmonth("timestamp") >= 15)),
+        _SERIES,
+        1,
+    ).filter("issue = 'duplicate'"),
+    "SELECT 'duplicate' AS issue, scenario, model_year, sector, metric, \"timestamp\" "
+    "FROM month_projection WHERE day(\"timestamp\") >= 15",
+)
+add(
+    "check_time_bounds",
+    lambda i: checks.time_gaps(
+        i.month_projection, _SERIES, 1, "2024-01-02 00:00:00", "2024-01-20 23:00:00"
+    ),
+    "SELECT 'missing' AS issue, * FROM (SELECT s.*, t.\"timestamp\" FROM "
+    "(SELECT DISTINCT scenario, model_year, sector, metric FROM month_projection) s, "
+    "(SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-20 23:00:00', "
+    'INTERVAL 1 HOUR)) AS "timestamp") t '
+    'EXCEPT SELECT scenario, model_year, sector, metric, "timestamp" FROM month_projection) '
+    "UNION ALL SELECT 'misplaced', scenario, model_year, sector, metric, \"timestamp\" "
+    "FROM month_projection WHERE \"timestamp\" < TIMESTAMP '2024-01-02' "
+    "OR \"timestamp\" > TIMESTAMP '2024-01-20 23:00:00'",
 )
 _BANDS = [str(b) for b in range(-1, 10)]
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -998,6 +1168,22 @@ add(
     f"b JOIN (SELECT model_year, SUM(value) AS v FROM {_MONTH} WHERE scenario = 'high_growth' "
     "GROUP BY ALL) o USING (model_year)",
 )
+add(
+    "ts_hourly_null_hour",
+    # The first hour of the month is unknown in every row; its rows come first.
+    lambda i: series.comparison(
+        i.month_projection.withColumn(
+            "timestamp",
+            F.when(F.col("timestamp") >= F.lit("2024-01-01 01:00:00").cast("timestamp_ntz"), F.col("timestamp")),
+        ),
+        BASE,
+        "Sector",
+        series.HOURLY,
+    ),
+    "SELECT scenario, model_year AS year, sector, value, ROW_NUMBER() OVER (PARTITION BY model_year "
+    'ORDER BY CASE WHEN "timestamp" >= TIMESTAMP \'2024-01-01 01:00:00\' THEN "timestamp" END NULLS FIRST, '
+    f"sector, metric, value) AS time_period FROM {_MONTH} WHERE scenario = 'baseline'",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

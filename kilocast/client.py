@@ -29,7 +29,8 @@ class ProjectionClient:
         geography: str | None = None,
     ) -> None:
         self.project = project
-        self._projection = projection
+        self._given = projection
+        self._read: tuple[int, DataFrame] | None = None
         countries = project.config.countries
         if geography is None and countries is not None and len(countries) == 1:
             geography = countries[0]
@@ -39,16 +40,28 @@ class ProjectionClient:
 
     @property
     def projection(self) -> DataFrame:
-        if self._projection is None:
-            self._projection = self.project.get_energy_projection()
-        return self._projection
+        """The projection given, or the project's stored one as it is now."""
+        if self._given is not None:
+            return self._given
+        version = self.project.result_version
+        if self._read is None or self._read[0] != version:
+            self._read = (version, self.project.get_energy_projection())
+            self._years = self._scenarios = None
+        return self._read[1]
+
+    @property
+    def _keys(self) -> DataFrame:
+        """A table that has the years and scenarios; the stored keys where there are any."""
+        projection = self.projection
+        return projection if self._given is not None else self.project.get_projection_keys()
 
     # What is there
 
     @property
     def years(self) -> list[int]:
+        keys = self._keys
         if self._years is None:
-            rows = listing.unique_values(self.projection, "model_year", self.geography).collect()
+            rows = listing.unique_values(keys, "model_year", self.geography).collect()
             self._years = [r[0] for r in rows]
             if self._years and not isinstance(self._years[0], int):
                 raise TypeError("model_year must be an integer column")
@@ -56,15 +69,16 @@ class ProjectionClient:
 
     @property
     def scenarios(self) -> list[str]:
+        keys = self._keys
         if self._scenarios is None:
             rows = listing.scenarios_in_order(
-                self.projection, self.project.list_scenario_names(), self.geography
+                keys, self.project.list_scenario_names(), self.geography
             ).collect()
             self._scenarios = [r["scenario"] for r in rows]
         return self._scenarios
 
     def refresh_metadata(self) -> None:
-        self._years = self._scenarios = None
+        self._years = self._scenarios = self._read = None
 
     def get_years(self) -> list[int]:
         return self.years
@@ -82,10 +96,10 @@ class ProjectionClient:
     def _scope(self, scenarios: Sequence[str], years: Sequence[int]) -> Scope:
         bad = [s for s in scenarios if s not in self.scenarios]
         if bad:
-            raise ValueError(f"Invalid scenarios: {bad}. Valid scenarios are: {self.scenarios}")
+            raise ValueError(f"no projection of scenarios {bad}; there are {self.scenarios}")
         bad_years = [y for y in years if y not in self.years]
         if bad_years:
-            raise ValueError(f"Invalid years: {bad_years}. Valid years are: {self.years}")
+            raise ValueError(f"no projection of years {bad_years}; there are {self.years}")
         return Scope(self.geography, list(scenarios), list(years), self.scenarios)
 
     def _or_all(
@@ -124,6 +138,8 @@ class ProjectionClient:
         self._scope([scenario], [year])
         scope = Scope(self.geography, [scenario], None, self.scenarios)
         row = annual.summary(self.projection, scope).filter(f"year = {int(year)}").first()
+        if row is None:
+            raise ValueError(f"scenario {scenario!r} has no projection of {year}")
         return {
             "TOTAL_CONSUMPTION": row["total_consumption"],
             "PERCENT_GROWTH": row["percent_growth"],
@@ -147,7 +163,7 @@ class ProjectionClient:
         wanted_years = self.years[:1] if years is None else _as_list(years)
         wanted = self.scenarios if scenarios is None else list(scenarios)
         if len(wanted_years) > 1 and len(wanted) > 1:
-            raise ValueError("Cannot specify multiple years and multiple scenarios simultaneously.")
+            raise ValueError("choose several years or several scenarios, not both")
         scope = self._scope(wanted, wanted_years)
         if len(wanted_years) > 1:
             return duration.load_duration(self.projection, scope, "year", wanted_years)
@@ -160,9 +176,13 @@ class ProjectionClient:
         years: int | Sequence[int],
         group_by: str | None = None,
         resample: str = series.DAILY_MEAN,
+        hour_of_year: bool = False,
+        totals_first: bool = False,
     ) -> DataFrame:
         scope = self._scope([scenario], _as_list(years))
-        return series.comparison(self.projection, scope, group_by, resample)
+        return series.comparison(
+            self.projection, scope, group_by, resample, hour_of_year, totals_first
+        )
 
     def get_seasonal_load_lines(
         self,

@@ -41,6 +41,8 @@ class TableOverride:
 
 @dataclass(frozen=True)
 class ModelParameters:
+    """The defaults are what users expect without a setting."""
+
     heating_threshold: float = 18.0
     cooling_threshold: float = 18.0
     enable_shoulder_month_smoothing: bool = True
@@ -49,7 +51,10 @@ class ModelParameters:
 
 @dataclass(frozen=True)
 class ProjectConfig:
-    """What to project. ``countries`` of None means every geography in the tables."""
+    """What to project. ``countries`` of None means every geography in the tables.
+
+    ``calculated_table_overrides`` are applied when a project is made from files.
+    """
 
     project_id: str
     start_year: int
@@ -59,6 +64,7 @@ class ProjectConfig:
     countries: tuple[str, ...] | None = None
     model_parameters: ModelParameters = ModelParameters()
     scenarios: tuple[Scenario, ...] = (Scenario(BASELINE),)
+    calculated_table_overrides: tuple[TableOverride, ...] = ()
 
     def __post_init__(self) -> None:
         if not self.scenarios:

@@ -32,27 +32,31 @@ def time_gaps(
     start: str | None = None,
     end: str | None = None,
 ) -> DataFrame:
-    """Missing and misplaced timestamps of each series.
+    """Missing, misplaced and repeated timestamps of each series.
 
     All series must run from ``start`` to ``end`` (by default the earliest and
-    latest timestamp of any series) in steps of ``step_hours``. The wanted steps
-    and the timestamps found meet in one aggregation, with partial sums before
-    the shuffle; what has only one of the two is an issue.
+    latest timestamp of any series) in steps of ``step_hours``. One aggregation
+    counts the rows of each timestamp; bounds, spans and issues come from it.
     """
     columns = [*series, "timestamp"]
+    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
     ts = F.col("timestamp")
-    spans = df.groupBy(*series).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    spans = counts.groupBy(*series).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     origin = F.lit(start).cast("timestamp_ntz") if start else spans.agg(F.min("_first")).scalar()
     final = F.lit(end).cast("timestamp_ntz") if end else spans.agg(F.max("_last")).scalar()
     step = F.expr(f"INTERVAL '{int(step_hours)}' HOUR")
     wanted = spans.select(*series, F.explode(F.sequence(origin, final, step)).alias("timestamp"))
-    both = df.select(*columns, F.lit(1).alias("_found"), F.lit(0).alias("_wanted")).unionByName(
-        wanted.select(*columns, F.lit(0).alias("_found"), F.lit(1).alias("_wanted"))
+    both = counts.select(*columns, "_rows", F.lit(0).alias("_wanted")).unionByName(
+        wanted.select(*columns, F.lit(0).cast("long").alias("_rows"), F.lit(1).alias("_wanted"))
     )
     met = both.groupBy(*columns).agg(
-        F.max("_found").alias("_found"), F.max("_wanted").alias("_wanted")
+        F.max("_rows").alias("_rows"), F.max("_wanted").alias("_wanted")
+    )
+    issue = (
+        F.when(F.col("_rows") == 0, "missing")
+        .when(F.col("_wanted") == 0, "misplaced")
+        .when(F.col("_rows") > 1, "duplicate")
     )
-    issue = F.when(F.col("_found") == 0, "missing").when(F.col("_wanted") == 0, "misplaced")
     return met.select(issue.alias("issue"), *columns).filter(F.col("issue").isNotNull())
 
 
@@ -77,7 +81,12 @@ def association_gaps(
     missing = expected.join(present, dims, "left_anti")
     if allowed is not None:
         missing = missing.join(allowed.select(*dims), dims, "left_anti")
-    orphan = present.join(expected, dims, "left_anti")
+    # An orphan has an id that its dimension does not list: no product is needed for it.
+    known = records.select(first).distinct().withColumn("_known", F.lit(True))
+    listed = F.col("_known").isNotNull()
+    for name, ids in others.items():
+        listed = listed & F.coalesce(F.col(name).isin(list(ids)), F.lit(False))
+    orphan = present.join(known, first, "left").filter(~listed).select(*dims)
     return missing.select(F.lit("missing").alias("issue"), *dims).unionByName(
         orphan.select(F.lit("orphan").alias("issue"), *dims)
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilocast.operators.shapes import SECTOR_KEYS, adjust, expand
+from kilocast.operators.shapes import SECTOR_KEYS, adjust, expand, hour_slot
 from kilocast.schemas import PROJECTION
 
 # Fixed value: MWh in one TJ, to the digits that results are compared with.
@@ -53,15 +53,22 @@ def _scaled_value() -> Column:
 
 
 def project_shapes(
-    shapes: DataFrame, multipliers: DataFrame, factors: DataFrame, spread: int = 1
+    shapes: DataFrame, multipliers: DataFrame, factors: DataFrame, files: int | None = None
 ) -> DataFrame:
     """Hourly projection from representative shapes.
 
     Factors join the representative rows; expansion comes last, so no expanded
     row is ever shuffled. Sectors without annual energy drop out of the join.
+
+    With ``files`` the representative rows are dealt by model year and that
+    many parts of (geography, hour slot) first, so that hours which are written
+    leave in as many files for each year, each with few geographies.
     """
     scaled = shapes.join(factors, SECTOR_KEYS)
-    return _result(adjust(expand(scaled, multipliers, spread)))
+    if files is not None:
+        part = F.pmod(F.xxhash64("geography", hour_slot()), F.lit(files))
+        scaled = scaled.repartition("model_year", part)
+    return _result(adjust(expand(scaled, multipliers)))
 
 
 def project_expanded(adjusted: DataFrame, factors: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ TEMPERATURE_END_USES = ("heating", "cooling")
 DAY_KEYS = ["geography", "month", "day_type"]
 SECTOR_KEYS = ["geography", "model_year", "sector"]
 _KINDS = (*TEMPERATURE_END_USES, "other")
+# Join keys per day group of a geography.
+SPREAD = 8
 
 
 def base_shapes(
@@ -70,14 +72,18 @@ def _by_kind(template: str) -> Column:
     return chain.otherwise(F.col(template.format(_KINDS[2])))
 
 
-def expand(shapes: DataFrame, multipliers: DataFrame, spread: int = 1) -> DataFrame:
+def hour_slot(spread: int = SPREAD) -> Column:
+    """The part of a day's hours that an hour belongs to."""
+    return F.coalesce(F.pmod(F.col("hour"), F.lit(spread)).cast("int"), F.lit(0))
+
+
+def expand(shapes: DataFrame, multipliers: DataFrame, spread: int = SPREAD) -> DataFrame:
     """Repeat each representative hour on every matching day of the weather year.
 
-    The shapes carry any further columns through. Above one, ``spread`` splits
-    each (geography, month, day type) into that many join keys by hour, and
-    repeats the multipliers (at most a month of days per key) as often: use it
-    where the multipliers are too large to broadcast and one geography holds
-    much of the shapes.
+    The shapes carry any further columns through. The join keys hold a slot of
+    hours, ``spread`` of them for each (geography, month, day type), so that one
+    large geography is not expanded by 24 tasks; the multipliers, at most a
+    month of days per key, are repeated for every slot.
     """
     days = multipliers.select(
         *DAY_KEYS,
@@ -86,13 +92,9 @@ def expand(shapes: DataFrame, multipliers: DataFrame, spread: int = 1) -> DataFr
         "weather_year",
         *[f"{kind}_multiplier" for kind in _KINDS],
     )
-    keys = list(DAY_KEYS)
-    tagged = tag_multiplier(shapes)
-    if spread > 1:
-        slot = F.pmod(F.col("hour"), F.lit(spread)).cast("int")
-        tagged = tagged.withColumn("_slot", F.coalesce(slot, F.lit(0)))
-        days = days.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-        keys.append("_slot")
+    tagged = tag_multiplier(shapes).withColumn("_slot", hour_slot(spread))
+    days = days.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    keys = [*DAY_KEYS, "_slot"]
     carried = [c for c in shapes.columns if c not in ("month", "hour", "is_weekday", "day_type")]
     return tagged.join(days, keys).select(
         *[c for c in carried if c != "load_shape_value"],

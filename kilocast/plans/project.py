@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kilocast.config import BASELINE, ProjectConfig, TableOverride
 from kilocast.errors import InvalidOperation, InvalidParameter
 from kilocast.functions.calendar import year_of
 from kilocast.operators import weather
+from kilocast.operators.checks import association_gaps, time_gaps
 from kilocast.operators.drivers import in_countries, in_years
-from kilocast.operators.mapping import MANY_TO_ONE, map_dimension
+from kilocast.operators.mapping import MANY_TO_ONE, map_dimension, mapping_problems
 from kilocast.operators.projection import RESULT_COLUMNS
 from kilocast.plans.models import MODELS
-from kilocast.plans.storage import Pinned, fresh_path, pin
+from kilocast.plans.storage import fresh_path, pin, remove, replace_folder, subfolders
 from kilocast.plans.tables import (
     Catalog,
-    group_factors,
     group_projection,
     share_expansion,
-    stands_alone,
 )
 from kilocast.queries import listing
 from kilocast.schemas import DATA_TABLES, PROJECTION
 from kilocast.sources.files import cast_years, read_table, write_table
 
 OVERRIDE_SUFFIX = "_override"
-MAX_OPEN_WRITERS = "32"
+KEYS = ("geography", "scenario", "model_year")
+MAPPING = StructType([StructField("from_id", StringType()), StructField("to_id", StringType())])
+# Files of the stored projection for each scenario and model year.
+FILES_PER_YEAR = 16
 
 
 class Project:
@@ -51,8 +54,11 @@ class Project:
         self.catalog = Catalog(config, data, scenario_data, strict)
         self.result_path = result_path
         self._overrides: list[TableOverride] = []
-        # Multipliers as planned or as stored, and where they are stored.
-        self._pinned: list[tuple[DataFrame, Pinned]] = []
+        #: Grows with every computation, so that clients know when to read again.
+        self.result_version = 0
+        # Multipliers as planned or as stored, and as stored.
+        self._pinned: list[tuple[DataFrame, DataFrame]] = []
+        self._stored_paths: list[str] = []
 
     @classmethod
     def from_files(
@@ -63,18 +69,27 @@ class Project:
         mappings: Mapping[str, Sequence[tuple[str, str, str]]] | None = None,
         result_path: str | None = None,
         strict: bool = False,
+        check_time: bool = True,
+        associations: Mapping[str, Mapping[str, Sequence[str]]] | None = None,
     ) -> Project:
-        """Read the baseline's data tables and those that scenarios replace.
+        """Read the baseline's data tables and those that scenarios replace, and check them.
 
         ``mappings`` lists, for a table, (dimension, mapping file, mapping type)
         to apply on reading; tables without an entry are taken as they are.
+        Every table must have the columns and types of its kind. Mappings are
+        checked, and so is the weather's time unless ``check_time`` is off;
+        ``associations`` lists, for a table, the ids of dimensions of which
+        every combination must be there. The configuration's countries may be
+        written in any case, and its overrides are applied.
         """
         mappings = mappings or {}
 
         def load(name: str, path: str) -> DataFrame:
-            df = cast_years(read_table(spark, path, DATA_TABLES[name]))
+            df = fit(cast_years(read_table(spark, path, DATA_TABLES[name])), DATA_TABLES[name], name)
             for dimension, mapping_path, kind in mappings.get(name, ()):
-                mapping = read_table(spark, mapping_path)
+                mapping = read_table(spark, mapping_path, MAPPING)
+                problems = mapping_problems(df, mapping, dimension, kind or MANY_TO_ONE)
+                refuse(problems, f"the mapping of {dimension} of {name}")
                 df = map_dimension(df, mapping, dimension, kind or MANY_TO_ONE)
             return df
 
@@ -84,7 +99,33 @@ class Project:
             for s in config.scenarios
             for name, path in s.tables.items()
         }
-        return cls(spark, config, data, own, result_path, strict)
+        project = cls(spark, config, data, own, result_path, strict)
+        if config.countries is not None:
+            spelt = [project.validate_country(c) for c in config.countries]
+            project.config = project.catalog.config = config.with_countries(*spelt)
+        if check_time:
+            project.check_time()
+        for name, others in (associations or {}).items():
+            table = project.data_table(BASELINE, name)
+            places = project.data_table(BASELINE, "gdp").select("geography").distinct()
+            refuse(association_gaps(table, places, others), f"the combinations in {name}")
+        project.override_calculated_tables(config.calculated_table_overrides)
+        return project
+
+    def check_time(self) -> None:
+        """Every variable of the weather must have each day of the weather year once."""
+        year = self.config.weather_year
+        for scenario in self.list_scenario_names():
+            if scenario != BASELINE and not self.catalog.replaces(scenario, "weather_bait"):
+                continue
+            days = in_countries(self.data_table(scenario, "weather_bait"), self.config.countries)
+            days = days.filter(year_of(F.col("timestamp")) == year)
+            gaps = time_gaps(
+                days, ["geography", "metric"], 24, f"{year}-01-01 00:00:00", f"{year}-12-31 00:00:00"
+            )
+            refuse(gaps, f"the weather of {year} in {scenario!r}")
+            if days.isEmpty():
+                raise InvalidParameter(f"scenario {scenario!r} has no weather of {year}")
 
     # Names
 
@@ -121,12 +162,12 @@ class Project:
 
     def _check_scenario(self, scenario: str) -> None:
         if scenario not in self.list_scenario_names():
-            raise InvalidParameter(f"{scenario=} is not stored in the project's scenarios")
+            raise InvalidParameter(f"the project has no scenario {scenario!r}")
 
     def _check_table(self, scenario: str, table: str) -> None:
         self._check_scenario(scenario)
         if table not in MODELS:
-            raise InvalidParameter(f"{table=} is not a calculated table in {scenario=}")
+            raise InvalidParameter(f"scenario {scenario!r} calculates no table {table!r}")
 
     # Tables
 
@@ -168,29 +209,20 @@ class Project:
             DataFrame.unionByName, [group_projection(self.catalog, g) for g in groups]
         )
 
-    def prepared_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
-        """The same, with multipliers and scaling factors computed and stored first.
+    def prepared_projection(
+        self, scenarios: Sequence[str] | None = None, files: int | None = None
+    ) -> DataFrame:
+        """The same, with the multipliers computed and stored first.
 
-        Both are then broadcast while they are small, so the shapes are expanded
-        where they are read, without any shuffle. A scenario without rows is an
-        error.
+        ``files`` lays the rows out for writing, in so many files for each
+        scenario and year.
         """
         names = self._names(scenarios)
         self._pin_multipliers(names)
-        parts = []
-        for members in share_expansion(self.catalog, names):
-            factors = None
-            if stands_alone(self.catalog, members[0]):
-                empty = members if self.energy_projection(members).isEmpty() else []
-            else:
-                # Where a factor exists there are shapes and days for it, hence hours.
-                factors = pin(group_factors(self.catalog, members)).table
-                found = {row[0] for row in factors.select("scenario").distinct().collect()}
-                empty = [name for name in members if name not in found]
-            if empty:
-                raise InvalidParameter(f"scenarios {empty} produced no energy projection data")
-            parts.append(group_projection(self.catalog, members, factors))
-        return reduce(DataFrame.unionByName, parts)
+        groups = share_expansion(self.catalog, names)
+        return reduce(
+            DataFrame.unionByName, [group_projection(self.catalog, g, files) for g in groups]
+        )
 
     def _names(self, scenarios: Sequence[str] | None) -> list[str]:
         names = list(scenarios) if scenarios is not None else self.list_scenario_names()
@@ -205,11 +237,21 @@ class Project:
             if not self.catalog.scenario(name).replaced("temperature_multipliers")
         }
         for name, multipliers in planned.items():
-            pinned = next((new for old, new in self._pinned if old is multipliers), None)
-            if pinned is None:
-                pinned = pin(multipliers)
-                self._pinned += [(multipliers, pinned), (pinned.table, pinned)]
-            self.catalog.scenario(name).use_pinned_multipliers(pinned)
+            stored = next((new for old, new in self._pinned if old is multipliers), None)
+            if stored is None:
+                path = fresh_path(self.spark)
+                self._stored_paths.append(path)
+                stored = pin(multipliers, path)
+                self._pinned += [(multipliers, stored), (stored, stored)]
+            self.catalog.scenario(name).use_stored_multipliers(stored)
+
+    def close(self) -> None:
+        """Delete the intermediate tables; the result stays. Tables planned before are not to be read after."""
+        for path in self._stored_paths:
+            remove(self.spark, path)
+        self._stored_paths.clear()
+        self._pinned.clear()
+        self.catalog.forget_plans()
 
     def multiplier_statistics(self, scenario: str) -> DataFrame:
         """Range of each temperature multiplier of a scenario, in one row."""
@@ -217,17 +259,54 @@ class Project:
             self.calculated_table(scenario, "temperature_multipliers")
         )
 
-    def compute_energy_projection(self, scenarios: Sequence[str] | None = None) -> DataFrame:
+    def compute_energy_projection(
+        self, scenarios: Sequence[str] | None = None, files: int = FILES_PER_YEAR
+    ) -> DataFrame:
         """Compute and write the projection, partitioned by scenario and model year.
 
-        Naming scenarios recomputes those alone and replaces their partitions.
+        Naming scenarios recomputes those alone; a recomputed scenario is
+        replaced as a whole. The new files are written beside the old ones and
+        moved into place when they are complete, so that a failure leaves the
+        old result. A scenario without rows is an error. A small table of the
+        countries, scenarios and years is kept beside the result.
         """
-        projection = self.prepared_projection(scenarios)
-        if self.result_path is None:
-            self.result_path = fresh_path(self.spark)
-        write_projection(projection, self.result_path, scenarios is None)
+        names = self._names(scenarios)
+        path = self.result_path or fresh_path(self.spark)
+        new = f"{path}-new-{uuid.uuid4().hex}"
+        try:
+            write_projection(self.prepared_projection(scenarios, files), new)
+            written = set(subfolders(self.spark, new))
+            empty = [name for name in names if _scenario_folder(name) not in written]
+            if empty:
+                raise InvalidParameter(f"there is no hourly projection for scenarios {empty}")
+            keys = self.spark.read.schema(PROJECTION).parquet(new).select(*KEYS).distinct()
+            keys.write.partitionBy("scenario").parquet(f"{new}/_keys")
+            kept = {_scenario_folder(name) for name in self.list_scenario_names()}
+            for folder in [*map(_scenario_folder, names), *(set(subfolders(self.spark, path)) - kept - {"_keys"})]:
+                for inner in ("", "_keys/"):
+                    if folder in written:
+                        replace_folder(self.spark, f"{new}/{inner}{folder}", f"{path}/{inner}{folder}")
+                    elif scenarios is None:
+                        remove(self.spark, f"{path}/{inner}{folder}")
+        finally:
+            remove(self.spark, new)
+        self.result_path = path
+        self.result_version += 1
         return self.get_energy_projection()
 
+    def get_projection_keys(self) -> DataFrame:
+        """Countries, scenarios and model years of the written projection."""
+        if self.result_path is None:
+            raise InvalidOperation("the energy projection has not been computed yet")
+        kinds = StructType([PROJECTION[name] for name in KEYS])
+        return self.spark.read.schema(kinds).parquet(f"{self.result_path}/_keys")
+
+    def _recompute(self, scenarios: Iterable[str]) -> None:
+        """Bring the stored result, if there is one, up to date with changed scenarios."""
+        changed = list(dict.fromkeys(scenarios))
+        if self.result_path is not None and changed and subfolders(self.spark, self.result_path):
+            self.compute_energy_projection(changed)
+
     def get_energy_projection(self, scenario: str | None = None) -> DataFrame:
         """The written projection; one scenario reads its partitions only."""
         if self.result_path is None:
@@ -247,7 +326,10 @@ class Project:
         return found
 
     def override_calculated_tables(self, overrides: Iterable[TableOverride]) -> None:
-        """Replace calculated tables by files, in the named scenarios only."""
+        """Replace calculated tables by files, in the named scenarios only.
+
+        A stored projection of these scenarios is computed again.
+        """
         requests = list(overrides)
         for item in requests:
             if item.filename is None:
@@ -261,10 +343,15 @@ class Project:
             df = read_table(self.spark, item.filename, schema)
             loaded.append((item, conform(df, schema)))
         for item, df in loaded:
-            self.override_with(item.scenario, item.table_name, df)
+            self._put(item.scenario, item.table_name, df)
+        self._recompute(item.scenario for item, _ in loaded)
 
     def override_with(self, scenario: str, table: str, df: DataFrame) -> None:
-        """Replace a calculated table by a DataFrame of the same columns."""
+        """Replace a calculated table by a DataFrame of the same columns; recomputes as above."""
+        self._put(scenario, table, df)
+        self._recompute([scenario])
+
+    def _put(self, scenario: str, table: str, df: DataFrame) -> None:
         existing = self.calculated_table(scenario, table)
         self.catalog.put_override(scenario, table, conform(df, existing.schema))
         entry = TableOverride(scenario, table)
@@ -283,11 +370,12 @@ class Project:
             if entry not in self._overrides:
                 raise InvalidParameter(f"{base!r} is not overridden in {item.scenario!r}")
             if entry in entries:
-                raise InvalidOperation(f"{item.table_name!r} was provided multiple times")
+                raise InvalidOperation(f"{item.table_name!r} is named more than once")
             entries.append(entry)
         for entry in entries:
             self._overrides.remove(entry)
             self.catalog.drop_override(entry.scenario, entry.table_name)
+        self._recompute(entry.scenario for entry in entries)
 
     # Exports
 
@@ -307,8 +395,8 @@ def schema_differences(new: StructType, existing: StructType) -> list[str]:
         for schema in (new, existing)
     )
     if len(ours) != len(theirs):
-        return [f"columns {[c for c, _ in ours]} do not match {[c for c, _ in theirs]}"]
-    return [f"column {a} must match {b}" for a, b in zip(ours, theirs) if a != b]
+        return [f"there are columns {[c for c, _ in ours]}, wanted are {[c for c, _ in theirs]}"]
+    return [f"column {a} should be {b}" for a, b in zip(ours, theirs) if a != b]
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -319,26 +407,43 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*schema.fieldNames())
 
 
-def write_projection(projection: DataFrame, path: str, replace_all: bool = True) -> None:
-    """Write by scenario and model year without a shuffle or sort of the hourly rows.
+def fit(df: DataFrame, schema: StructType, name: str) -> DataFrame:
+    """An input in the columns and types of its kind; only lossless changes of number and time types are made."""
+    wider = {
+        "bigint": ("tinyint", "smallint", "int", "bigint"),
+        "double": ("float", "double", "tinyint", "smallint", "int", "bigint"),
+        "timestamp_ntz": ("timestamp_ntz", "timestamp"),
+    }
+    found = dict(df.dtypes)
+    for field in schema.fields:
+        wanted = field.dataType.simpleString()
+        if found.get(field.name) not in wider.get(wanted, (wanted,)):
+            raise InvalidParameter(
+                f"{name}: column {field.name} should be {wanted}, is {found.get(field.name, 'missing')}"
+            )
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
+def refuse(problems: DataFrame, what: str) -> None:
+    """Raise if a check has found anything, with the first few rows."""
+    rows = [tuple(r) for r in problems.take(5)]
+    if rows:
+        raise InvalidParameter(f"{what} cannot be used, for instance: {rows}")
+
 
-    Each task keeps a writer open per partition it meets, up to a bound on memory,
-    instead of sorting its rows by partition first. Unless ``replace_all``, partitions that the
-    projection does not touch stay.
+def _scenario_folder(name: str) -> str:
+    return f"scenario={name}"
+
+
+def write_projection(projection: DataFrame, path: str) -> None:
+    """Write by scenario and model year, rows of one country together.
+
+    The rows are sorted inside their tasks as the writer wants them, so that it
+    has one file open at a time whatever the number of scenarios and years.
     """
-    spark = projection.sparkSession
-    setting = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, MAX_OPEN_WRITERS)
-    try:
-        (
-            projection.write.mode("overwrite")
-            .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
-            .partitionBy("scenario", "model_year")
-            .parquet(path)
-        )
-    finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
+    (
+        projection.sortWithinPartitions("scenario", "model_year", "geography")
+        .write.mode("error")
+        .partitionBy("scenario", "model_year")
+        .parquet(path)
+    )

@@ -1,28 +1,27 @@
-"""Intermediate tables in the folder shared by all executors, and size-checked broadcasts."""
+"""Intermediate and result tables in the folder shared by all executors."""
 
 from __future__ import annotations
 
 import posixpath
 import tempfile
 import uuid
-from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A table of the library's small kinds takes about 100 bytes a row.
-MAX_BROADCAST_ROWS = 200_000
+from kilocast.errors import InvalidOperation
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local runs, tests) is a temporary one
-    made and set; on a cluster the setting must name shared storage.
+    A run inside one JVM (tests) may leave it unset and gets a temporary one;
+    on a cluster, whose executors do not share local folders, that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise InvalidOperation("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kilocast-"))
         folder = context.getCheckpointDir()
     return str(folder)
@@ -32,23 +31,41 @@ def fresh_path(spark: SparkSession, suffix: str = ".parquet") -> str:
     return posixpath.join(shared_folder(spark), f"table-{uuid.uuid4().hex}{suffix}")
 
 
-class Pinned(NamedTuple):
-    """A table read back from storage; marked for broadcast if ``small``."""
+def pin(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a table once and read it back.
 
-    table: DataFrame
-    small: bool
-
-
-def pin(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Pinned:
-    """Write a table once, read it back, and mark it for broadcast if it is small.
-
-    Cuts the lineage at a table that survives lost executors. The row count
-    comes from the written files, so a table that has outgrown ``max_rows`` is
-    joined by shuffle instead.
+    Cuts the lineage at a table that survives lost executors. Its files tell
+    Spark its size, from which it picks the joins.
     """
     spark = df.sparkSession
-    path = fresh_path(spark)
+    path = path or fresh_path(spark)
     df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    small = kept.count() <= max_rows
-    return Pinned(F.broadcast(kept) if small else kept, small)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found, system = _path(spark, path)
+    system.delete(found, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; empty if there is none."""
+    found, system = _path(spark, path)
+    if not system.exists(found):
+        return []
+    return [s.getPath().getName() for s in system.listStatus(found) if s.isDirectory()]
+
+
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    """Put a written folder in the place of another."""
+    source, system = _path(spark, new)
+    target, _ = _path(spark, old)
+    system.mkdirs(target.getParent())
+    system.delete(target, True)
+    if not system.rename(source, target):
+        raise InvalidOperation(f"cannot move {new} to {old}")

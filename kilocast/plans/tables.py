@@ -13,7 +13,6 @@ from kilocast.errors import InvalidParameter
 from kilocast.operators import projection, shapes
 from kilocast.operators.intensity import NON_RESIDENTIAL, RESIDENTIAL, pick_sectors
 from kilocast.plans.models import ANNUAL_NON_RESIDENTIAL, ANNUAL_RESIDENTIAL, MODELS
-from kilocast.plans.storage import Pinned
 
 # Where the strict mode is on, overrides of these are shown but not used by other tables.
 WEATHER_CHAIN = (
@@ -32,9 +31,6 @@ _OUTCOMES = (
     "energy_projection",
 )
 
-# Join keys per day group where the multipliers are too large to broadcast.
-SPREAD = 8
-
 _MODELLED = (*NON_RESIDENTIAL, *RESIDENTIAL)
 
 
@@ -81,6 +77,9 @@ class Catalog:
         del self.overrides[scenario, name]
         self._scenarios.clear()
 
+    def forget_plans(self) -> None:
+        self._scenarios.clear()
+
     def differs(self, scenario: str, name: str) -> bool:
         """Whether the table of this scenario can differ from the baseline's."""
         if (scenario, name) in self.overrides or (BASELINE, name) in self.overrides:
@@ -97,7 +96,6 @@ class ScenarioTables:
         self.catalog = catalog
         self.scenario = scenario
         self._built: dict[str, DataFrame] = {}
-        self.spread = 1
 
     @property
     def countries(self) -> Sequence[str] | None:
@@ -135,10 +133,8 @@ class ScenarioTables:
         """A table of the weather chain, for use by another calculated table."""
         return self.table(name) if self.replaced(name) else self._computed(name)
 
-    def use_pinned_multipliers(self, pinned: Pinned) -> None:
-        """Take the multipliers from storage; large ones are joined on split keys."""
-        self._built["temperature_multipliers"] = pinned.table
-        self.spread = 1 if pinned.small else SPREAD
+    def use_stored_multipliers(self, stored: DataFrame) -> None:
+        self._built["temperature_multipliers"] = stored
 
     def _computed(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -188,7 +184,7 @@ class ScenarioTables:
             return projection.project_expanded(hourly, factors)
         chosen = pick_sectors(self.base_shapes(), sectors)
         return projection.project_shapes(
-            chosen, self.weather("temperature_multipliers"), factors, self.spread
+            chosen, self.weather("temperature_multipliers"), factors
         )
 
 
@@ -261,16 +257,16 @@ def group_factors(catalog: Catalog, members: Sequence[str]) -> DataFrame:
 
 
 def group_projection(
-    catalog: Catalog, members: Sequence[str], factors: DataFrame | None = None
+    catalog: Catalog, members: Sequence[str], files: int | None = None
 ) -> DataFrame:
-    """Hourly projection of such scenarios in one expansion."""
+    """Hourly projection of such scenarios in one expansion; ``files`` as in ``project_shapes``."""
     if stands_alone(catalog, members[0]):
         return catalog.scenario(members[0]).table("energy_projection")
     tables = catalog.scenario(members[0])
     hourly = projection.project_shapes(
         pick_sectors(tables.base_shapes(), _MODELLED),
         tables.weather("temperature_multipliers"),
-        group_factors(catalog, members) if factors is None else factors,
-        tables.spread,
+        group_factors(catalog, members),
+        files,
     )
     return hourly.select(*projection.RESULT_COLUMNS)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilocast.functions.calendar import minute_number
-from kilocast.plans.storage import pin
 from kilocast.queries.scope import Scope, breakdown_column
 
 
@@ -35,9 +34,8 @@ def peak_breakdown(projection: DataFrame, scope: Scope, group_by: str) -> DataFr
     """The rows of the peak hour, one per sector and end use, not summed.
 
     The peak hour is picked by aggregation with partial maxima rather than by
-    ranking all hours; of equal peaks the earliest counts. Peaks of one country
-    are one row per scenario and year, a partition of the table each, and are
-    broadcast; those of all countries are stored and counted first.
+    ranking all hours; of equal peaks the earliest counts. They are one row for
+    each scenario, year and country, so Spark measures them and broadcasts few.
     """
     extra = breakdown_column(group_by)
     earlier = -minute_number(F.col("timestamp"))
@@ -46,7 +44,6 @@ def peak_breakdown(projection: DataFrame, scope: Scope, group_by: str) -> DataFr
         .groupBy(*scope.keys)
         .agg(F.max_by("timestamp", F.struct("total", earlier)).alias("timestamp"))
     )
-    hours = pin(hours).table if scope.places else F.broadcast(hours)
     found = (
         scope.rows(projection)
         .join(hours, [*scope.keys, "timestamp"])

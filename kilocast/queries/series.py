@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +84,12 @@ def _numbered_rows(
         F.row_number().over(in_series).alias("_hour"),
     )
     in_hour = Window.partitionBy(*hour_keys).orderBy("sector", "metric", "value")
-    placed = rows.join(offsets, hour_keys)
+    # Rows without a timestamp are numbered, too.
+    theirs = offsets.select(
+        *[F.col(k).alias(f"_{k}") for k in hour_keys], "_before", "_hour"
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in hour_keys]
+    placed = rows.join(theirs, reduce(Column.__and__, same))
     number: Column = (
         F.col("_hour") if hour_of_year else F.col("_before") + F.row_number().over(in_hour)
     )

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kilocast.plans.storage import subfolders
+
 YEAR_COLUMNS = ("model_year", "weather_year")
 
 
 def _suffix(path: str) -> str:
     suffix = posixpath.splitext(str(path).rstrip("/"))[1]
     if suffix not in (".csv", ".parquet"):
-        raise NotImplementedError(f"File type {suffix} is not supported")
+        raise NotImplementedError(f"cannot tell a CSV or parquet file by {suffix!r}")
     return suffix
 
 
@@ -22,10 +24,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     """Read one CSV or parquet file, or a folder of them.
 
     ``schema`` types CSV columns by name, so their order in the file is free;
-    without it types are inferred. Parquet files carry their own types.
+    without it types are inferred. Parquet files carry their own types, and
+    folders named ``column=value`` give their columns back.
     """
     if _suffix(path) == ".parquet":
-        return spark.read.option("recursiveFileLookup", True).parquet(str(path))
+        named = any("=" in name for name in subfolders(spark, str(path)))
+        return spark.read.option("recursiveFileLookup", not named).parquet(str(path))
     reader = spark.read.option("header", True)
     if schema is None:
         return reader.option("inferSchema", True).csv(str(path))

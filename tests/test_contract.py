@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from contract import registry
 from tools.check import compare, views
 
 SF_DIR = contract.SMOKE_DIR
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,12 @@ def test_every_query_has_sql():
     assert isinstance(duckdb.__version__, str)
 
 
-def test_entry_is_lazy_and_non_empty(spark):
+def test_all_queries_are_offered():
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert ORACLES.keys() <= contract.oracle_sql().keys()
+
+
+def test_entry_is_non_empty(spark):
     df = contract.entry(spark)
     assert set(df.columns) == {"geography", "scenario", "year", "sector", "value"}
     assert not df.isEmpty()

@@ -1,6 +1,7 @@
 import pytest
 
-from kilocast.plans.storage import pin, shared_folder
+from kilocast.errors import InvalidOperation
+from kilocast.plans.storage import pin, remove, shared_folder, subfolders
 from kilocast.schemas import DATA_TABLES
 from kilocast.sources.files import cast_years, read_table, write_table
 
@@ -49,11 +50,34 @@ def test_year_ids_become_numbers(spark):
     assert cast_years(df).dtypes == [("model_year", "bigint"), ("other", "string")]
 
 
-def test_pin_keeps_rows_and_checks_size(spark):
+def test_pin_keeps_rows_without_a_hint(spark, tmp_path):
     df = spark.range(100).withColumnRenamed("id", "k")
-    small, large = pin(df), pin(df, max_rows=10)
-    assert (small.small, large.small) == (True, False)
-    assert small.table.count() == large.table.count() == 100
-    assert "ResolvedHint" in small.table._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in large.table._jdf.queryExecution().analyzed().toString()
+    path = str(tmp_path / "t" / "pinned")
+    kept = pin(df, path)
+    assert kept.count() == 100
+    assert "ResolvedHint" not in kept._jdf.queryExecution().analyzed().toString()
     assert shared_folder(spark) == shared_folder(spark)
+    assert subfolders(spark, str(tmp_path / "t")) == ["pinned"]
+    remove(spark, path)
+    assert subfolders(spark, str(tmp_path / "t")) == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(InvalidOperation):
+        shared_folder(Session())
+
+
+def test_partition_columns_come_back(spark, tiny, tmp_path):
+    path = str(tmp_path / "by_year.parquet")
+    tiny["gdp"].write.partitionBy("model_year").parquet(path)
+    assert set(read_table(spark, path).columns) == {"geography", "model_year", "value"}

@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from kilocast.operators.weather import daily_weather
 from kilocast.queries import annual, series
 from kilocast.queries.scope import Scope
@@ -38,11 +40,11 @@ def test_no_product_of_tables_anywhere(project):
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_expanded_rows_are_not_shuffled(project):
-    """With pinned multipliers and factors the whole expansion is one stage."""
-    text = plan(project.prepared_projection())
-    assert "hashpartitioning" not in text and "rangepartitioning" not in text
-    assert text.count("BroadcastHashJoin") == 2 and "Union" not in text
+def test_hours_are_neither_shuffled_nor_joined_again(project):
+    """Nothing but the days' join stands between the representative rows and the hours."""
+    text = plan(project.prepared_projection(files=4))
+    assert "Union" not in text.split("Join", 1)[0] and "Exchange" not in text.split("Join", 1)[0]
+    assert re.search(r"Exchange hashpartitioning\(model_year#\d+L, .*REPARTITION_BY_COL", text)
 
 
 def test_row_numbers_are_not_made_in_one_task_per_series(project):
@@ -61,25 +63,44 @@ def test_wide_aggregates_have_map_side_partials(project):
     assert "partial_sum" in text and "partial_max" in text
 
 
-def test_large_multipliers_are_joined_on_split_keys(project, monkeypatch):
-    from kilocast.plans import storage
-
-    monkeypatch.setattr(storage.pin, "__defaults__", (0,))
-    rows = project.energy_projection(["baseline"]).count()
-    prepared = project.prepared_projection(["baseline"])
+@pytest.fixture
+def no_broadcast(spark):
     setting = "spark.sql.autoBroadcastJoinThreshold"
-    before = project.spark.conf.get(setting)
-    project.spark.conf.set(setting, "-1")
-    try:
-        text = plan(prepared)
-        assert "BroadcastHashJoin" not in text
-        assert re.search(r"hashpartitioning\(geography#\d+, month#\d+L, day_type#\d+, _slot", text)
-        assert prepared.count() == rows
-    finally:
-        project.spark.conf.set(setting, before)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    yield
+    spark.conf.set(setting, before)
 
 
-def test_peak_hours_are_broadcast_to_the_rows(project):
-    result = project.compute_energy_projection(["baseline"])
-    text = plan(annual.peak_breakdown(result, Scope("north", ["baseline"]), "Sector"))
-    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+@pytest.mark.parametrize("prepared", [False, True])
+def test_the_days_join_is_split_by_hours(project, no_broadcast, prepared):
+    df = project.prepared_projection() if prepared else project.energy_projection()
+    text = plan(df)
+    assert "Broadcast" not in text
+    assert re.search(r"hashpartitioning\(geography#\d+, month#\d+L, day_type#\d+, _slot", text)
+
+
+def test_years_do_not_scan_hours(project):
+    project.compute_energy_projection()
+    text = plan(project.get_projection_keys().select("model_year").distinct())
+    assert "_keys" in text and "timestamp" not in text
+
+
+def test_number_of_files_is_bounded(project, tmp_path):
+    project.result_path = str(tmp_path / "result")
+    project.compute_energy_projection(files=3)
+    for folder in (tmp_path / "result").glob("scenario=*/model_year=*"):
+        assert 1 <= len(list(folder.glob("*.parquet"))) <= 3
+    assert len(list((tmp_path / "result").glob("scenario=*/model_year=*"))) == 6
+
+
+def test_flagship_starts_few_jobs_before_its_action(spark):
+    context = spark.sparkContext
+    context.setJobGroup("flagship", "flagship")
+    try:
+        df = contract.entry(spark)
+        # Seven of them read the footers of the given tables.
+        assert len(context.statusTracker().getJobIdsForGroup("flagship")) < 25
+    finally:
+        context._jsc.clearJobGroup()
+    assert not df.isEmpty()

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import CONFIG, YEARS
-from kilocast import Project, ProjectConfig, Scenario, TableOverride
+from kilocast import Project, ProjectConfig, ProjectionClient, Scenario, TableOverride
 from kilocast.errors import InvalidOperation, InvalidParameter
 from kilocast.plans import storage
 from kilocast.plans.models import MODELS
@@ -128,11 +128,11 @@ def test_override_errors(project, tiny, tmp_path):
         ask("nobody", "gdp_country")
     with pytest.raises(InvalidParameter):
         ask("baseline", "nothing")
-    with pytest.raises(InvalidParameter, match="do not match"):
+    with pytest.raises(InvalidParameter, match="wanted are"):
         ask("baseline", ANNUAL_RES)
     wrong = str(tmp_path / "wrong.parquet")
     write_table(tiny["gdp"].withColumn("model_year", F.col("model_year").cast("int")), wrong)
-    with pytest.raises(InvalidParameter, match="must match"):
+    with pytest.raises(InvalidParameter, match="should be"):
         ask("baseline", "gdp_country", wrong)
     assert project.get_table_overrides() == {}
 
@@ -202,10 +202,53 @@ def test_multipliers_are_stored_once(project, monkeypatch):
     from kilocast.plans import project as module
 
     stored = []
-    monkeypatch.setattr(module, "pin", lambda df: stored.append(df.columns) or storage.pin(df))
+
+    def pin(df, path):
+        stored.append(df.columns)
+        return storage.pin(df, path)
+
+    monkeypatch.setattr(module, "pin", pin)
     project.prepared_projection(["baseline"])
     project.prepared_projection()
-    assert sum("heating_multiplier" in columns for columns in stored) == 1
+    assert len(stored) == 1 and "heating_multiplier" in stored[0]
+    [path] = project._stored_paths
+    project.close()
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        project.spark.read.parquet(path)
+    assert not project.prepared_projection(["baseline"]).isEmpty()
+
+
+def test_one_client_lives_through_overrides_and_recomputation(project):
+    project.compute_energy_projection()
+    client = ProjectionClient(project, geography="north")
+
+    def residential():
+        rows = client.get_annual_electricity_consumption(["rich"], group_by="Sector")
+        return rows.filter("sector = 'Residential'").agg(F.sum("value")).first()[0]
+
+    before = residential()
+    table = project.calculated_table("rich", ANNUAL_RES)
+    project.override_with("rich", ANNUAL_RES, table.withColumn("value", F.col("value") * 3))
+    assert residential() == pytest.approx(3 * before)
+    project.compute_energy_projection()
+    assert residential() == pytest.approx(3 * before)
+    project.remove_calculated_table_overrides([TableOverride("rich", ANNUAL_RES)])
+    assert residential() == pytest.approx(before)
+    client.refresh_metadata()
+    assert client.years == YEARS
+
+
+def test_a_recomputed_scenario_keeps_no_old_years(project):
+    project.compute_energy_projection()
+    for name in (ANNUAL_RES, "energy_intensity_com_ind_tra_gdp_applied_regression"):
+        table = project.calculated_table("rich", name)
+        project.override_with("rich", name, table.filter("model_year = 2025"))
+    left = project.get_energy_projection("rich").select("model_year").distinct().collect()
+    assert [r[0] for r in left] == [2025]
+    client = ProjectionClient(project, geography="north")
+    assert client.years == YEARS
+    with pytest.raises(ValueError, match="2030"):
+        client.get_scenario_summary("rich", 2030)
 
 
 def test_export_of_the_projection(project, tmp_path):
@@ -218,7 +261,7 @@ def test_export_of_the_projection(project, tmp_path):
 def test_empty_scenario_is_an_error(spark, tiny):
     data = dict(tiny, load_shapes=tiny["load_shapes"].limit(0))
     project = Project(spark, CONFIG, data)
-    with pytest.raises(InvalidParameter, match="produced no"):
+    with pytest.raises(InvalidParameter, match="no hourly"):
         project.compute_energy_projection()
     assert project.result_path is None
 
@@ -262,3 +305,59 @@ def test_projects_from_files_map_dimensions(spark, tiny, tmp_path):
     )
     assert sorted(project.data_table("baseline", "gdp").collect()) == sorted(tiny["gdp"].collect())
     assert {r.value for r in project.data_table("low", "gdp").collect()} == {2.0}
+
+
+def _files(tiny, folder, **changed):
+    files = {}
+    for name, df in (tiny | changed).items():
+        files[name] = str(folder / f"{name}.parquet")
+        write_table(df, files[name])
+    return files
+
+
+def _config(**more):
+    return ProjectConfig("files", 2025, 2030, 2018, 5, **more)
+
+
+def test_creation_checks_the_time(spark, tiny, tmp_path):
+    gap = tiny["weather_bait"].filter("month(timestamp) <> 6")
+    files = _files(tiny, tmp_path, weather_bait=gap)
+    with pytest.raises(InvalidParameter, match="weather of 2018"):
+        Project.from_files(spark, _config(), files)
+    Project.from_files(spark, _config(), files, check_time=False)
+
+
+def test_creation_checks_types_countries_and_associations(spark, tiny, tmp_path):
+    files = _files(tiny, tmp_path)
+    wrong = str(tmp_path / "text.parquet")
+    write_table(tiny["gdp"].withColumn("value", F.col("value").cast("string")), wrong)
+    with pytest.raises(InvalidParameter, match="value should be double"):
+        Project.from_files(spark, _config(scenarios=(Scenario("baseline"), Scenario("s", tables={"gdp": wrong}))), files)
+    project = Project.from_files(spark, _config(countries=("NORTH",)), files)
+    assert project.config.countries == ("north",)
+    assert {r[0] for r in project.calculated_table("baseline", "gdp_country").select("geography").collect()} == {"north"}
+    with pytest.raises(InvalidParameter):
+        Project.from_files(spark, _config(countries=("west",)), files)
+    sectors = {"energy_intensity": {"sector": ["Commercial", "Industrial", "Residential", "Transportation"]}}
+    with pytest.raises(InvalidParameter, match="south.*Commercial"):
+        Project.from_files(spark, _config(), files, associations=sectors)
+
+
+def test_creation_applies_overrides_and_checks_mappings(spark, tiny, tmp_path):
+    files = _files(tiny, tmp_path)
+    path = str(tmp_path / "gdp_country.parquet")
+    write_table(tiny["gdp"].withColumn("value", F.lit(7.0)), path)
+    item = TableOverride("baseline", "gdp_country", path)
+    project = Project.from_files(spark, _config(calculated_table_overrides=(item,)), files)
+    assert {r.value for r in project.calculated_table("baseline", "gdp_country").collect()} == {7.0}
+    for rows, problem in (
+        ([("north", "n"), ("south", "s"), ("west", "w")], "not in the table"),
+        ([("north", "n")], "without a target"),
+        ([("north", "n"), ("north", "n"), ("south", "s")], "listed twice"),
+        ([("north", "n"), ("north", "m"), ("south", "s")], "several targets"),
+    ):
+        write_table(spark.createDataFrame(rows, "from_id string, to_id string"), str(tmp_path / "map.csv"), True)
+        with pytest.raises(InvalidParameter, match=problem):
+            Project.from_files(
+                spark, _config(), files, {"gdp": [("geography", str(tmp_path / "map.csv"), "one_to_one")]}
+            )

@@ -113,7 +113,7 @@ def test_totals_need_no_expansion(project):
 
 def test_spread_keys_give_the_same_hours(project):
     base, multipliers = _parts(project)
-    plain = shapes.expand(base, multipliers)
+    plain = shapes.expand(base, multipliers, spread=1)
     spread = shapes.expand(base, multipliers, spread=7)
     assert plain.count() == spread.count() == plain.intersectAll(spread).count()
 
