@@ -16,8 +16,9 @@ shingle sets. The result is one row per document with its component.
    partitioned into groups of similar sets (same component or same star
    centre, about ``GROUP`` sets each). A group keeps the union of its tokens.
    For a query set Q the bound |Q & union| >= percent / 100 * |Q| must hold if
-   any member links to it; only groups that meet the bound are opened, and
-   their members compared one by one, one link for each local component.
+   any member links to it; only groups that meet the bound are opened, their
+   parts of ``PART`` sets are held to the same bound, and the members of those
+   that meet it compared one by one, one link for each local component.
 
 Whole texts and all tokens take part; sets are compared by 64-bit hashes.
 Texts travel compressed to the comparison, and only those with a candidate.
@@ -44,7 +45,8 @@ from kilocast.llm.common import MASK, IdFilter, Words, blocks, bytes_of, connect
 
 SLACK = 2
 RATIO = 1.6
-GROUP = 64
+GROUP = 512
+PART = 64
 QUERIES = 1024
 _CLASS, _PART = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -223,15 +225,20 @@ def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shin
         if len(queries) and len(members):
             sets = _unpack(list(members.member), shingle)
             comps, keys = members.comp.to_list(), members.key.to_list()
-            union = np.unique(np.concatenate(sets))
+            parts = [range(i, min(i + PART, len(sets))) for i in range(0, len(sets), PART)]
+            unions = [np.unique(np.concatenate([sets[i] for i in part])) for part in parts]
+            union = np.unique(np.concatenate(unions))
             for q, comp, tokens in zip(queries.q, queries.q_comp, _unpack(list(queries["query"]), shingle)):
                 if 100 * _common(tokens, union) < percent * len(tokens):
                     continue
                 done = {comp}
-                for key, other, member in zip(keys, comps, sets):
-                    if other not in done and key != q and _linked(tokens, member, percent):
-                        out.append((q, key))
-                        done.add(other)
+                for part, inner in zip(parts, unions):
+                    if 100 * _common(tokens, inner) < percent * len(tokens):
+                        continue
+                    for i in part:
+                        if comps[i] not in done and keys[i] != q and _linked(tokens, sets[i], percent):
+                            out.append((q, keys[i]))
+                            done.add(comps[i])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return (
