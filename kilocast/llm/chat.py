@@ -185,7 +185,10 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     full = (
         rows.join(placed, "row", "left")
         .join(wrong, "row", "left")
-        .join(answers, "call_id", "left")
+        # Messages without a call have a key of their own, so that they do not meet in one task.
+        .withColumn("_key", F.coalesce("call_id", F.concat(F.lit("\u0000"), F.col("row").cast("string"))))
+        .join(answers.withColumnRenamed("call_id", "_key"), "_key", "left")
+        .drop("_key")
         .withColumn("level", F.when(F.col("cyclic"), F.lit(0)).otherwise(F.coalesce("level", F.lit(0))))
     )
     # A block holds turns of one level; levels come first in the order.
