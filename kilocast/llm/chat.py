@@ -88,7 +88,7 @@ def levels(edges: DataFrame) -> DataFrame:
     reached = frontier = stored(start)
     for _ in range(MAX_ROUNDS):
         raised = (
-            frontier.where("level <= most")
+            frontier.where("level <= most + 1")
             .select(F.col("row").alias("needs"), "level")
             .join(edges, "needs")
             .groupBy("row")

@@ -116,13 +116,13 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BL
         lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < len(lengths):
+            if held and total + lengths[at] > size:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
             fits = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size - total, side="right")))
             held.append(batch.slice(at, fits))
             total += int(lengths[at : at + fits].sum())
             at += fits
-            if total >= size or at < len(lengths):
-                yield pa.Table.from_batches(held)
-                held, total = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
