@@ -63,7 +63,7 @@ class WordEncoder:
 
     _known: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
