@@ -3,12 +3,11 @@
 Documents link when intersection >= ``percent`` / 100 of the union of their
 shingle sets. The result is one row per document with its component.
 
-1. *Signatures.* A linked pair of sets differs in at most ``limit`` tokens, so
-   if the token space is cut into ``limit + SLACK`` parts, the two agree in at
-   least ``SLACK`` of them. Each set emits a hash of what it holds in each
-   part; sets that agree in no part are never compared and lose no link.
-   Parts in which a set is empty are left out, and come back as one signature
-   in the rare set with ``SLACK`` empty parts or more.
+1. *Signatures.* All tokens have one order, tokens that blocks of texts repeat
+   often last. Linked sets share at least percent / 100 of either set, so they
+   meet in their first |set| - ceil(percent * |set| / 100) + 1 tokens, which
+   are a set's signatures. Sets that share none are never compared and lose no
+   link; common passages and phrases come last and bring few sets together.
 2. *Equal sets* are one node from here on.
 3. *Stars.* Within a signature every set is compared with one set only, the
    smallest; links found so join most copies without pairs within a group.
@@ -41,14 +40,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import MASK, IdFilter, Words, blocks, bytes_of, connected, mix, offsets_list, read, stored
+from kilocast.llm.common import IdFilter, Words, blocks, bytes_of, connected, mix, offsets_list, read, stored
 
-SLACK = 2
-RATIO = 1.6
+#: Sets of a block that make a token a frequent one, and bits of the filter that holds those.
+OFTEN = 3
+FREQUENT_BITS = 1 << 24
 GROUP = 512
 PART = 64
 QUERIES = 1024
-_CLASS, _PART = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -66,60 +65,52 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-class Signatures:
-    """Part signatures of a set for the size classes in which it can meet a partner."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-        self.parts: dict[int, np.ndarray] = {}
-
-    def size_class(self, size: int) -> int:
-        return int(np.log(size) / np.log(RATIO) + 1e-9)
-
-    def edges(self, kind: int) -> np.ndarray:
-        """Bounds of the token parts of a size class."""
-        if kind not in self.parts:
-            largest = int(RATIO ** (kind + 1)) + 1
-            # |A - B| + |B - A| <= (1 - p) * |A | B| <= (1 - p) / p * min(|A|, |B|)
-            limit = (100 - self.percent) * largest // self.percent
-            count = limit + SLACK
-            self.parts[kind] = np.array([(j << 64) // count for j in range(1, count)], np.uint64)
-        return self.parts[kind]
-
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        size = len(tokens)
-        kind = self.size_class(size)
-        # A partner has at most 100 / percent times the size.
-        kinds = range(kind, self.size_class(size * 100 // self.percent + 1) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens), dtype=np.uint64)])
-        out = []
-        for k in kinds:
-            edges = self.edges(k)
-            cut = np.concatenate([[0], np.searchsorted(tokens, edges), [size]])
-            full = np.flatnonzero(cut[1:] > cut[:-1])
-            base = np.uint64((k + 1) * int(_CLASS) & MASK)
-            held = sums[cut[full + 1]] - sums[cut[full]]
-            out.append(mix(held ^ mix(base + full.astype(np.uint64) * _PART)))
-            if len(edges) + 1 - len(full) >= SLACK:
-                empty = np.setdiff1d(np.arange(len(edges) + 1), full).astype(np.uint64)
-                out.append(mix(base ^ mix(empty * _PART + np.uint64(1))))
-        return np.concatenate(out)
+def key_of(tokens: np.ndarray) -> int:
+    """A hash of a whole set, as a signed 64-bit integer."""
+    return int(mix(mix(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
+
+
+def frequent_tokens(documents: DataFrame, shingle: int) -> IdFilter:
+    """Tokens that ``OFTEN`` different sets of some block of texts have, in a filter of a fixed size.
+
+    It only shapes the order of the tokens, which is the same for all sets
+    whatever the filter holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches):
+            sets = shingle_sets([x or b"" for x in table.column("text").to_pylist()], shingle)
+            different = {key_of(s): s for s in sets if len(s)}
+            if different:
+                tokens, counts = np.unique(np.concatenate(list(different.values())), return_counts=True)
+                often = tokens[counts >= OFTEN].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64())], ["token"])
+
+    found = documents.select(bytes_of("text")).mapInArrow(run, "token long")
+    return IdFilter.of(found, "token", FREQUENT_BITS)
+
+
+def prefix(tokens: np.ndarray, frequent: IdFilter, percent: int) -> np.ndarray:
+    """The first tokens of a set in the common order, frequent ones last, that a linked set must meet."""
+    count = len(tokens) - (percent * len(tokens) + 99) // 100 + 1
+    order = (tokens >> np.uint64(1)) | (frequent.has(tokens).astype(np.uint64) << np.uint64(63))
+    return tokens[np.argpartition(order, count - 1)[:count]]
 
 
 def sketch(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, size, key (hash of the set, null if empty) and the signatures of every document."""
-    maker = Signatures(percent)
+    """doc_id, size, key (hash of the set, null if empty) and the prefix tokens of every document."""
+    held = documents.sparkSession.sparkContext.broadcast(frequent_tokens(documents, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = held.value
         for table in blocks(batches):
             sets = shingle_sets([x or b"" for x in table.column("text").to_pylist()], shingle)
-            keys = [int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]) if len(s) else None for s in sets]
-            found = [maker.of(s) if len(s) else np.zeros(0, np.uint64) for s in sets]
+            found = [prefix(s, frequent, percent) if len(s) else s for s in sets]
             out = pa.table(
                 {
                     "doc_id": table.column("doc_id"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "key": pa.array([None if k is None else k - (1 << 64) * (k >> 63) for k in keys], pa.int64()),
+                    "key": pa.array([key_of(s) if len(s) else None for s in sets], pa.int64()),
                     "signatures": offsets_list(
                         np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64), np.array([len(x) for x in found]), pa.int64()
                     ),
@@ -142,14 +133,10 @@ def packed_texts(documents: DataFrame, wanted: IdFilter, shingle: int) -> DataFr
             open_ = wanted.has(np.array([x or 0 for x in ids], np.int64)) if ids else np.zeros(0, bool)
             texts = [t or b"" for t, x, o in zip(table.column("text").to_pylist(), ids, open_) if o or x is None]
             sets = shingle_sets(texts, shingle) if texts else []
-            rows = [
-                (int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]), zip_.compress(t))
-                for s, t in zip(sets, texts)
-                if len(s)
-            ]
+            rows = [(key_of(s), zip_.compress(t)) for s, t in zip(sets, texts) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.array([k for k, _ in rows], np.uint64).view(np.int64), pa.int64()),
+                    pa.array([k for k, _ in rows], pa.int64()),
                     pa.array([t for _, t in rows], pa.binary()),
                 ],
                 ["key", "packed"],
@@ -250,12 +237,22 @@ def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """doc_id, n_shingles, component_id and cluster (a key of the component, null for empty sets) of every document."""
     docs = stored(sketch(documents, shingle, percent))
     full = docs.where(F.col("key").isNotNull())
-    nodes = stored(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("signatures")))
+    nodes = stored(
+        full.groupBy("key").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("signatures").alias("signatures")
+        )
+    )
     spread = nodes.select(F.explode("signatures").alias("signature"), "key")
     shared = spread.groupBy("signature").agg(F.min("key").alias("centre"), F.max("key").alias("last")).where("centre <> last")
     members = stored(spread.join(shared.select("signature", "centre"), "signature"))
 
-    stars = stored(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
+    pairs = members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
+    stars = stored(
+        pairs.join(nodes.select(F.col("key").alias("a"), F.col("size").alias("size_a")), "a")
+        .join(nodes.select(F.col("key").alias("b"), F.col("size").alias("size_b")), "b")
+        .where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        .select("a", "b")
+    )
     involved = members.select("key").distinct()
     wanted = IdFilter.of(nodes.join(involved, "key", "left_semi").select("doc_id"), "doc_id")
     texts = stored(packed_texts(documents, wanted, shingle))

@@ -116,17 +116,19 @@ def test_components_are_those_of_all_pairs(docs, n, percent):
     assert Counter(found) == Counter(plain_components(corpus(), n, percent))
 
 
-def test_linked_sets_share_enough_signatures():
-    rng, maker = np.random.default_rng(5), jaccard.Signatures(90)
-    for size in [9, 10, 11, 17, 18, 30, 70, 111, 300, 1000, 4000]:
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-            low = int(np.ceil(0.9 * len(a)))
-            b = np.unique(np.concatenate([rng.permutation(a)[:low], rng.integers(0, 2**63, len(a) - low, dtype=np.uint64)]))
-            for c in (b, rng.permutation(a)[:low]):
-                c = np.sort(c)
-                if jaccard._linked(a, c, 90):
-                    assert np.intersect1d(maker.of(a), maker.of(c)).size
+def test_linked_sets_meet_in_their_prefixes():
+    rng = np.random.default_rng(5)
+    frequent = common.IdFilter(1 << 10, rng.integers(0, 2**63, 16, dtype=np.uint64))
+    for size in [1, 2, 5, 9, 10, 11, 17, 18, 30, 70, 111, 300, 1000]:
+        for percent in (80, 90):
+            for _ in range(20):
+                a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+                low = -(-percent * len(a) // 100)
+                b = np.unique(np.concatenate([rng.permutation(a)[:low], rng.integers(0, 2**63, len(a) - low, dtype=np.uint64)]))
+                for c in (b, np.sort(rng.permutation(a)[:low])):
+                    if jaccard._linked(a, c, percent):
+                        first, second = (jaccard.prefix(x, frequent, percent) for x in (a, c))
+                        assert np.intersect1d(first, second).size
 
 
 def test_near_but_unlinked_copies_go_through_the_groups(spark):
