@@ -64,6 +64,7 @@ def _expanded(t: ScenarioTables) -> DataFrame:
     return shapes.adjust(hourly)
 
 
+# Table names, as users know them.
 _CIT = "energy_intensity_com_ind_tra"
 _RES = "energy_intensity_res"
 ANNUAL_NON_RESIDENTIAL = "energy_intensity_com_ind_tra_gdp_applied_regression"
@@ -81,20 +82,20 @@ MODELS: dict[str, Model] = {
     ),
     _CIT: _sectors(intensity.NON_RESIDENTIAL),
     _RES: _sectors(intensity.RESIDENTIAL),
-    f"{_CIT}_pivoted": _pivot(_CIT),
-    f"{_RES}_pivoted": _pivot(_RES),
-    f"{_CIT}_gdp": _attach(f"{_CIT}_pivoted", "gdp_country", "gdp_value"),
-    f"{_RES}_hdi": _attach(f"{_RES}_pivoted", "hdi_country", "hdi_value"),
-    f"{_RES}_hdi_population": _attach(
-        f"{_RES}_hdi", "population_country", "population_value", ("geography", "model_year")
+    "energy_intensity_com_ind_tra_pivoted": _pivot(_CIT),
+    "energy_intensity_res_pivoted": _pivot(_RES),
+    "energy_intensity_com_ind_tra_gdp": _attach("energy_intensity_com_ind_tra_pivoted", "gdp_country", "gdp_value"),
+    "energy_intensity_res_hdi": _attach("energy_intensity_res_pivoted", "hdi_country", "hdi_value"),
+    "energy_intensity_res_hdi_population": _attach(
+        "energy_intensity_res_hdi", "population_country", "population_value", ("geography", "model_year")
     ),
     ANNUAL_NON_RESIDENTIAL: Model(
-        (f"{_CIT}_gdp",), lambda t: intensity.annual_energy(t.table(f"{_CIT}_gdp"), "gdp_value")
+        ("energy_intensity_com_ind_tra_gdp",), lambda t: intensity.annual_energy(t.table("energy_intensity_com_ind_tra_gdp"), "gdp_value")
     ),
     ANNUAL_RESIDENTIAL: Model(
-        (f"{_RES}_hdi_population",),
+        ("energy_intensity_res_hdi_population",),
         lambda t: intensity.annual_energy(
-            t.table(f"{_RES}_hdi_population"), "hdi_value", "population_value"
+            t.table("energy_intensity_res_hdi_population"), "hdi_value", "population_value"
         ),
     ),
     "vehicle_per_capita_parsed": _vehicle_key("vehicle_per_capita_regressions"),

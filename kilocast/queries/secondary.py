@@ -28,7 +28,7 @@ def secondary_metric(
 ) -> DataFrame:
     """Values by year; ``table`` gives a scenario's calculated table by name."""
     if metric not in SECONDARY_TABLES:
-        raise NotImplementedError(f"Metric {metric!r} is not yet supported.")
+        raise NotImplementedError(f"no table holds the metric {metric!r}")
     places = [] if geography is not None else ["geography"]
 
     def values(name: str) -> DataFrame:

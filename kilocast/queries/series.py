@@ -42,7 +42,7 @@ def comparison(
     elif resample == WEEKLY_MEAN:
         period = week_index(ts) + 1
     else:
-        raise ValueError(f"Invalid resample option: {resample}")
+        raise ValueError(f"{resample!r} names no way to resample a series")
     rows = scope.rows(projection)
     if totals_first:
         rows = rows.groupBy(*scope.keys, "timestamp", *extra).agg(F.sum("value").alias("value"))

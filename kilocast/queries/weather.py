@@ -27,7 +27,7 @@ def weather_series(
     """A variable of the degree-day table as stored ("Hourly"), or its mean by day or week."""
     if variable not in WEATHER_VARIABLES:
         raise ValueError(
-            f"Weather variable {variable!r} is not supported; use one of {list(WEATHER_VARIABLES)}"
+            f"there is no series of {variable!r}; there are {list(WEATHER_VARIABLES)}"
         )
     column = F.col(WEATHER_VARIABLES[variable])
     ts = F.col("timestamp")
@@ -46,7 +46,7 @@ def weather_series(
             .drop("week")
         )
     else:
-        raise ValueError(f"Resample option {resample!r} is not supported.")
+        raise ValueError(f"{resample!r} names no way to resample weather")
     return series.orderBy(*places, "datetime")
 
 
