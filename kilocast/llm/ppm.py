@@ -120,6 +120,11 @@ def _fitting(table: DataFrame, most: int) -> int:
     return least
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same counts in 32 bits where they fit."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
+
+
 class Trie:
     """Grams of all orders as sorted arrays, with what escapes and exclusion need of each context."""
 
@@ -132,16 +137,16 @@ class Trie:
             contexts = keys >> np.uint64(8)
             first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(keys) else np.zeros(0, np.int64)
             self.grams.append(keys)
-            self.counts.append(n.astype(np.float64))
+            self.counts.append(_narrow(n))
             self.contexts.append(contexts[first])
-            self.totals.append(np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0))
-            self.kinds.append(np.diff(np.append(first, len(keys))).astype(np.float64))
+            self.totals.append(_narrow(np.add.reduceat(n, first) if len(first) else n))
+            self.kinds.append(np.diff(np.append(first, len(keys))).astype(np.uint16))
             # What the next shorter context counts of the symbols of this one.
-            shorter = np.zeros(len(keys))
+            shorter = np.zeros(len(keys), np.int64)
             if j:
                 at = np.searchsorted(self.grams[j - 1], keys & np.uint64((1 << 8 * j) - 1))
-                shorter = self.counts[j - 1][at]
-            self.excluded.append(np.add.reduceat(shorter, first) if len(first) else np.zeros(0))
+                shorter = self.counts[j - 1][at].astype(np.int64)
+            self.excluded.append(_narrow(np.add.reduceat(shorter, first) if len(first) else shorter))
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
