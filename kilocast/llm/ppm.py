@@ -157,6 +157,13 @@ class Trie:
         at[at == len(table)] = 0
         return np.where(table[at] == keys, at, -1)
 
+    @staticmethod
+    def _of(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The values at the given places, 0 where the place is -1."""
+        if not len(values):
+            return np.zeros(len(place))
+        return np.where(place >= 0, values[place].astype(np.float64), 0.0)
+
     def code(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after its context."""
         out = np.zeros(len(grams))
@@ -165,22 +172,19 @@ class Trie:
         for j in range(self.order, -1, -1):
             key = grams[open_] & np.uint64((1 << 8 * (j + 1)) - 1)
             place = self._find(self.contexts[j], key >> np.uint64(8))
-            known = place >= 0
-            total, kinds = np.where(known, self.totals[j][place], 0.0) if len(self.totals[j]) else np.zeros(len(key)), (
-                np.where(known, self.kinds[j][place], 0.0) if len(self.kinds[j]) else np.zeros(len(key))
-            )
-            if j < self.order and len(self.totals[j + 1]):
-                total = total - np.where(before >= 0, self.excluded[j + 1][before], 0.0)
-                kinds = kinds - np.where(before >= 0, self.kinds[j + 1][before], 0.0)
+            total, kinds = self._of(self.totals[j], place), self._of(self.kinds[j], place)
+            if j < self.order:
+                total -= self._of(self.excluded[j + 1], before)
+                kinds -= self._of(self.kinds[j + 1], before)
             seen = self._find(self.grams[j], key)
             met = seen >= 0
             with np.errstate(divide="ignore", invalid="ignore"):
                 if met.any():
-                    out[open_[met]] += np.log10((self.counts[j][seen[met]] - 0.5) / total[met])
+                    out[open_[met]] += np.log10((self.counts[j][seen[met]].astype(np.float64) - 0.5) / total[met])
                 escape = ~met & (total > 0)
                 out[open_[escape]] += np.log10(0.5 * kinds[escape] / total[escape])
             open_, before = open_[~met], place[~met]
-        left = 256 - (self.kinds[0][0] if len(self.kinds[0]) else 0)
+        left = 256 - (int(self.kinds[0][0]) if len(self.kinds[0]) else 0)
         out[open_] -= np.log10(max(left, 1))
         return out
 
