@@ -214,4 +214,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_share: float =
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    """The contaminated documents, a row for each item found in one; clean documents have no row."""
+    found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
