@@ -183,6 +183,7 @@ def fit_rates(
     # The Lipschitz constant of the gradient in the metric of the token counts.
     steepest = np.linalg.eigvalsh(np.array(first[1:]).reshape(d, d) / total)[-1]
     rates = Rates(weight * growth * total, total, growth, 1 / (steepest + RIDGE + 1e-12), min_rate, max_rate)
+    last = np.full(d, np.inf)
     for _ in range(steps):
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +197,10 @@ def fit_rates(
 
         parts = table.select("n_tokens", "posterior").mapInArrow(sums, "s array<double>")
         s = np.array(parts.agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0.0)) for i in range(2 * d)]).first())
-        settled = len(rates.history) > 1 and np.abs(s[d:] - rates.target).max() < TOLERANCE * growth * total
+        near = np.abs(s[d:] - rates.target).max() < TOLERANCE * growth * total
+        still = np.abs(s[d:] - last).max() < TOLERANCE / 20 * growth * total  # bounds can keep targets out of reach
+        settled = len(rates.history) > 3 and (near or still)
+        last = s[d:]
         rates.history.append(s[:d])
         if settled:
             break
