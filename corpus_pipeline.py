@@ -56,10 +56,13 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Every document is used at least once: the weights are reached by repeats.
     """
     weights, _, rates = mixing.mix_documents(docs, read(spark, sf_dir, "labels"), mixing.TARGETS, **MIX)
-    whole = docs.withColumn("_row", F.struct(*docs.columns))
-    rated = rates.apply(mixing.posteriors(whole.select("_row", "text"), weights))
-    times = mixing.copies("rate", "_row.doc_id", "_row.text")
-    return rated.select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")
+    # The documents' own columns go along under other names, whatever they are called.
+    own = {name: f"_own{i}" for i, name in enumerate(docs.columns)}
+    whole = docs.select(*[F.col(name).alias(new) for name, new in own.items()], "text")
+    rated = rates.apply(mixing.posteriors(whole, weights))
+    times = mixing.copies("rate", own["doc_id"], own["text"])
+    repeated = rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+    return repeated.select(*[F.col(new).alias(name) for name, new in own.items()])
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
