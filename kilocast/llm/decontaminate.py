@@ -56,7 +56,7 @@ class _Kinds(dict):
     """Of a word: hash, kind and whether it ends a sentence; 10 bytes, kept per Python worker, bounded."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         bare = word.strip(EDGES)
         letters = bare.decode("utf-8", "replace")

@@ -57,7 +57,7 @@ class _Spots(dict):
     """Coordinate of a word; kept per Python worker, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word.strip(b".,;:!?\"'()")) >> (64 - BITS)
         return value

@@ -44,7 +44,7 @@ class _Hashes(dict):
     """Hashes of a word, without the marks at its edges, and of its stems; kept per Python worker, bounded."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         bare = word.strip(EDGES) or word
         letters = bare[:20].decode("utf-8", "ignore")
