@@ -13,12 +13,15 @@ block.
 A text is its words, A-Z in lower case, joined by one space, and an end mark;
 contexts reach back to ``ORDER`` end marks before the text.
 
-Training counts every gram and word of all training texts on the cluster. The
-trie sent to the executors has a fixed capacity, ``CAPACITY`` grams, as a
-compressor's model memory; where the corpus has more, grams under the smallest
-count that fits are left to their shorter contexts. The unigram base score is
-exact for the whole vocabulary: the ``COMMON`` most frequent words are sent to
-the executors, all others meet their counts in a join.
+Training counts every gram and word of all training texts on the cluster, and
+the model keeps them all: its grams are dealt into shards by the last
+``NEAR`` bytes of their context, so that a shard holds whole contexts of that
+length and longer. Counts of shorter contexts are sums over all grams, at most
+256 ** ``NEAR`` rows whatever the corpus, and go to every shard. The distinct
+grams of a block of texts travel to their shards and their code lengths back
+to the block. The unigram base score is exact for the whole vocabulary: the
+``COMMON`` most frequent words are sent to the executors, all others meet their
+counts in a join.
 
 ``held_out`` rows are those outside the training fold; ``score`` may also be
 adaptive (``adaptive_score``): the code length of a text under a model that
@@ -36,14 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import Words, blocks, bytes_of, fold, read, stored
+from kilocast.llm.common import BLOCK_BYTES, Words, blocks, bytes_of, fold, mix, offsets_list, read, stored
 
 ORDER = 6
-CAPACITY = 1 << 21
+NEAR = 3
+#: Bytes of a block of texts to be scored, and grams of the model in a shard.
+SCORE_BLOCK = 4 << 20
+SHARD = 1 << 20
 COMMON = 1 << 18
 END = b"\n"
 END_WORD = -1
@@ -128,12 +135,19 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 class Trie:
     """Grams of all orders as sorted arrays, with what escapes and exclusion need of each context."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = ORDER) -> None:
-        """``grams`` of the full order with their counts; shorter ones follow from them."""
+    def __init__(
+        self, grams: np.ndarray, counts: np.ndarray, order: int = ORDER, shorter_of: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> None:
+        """``grams`` of the full order with their counts; shorter ones follow from them.
+
+        Of a shard, orders under ``NEAR`` follow from ``shorter_of``, the grams
+        of ``NEAR`` bytes (of ``order`` if that is less) of all shards.
+        """
         self.order = order
         self.grams, self.counts, self.contexts, self.totals, self.kinds, self.excluded = [], [], [], [], [], []
         for j in range(order + 1):
-            keys, n = _merge([(grams & np.uint64((1 << 8 * (j + 1)) - 1), counts)])
+            whole, held = shorter_of if shorter_of and j < min(NEAR, order) else (grams, counts)
+            keys, n = _merge([(whole & np.uint64((1 << 8 * (j + 1)) - 1), held)])
             contexts = keys >> np.uint64(8)
             first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(keys) else np.zeros(0, np.int64)
             self.grams.append(keys)
@@ -189,11 +203,84 @@ class Trie:
         return out
 
 
-def train(counts: DataFrame, order: int = ORDER, capacity: int = CAPACITY) -> Trie:
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _near(order: int) -> int:
+    """A mask of the context bytes that a gram is dealt by, with its next byte."""
+    return (1 << 8 * (min(NEAR, order) + 1)) - 256
+
+
+def shards_of(grams: np.ndarray, shards: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the grams by shard, and where each shard begins in it."""
+    shard = (mix(grams & np.uint64(_near(order))) % np.uint64(shards)).astype(np.int64)
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+
+def packed_blocks(documents: DataFrame) -> DataFrame:
+    """block, packed: the documents in blocks of about ``SCORE_BLOCK`` bytes, compressed; a block's rows count up from its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for table in blocks(batches, size=SCORE_BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            packed = zip_.compress(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([packed], pa.binary())], ["block", "packed"])
+            row += table.num_rows
+
+    return documents.select("doc_id", "held_out", bytes_of("text")).mapInArrow(run, "block long, packed binary")
+
+
+def _unpacked(packed: bytes) -> tuple[pa.Table, list[bytes]]:
+    """The documents of a block and their normal texts."""
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all()
+    return table, normal(table.column("text").to_pylist())
+
+
+def codes(packed: DataFrame, counts: DataFrame, order: int, shards: int) -> DataFrame:
+    """block, shard, codes: log10 of the probability of each distinct gram of a block, in the order of the shard's grams."""
+    spark = packed.sparkSession
     grams = counts.where(F.col("kind") == GRAM).select("key", "n")
-    kept = grams.where(F.col("n") >= _fitting(grams, capacity)).toArrow()
-    keys = kept.column("key").combine_chunks().to_numpy(zero_copy_only=False)
-    return Trie(keys.astype(np.int64).view(np.uint64), kept.column("n").combine_chunks().to_numpy(zero_copy_only=False), order)
+    low = (1 << 8 * min(NEAR, order)) - 1 if order else 255
+    few = grams.groupBy(F.col("key").bitwiseAND(F.lit(low)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    shorter = spark.sparkContext.broadcast((_numbers(few.column("key")).astype(np.uint64), _numbers(few.column("n"))))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for block, bytes_ in zip(batch.column("block").to_pylist(), batch.column("packed")):
+                distinct = np.unique(grams_of(_unpacked(bytes_.as_py())[1], order)[0])
+                by_shard, edges = shards_of(distinct, shards, order)
+                distinct = distinct[by_shard]
+                used = np.flatnonzero(np.diff(edges))
+                asked = [zip_.compress(np.diff(distinct[edges[i] : edges[i + 1]], prepend=np.uint64(0)).tobytes()) for i in used]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used), block), pa.int64()), pa.array(used, pa.int64()), pa.array(asked, pa.binary())],
+                    ["block", "shard", "asked"],
+                )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = batch.column("key").to_numpy().view(np.uint64) & np.uint64(_near(order))
+            shard = pa.array((mix(near) % np.uint64(shards)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([shard, batch.column("key"), batch.column("n")], ["shard", "key", "n"])
+
+    def answer(_, model: pa.Table, asked: pa.Table) -> pa.Table:
+        trie = Trie(_numbers(model.column("key")).astype(np.int64).view(np.uint64), _numbers(model.column("n")).astype(np.int64), order, shorter.value)
+        zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        out = []
+        for x in asked.column("asked"):
+            keys = np.cumsum(np.frombuffer(unzip.decompress(x.as_py()), np.uint64), dtype=np.uint64)
+            out.append(zip_.compress(trie.code(keys).tobytes()))
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "codes": pa.array(out, pa.binary())})
+
+    asked = packed.mapInArrow(ask, "block long, shard long, asked binary")
+    model = grams.mapInArrow(deal, "shard long, key long, n long")
+    return model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "block long, shard long, codes binary")
 
 
 def adaptive_score(text: bytes, order: int = ORDER) -> float:
@@ -228,20 +315,34 @@ def score(documents: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFr
     common = words.where((F.col("n") >= least) | (F.col("key") == END_WORD)).toArrow().sort_by("key")
     keys = common.column("key").combine_chunks().to_numpy(zero_copy_only=False)
     values = common.column("n").combine_chunks().to_numpy(zero_copy_only=False)
-    held = spark.sparkContext.broadcast((train(counts, order), keys, values))
+    held = spark.sparkContext.broadcast((keys, values))
+    n_grams = counts.where(F.col("kind") == GRAM).count()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_grams // SHARD))
+    packed = stored(packed_blocks(documents))
     ends = int(values[keys == END_WORD].sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known_keys, known_counts = held.value
-        row = TaskContext.get().partitionId() << 36
+    def run(_, own: pa.Table, answers: pa.Table) -> pa.Table:
+        known_keys, known_counts = held.value
         logs = np.log10(known_counts + 0.5)
-        for table in blocks(batches):
-            texts = normal(table.column("text").to_pylist())
-            grams, firsts = grams_of(texts, order)
-            distinct, member = np.unique(grams, return_inverse=True)
-            sums = np.concatenate([[0.0], np.cumsum(trie.code(distinct)[member])])
-            scores = sums[firsts[1:]] - sums[firsts[:-1]]
-            w = Words(texts)
+        row = own.column("block")[0].as_py()
+        table, texts = _unpacked(own.column("packed")[0].as_py())
+        grams, firsts = grams_of(texts, order)
+        distinct, member = np.unique(grams, return_inverse=True)
+        del grams
+        unzip = zstandard.ZstdDecompressor()
+        found_codes = answers.sort_by("shard").column("codes")
+        code = np.empty(len(distinct))
+        code[shards_of(distinct, shards, order)[0]] = np.concatenate(
+            [np.zeros(0), *(np.frombuffer(unzip.decompress(x.as_py()), np.float64) for x in found_codes)]
+        )
+        sums = np.concatenate([[0.0], np.cumsum(code[member])])
+        del member
+        scores = sums[firsts[1:]] - sums[firsts[:-1]]
+        bases, knowns, tokens_, rares, cuts = [], [], [], [], []
+        sizes = np.cumsum([len(t) for t in texts]) // BLOCK_BYTES
+        starts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        for i, j in zip(starts, starts[1:]):
+            w = Words(texts[i:j])
             hashes = w.hashes(w.start, w.end).view(np.int64)
             if len(known_keys):
                 at = np.searchsorted(known_keys, hashes)
@@ -251,25 +352,30 @@ def score(documents: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFr
                 at, found = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
             base = np.concatenate([[0.0], np.cumsum(np.where(found, logs[at] if len(logs) else 0.0, 0.0))])
             hits = np.concatenate([[0], np.cumsum(found)])
-            n = np.diff(w.first)
             rare = np.flatnonzero(~found)
-            cuts = np.searchsorted(rare, w.first).astype(np.int32)
-            yield from pa.table(
-                {
-                    "doc_id": table.column("doc_id"),
-                    "held_out": table.column("held_out"),
-                    "row": pa.array(np.arange(row, row + len(texts))),
-                    "n_tokens": pa.array(n + 1),
-                    "known": pa.array(hits[w.first[1:]] - hits[w.first[:-1]] + (ends > 0)),
-                    "base": pa.array(base[w.first[1:]] - base[w.first[:-1]] + np.log10(ends + 0.5)),
-                    "score": pa.array(scores),
-                    "rare": pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[rare])),
-                }
-            ).to_batches()
-            row += len(texts)
+            bases.append(np.diff(base[w.first]) + np.log10(ends + 0.5))
+            knowns.append(np.diff(hits[w.first]) + (ends > 0))
+            tokens_.append(np.diff(w.first) + 1)
+            cuts.append(np.diff(np.searchsorted(rare, w.first)))
+            rares.append(hashes[rare])
+        return pa.table(
+            {
+                "doc_id": table.column("doc_id"),
+                "held_out": table.column("held_out"),
+                "row": pa.array(np.arange(row, row + len(texts))),
+                "n_tokens": pa.array(np.concatenate(tokens_)),
+                "known": pa.array(np.concatenate(knowns)),
+                "base": pa.array(np.concatenate(bases)),
+                "score": pa.array(scores),
+                "rare": offsets_list(np.concatenate(rares), np.concatenate(cuts), pa.int64()),
+            }
+        )
 
+    answers = codes(packed, counts, order, shards)
     scored = stored(
-        documents.select("doc_id", "held_out", bytes_of("text")).mapInArrow(
+        packed.groupBy("block")
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(
             run,
             "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, rare array<long>",
         )

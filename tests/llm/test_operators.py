@@ -299,6 +299,20 @@ def test_scores_match_a_plain_model(docs):
     assert Counter(ours) == Counter(expected)
 
 
+def test_no_gram_is_left_out_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "SCORE_BLOCK", 300_000, raising=False)
+    draw = random.Random(5)
+    rows = [(i, i == 3, "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=130_000)) + " \u00fc\u00df") for i in range(20)]
+    docs = spark.createDataFrame([*rows, (20, True, rows[0][2][:5000])], "doc_id long, held_out boolean, text string")
+    found = {r.doc_id: r.score for r in ppm.score(docs, common.stored(ppm.count(docs.where("not held_out")))).collect()}
+    learnt = ppm.grams_of(ppm.normal([t.encode() for _, out, t in rows if not out]))[0]
+    grams, counts = np.unique(learnt, return_counts=True)
+    assert len(grams) > 1 << 21
+    trie = ppm.Trie(grams, counts)
+    for i, text in ((0, rows[0][2]), (3, rows[3][2]), (20, rows[0][2][:5000])):
+        assert found[i] == pytest.approx(trie.code(ppm.grams_of(ppm.normal([text.encode()]))[0]).sum(), abs=1e-4)
+
+
 def test_adaptive_scores_fall_with_repetition():
     once, twice = ppm.adaptive_score(b"some words here"), ppm.adaptive_score(b"some words here some words here")
     assert twice < once < 0 and twice > 1.8 * once
