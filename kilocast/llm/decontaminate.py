@@ -9,14 +9,15 @@ as placeholders and one with names as words (for passages in another case).
 Windows of ``WINDOW`` template tokens of documents and items are joined by
 hash. A fixed-size filter over the items' windows keeps nearly all document
 windows from the shuffle; it only ever lets more through. Windows that are
-mostly placeholders are left out on both sides.
+mostly placeholders count with their exact words in place of the template.
 
 Slot consistency: the values that fill the placeholders of matched windows
 must map one to one between document and item: a value of the item always
 meets the same value in the document and the other way round. A window with
 conflicting slots is no evidence. A document is contaminated by an item when
 the consistent windows cover at least ``MIN_SHARE`` of the item's windows; an
-item shorter than a window counts with its whole sequence.
+item shorter than a window counts with its whole sequence, wherever in a
+document it stands.
 
 Defined results: a null or empty text or item is clean and matches nothing;
 rows with a null doc_id are judged with the other rows of null id; repeated
@@ -48,6 +49,7 @@ EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 NUMBER = re.compile(rb"[+-]?\d[\d.,:/]*")
 GLUED = re.compile(rb"([+-]?\d[\d.,]*)([a-z]+)")
 PLAIN, NUM, UNIT, CAPITAL, GLUE = range(5)
+EXACT = 2
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(WINDOW)], np.uint64)
 
@@ -100,32 +102,41 @@ def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, plain, named
 
 
-def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template windows of a text: hash, form, position and the hashes of the words."""
+def _hashed(token: np.ndarray, size: int, form: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of ``size`` tokens that begin at the given places."""
+    total = np.full(len(at), size, np.uint64)
+    mixed = mix(token)
+    for i in range(size):
+        total += mixed[at + i] * _POWERS[i]
+    return mix(total ^ np.uint64(form))
+
+
+def windows(text: bytes, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a text: hash, form, position and size of each, and the hashes of the words.
+
+    ``sizes`` are the window sizes of a document; an item has one size, its own length if that is under ``WINDOW``.
+    """
     h, *forms = tokens(text)
-    size = min(WINDOW, len(h))
-    if not size:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, h
-    hashes, kinds, spots = [], [], []
-    count = len(h) - size + 1
-    for form, token in enumerate(forms):
-        total = np.full(count, size, np.uint64)
-        slots = np.concatenate([[0], np.cumsum(token < 16)])
-        mixed = mix(token)
-        for i in range(size):
-            total += mixed[i : i + count] * _POWERS[i]
-        good = slots[size:] - slots[:-size] <= size - min(MIN_PLAIN, size)
-        if form:
-            good &= (forms[0] != token).any()  # the same as the first form
-        at = np.flatnonzero(good)
-        hashes.append(mix(total[at] ^ np.uint64(form)))
-        kinds.append(np.full(len(at), form))
-        spots.append(at)
-    return np.concatenate(hashes), np.concatenate(kinds), np.concatenate(spots), h
-
-
-def spread(table: DataFrame, key: str, wanted: IdFilter | None) -> DataFrame:
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for size in sizes or (min(WINDOW, len(h)),):
+        if not 0 < size <= len(h):
+            continue
+        most = size - min(MIN_PLAIN, size)
+        for form, token in enumerate(forms):
+            slots = np.concatenate([[0], np.cumsum(token < 16)])
+            held = slots[size:] - slots[:-size]
+            if not form:
+                # The first word of an item may be a unit that the document's number before it makes a slot.
+                exact = np.flatnonzero(held > most - bool(sizes))
+            elif not (forms[0] != token).any():  # the same as the first form
+                continue
+            at = np.flatnonzero(held <= most)
+            found.append((_hashed(token, size, form, at), np.full(len(at), form), at, np.full(len(at), size)))
+        found.append((_hashed(h, size, EXACT, exact), np.full(len(exact), EXACT), exact, np.full(len(exact), size)))
+    return *(np.concatenate(x) for x in zip(*found)), h
+
+
+def spread(table: DataFrame, key: str, wanted: IdFilter | None, sizes: tuple[int, ...] = ()) -> DataFrame:
     """A row for each template window: key, row, window, form, position, its words' hashes and the text's windows."""
     held = table.sparkSession.sparkContext.broadcast(wanted)
 
@@ -135,16 +146,15 @@ def spread(table: DataFrame, key: str, wanted: IdFilter | None) -> DataFrame:
             columns: dict[str, list] = {n: [] for n in ("key", "window", "form", "spot", "n_windows")}
             words, lengths = [np.zeros(0, np.uint64)], []
             for key_, text in zip(block.column(0).to_pylist(), block.column("text").to_pylist()):
-                hashes, forms, spots, h = windows(text or b"")
+                hashes, forms, spots, lengths_, h = windows(text or b"", sizes)
                 count = max(1, len(h) - WINDOW + 1)
                 keep = np.flatnonzero(filter_.has(hashes)) if filter_ else np.arange(len(hashes))
-                size = min(WINDOW, len(h))
                 for i in keep:
                     columns["key"].append(key_)
                     columns["spot"].append(int(spots[i]))
                     columns["n_windows"].append(count)
-                    words.append(h[spots[i] : spots[i] + size])
-                    lengths.append(size)
+                    words.append(h[spots[i] : spots[i] + lengths_[i]])
+                    lengths.append(int(lengths_[i]))
                 columns["window"] += hashes[keep].view(np.int64).tolist()
                 columns["form"] += forms[keep].tolist()
             out = pa.table(
@@ -165,7 +175,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHA
     """doc_id, item_id, matched windows and share of the item's windows, for each contaminated document and item."""
     items = stored(spread(benchmark.select("item_id", "text"), "item_id", None))
     wanted = IdFilter.of(items.select("window").distinct(), "window", 1 << 24)
-    found = spread(documents.select("doc_id", "text"), "doc_id", wanted)
+    # At most WINDOW numbers: the sizes of whole items that are shorter than a window.
+    short = [r[0] for r in items.select(F.size("words")).distinct().collect()]
+    found = spread(documents.select("doc_id", "text"), "doc_id", wanted, tuple(sorted({WINDOW, *short})))
     pairs = (
         found.drop("n_windows")
         .withColumnRenamed("words", "doc_words")

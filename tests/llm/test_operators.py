@@ -185,6 +185,18 @@ def test_templates_catch_other_values_in_consistent_slots(spark):
     assert matched[1] > matched.get(2, 0)
 
 
+def test_short_items_and_items_of_values_are_found_as_copies(spark):
+    short, values = "Which river crosses seven old towns?", "12 + 34 + 56 = 102 and 7 kg 8 kg 9 kg 10 cm 11 cm 13 cm"
+    noise = " ".join(prose(6, 40))
+    docs = spark.createDataFrame(
+        [(1, f"{noise} {short} {noise}"), (2, f"{noise} {values} {noise}"), (3, noise), (4, short),
+         (5, f"{noise} 13 + 35 + 57 = 105 and 8 kg 9 kg 7 kg 11 cm 12 cm 10 cm")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, short), (2, values)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (4, 1)}
+
+
 # Archives
 
 
