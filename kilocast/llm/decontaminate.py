@@ -15,7 +15,8 @@ Slot consistency: the values that fill the placeholders of matched windows
 must map one to one between document and item: a value of the item always
 meets the same value in the document and the other way round. A window with
 conflicting slots is no evidence. A document is contaminated by an item when
-the consistent windows cover at least ``MIN_SHARE`` of the item's windows; an
+the consistent windows cover at least ``MIN_SHARE`` of the item's windows, or
+when some of them make a passage of ``RUN`` words, however long the item is; an
 item shorter than a window counts with its whole sequence, wherever in a
 document it stands.
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilocast.llm.common import IdFilter, blocks, bytes_of, mix, offsets_list, read, stored
@@ -40,6 +41,7 @@ from kilocast.llm.common import IdFilter, blocks, bytes_of, mix, offsets_list, r
 WINDOW = 8
 MIN_SHARE = 0.2
 MIN_PLAIN = 4
+RUN = 13
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg t oz lb lbs pound pounds ton tons ml l litre litres "
     "liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year "
@@ -171,6 +173,14 @@ def spread(table: DataFrame, key: str, wanted: IdFilter | None, sizes: tuple[int
     )
 
 
+def with_runs(matched: DataFrame) -> DataFrame:
+    """The matched windows with ``run``: how many follow each other without a gap in both document and item."""
+    line = ["doc_id", "item_id", "_line"]
+    lined = matched.withColumn("_line", F.col("doc_spot") - F.col("spot")).repartition("doc_id", "item_id")
+    placed = lined.withColumn("_start", F.col("spot") - F.row_number().over(Window.partitionBy(*line).orderBy("spot")))
+    return placed.withColumn("run", F.count("*").over(Window.partitionBy(*line, "_start"))).drop("_line", "_start")
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, item_id, matched windows and share of the item's windows, for each contaminated document and item."""
     items = stored(spread(benchmark.select("item_id", "text"), "item_id", None))
@@ -189,15 +199,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHA
     consistent = (F.size("doc_words") == F.size("item_words")) & (
         F.size(F.array_distinct(zipped)) == F.size(F.array_distinct("doc_words"))
     ) & (F.size(F.array_distinct(zipped)) == F.size(F.array_distinct("item_words")))
+    matched = pairs.where(consistent).dropDuplicates(["doc_id", "item_id", "spot", "doc_spot"])
     return (
-        pairs.where(consistent)
+        with_runs(matched)
         .groupBy("doc_id", "item_id", "spot")
-        .agg(F.max("n_windows").alias("n_windows"))
+        .agg(F.max("n_windows").alias("n_windows"), F.max("run").alias("run"))
         .groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("matched"), F.max("n_windows").alias("n_windows"))
+        .agg(F.count("*").alias("matched"), F.max("n_windows").alias("n_windows"), F.max("run").alias("run"))
         .withColumn("share", F.col("matched") / F.col("n_windows"))
-        .where(F.col("share") >= min_share)
-        .drop("n_windows")
+        .where((F.col("share") >= min_share) | (F.col("run") >= RUN - WINDOW + 1))
+        .drop("n_windows", "run")
     )
 
 

@@ -197,6 +197,15 @@ def test_short_items_and_items_of_values_are_found_as_copies(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (4, 1)}
 
 
+def test_a_passage_of_a_long_item_is_found(spark):
+    item = [f"word{i}" for i in range(300)]
+    noise = " ".join(prose(6, 40))
+    passages = {1: item[100:113], 2: item[100:112], 3: item[40:90], 4: item[10:20] + ["other"] + item[20:30]}
+    docs = spark.createDataFrame([(i, f"{noise} {' '.join(w)} {noise}") for i, w in passages.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id: r.matched for r in decontaminate.leaks(docs, items).collect()} == {1: 6, 3: 43}
+
+
 # Archives
 
 
