@@ -13,8 +13,9 @@ mostly placeholders count with their exact words in place of the template.
 
 Slot consistency: the values that fill the placeholders of matched windows
 must map one to one between document and item: a value of the item always
-meets the same value in the document and the other way round. A window with
-conflicting slots is no evidence. A document is contaminated by an item when
+meets the same value in the document and the other way round, within a window
+and over all matched windows of a copy. A window with conflicting slots is no
+evidence. A document is contaminated by an item when
 the consistent windows cover at least ``MIN_SHARE`` of the item's windows, or
 when some of them make a passage of ``RUN`` words, however long the item is; an
 item shorter than a window counts with its whole sequence, wherever in a
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilocast.llm.common import IdFilter, blocks, bytes_of, mix, offsets_list, read, stored
@@ -83,8 +84,11 @@ _KINDS = _Kinds()
 _DTYPE = np.dtype([("hash", "<u8"), ("kind", "u1"), ("ends", "u1")])
 
 
-def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its hash, its token with names as words, its token with names as placeholders."""
+def tokens(text: bytes) -> tuple[np.ndarray, ...]:
+    """Of each word: its hash, its token with names as words, its token with names as placeholders.
+
+    If names of the text also open sentences, a fourth has those as placeholders too.
+    """
     lines = [line.split() for line in text.split(b"\n")]
     words = [w for line in lines for w in line]
     each = np.frombuffer(b"".join(map(_KINDS.__getitem__, words)), _DTYPE)
@@ -96,12 +100,17 @@ def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Marks alone may stand between the end of a sentence and its next word.
     seen = np.cumsum(opens[: len(each)])[full]
     opened = np.diff(seen, prepend=0) > 0
-    kind[(kind == CAPITAL) & opened] = PLAIN
+    opener = (kind == CAPITAL) & opened
+    # One that is a name inside another sentence is a name here too, in a form of its own.
+    named_opener = opener & np.isin(h, h[(kind == CAPITAL) & ~opened]) if opener.any() else opener
+    kind[opener] = PLAIN
     after = np.concatenate([[False], kind[:-1] == NUM])
     kind[(kind == UNIT) & ~after] = PLAIN
     plain = np.where((kind == PLAIN) | (kind == CAPITAL), h, kind.astype(np.uint64))
     named = np.where(kind == PLAIN, h, kind.astype(np.uint64))
-    return h, plain, named
+    if not named_opener.any():
+        return h, plain, named
+    return h, plain, named, np.where(named_opener, np.uint64(CAPITAL), named)
 
 
 def _hashed(token: np.ndarray, size: int, form: int, at: np.ndarray) -> np.ndarray:
@@ -133,6 +142,10 @@ def windows(text: bytes, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.nd
             elif not (forms[0] != token).any():  # the same as the first form
                 continue
             at = np.flatnonzero(held <= most)
+            if form == 2:  # only where it differs; its windows are of the form with names as placeholders
+                changed = np.concatenate([[0], np.cumsum(token != forms[1])])
+                at = at[changed[at + size] > changed[at]]
+            form = min(form, 1)
             found.append((_hashed(token, size, form, at), np.full(len(at), form), at, np.full(len(at), size)))
         found.append((_hashed(h, size, EXACT, exact), np.full(len(exact), EXACT), exact, np.full(len(exact), size)))
     return *(np.concatenate(x) for x in zip(*found)), h
@@ -173,6 +186,41 @@ def spread(table: DataFrame, key: str, wanted: IdFilter | None, sizes: tuple[int
     )
 
 
+def one_to_one(matched: DataFrame) -> DataFrame:
+    """The matched windows whose words keep to one map between item and document in the whole copy.
+
+    A copy is the windows of a document and an item whose offsets lie within
+    half an item of each other. A pair of words holds if it fills over half of
+    the item's places that either word has in the copy. Exact windows always count.
+    """
+    copy = ["doc_id", "item_id", "_copy"]
+    lined = matched.withColumn("_line", F.col("doc_spot") - F.col("spot")).repartition("doc_id", "item_id")
+    along = Window.partitionBy("doc_id", "item_id").orderBy("_line", "spot")
+    apart = F.col("_line") - F.lag("_line").over(along) > F.greatest(F.lit(WINDOW), F.col("n_windows") / 2)
+    copies = (
+        lined.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int"))
+        .withColumn("_copy", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_exact", F.col("doc_words") == F.col("item_words"))
+        .withColumn("_whole", F.min("_exact").over(Window.partitionBy(*copy)))
+        .select("*", F.posexplode_outer(F.when(~F.col("_whole"), F.arrays_zip("item_words", "doc_words"))).alias("_at", "_pair"))
+    )
+
+    def among(*names: str) -> Column:
+        places = F.collect_set(F.col("spot") + F.col("_at"))
+        return F.size(places.over(Window.partitionBy(*copy, *(f"_pair.{n}" for n in names))))
+
+    holds = (2 * among("item_words", "doc_words") > among("item_words")) & (
+        2 * among("item_words", "doc_words") > among("doc_words")
+    )
+    return (
+        copies.withColumn("_holds", F.col("_exact") | holds)
+        .groupBy("doc_id", "item_id", "spot", "doc_spot")
+        .agg(F.min("_holds").alias("_holds"), F.max("n_windows").alias("n_windows"))
+        .where("_holds")
+        .drop("_holds")
+    )
+
+
 def with_runs(matched: DataFrame) -> DataFrame:
     """The matched windows with ``run``: how many follow each other without a gap in both document and item."""
     line = ["doc_id", "item_id", "_line"]
@@ -201,7 +249,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHA
     ) & (F.size(F.array_distinct(zipped)) == F.size(F.array_distinct("item_words")))
     matched = pairs.where(consistent).dropDuplicates(["doc_id", "item_id", "spot", "doc_spot"])
     return (
-        with_runs(matched)
+        with_runs(one_to_one(matched))
         .groupBy("doc_id", "item_id", "spot")
         .agg(F.max("n_windows").alias("n_windows"), F.max("run").alias("run"))
         .groupBy("doc_id", "item_id")

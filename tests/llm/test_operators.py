@@ -206,6 +206,23 @@ def test_a_passage_of_a_long_item_is_found(spark):
     assert {r.doc_id: r.matched for r in decontaminate.leaks(docs, items).collect()} == {1: 6, 3: 43}
 
 
+def test_slots_are_one_to_one_over_all_windows_of_a_copy(spark):
+    middle = "while nobody there looked at the long empty road behind"
+    item = f"Then Anna bought 12 apples at the old market {middle} before Anna gave 12 apples to her brother."
+    good, bad = (item.replace("Anna bought 12", "Clara bought 15").replace("Anna gave 12", x) for x in ("Clara gave 15", "Dora gave 99"))
+    docs = spark.createDataFrame([(1, good), (2, bad), (3, item), (4, f"{good}\n{item}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    share = {r.doc_id: r.share for r in decontaminate.leaks(docs, items).collect()}
+    assert share[1] == share[3] == share[4] == 1 and share.get(2, 0) < 0.6
+
+
+def test_a_name_that_opens_a_sentence_is_a_name(spark):
+    item = "Anna bought twelve apples at the old market today. Then Anna went home."
+    docs = spark.createDataFrame([(1, item.replace("Anna", "Clara"))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontaminate.leaks(docs, items).first().share == 1
+
+
 # Archives
 
 
