@@ -10,6 +10,7 @@ from kilocast.llm.chat import op1_chat_format
 from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.mixing import op2_mixing
+from kilocast.llm.periods import op13_periodic_runs
 from kilocast.llm.ppm import op7_ppm_scores
 from kilocast.llm.spotsigs import op6_fingerprints
 from kilocast.llm.substrings import op10_substring_dedup
@@ -30,11 +31,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT, "op5_warc": WARC, "op10_substring_dedup": REPEATED}
+    return {
+        "op1_chat_format": CHAT,
+        "op5_warc": WARC,
+        "op10_substring_dedup": REPEATED,
+        "op13_periodic_runs": RUNS,
+    }
 
 
 CHAT = """
@@ -108,3 +115,52 @@ SELECT doc_id, len(words) AS n_words, len(gone) AS n_removed,
   sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM t
 """
+
+
+def _crc32(blob: str) -> str:
+    """SQL for the unsigned crc32 of a blob, by the table ``crc``(codes) that ``CRC`` defines."""
+    return (
+        f"xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length({blob})), "
+        f"lambda i: CAST('0x' || substr(hex({blob}), 2 * i + 1, 2) AS BIGINT))), "
+        "lambda c, b: xor(c >> 8, codes[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+CRC = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS codes)"""
+
+RUNS = rf"""
+WITH {CRC},
+w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    {_crc32("encode(CAST(doc_id AS VARCHAR))")} AS h
+  FROM documents, crc),
+n AS (
+  SELECT *, len(words) AS n, h // 10 AS g, (h // 10) % greatest(len(words), 1) AS a FROM w),
+e AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+      words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE words END AS words
+  FROM n),
+t AS (
+  SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS i FROM e),
+q AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+  FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM q GROUP BY doc_id, p, island),
+r AS (
+  SELECT doc_id, start, length, min(p) AS period FROM s WHERE length >= greatest(6, 4 * p) GROUP BY doc_id, start, length),
+l AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM r GROUP BY doc_id),
+b AS (
+  SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN l USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
