@@ -12,6 +12,7 @@ from kilocast.llm.jaccard import op4_ngram_jaccard_join
 from kilocast.llm.mixing import op2_mixing
 from kilocast.llm.periods import op13_periodic_runs
 from kilocast.llm.ppm import op7_ppm_scores
+from kilocast.llm.spelling import op11_spelling_variants
 from kilocast.llm.spotsigs import op6_fingerprints
 from kilocast.llm.substrings import op10_substring_dedup
 from kilocast.llm.tokens import op9_token_files
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -40,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": CHAT,
         "op5_warc": WARC,
         "op10_substring_dedup": REPEATED,
+        "op11_spelling_variants": VARIANTS,
         "op13_periodic_runs": RUNS,
     }
 
@@ -164,3 +167,36 @@ SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 100
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM e LEFT JOIN l USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+VARIANTS = rf"""
+WITH RECURSIVE {CRC},
+w AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+f AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM w GROUP BY ALL),
+h AS (
+  SELECT *, {_crc32("encode(doc_id || ':' || run)")} AS h FROM f, crc),
+d AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+o AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM o a JOIN o b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT o.word, v.word, v.n FROM o JOIN v ON v.word = o.rest
+  UNION SELECT v.word, o.word, o.n FROM o JOIN v ON v.word = o.rest),
+best AS (
+  SELECT word, other, n AS other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+x AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root FROM x
+  UNION ALL SELECT chain.word, x.form FROM chain JOIN x ON x.word = chain.root WHERE x.form IS NOT NULL)
+SELECT x.word, x.form, e.root, x.n, x.n_near, x.form_n
+FROM x JOIN (SELECT chain.word, chain.root FROM chain JOIN x ON x.word = chain.root WHERE x.form IS NULL) e USING (word)
+"""
