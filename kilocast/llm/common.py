@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilocast.plans.storage import fresh_path
+from kilocast.plans.storage import fresh_path, remove
 
 BLOCK_BYTES = 2 << 20
 MASK = (1 << 64) - 1
@@ -29,6 +30,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables; only once all that is computed from them is stored itself."""
+    for df in tables:
+        for folder in {posixpath.dirname(file) for file in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
 def bytes_of(name: str) -> Column:
     """A text column as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(name)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kilocast.llm.chat import op1_chat_format
 from kilocast.llm.decontaminate import op3_decontamination
 from kilocast.llm.jaccard import op4_ngram_jaccard_join
+from kilocast.llm.minhash import op12_minhash_duplicates
 from kilocast.llm.mixing import op2_mixing
 from kilocast.llm.periods import op13_periodic_runs
 from kilocast.llm.ppm import op7_ppm_scores
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_minhash_duplicates": op12_minhash_duplicates,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -40,9 +42,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": CHAT,
+        "op4_ngram_jaccard_join": JOINED,
         "op5_warc": WARC,
         "op10_substring_dedup": REPEATED,
         "op11_spelling_variants": VARIANTS,
+        "op12_minhash_duplicates": DUPLICATES,
         "op13_periodic_runs": RUNS,
     }
 
@@ -200,3 +204,40 @@ chain AS (
 SELECT x.word, x.form, e.root, x.n, x.n_near, x.form_n
 FROM x JOIN (SELECT chain.word, chain.root FROM chain JOIN x ON x.word = chain.root WHERE x.form IS NULL) e USING (word)
 """
+
+
+def _linked(n: int, percent: int) -> str:
+    """SQL tables ``sizes`` (doc_id, n_shingles) and ``comps`` (doc_id, component_id) of linked documents."""
+    return rf"""
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + {n - 1}], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - {n - 2}, 2))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (
+  SELECT w.doc_id, count(shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= {percent} * (x.n_shingles + y.n_shingles - shared)),
+reach AS (
+  SELECT a AS doc_id, a AS other FROM links
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+low AS (
+  SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id),
+comps AS (
+  SELECT sizes.doc_id, n_shingles, coalesce(other, sizes.doc_id) AS component_id FROM sizes LEFT JOIN low USING (doc_id))"""
+
+
+JOINED = f"""
+WITH RECURSIVE {_linked(3, 90)}
+SELECT doc_id, n_shingles, component_id FROM comps
+"""
+
+DUPLICATES = f"""
+WITH RECURSIVE {_linked(4, 80)}
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM comps
+"""
