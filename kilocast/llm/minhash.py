@@ -10,14 +10,17 @@ sets of word shingles; a group of linked documents keeps its smallest doc_id.
    at most 2 * (1 - s ** ``PART``) ** m; m is the smallest for which this is
    at most ``miss`` at the threshold (21 at 0.8, for one in a million).
 2. *Equal sets* are one node from here on.
-3. *Tables.* Keys of a table need a shared u_i, so first nodes meet by (i, u_i)
-   and only those that meet anyone get the keys (i, u_i, j, v_j). Keys that
-   hold the same nodes count once: near copies share most of their keys.
+3. *Tables.* Keys of a table need a shared u_i, so first nodes meet by u_i
+   and only those that meet anyone get the keys (u_i, v_j). Groups that hold
+   the same nodes count once: near copies share most of their keys.
 4. *Stars.* Every node of a key is verified against one of them.
-5. *The rest.* Nodes that share a key, but no component after that, are all
-   compared by their u and v in blocks of ``BLOCK`` nodes; pairs of too few
-   equal ones (a linked pair has as few with probability ``miss``) or of too
-   different sizes go, all others are verified.
+5. *The rest.* Nodes that share a u_i, but no component after that, are
+   compared by their u and v: those of small groups at once, those of groups
+   of over ``BLOCK`` nodes by table, in squares of blocks. Pairs without an
+   equal v_j, of too few equal keys in all (a linked pair has as few with
+   probability ``miss``) or of too different sizes go. A pair that meets in
+   several groups is taken in one, that of the smallest equal u and v, and
+   verified.
 
 Verification compares whole shingle sets, as sets of 64-bit hashes of whole
 texts; only texts with a candidate travel, compressed, in shares of ``SHARE``
@@ -47,7 +50,7 @@ from kilocast.llm.common import IdFilter, Words, blocks, bytes_of, connected, di
 
 PART = 3
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 1024
 SHARE = 256
 _SEED = 20
 
@@ -119,6 +122,8 @@ def sketch(documents: DataFrame, shingle: int, count: int) -> DataFrame:
             bands = np.zeros((table.num_rows, 2 * count), np.uint64)
             if len(full):
                 bands[full] = banded(hashes, edges[full], 2 * count)
+            # A key tells its place in the collection, so that equal ones are of one place.
+            bands = mix(bands ^ np.arange(1, 2 * count + 1, dtype=np.uint64))
             u, v = (
                 pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(half).view(np.int64).ravel()), count).cast(pa.list_(pa.int64()))
                 for half in (bands[:, :count], bands[:, count:])
@@ -132,21 +137,24 @@ def sketch(documents: DataFrame, shingle: int, count: int) -> DataFrame:
     )
 
 
-def distinct_groups(rows: DataFrame, name: str) -> DataFrame:
-    """The rows (``name``, key) of groups of at least two keys; one of the groups that hold the same keys."""
-    groups = rows.groupBy(name).agg(
+def distinct_groups(rows: DataFrame, name: str, *within: str) -> DataFrame:
+    """The rows (``within``, ``name``, key) of groups of at least two keys; of groups of the same keys the smallest ``name``."""
+    groups = rows.groupBy(*within, name).agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("low"), F.max("key").alias("high")
     )
-    chosen = groups.where("low <> high").groupBy("n", "x", "low", "high").agg(F.min(name).alias(name))
-    return rows.join(chosen.select(name), name, "left_semi")
+    chosen = groups.where("low <> high").groupBy(*within, "n", "x", "low", "high").agg(F.min(name).alias(name))
+    return rows.join(chosen.select(*within, name), [*within, name], "left_semi")
 
 
-def tables(nodes: DataFrame) -> DataFrame:
-    """Rows (cell, key): the keys of all tables that several nodes share."""
-    firsts = nodes.select("key", F.posexplode("u").alias("i", "u")).select("key", F.xxhash64("i", "u").alias("first"))
-    met = distinct_groups(firsts, "first")
-    pairs = met.join(nodes.select("key", "v"), "key").select("first", "key", F.posexplode("v").alias("j", "v"))
-    return distinct_groups(pairs.select("key", F.xxhash64("first", "j", "v").alias("cell")), "cell")
+def first_groups(nodes: DataFrame) -> DataFrame:
+    """Rows (u, key): the nodes that meet others by a key of the first collection."""
+    return distinct_groups(nodes.select("key", F.explode("u").alias("u")), "u")
+
+
+def tables(firsts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (u, v, key): the keys of all tables that several nodes share."""
+    pairs = firsts.join(nodes.select("key", "v"), "key").select("u", "key", F.explode("v").alias("v"))
+    return distinct_groups(pairs, "v", "u")
 
 
 def packed_texts(documents: DataFrame, wanted: IdFilter, shingle: int) -> DataFrame:
@@ -214,72 +222,90 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
-def unsettled(cells: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a cell, but not a component, with ``least`` equal keys and of fitting sizes."""
-    placed = cells.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    several = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-    several = several.where("low <> high").select("cell", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    rows = placed.join(several, "cell").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    # Parts i <= j of a cell meet in the square (i, j).
+def unsettled(firsts: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a table, but not a component, with ``least`` equal keys and of fitting sizes; each once."""
+    placed = firsts.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+    def several(rows: DataFrame, *group: str) -> DataFrame:
+        """The rows of groups with more than one component, with the number of their nodes."""
+        found = rows.groupBy(*group).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+        return rows.join(found.where("low <> high").select(*group, "n"), [*group])
+
+    open_ = several(placed, "u")
+    small = open_.where(F.col("n") <= BLOCK).select("u", F.lit(None).cast("long").alias("v"), "key", "comp", F.lit(1).cast("long").alias("parts"))
+    large = open_.where(F.col("n") > BLOCK).join(nodes.select("key", "v"), "key").select("u", F.explode("v").alias("v"), "key", "comp")
+    large = several(large, "u", "v").select("u", "v", "key", "comp", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    rows = small.unionByName(large).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    # Parts i <= j of a group meet in the square (i, j).
     squares = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
         lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")),
     )
-    rows = rows.select("cell", F.explode(squares).alias("at"), "key", "comp", "part")
+    rows = rows.select("u", "v", F.explode(squares).alias("at"), "part", "key", "comp")
     rows = rows.join(nodes.select("key", "size", F.concat("u", "v").alias("bands")), "key")
-    rows = rows.select("cell", "at.i", "at.j", "part", "key", "comp", "size", "bands")
-
-    def compare(part: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, bands: np.ndarray) -> Iterator[tuple]:
-        """Of a square all pairs across its two parts, or within its one part."""
-        first = np.flatnonzero(part == part.min())
-        second = np.flatnonzero(part == part.max())
-        one = part.min() == part.max()
-        for x in first.tolist():
-            y = second[second > x] if one else second
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-            y = y[(bands[y] == bands[x]).sum(axis=1) >= least]
+    rows = rows.select("u", "v", "at.i", "at.j", "part", "key", "comp", "size", "bands")
+    group = ["u", "v", "i", "j"]
+
+    def smallest(equal: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.where(equal, values, np.iinfo(np.int64).max).min(axis=1)
+
+    def compare(u: int, v: int | None, part: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, bands: np.ndarray) -> Iterator[tuple]:
+        """Of a square all pairs across its two parts, or within its one part, that belong here."""
+        half = bands.shape[1] // 2
+        ids, counts = np.unique(comp, return_counts=True)
+        # A pair of two components has a node outside the largest.
+        outside = comp != ids[counts.argmax()]
+        two = part.min() != part.max()
+        place = np.arange(len(key))
+        for x in np.flatnonzero(outside).tolist():
+            y = np.flatnonzero((comp != comp[x]) & (~outside | (place > x)) & ((part != part[x]) if two else True))
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            equal = bands[y] == bands[x]
+            good = (equal.sum(axis=1) >= least) & (smallest(equal[:, :half], bands[x, :half]) == u)
+            first = smallest(equal[:, half:], bands[x, half:])
+            good &= equal[:, half:].any(axis=1) if v is None else first == v
+            y = y[good]
             if len(y):
                 yield np.minimum(key[y], key[x]), np.maximum(key[y], key[x])
 
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        u, part, key, comp, size = (table.column(c).to_numpy() for c in ("u", "part", "key", "comp", "size"))
+        v = table.column("v").to_pylist()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        ends = [*_cuts(table, group), len(key)]
+        found = [
+            pair
+            for s, e in zip(ends[:-1], ends[1:])
+            if e - s > 1
+            for pair in compare(u[s], v[s], part[s:e], key[s:e], comp[s:e], size[s:e], bands[s:e])
+        ]
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell, i, j, part, key, comp, size = (table.column(c).to_numpy() for c in ("cell", "i", "j", "part", "key", "comp", "size"))
-            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            ends = [0, *cuts.tolist(), len(cell)]
-            found = [
-                pair
-                for s, e in zip(ends[:-1], ends[1:])
-                if e - s > 1
-                for pair in compare(part[s:e], key[s:e], comp[s:e], size[s:e], bands[s:e])
-            ]
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
         for batch in batches:
-            # The last square of a batch may go on in the next.
-            where = [batch.column(c).to_numpy() for c in ("cell", "i", "j")]
-            last = np.flatnonzero(np.logical_or.reduce([w[1:] != w[:-1] for w in where]))
-            first_of = [w[0] for w in where] if batch.num_rows else []
-            if held and batch.num_rows:
-                end = [held[-1].column(c)[-1].as_py() for c in ("cell", "i", "j")]
-                if end != first_of:
-                    yield from settle(pa.Table.from_batches(held))
-                    held = []
-            if len(last):
-                cut = int(last[-1]) + 1
-                yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            elif batch.num_rows:
-                held.append(batch)
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            # The last square may go on in the next batch.
+            last = _cuts(table, group)[-1] if table.num_rows else 0
+            if last:
+                yield from settle(table.slice(0, last))
+                held = table.slice(last).to_batches()
         if held:
             yield from settle(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+
+
+def _cuts(table: pa.Table, columns: list[str]) -> list[int]:
+    """Where runs of rows that are equal in the columns begin."""
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for name in columns:
+        values = table.column(name).fill_null(0).to_numpy()
+        new |= values[1:] != values[:-1]
+    return [0, *(np.flatnonzero(new) + 1).tolist()]
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -290,9 +316,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
         .groupBy("key")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("u").alias("u"), F.first("v").alias("v"))
     )
-    cells = stored(tables(nodes))
-    centres = cells.groupBy("cell").agg(F.min("key").alias("a"))
-    stars = cells.join(centres, "cell").where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    firsts = stored(first_groups(nodes))
+    cells = stored(tables(firsts, nodes))
+    centres = cells.groupBy("u", "v").agg(F.min("key").alias("a"))
+    stars = cells.join(centres, ["u", "v"]).where("a <> key").select("a", F.col("key").alias("b")).distinct()
     sizes = nodes.select("key", "size")
     stars = stored(
         stars.join(sizes.toDF("a", "size_a"), "a")
@@ -300,13 +327,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
         .where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
         .select("a", "b")
     )
-    members = cells.select("key").distinct()
+    members = firsts.select("key").distinct()
     wanted = IdFilter.of(nodes.join(members, "key", "left_semi").select("doc_id"), "doc_id")
     texts = stored(packed_texts(documents, wanted, shingle))
     links = stored(verified(stars, texts, shingle, percent))
-    rest = unsettled(cells, connected(links), nodes, percent, least_equal(percent, miss))
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
     discard(cells)
+    rest = unsettled(firsts, connected(links), nodes, percent, least_equal(percent, miss))
+    rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
+    discard(firsts)
     more = stored(links.unionByName(verified(rest, texts, shingle, percent)))
     discard(texts, rest, stars, links)
     comps = connected(more)
