@@ -20,7 +20,7 @@ from kilocast.functions.calendar import QUERY_WEEKEND, day_kind, day_of_year, se
 from kilocast.operators import checks, mapping, shapes, weather
 from kilocast.operators.intensity import NON_RESIDENTIAL, RESIDENTIAL
 from kilocast.operators.projection import annual_mwh, replace_road_energy, scaling_factors
-from kilocast.plans.project import MAPPING, schema_differences
+from kilocast.plans.project import MAPPING
 from kilocast.plans.storage import fresh_path
 from kilocast.queries import annual, duration, listing, seasonal, secondary, series
 from kilocast.queries import weather as weather_queries
@@ -81,13 +81,31 @@ add("src_parquet", lambda i: _through_file(i, ".parquet"), _GDP_SQL)
 def _through_partitions(i: Inputs) -> DataFrame:
     path = fresh_path(i.spark)
     i.gdp.write.partitionBy("model_year").parquet(path)
-    back = read_table(i.spark, path).withColumn("model_year", F.col("model_year").cast("long"))
-    return _cut(back.select("geography", "model_year", "value"), "value")
+    return _cut(read_table(i.spark, path).select("geography", "model_year", "value"), "value")
 
 
 add("src_parquet_partitioned", _through_partitions, _GDP_SQL)
 
 
+def _text_ids(i: Inputs) -> DataFrame:
+    """Customers' balances, in folders named by nations like 007 and by year."""
+    path = fresh_path(i.spark)
+    rows = i.given("customer").groupBy(
+        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("geography"),
+        (2025 + F.col("c_custkey") % 3).alias("model_year"),
+    ).agg(F.sum(F.round(F.col("c_acctbal") * 100)).alias("value"))
+    rows.write.partitionBy("geography", "model_year").parquet(path)
+    return read_table(i.spark, path).select("geography", "model_year", "value")
+
+
+add(
+    "src_parquet_text_ids",
+    _text_ids,
+    "SELECT lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS geography, CAST(2025 + c_custkey % 3 AS BIGINT) AS model_year, "
+    "SUM(ROUND(c_acctbal * 100)) AS value FROM customer GROUP BY ALL",
+)
+
+
 def _export(i: Inputs) -> DataFrame:
     path = fresh_path(i.spark, ".parquet")
     i.project.export_calculated_table("baseline", "temperature_multipliers", path)
@@ -112,13 +130,19 @@ add(
     ),
     _GDP_SQL,
 )
+
+
+def _shown(i: Inputs) -> DataFrame:
+    """Which rows the limit shows is open: each has to be one of the table, and so many there have to be."""
+    shown = i.project.show_data_table("alternate_gdp", "load_shapes", 20)
+    found = shown.join(i.load_shapes, shown.columns, "left_semi")
+    return found.groupBy().agg(F.count("*").alias("n"), F.count_distinct(*shown.columns).alias("different"))
+
+
 add(
     "show_data_table",
-    # The limit is the feature: which rows are shown is open, so their number is compared.
-    lambda i: i.project.show_data_table("alternate_gdp", "load_shapes", 20)
-    .groupBy()
-    .agg(F.count("*").alias("n")),
-    "SELECT LEAST(COUNT(*), 20) AS n FROM load_shapes",
+    _shown,
+    "SELECT LEAST(COUNT(*), 20) AS n, LEAST(COUNT(*), 20) AS different FROM load_shapes",
 )
 
 
@@ -146,8 +170,8 @@ def _years_left(i: Inputs) -> DataFrame:
     name = "energy_intensity_res_hdi_population_applied_regression"
     for table in (name, "energy_intensity_com_ind_tra_gdp_applied_regression"):
         kept = project.calculated_table("baseline", table).filter("model_year < 2035")
-        project._put("baseline", table, kept)
-    return _consumption(project.compute_energy_projection(["baseline"]))
+        project.override_with("baseline", table, kept)
+    return _consumption(project.get_energy_projection())
 
 
 def _query_after_override(i: Inputs) -> DataFrame:
@@ -287,42 +311,126 @@ add(
 )
 
 
-def _schema_problems(i: Inputs) -> DataFrame:
-    """Tables offered as an override of GDP, and what keeps each from it."""
-    gdp = i.project.calculated_table("baseline", "gdp_country")
-    offered = {
-        "same": gdp.select("value", "model_year", "geography"),
-        "narrow": gdp.withColumn("model_year", F.col("model_year").cast("int")),
-        "wide": gdp.withColumn("more", F.lit(1)),
-    }
-    rows = [(name, len(schema_differences(df.schema, gdp.schema))) for name, df in offered.items()]
-    found = i.spark.createDataFrame(rows, "name string, problems long")
-    return found.join(gdp.select("geography", "model_year"))
+def _reordered_override(i: Inputs) -> DataFrame:
+    """Tables that do not fit are refused; one with its columns in another order gives what its names say."""
+    project = i.project
+    gdp = project.calculated_table("baseline", "gdp_country")
+    refused = 0
+    for df in (gdp.withColumn("model_year", F.col("model_year").cast("int")), gdp.withColumn("more", F.lit(1))):
+        try:
+            project.override_with("baseline", "gdp_country", df)
+        except InvalidParameter:
+            refused += 1
+    grown = gdp.select((F.col("value") * 1.5).alias("value"), "model_year", "geography")
+    project.override_with("baseline", "gdp_country", grown)
+    found = _cut(project.calculated_table("baseline", "gdp_country"), "value")
+    return found.withColumn("refused", F.lit(refused).cast("long"))
 
 
 add(
     "schema_diff",
-    _schema_problems,
-    "SELECT * FROM (VALUES ('same', CAST(0 AS BIGINT)), ('narrow', 1), ('wide', 1)) t(name, problems), "
-    "(SELECT geography, model_year FROM gdp)",
+    _reordered_override,
+    f"SELECT geography, model_year, {cut('value * 1.5e0')} AS value, CAST(2 AS BIGINT) AS refused FROM gdp",
 )
 
 
 def _guarded(i: Inputs) -> DataFrame:
-    """A project whose shapes are all gone must refuse, and leave no result."""
+    """A project whose shapes are gone must refuse to compute; the result it had is the one that stays."""
     project = i.settled.project
-    shapes_given = project.data_table("baseline", "load_shapes")
-    project.catalog._data["baseline", "load_shapes"] = shapes_given.filter("month > 12")
+    project.compute_energy_projection()
+    project.catalog.put_data("baseline", "load_shapes", project.data_table("baseline", "load_shapes").filter("month > 12"))
     try:
         project.compute_energy_projection()
     except InvalidParameter:
-        refused = project.result_path is None
-    else:
-        refused = False
-    return shapes_given.groupBy("geography").agg(F.lit(refused).alias("refused"))
+        return _consumption(project.get_energy_projection())
+    raise AssertionError("an empty projection was written")
+
 
+add("empty_guard", _guarded, _CONSUMPTION_SQL.format("projections"))
+
+
+def _versions(i: Inputs) -> DataFrame:
+    """The consumption of a result that has been replaced, read from its own version, beside that of the new one."""
+    project = i.settled.project
+    old = project.compute_energy_projection()
+    _triple(project)
+    first = _consumption(old).withColumn("version", F.lit(1).cast("long"))
+    again = _consumption(project.get_energy_projection(version=1)).withColumn("version", F.lit(10).cast("long"))
+    last = _consumption(project.get_energy_projection()).withColumn("version", F.lit(project.result_version).cast("long"))
+    return first.unionByName(again).unionByName(last)
+
+
+add(
+    "projection_version",
+    _versions,
+    "SELECT *, CAST(1 AS BIGINT) AS version FROM (" + _CONSUMPTION_SQL.format("projections") + ") "
+    "UNION ALL SELECT *, 10 FROM (" + _CONSUMPTION_SQL.format("projections") + ") "
+    "UNION ALL SELECT *, 2 FROM (" + _CONSUMPTION_SQL.format(_TRIPLED_ALL) + ")",
+)
+
+
+def _one_year_changed(i: Inputs) -> DataFrame:
+    """An override that differs in one year: that year is written again, the others are taken over."""
+    project = i.settled.project
+    project.compute_energy_projection()
+    name = "energy_intensity_res_hdi_population_applied_regression"
+    more = F.when(F.col("model_year") == 2030, F.col("value") * 3).otherwise(F.col("value"))
+    project.override_with("baseline", name, project.calculated_table("baseline", name).withColumn("value", more))
+    return _consumption(project.get_energy_projection())
 
-add("empty_guard", _guarded, "SELECT DISTINCT geography, TRUE AS refused FROM load_shapes")
+
+add(
+    "recompute_one_year",
+    _one_year_changed,
+    _CONSUMPTION_SQL.format(
+        "(SELECT * REPLACE (CASE WHEN scenario = 'baseline' AND sector = 'Residential' AND model_year = 2030 "
+        "THEN 3 ELSE 1 END * value AS value) FROM projections)"
+    ),
+)
+add(
+    "compute_without_overrides",
+    lambda i: _consumption(_tripled(i)[0].compute_energy_projection(use_table_overrides=False)),
+    _CONSUMPTION_SQL.format("projections"),
+)
+
+
+def _client(i: Inputs) -> ProjectionClient:
+    project = i.settled.project
+    project.compute_energy_projection()
+    return ProjectionClient(project)
+
+
+_ALL_HOURS = (
+    '(SELECT scenario, geography, model_year AS year, "timestamp", SUM(value) AS total FROM projections GROUP BY ALL)'
+)
+add(
+    "hourly_sums",
+    lambda i: _cut(_client(i).project.get_hourly_sums(), "value", digits=6),
+    f'SELECT scenario, geography, year AS model_year, "timestamp", {cut("total", 6)} AS value FROM {_ALL_HOURS}',
+)
+add(
+    "annual_sums",
+    lambda i: _cut(_client(i).project.get_annual_sums(), "value"),
+    f"SELECT scenario, geography, model_year, sector, metric, {cut('SUM(value)')} AS value "
+    "FROM projections GROUP BY ALL",
+)
+add(
+    "stored_consumption",
+    lambda i: _cut(_client(i).get_annual_electricity_consumption(group_by="End Use"), "value"),
+    f"SELECT scenario, geography, model_year AS year, metric, {cut('SUM(value)')} AS value FROM projections GROUP BY ALL",
+)
+add(
+    "stored_peak",
+    lambda i: _cut(_client(i).get_annual_peak_demand(), "value"),
+    f"SELECT scenario, geography, year, {cut('MAX(total)')} AS value FROM {_ALL_HOURS} GROUP BY ALL",
+)
+add(
+    "stored_hours",
+    lambda i: _cut(_client(i).get_time_series_comparison("baseline", YEARS, resample=series.HOURLY), "value", digits=6),
+    "SELECT scenario, geography, year, CAST(row_number() OVER (PARTITION BY scenario, geography, year "
+    f'ORDER BY "timestamp") AS BIGINT) AS time_period, {cut("total", 6)} AS value FROM {_ALL_HOURS} '
+    "WHERE scenario = 'baseline'",
+)
 add(
     "all_scenarios",
     lambda i: _cut(i.settled.project.prepared_projection(), "value", digits=6),

@@ -30,7 +30,7 @@ class ProjectionClient:
     ) -> None:
         self.project = project
         self._given = projection
-        self._read: tuple[int, DataFrame] | None = None
+        self._read: tuple[int, DataFrame, DataFrame, DataFrame] | None = None
         countries = project.config.countries
         if geography is None and countries is not None and len(countries) == 1:
             geography = countries[0]
@@ -38,28 +38,39 @@ class ProjectionClient:
         self._years: list[int] | None = None
         self._scenarios: list[str] | None = None
 
-    @property
-    def projection(self) -> DataFrame:
-        """The projection given, or the project's stored one as it is now."""
-        if self._given is not None:
-            return self._given
+    def _stored(self) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+        """Version, rows, sums by hour and sums by year of the project's result as it is now."""
         version = self.project.result_version
         if self._read is None or self._read[0] != version:
-            self._read = (version, self.project.get_energy_projection())
+            self._read = (
+                version,
+                self.project.get_energy_projection(),
+                self.project.get_hourly_sums(),
+                self.project.get_annual_sums(),
+            )
             self._years = self._scenarios = None
-        return self._read[1]
+        return self._read
+
+    @property
+    def projection(self) -> DataFrame:
+        """The projection given, or the project's stored one as it is now."""
+        return self._stored()[1] if self._given is None else self._given
+
+    @property
+    def _hours(self) -> DataFrame:
+        """What queries read that need neither sectors nor end uses: stored sums by hour where there are any."""
+        return self._stored()[2] if self._given is None else self._given
 
     @property
-    def _keys(self) -> DataFrame:
-        """A table that has the years and scenarios; the stored keys where there are any."""
-        projection = self.projection
-        return projection if self._given is not None else self.project.get_projection_keys()
+    def _sums(self) -> DataFrame:
+        """What queries read that need no hours: stored sums by year, sector and end use where there are any."""
+        return self._stored()[3] if self._given is None else self._given
 
     # What is there
 
     @property
     def years(self) -> list[int]:
-        keys = self._keys
+        keys = self._sums
         if self._years is None:
             rows = listing.unique_values(keys, "model_year", self.geography).collect()
             self._years = [r[0] for r in rows]
@@ -69,7 +80,7 @@ class ProjectionClient:
 
     @property
     def scenarios(self) -> list[str]:
-        keys = self._keys
+        keys = self._sums
         if self._scenarios is None:
             rows = listing.scenarios_in_order(
                 keys, self.project.list_scenario_names(), self.geography
@@ -85,12 +96,12 @@ class ProjectionClient:
 
     def get_unique_sectors(self) -> list[str]:
         return [
-            r[0] for r in listing.unique_values(self.projection, "sector", self.geography).collect()
+            r[0] for r in listing.unique_values(self._sums, "sector", self.geography).collect()
         ]
 
     def get_unique_end_uses(self) -> list[str]:
         return [
-            r[0] for r in listing.unique_values(self.projection, "metric", self.geography).collect()
+            r[0] for r in listing.unique_values(self._sums, "metric", self.geography).collect()
         ]
 
     def _scope(self, scenarios: Sequence[str], years: Sequence[int]) -> Scope:
@@ -118,7 +129,7 @@ class ProjectionClient:
         years: Sequence[int] | None = None,
         group_by: str | None = None,
     ) -> DataFrame:
-        return annual.consumption(self.projection, self._or_all(scenarios, years), group_by)
+        return annual.consumption(self._sums, self._or_all(scenarios, years), group_by)
 
     def get_annual_peak_demand(
         self,
@@ -128,7 +139,7 @@ class ProjectionClient:
     ) -> DataFrame:
         scope = self._or_all(scenarios, years)
         if group_by is None:
-            return annual.peak(self.projection, scope)
+            return annual.peak(self._hours, scope)
         return annual.peak_breakdown(self.projection, scope, group_by)
 
     def get_scenario_summary(self, scenario: str, year: int) -> dict[str, float]:
@@ -137,7 +148,7 @@ class ProjectionClient:
             raise ValueError("a summary is of one country: give the client a geography")
         self._scope([scenario], [year])
         scope = Scope(self.geography, [scenario], None, self.scenarios)
-        row = annual.summary(self.projection, scope).filter(f"year = {int(year)}").first()
+        row = annual.summary(self._hours, scope).filter(f"year = {int(year)}").first()
         if row is None:
             raise ValueError(f"scenario {scenario!r} has no projection of {year}")
         return {
@@ -148,10 +159,10 @@ class ProjectionClient:
 
     def get_growth_indicators(self, scenario: str, start_year: int | None = None) -> DataFrame:
         scope = self._or_all([scenario], None)
-        return annual.growth_indicators(self.projection, scope, start_year)
+        return annual.growth_indicators(self._hours, scope, start_year)
 
     def get_scenario_difference(self, base: str, other: str) -> DataFrame:
-        return annual.difference(self.projection, self._or_all([base, other], None), base, other)
+        return annual.difference(self._sums, self._or_all([base, other], None), base, other)
 
     # Curves and series
 
@@ -166,9 +177,9 @@ class ProjectionClient:
             raise ValueError("choose several years or several scenarios, not both")
         scope = self._scope(wanted, wanted_years)
         if len(wanted_years) > 1:
-            return duration.load_duration(self.projection, scope, "year", wanted_years)
+            return duration.load_duration(self._hours, scope, "year", wanted_years)
         in_order = [s for s in self.scenarios if s in wanted]
-        return duration.load_duration(self.projection, scope, "scenario", in_order)
+        return duration.load_duration(self._hours, scope, "scenario", in_order)
 
     def get_time_series_comparison(
         self,
@@ -180,8 +191,10 @@ class ProjectionClient:
         totals_first: bool = False,
     ) -> DataFrame:
         scope = self._scope([scenario], _as_list(years))
+        # Hourly totals are all that these two need; the other means are over rows.
+        totals = group_by is None and (resample == series.HOURLY or totals_first)
         return series.comparison(
-            self.projection, scope, group_by, resample, hour_of_year, totals_first
+            self._hours if totals else self.projection, scope, group_by, resample, hour_of_year, totals_first
         )
 
     def get_seasonal_load_lines(
@@ -192,7 +205,7 @@ class ProjectionClient:
         agg: str = "Average Day",
     ) -> DataFrame:
         scope = self._scope([scenario], self.years if years is None else _as_list(years))
-        return seasonal.profile(self.projection, scope, group_by, agg)
+        return seasonal.profile(self._hours, scope, group_by, agg)
 
     def get_seasonal_load_area(
         self,
@@ -203,7 +216,8 @@ class ProjectionClient:
         breakdown: str | None = None,
     ) -> DataFrame:
         scope = self._scope([scenario], [year])
-        return seasonal.profile(self.projection, scope, group_by, agg, breakdown)
+        rows = self._hours if breakdown is None else self.projection
+        return seasonal.profile(rows, scope, group_by, agg, breakdown)
 
     # Beside the load
 

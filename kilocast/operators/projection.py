@@ -7,7 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilocast.operators.shapes import SECTOR_KEYS, adjust, expand, hour_slot
+from kilocast.operators.shapes import (
+    SECTOR_KEYS,
+    adjust,
+    annual_totals,
+    expand,
+    hour_slot,
+    hourly_sums,
+    unfold,
+    with_days,
+)
 from kilocast.schemas import PROJECTION
 
 # Fixed value: MWh in one TJ, to the digits that results are compared with.
@@ -15,6 +24,9 @@ MWH_PER_TJ = 277.777777778
 
 RESULT_COLUMNS = PROJECTION.fieldNames()
 
+# Order of the rows in the files of a written projection.
+FILE_ORDER = ("scenario", "model_year", "geography")
+
 
 def annual_mwh(energy: DataFrame) -> DataFrame:
     return energy.select(
@@ -60,15 +72,35 @@ def project_shapes(
     Factors join the representative rows; expansion comes last, so no expanded
     row is ever shuffled. Sectors without annual energy drop out of the join.
 
-    With ``files`` the representative rows are dealt by model year and that
-    many parts of (geography, hour slot) first, so that hours which are written
-    leave in as many files for each year, each with few geographies.
+    With ``files`` the rows are laid out for writing: representative rows are
+    dealt by scenario, model year and that many parts of (geography, hour slot),
+    so that hours leave in as many files for each scenario and year, each with
+    few geographies, and sorted as the files want them. The hours keep that
+    order without being sorted.
     """
     scaled = shapes.join(factors, SECTOR_KEYS)
-    if files is not None:
-        part = F.pmod(F.xxhash64("geography", hour_slot()), F.lit(files))
-        scaled = scaled.repartition("model_year", part)
-    return _result(adjust(expand(scaled, multipliers)))
+    if files is None:
+        return _result(adjust(expand(scaled, multipliers)))
+    part = F.pmod(F.xxhash64("geography", hour_slot()), F.lit(files))
+    dealt = with_days(scaled, multipliers).repartition("scenario", "model_year", part)
+    return _result(adjust(unfold(dealt.sortWithinPartitions(*FILE_ORDER))))
+
+
+def project_hours(shapes: DataFrame, multipliers: DataFrame, factors: DataFrame) -> DataFrame:
+    """The load of every hour, all sectors and end uses together, without the hourly rows of each."""
+    scaled = shapes.join(factors, SECTOR_KEYS)
+    value = F.col("load_shape_value") * F.col("scaling_factor")
+    keys = ["scenario", "model_year", "geography"]
+    return hourly_sums(scaled, multipliers, keys, value).select("timestamp", *keys, "value")
+
+
+def project_years(shapes: DataFrame, multipliers: DataFrame, factors: DataFrame) -> DataFrame:
+    """The energy of every year by sector and end use, without any hourly row."""
+    totals = annual_totals(shapes, multipliers, "enduse").join(factors, SECTOR_KEYS)
+    energy = F.col("load_shape_annual_total") * F.col("scaling_factor")
+    return totals.select(
+        "scenario", "model_year", "geography", "sector", F.col("enduse").alias("metric"), energy.alias("value")
+    )
 
 
 def project_expanded(adjusted: DataFrame, factors: DataFrame) -> DataFrame:

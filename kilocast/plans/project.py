@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager, nullcontext
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,23 +17,36 @@ from kilocast.operators import weather
 from kilocast.operators.checks import association_gaps, time_gaps
 from kilocast.operators.drivers import in_countries, in_years
 from kilocast.operators.mapping import MANY_TO_ONE, map_dimension, mapping_problems
-from kilocast.operators.projection import RESULT_COLUMNS
+from kilocast.operators import projection as projections
+from kilocast.operators.projection import FILE_ORDER, RESULT_COLUMNS
 from kilocast.plans.models import MODELS
-from kilocast.plans.storage import fresh_path, pin, remove, replace_folder, subfolders
+from kilocast.plans.prints import factor_prints, shape_prints, weather_print
+from kilocast.plans.storage import fresh_path, pin, remove, setting
 from kilocast.plans.tables import (
     Catalog,
+    group_factors,
     group_projection,
+    group_shapes,
     share_expansion,
+    stands_alone,
 )
+from kilocast.plans.versions import Version, VersionStore
 from kilocast.queries import listing
-from kilocast.schemas import DATA_TABLES, PROJECTION
-from kilocast.sources.files import cast_years, read_table, write_table
+from kilocast.schemas import DATA_TABLES, HOURS, PROJECTION, YEARS
+from kilocast.sources.files import cast_years, check_target, read_table, write_table
 
 OVERRIDE_SUFFIX = "_override"
 KEYS = ("geography", "scenario", "model_year")
+# Tables of a stored result: all rows, sums by hour, and sums by year, sector and end use.
+ROWS_TABLE, HOURS_TABLE, YEARS_TABLE = RESULT_TABLES = ("data", "_hours", "_keys")
 MAPPING = StructType([StructField("from_id", StringType()), StructField("to_id", StringType())])
 # Files of the stored projection for each scenario and model year.
 FILES_PER_YEAR = 16
+# The same of the sums stored beside it.
+SUM_FILES = 2
+# Files that a task may have open when its rows come in order; with more of them Spark sorts the rest.
+OPEN_FILES = 8
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 class Project:
@@ -54,8 +67,6 @@ class Project:
         self.catalog = Catalog(config, data, scenario_data, strict)
         self.result_path = result_path
         self._overrides: list[TableOverride] = []
-        #: Grows with every computation, so that clients know when to read again.
-        self.result_version = 0
         # Multipliers as planned or as stored, and as stored.
         self._pinned: list[tuple[DataFrame, DataFrame]] = []
         self._stored_paths: list[str] = []
@@ -260,58 +271,166 @@ class Project:
         )
 
     def compute_energy_projection(
-        self, scenarios: Sequence[str] | None = None, files: int = FILES_PER_YEAR
+        self,
+        scenarios: Sequence[str] | None = None,
+        files: int = FILES_PER_YEAR,
+        use_table_overrides: bool = True,
+        only_changed: bool = False,
     ) -> DataFrame:
         """Compute and write the projection, partitioned by scenario and model year.
 
-        Naming scenarios recomputes those alone; a recomputed scenario is
-        replaced as a whole. The new files are written beside the old ones and
-        moved into place when they are complete, so that a failure leaves the
-        old result. A scenario without rows is an error. A small table of the
-        countries, scenarios and years is kept beside the result.
+        The result gets a new version, which takes over the scenarios that are
+        not named. Nothing of the old version is touched and it stays the result
+        until the new one is whole, so a failure at any step leaves it; a
+        DataFrame read before goes on showing it. Sums by hour and by year are
+        stored beside the rows, for the queries that need no more. A scenario
+        without rows is an error.
+
+        With ``only_changed`` years whose factors, shapes and weather have the
+        fingerprints of the last version are taken over and not written again.
+        Without ``use_table_overrides`` the tables are those without overrides.
         """
         names = self._names(scenarios)
-        path = self.result_path or fresh_path(self.spark)
-        new = f"{path}-new-{uuid.uuid4().hex}"
-        try:
-            write_projection(self.prepared_projection(scenarios, files), new)
-            written = set(subfolders(self.spark, new))
-            empty = [name for name in names if _scenario_folder(name) not in written]
-            if empty:
-                raise InvalidParameter(f"there is no hourly projection for scenarios {empty}")
-            keys = self.spark.read.schema(PROJECTION).parquet(new).select(*KEYS).distinct()
-            keys.write.partitionBy("scenario").parquet(f"{new}/_keys")
-            kept = {_scenario_folder(name) for name in self.list_scenario_names()}
-            for folder in [*map(_scenario_folder, names), *(set(subfolders(self.spark, path)) - kept - {"_keys"})]:
-                for inner in ("", "_keys/"):
-                    if folder in written:
-                        replace_folder(self.spark, f"{new}/{inner}{folder}", f"{path}/{inner}{folder}")
-                    elif scenarios is None:
-                        remove(self.spark, f"{path}/{inner}{folder}")
-        finally:
-            remove(self.spark, new)
-        self.result_path = path
-        self.result_version += 1
+        with nullcontext() if use_table_overrides else self._without_overrides():
+            path = self.result_path or fresh_path(self.spark)
+            store = VersionStore(self.spark, path)
+            base = store.version()
+            run = store.new_run()
+            pinned: list[str] = []
+            try:
+                runs, prints = self._write_run(store, base if only_changed else None, run, names, files, pinned)
+            except BaseException:
+                store.discard(run, RESULT_TABLES)
+                raise
+            finally:
+                for folder in pinned:
+                    remove(self.spark, folder)
+            if base is not None:
+                # Scenarios that were not asked for stay, unless the project has lost them.
+                kept = set(self.list_scenario_names()) - set(names) if scenarios is not None else ()
+                runs = {s: base.runs[s] for s in base.runs if s in kept} | runs
+                prints = {s: base.prints[s] for s in base.prints if s in kept} | prints
+            if base is None or (dict(base.runs), dict(base.prints)) != (runs, prints):
+                store.commit(base, runs, prints)
+            self.result_path = path
         return self.get_energy_projection()
 
-    def get_projection_keys(self) -> DataFrame:
-        """Countries, scenarios and model years of the written projection."""
-        if self.result_path is None:
+    def _write_run(
+        self,
+        store: VersionStore,
+        base: Version | None,
+        run: str,
+        names: Sequence[str],
+        files: int,
+        pinned: list[str],
+    ) -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]]]:
+        """Write what differs from ``base``; the run and the fingerprint of each scenario and year."""
+        self._pin_multipliers(names)
+        runs: dict[str, dict[str, str]] = {name: {} for name in names}
+        prints: dict[str, dict[str, str]] = {name: {} for name in names}
+        for members in share_expansion(self.catalog, names):
+            if stands_alone(self.catalog, members[0]):
+                self._write_alone(store, run, members[0])
+                continue
+            path = fresh_path(self.spark)
+            pinned.append(path)
+            factors = pin(group_factors(self.catalog, members), path)
+            shapes, multipliers = group_shapes(self.catalog, members)
+            outside = weather_print(multipliers)
+            by_year = shape_prints(shapes)
+            wanted: dict[str, list[str]] = {}
+            for (scenario, year), own in factor_prints(factors).items():
+                found = f"{own}-{by_year.get(year, '')}-{outside}"
+                prints[scenario][year] = found
+                if base is not None and base.prints.get(scenario, {}).get(year) == found:
+                    runs[scenario][year] = base.runs[scenario][year]
+                else:
+                    wanted.setdefault(scenario, []).append(year)
+            if wanted:
+                self._write_group(store, run, members, _of_years(factors, wanted), files)
+        written = store.written(ROWS_TABLE, run)
+        for name in names:
+            runs[name].update(dict.fromkeys(written.get(name, ()), run))
+            # Factors of which no shape is there have no rows.
+            prints[name] = {year: p for year, p in prints[name].items() if year in runs[name]}
+        empty = [name for name in names if not runs[name]]
+        if empty:
+            raise InvalidParameter(f"there is no hourly projection for scenarios {empty}")
+        return runs, prints
+
+    def _write_group(
+        self, store: VersionStore, run: str, members: Sequence[str], factors: DataFrame, files: int
+    ) -> None:
+        """Rows, hours and years of scenarios that share an expansion."""
+        shapes, multipliers = group_shapes(self.catalog, members)
+        rows = group_projection(self.catalog, members, files, factors)
+        write_projection(rows, store.folder(ROWS_TABLE, run), in_order=True)
+        hours = projections.project_hours(shapes, multipliers, factors)
+        write_sums(hours, store.folder(HOURS_TABLE, run))
+        write_sums(projections.project_years(shapes, multipliers, factors), store.folder(YEARS_TABLE, run))
+
+    def _write_alone(self, store: VersionStore, run: str, name: str) -> None:
+        """The same of a scenario whose rows come from an override, summed up from what is written."""
+        folder = store.folder(ROWS_TABLE, run)
+        write_projection(self.catalog.scenario(name).table("energy_projection"), folder)
+        written = store.scenario_folders(ROWS_TABLE, run).get(name)
+        if written is None:
+            return
+        rows = self.spark.read.schema(PROJECTION).option("basePath", folder).parquet(written)
+        by_hour = rows.groupBy("timestamp", *FILE_ORDER).agg(F.sum("value").alias("value"))
+        write_sums(by_hour, store.folder(HOURS_TABLE, run))
+        by_year = rows.groupBy(*FILE_ORDER, "sector", "metric").agg(F.sum("value").alias("value"))
+        write_sums(by_year, store.folder(YEARS_TABLE, run))
+
+    @property
+    def result_version(self) -> int:
+        """Number of the latest version of the stored result, 0 if there is none."""
+        known = [] if self.result_path is None else VersionStore(self.spark, self.result_path).numbers()
+        return known[-1] if known else 0
+
+    def list_result_versions(self) -> list[int]:
+        return [] if self.result_path is None else VersionStore(self.spark, self.result_path).numbers()
+
+    def remove_old_versions(self, keep: int = 1) -> None:
+        """Delete all but the last ``keep`` versions, and what failed runs have left.
+
+        DataFrames of the others are not to be read after, and nobody may be computing meanwhile.
+        """
+        if keep < 1:
+            raise InvalidParameter("at least one version has to stay")
+        if self.result_path is not None:
+            VersionStore(self.spark, self.result_path).keep_last(keep, RESULT_TABLES)
+
+    def _stored(self, table: str, schema: StructType, version: int | None) -> DataFrame:
+        found = None
+        if self.result_path is not None:
+            store = VersionStore(self.spark, self.result_path)
+            found = store.version(version)
+        if found is None:
             raise InvalidOperation("the energy projection has not been computed yet")
-        kinds = StructType([PROJECTION[name] for name in KEYS])
-        return self.spark.read.schema(kinds).parquet(f"{self.result_path}/_keys")
+        return store.read(found, table, schema)
+
+    def get_projection_keys(self, version: int | None = None) -> DataFrame:
+        """Countries, scenarios and model years of the written projection."""
+        return self.get_annual_sums(version).select(*KEYS).distinct()
+
+    def get_annual_sums(self, version: int | None = None) -> DataFrame:
+        """Energy of the written projection by year, sector and end use."""
+        return self._stored(YEARS_TABLE, YEARS, version)
+
+    def get_hourly_sums(self, version: int | None = None) -> DataFrame:
+        """Load of the written projection by hour, of all sectors and end uses together."""
+        return self._stored(HOURS_TABLE, HOURS, version)
 
     def _recompute(self, scenarios: Iterable[str]) -> None:
         """Bring the stored result, if there is one, up to date with changed scenarios."""
         changed = list(dict.fromkeys(scenarios))
-        if self.result_path is not None and changed and subfolders(self.spark, self.result_path):
-            self.compute_energy_projection(changed)
+        if changed and self.result_version:
+            self.compute_energy_projection(changed, only_changed=True)
 
-    def get_energy_projection(self, scenario: str | None = None) -> DataFrame:
-        """The written projection; one scenario reads its partitions only."""
-        if self.result_path is None:
-            raise InvalidOperation("the energy projection has not been computed yet")
-        result = self.spark.read.schema(PROJECTION).parquet(self.result_path)
+    def get_energy_projection(self, scenario: str | None = None, version: int | None = None) -> DataFrame:
+        """The written projection, the latest version if none is named; one scenario reads its partitions only."""
+        result = self._stored(ROWS_TABLE, PROJECTION, version)
         if scenario is not None:
             self._check_scenario(scenario)
             result = result.filter(F.col("scenario") == scenario)
@@ -342,14 +461,16 @@ class Project:
             schema = self.calculated_table(item.scenario, item.table_name).schema
             df = read_table(self.spark, item.filename, schema)
             loaded.append((item, conform(df, schema)))
-        for item, df in loaded:
-            self._put(item.scenario, item.table_name, df)
-        self._recompute(item.scenario for item, _ in loaded)
+        with self._all_or_nothing():
+            for item, df in loaded:
+                self._put(item.scenario, item.table_name, df)
+            self._recompute(item.scenario for item, _ in loaded)
 
     def override_with(self, scenario: str, table: str, df: DataFrame) -> None:
         """Replace a calculated table by a DataFrame of the same columns; recomputes as above."""
-        self._put(scenario, table, df)
-        self._recompute([scenario])
+        with self._all_or_nothing():
+            self._put(scenario, table, df)
+            self._recompute([scenario])
 
     def _put(self, scenario: str, table: str, df: DataFrame) -> None:
         existing = self.calculated_table(scenario, table)
@@ -372,20 +493,43 @@ class Project:
             if entry in entries:
                 raise InvalidOperation(f"{item.table_name!r} is named more than once")
             entries.append(entry)
-        for entry in entries:
-            self._overrides.remove(entry)
-            self.catalog.drop_override(entry.scenario, entry.table_name)
-        self._recompute(entry.scenario for entry in entries)
+        with self._all_or_nothing():
+            for entry in entries:
+                self._overrides.remove(entry)
+                self.catalog.drop_override(entry.scenario, entry.table_name)
+            self._recompute(entry.scenario for entry in entries)
+
+    @contextmanager
+    def _all_or_nothing(self) -> Iterator[None]:
+        """Put the overrides back as they were if a change of them, or what follows from it, fails."""
+        tables, entries = dict(self.catalog.overrides), list(self._overrides)
+        try:
+            yield
+        except BaseException:
+            self.catalog.restore_overrides(tables)
+            self._overrides[:] = entries
+            raise
+
+    @contextmanager
+    def _without_overrides(self) -> Iterator[None]:
+        tables = dict(self.catalog.overrides)
+        self.catalog.restore_overrides({})
+        try:
+            yield
+        finally:
+            self.catalog.restore_overrides(tables)
 
     # Exports
 
     def export_calculated_table(
-        self, scenario: str, table: str, path: str, overwrite: bool = False
+        self, scenario: str, table: str, path: str, overwrite: bool = False, single_file: bool = False
     ) -> None:
-        write_table(self.calculated_table(scenario, table), path, overwrite)
+        check_target(self.spark, path, overwrite)
+        write_table(self.calculated_table(scenario, table), path, overwrite, single_file)
 
-    def export_energy_projection(self, path: str, overwrite: bool = False) -> None:
-        write_table(self.get_energy_projection(), path, overwrite)
+    def export_energy_projection(self, path: str, overwrite: bool = False, single_file: bool = False) -> None:
+        check_target(self.spark, path, overwrite)
+        write_table(self.get_energy_projection(), path, overwrite, single_file)
 
 
 def schema_differences(new: StructType, existing: StructType) -> list[str]:
@@ -431,19 +575,29 @@ def refuse(problems: DataFrame, what: str) -> None:
         raise InvalidParameter(f"{what} cannot be used, for instance: {rows}")
 
 
-def _scenario_folder(name: str) -> str:
-    return f"scenario={name}"
+def _of_years(factors: DataFrame, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The factors of some scenarios and years."""
+    chosen = [
+        (F.col("scenario") == scenario) & F.col("model_year").isin([int(y) for y in years])
+        for scenario, years in wanted.items()
+    ]
+    return factors.filter(reduce(lambda a, b: a | b, chosen))
 
 
-def write_projection(projection: DataFrame, path: str) -> None:
+def write_projection(projection: DataFrame, path: str, in_order: bool = False) -> None:
     """Write by scenario and model year, rows of one country together.
 
-    The rows are sorted inside their tasks as the writer wants them, so that it
-    has one file open at a time whatever the number of scenarios and years.
+    Rows that are ``in_order`` in their tasks are written as they come, each
+    task with the files of its few scenarios and years open; others are sorted
+    first, so that a task has one file open at a time. May add to what a run has
+    written already.
     """
-    (
-        projection.sortWithinPartitions("scenario", "model_year", "geography")
-        .write.mode("error")
-        .partitionBy("scenario", "model_year")
-        .parquet(path)
-    )
+    with setting(projection.sparkSession, _WRITERS, str(OPEN_FILES if in_order else 0)):
+        rows = projection if in_order else projection.sortWithinPartitions(*FILE_ORDER)
+        rows.write.mode("append").partitionBy("scenario", "model_year").parquet(path)
+
+
+def write_sums(sums: DataFrame, path: str) -> None:
+    """Write a table of sums, the rows of a scenario and year in few files."""
+    dealt = sums.repartition("scenario", "model_year", F.pmod(F.xxhash64("geography"), F.lit(SUM_FILES)))
+    dealt.write.mode("append").partitionBy("scenario", "model_year").parquet(path)

@@ -80,6 +80,16 @@ class Catalog:
     def forget_plans(self) -> None:
         self._scenarios.clear()
 
+    def restore_overrides(self, overrides: Mapping[tuple[str, str], DataFrame]) -> None:
+        """Put back the overrides of an earlier moment."""
+        self.overrides = dict(overrides)
+        self._scenarios.clear()
+
+    def put_data(self, scenario: str, name: str, df: DataFrame) -> None:
+        """Give a scenario another data table."""
+        self._data[scenario, name] = df
+        self._scenarios.clear()
+
     def differs(self, scenario: str, name: str) -> bool:
         """Whether the table of this scenario can differ from the baseline's."""
         if (scenario, name) in self.overrides or (BASELINE, name) in self.overrides:
@@ -257,16 +267,25 @@ def group_factors(catalog: Catalog, members: Sequence[str]) -> DataFrame:
 
 
 def group_projection(
-    catalog: Catalog, members: Sequence[str], files: int | None = None
+    catalog: Catalog,
+    members: Sequence[str],
+    files: int | None = None,
+    factors: DataFrame | None = None,
 ) -> DataFrame:
-    """Hourly projection of such scenarios in one expansion; ``files`` as in ``project_shapes``."""
+    """Hourly projection of such scenarios in one expansion; ``files`` as in ``project_shapes``.
+
+    ``factors`` are those of the group if they are known already, or a part of
+    them: other scenarios and years are then left out.
+    """
     if stands_alone(catalog, members[0]):
         return catalog.scenario(members[0]).table("energy_projection")
-    tables = catalog.scenario(members[0])
-    hourly = projection.project_shapes(
-        pick_sectors(tables.base_shapes(), _MODELLED),
-        tables.weather("temperature_multipliers"),
-        group_factors(catalog, members),
-        files,
-    )
+    factors = group_factors(catalog, members) if factors is None else factors
+    shapes_, multipliers = group_shapes(catalog, members)
+    hourly = projection.project_shapes(shapes_, multipliers, factors, files)
     return hourly.select(*projection.RESULT_COLUMNS)
+
+
+def group_shapes(catalog: Catalog, members: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The representative rows and the multipliers that the scenarios share."""
+    tables = catalog.scenario(members[0])
+    return pick_sectors(tables.base_shapes(), _MODELLED), tables.weather("temperature_multipliers")

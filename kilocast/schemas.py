@@ -60,3 +60,14 @@ PROJECTION = _struct(
     metric="string",
     value="double",
 )
+
+# Sums of the hourly projection that are stored beside it.
+HOURS = _struct(timestamp="timestamp", scenario="string", model_year="long", geography="string", value="double")
+YEARS = _struct(
+    scenario="string",
+    model_year="long",
+    geography="string",
+    sector="string",
+    metric="string",
+    value="double",
+)

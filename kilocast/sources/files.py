@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kilocast.plans.storage import subfolders
+from kilocast.errors import InvalidOperation
+from kilocast.plans.storage import exists, move_only_file, remove, setting, subfolders
 
 YEAR_COLUMNS = ("model_year", "weather_year")
 
@@ -24,12 +26,20 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     """Read one CSV or parquet file, or a folder of them.
 
     ``schema`` types CSV columns by name, so their order in the file is free;
-    without it types are inferred. Parquet files carry their own types, and
-    folders named ``column=value`` give their columns back.
+    without it types are inferred. Parquet files carry their own types. Folders
+    named ``column=value`` give their columns back as the text they are, so that
+    ids like ``001`` stay; ``schema`` types them, and years are numbers.
     """
     if _suffix(path) == ".parquet":
         named = any("=" in name for name in subfolders(spark, str(path)))
-        return spark.read.option("recursiveFileLookup", not named).parquet(str(path))
+        if not named:
+            return spark.read.option("recursiveFileLookup", True).parquet(str(path))
+        with setting(spark, "spark.sql.sources.partitionColumnTypeInference.enabled", "false"):
+            raw = spark.read.parquet(str(path))
+        wanted = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+        wanted |= {name: T.LongType() for name in YEAR_COLUMNS if name not in wanted}
+        inside = _folder_columns(spark, str(path))
+        return raw.withColumns({c: F.col(c).cast(wanted[c]) for c in raw.columns if c in inside and c in wanted})
     reader = spark.read.option("header", True)
     if schema is None:
         return reader.option("inferSchema", True).csv(str(path))
@@ -40,14 +50,45 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     )
 
 
-def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write a folder of part files; an existing target is an error unless ``overwrite``."""
+def _folder_columns(spark: SparkSession, path: str) -> set[str]:
+    """Columns that the names of the folders give, from one of the folders of each level."""
+    found = set()
+    while names := [n for n in subfolders(spark, path) if "=" in n]:
+        found.add(names[0].split("=", 1)[0])
+        path = posixpath.join(path, names[0])
+    return found
+
+
+def check_target(spark: SparkSession, path: str, overwrite: bool) -> None:
+    """Refuse a target that exists, or a suffix that says no format, before any work is done."""
+    _suffix(path)
+    if not overwrite and exists(spark, str(path)):
+        raise InvalidOperation(f"{path} exists; ask for overwriting to replace it")
+
+
+def write_table(df: DataFrame, path: str, overwrite: bool = False, single_file: bool = False) -> None:
+    """Write a folder of part files; an existing target is an error unless ``overwrite``.
+
+    ``single_file`` writes one file of that name in its place, which one task
+    has to do; it is for tables that other programs are to read.
+    """
     suffix = _suffix(path)
+    target = str(path)
+    spark = df.sparkSession
+    if single_file:
+        check_target(spark, target, overwrite)
+        folder = f"{target.rstrip('/')}-{uuid.uuid4().hex}{suffix}"
+        try:
+            write_table(df.coalesce(1), folder)
+            move_only_file(spark, folder, suffix, target)
+        finally:
+            remove(spark, folder)
+        return
     writer = df.write.mode("overwrite" if overwrite else "error")
     if suffix == ".parquet":
-        writer.parquet(str(path))
+        writer.parquet(target)
     else:
-        writer.option("header", True).csv(str(path))
+        writer.option("header", True).csv(target)
 
 
 def cast_years(df: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def test_no_product_of_tables_anywhere(project):
 
 
 def test_hours_are_neither_shuffled_nor_joined_again(project):
-    """Nothing but the days' join stands between the representative rows and the hours."""
+    """Representative rows are joined, dealt and sorted; what makes hours of them comes after all that."""
     text = plan(project.prepared_projection(files=4))
-    assert "Union" not in text.split("Join", 1)[0] and "Exchange" not in text.split("Join", 1)[0]
-    assert re.search(r"Exchange hashpartitioning\(model_year#\d+L, .*REPARTITION_BY_COL", text)
+    above = text.split("Generate inline", 1)[0]
+    assert not any(step in above for step in ("Union", "Exchange", "Join", "Sort"))
+    assert re.search(r"Exchange hashpartitioning\(scenario#\d+, model_year#\d+L, .*REPARTITION_BY_COL", text)
 
 
 def test_row_numbers_are_not_made_in_one_task_per_series(project):
@@ -89,9 +90,9 @@ def test_years_do_not_scan_hours(project):
 def test_number_of_files_is_bounded(project, tmp_path):
     project.result_path = str(tmp_path / "result")
     project.compute_energy_projection(files=3)
-    for folder in (tmp_path / "result").glob("scenario=*/model_year=*"):
+    for folder in (tmp_path / "result").glob("data/run=*/scenario=*/model_year=*"):
         assert 1 <= len(list(folder.glob("*.parquet"))) <= 3
-    assert len(list((tmp_path / "result").glob("scenario=*/model_year=*"))) == 6
+    assert len(list((tmp_path / "result").glob("data/run=*/scenario=*/model_year=*"))) == 6
 
 
 def test_flagship_starts_few_jobs_before_its_action(spark):
