@@ -13,14 +13,19 @@ sets of word shingles; a group of linked documents keeps its smallest doc_id.
 3. *Tables.* Keys of a table need a shared u_i, so first nodes meet by u_i
    and only those that meet anyone get the keys (u_i, v_j). Groups that hold
    the same nodes count once: near copies share most of their keys.
-4. *Stars.* Every node of a key is verified against one of them.
-5. *The rest.* Nodes that share a u_i, but no component after that, are
-   compared by their u and v: those of small groups at once, those of groups
-   of over ``BLOCK`` nodes by table, in squares of blocks. Pairs without an
-   equal v_j, of too few equal keys in all (a linked pair has as few with
-   probability ``miss``) or of too different sizes go. A pair that meets in
-   several groups is taken in one, that of the smallest equal u and v, and
-   verified.
+4. *Stars.* Every node of a key is verified against one of them, the one that
+   meets most others over all keys: the text that copies were made from meets
+   more of them than they meet each other.
+5. *The rest.* For nodes that share a u_i, but no component after that, the
+   shingles are counted that any other of them has too. No set has more in
+   common with another than these, so sets that are alone in too many of
+   their shingles are settled; far copies of one text mostly are. The others
+   are compared by their u and v: those of small groups at once, those of
+   groups of over ``BLOCK`` nodes by table, in squares of blocks. Pairs
+   without an equal v_j, of too different sizes, with too few shared shingles
+   or with too few equal ones of ``MARKS`` more min-hashes (a linked pair has
+   as few with probability ``miss``) go. A pair that meets in several groups
+   is taken in one, that of the smallest equal u and v, and verified.
 
 Verification compares whole shingle sets, as sets of 64-bit hashes of whole
 texts; only texts with a candidate travel, compressed, in shares of ``SHARE``
@@ -52,6 +57,8 @@ PART = 3
 MISS = 1e-6
 BLOCK = 1024
 SHARE = 256
+#: Further min-hashes, a byte each, of the texts that stars have not settled.
+MARKS = 512
 _SEED = 20
 
 
@@ -61,16 +68,21 @@ def collections_of(percent: int, miss: float) -> int:
 
 
 def least_equal(percent: int, miss: float) -> int:
-    """Equal keys of u and v that a linked pair has but for the probability ``miss``."""
-    n, p = 2 * collections_of(percent, miss), (percent / 100) ** PART
+    """Equal bytes of ``MARKS`` that a linked pair has but for the probability ``miss``."""
+    p = percent / 100 + (1 - percent / 100) / 256
     total, k = 0.0, 0
     while True:
-        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        total += math.comb(MARKS, k) * p**k * (1 - p) ** (MARKS - k)
         if total > miss:
             return k
         k += 1
 
 
+def factors_of(count: int, seed: int) -> np.ndarray:
+    """Odd 64-bit factors: a hash times one of them is another hash."""
+    return np.random.default_rng(seed).integers(1 << 62, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, sorted within each, and where each text's begin (one more than texts)."""
     words = Words(texts, lower=True)
@@ -101,7 +113,7 @@ def keys_of(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def banded(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """For every set, beginning at ``starts``, its ``count`` keys of ``PART`` min-hashes each."""
-    factors = np.random.default_rng(_SEED).integers(1 << 62, 1 << 63, count * PART, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = factors_of(count * PART, _SEED)
     out = np.zeros((count, len(starts)), np.uint64)
     for k, factor in enumerate(factors):
         low = np.minimum.reduceat(hashes * factor, starts)
@@ -157,6 +169,15 @@ def tables(firsts: DataFrame, nodes: DataFrame) -> DataFrame:
     return distinct_groups(pairs, "v", "u")
 
 
+def centred(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b): the nodes b of a key and its centre a, the node that meets most others over all keys."""
+    sizes = cells.groupBy("u", "v").agg(F.count("*").alias("n"))
+    degrees = cells.join(sizes, ["u", "v"]).groupBy("key").agg(F.sum("n").alias("degree"))
+    ranked = cells.join(degrees, "key")
+    centres = ranked.groupBy("u", "v").agg(F.max_by("key", F.struct("degree", "key")).alias("a"))
+    return cells.join(centres, ["u", "v"]).where("a <> key").select("a", F.col("key").alias("b")).distinct()
+
+
 def packed_texts(documents: DataFrame, wanted: IdFilter, shingle: int) -> DataFrame:
     """key and compressed text of the documents whose id may be wanted; one row for each key."""
 
@@ -222,8 +243,41 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
-def unsettled(firsts: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a table, but not a component, with ``least`` equal keys and of fitting sizes; each once."""
+def shared_shingles(keys: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """key and shared: how many shingles of each of the nodes any other of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        for table in blocks(batches, "packed", 1 << 20):
+            hashes, edges = shingle_sets([unzip.decompress(x) for x in table.column("packed").to_pylist()], shingle)
+            owner = np.repeat(table.column("key").to_numpy(), np.diff(edges))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(hashes.view(np.int64))], ["key", "token"])
+
+    tokens = stored(texts.join(keys, "key", "left_semi").mapInArrow(run, "key long, token long"))
+    met = tokens.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    found = stored(tokens.join(met.select("token"), "token", "left_semi").groupBy("key").agg(F.count("*").alias("shared")))
+    discard(tokens)
+    return found
+
+
+def marked(keys: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """key and marks: a byte of each of ``MARKS`` min-hashes of the nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip, factors = zstandard.ZstdDecompressor(), factors_of(MARKS, _SEED + 1)
+        for table in blocks(batches, "packed", 1 << 20):
+            hashes, edges = shingle_sets([unzip.decompress(x) for x in table.column("packed").to_pylist()], shingle)
+            low = np.stack([np.minimum.reduceat(hashes * f, edges[:-1]) for f in factors], axis=1)
+            marks = [row.tobytes() for row in mix(low).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), pa.array(marks, pa.binary())], ["key", "marks"])
+
+    return texts.join(keys, "key", "left_semi").mapInArrow(run, "key long, marks binary")
+
+
+def unsettled(
+    firsts: DataFrame, comps: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, least: int
+) -> DataFrame:
+    """Pairs (a, b) of nodes that share a table, but not a component, and that nothing keeps from being linked; each once."""
     placed = firsts.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
     def several(rows: DataFrame, *group: str) -> DataFrame:
@@ -231,9 +285,14 @@ def unsettled(firsts: DataFrame, comps: DataFrame, nodes: DataFrame, percent: in
         found = rows.groupBy(*group).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
         return rows.join(found.where("low <> high").select(*group, "n"), [*group])
 
-    open_ = several(placed, "u")
+    open_ = several(placed, "u").drop("n")
+    shared = shared_shingles(open_.select("key").distinct(), texts, shingle)
+    known = nodes.select("key", "size", "v", F.concat("u", "v").alias("bands")).join(shared, "key")
+    known = stored(known.where(100 * F.col("shared") >= percent * F.col("size")))
+    open_ = stored(several(open_.join(known.select("key"), "key"), "u"))
+    known = stored(known.join(marked(open_.select("key").distinct(), texts, shingle), "key"))
     small = open_.where(F.col("n") <= BLOCK).select("u", F.lit(None).cast("long").alias("v"), "key", "comp", F.lit(1).cast("long").alias("parts"))
-    large = open_.where(F.col("n") > BLOCK).join(nodes.select("key", "v"), "key").select("u", F.explode("v").alias("v"), "key", "comp")
+    large = open_.where(F.col("n") > BLOCK).join(known.select("key", "v"), "key").select("u", F.explode("v").alias("v"), "key", "comp")
     large = several(large, "u", "v").select("u", "v", "key", "comp", F.ceil(F.col("n") / BLOCK).alias("parts"))
     rows = small.unionByName(large).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     # Parts i <= j of a group meet in the square (i, j).
@@ -242,14 +301,24 @@ def unsettled(firsts: DataFrame, comps: DataFrame, nodes: DataFrame, percent: in
         lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")),
     )
     rows = rows.select("u", "v", F.explode(squares).alias("at"), "part", "key", "comp")
-    rows = rows.join(nodes.select("key", "size", F.concat("u", "v").alias("bands")), "key")
-    rows = rows.select("u", "v", "at.i", "at.j", "part", "key", "comp", "size", "bands")
+    rows = rows.join(known.select("key", "size", "shared", "bands", "marks"), "key")
+    rows = rows.select("u", "v", "at.i", "at.j", "part", "key", "comp", "size", "shared", "bands", "marks")
     group = ["u", "v", "i", "j"]
 
     def smallest(equal: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.where(equal, values, np.iinfo(np.int64).max).min(axis=1)
 
-    def compare(u: int, v: int | None, part: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, bands: np.ndarray) -> Iterator[tuple]:
+    def compare(
+        u: int,
+        v: int | None,
+        part: np.ndarray,
+        key: np.ndarray,
+        comp: np.ndarray,
+        size: np.ndarray,
+        shared: np.ndarray,
+        bands: np.ndarray,
+        marks: np.ndarray,
+    ) -> Iterator[tuple]:
         """Of a square all pairs across its two parts, or within its one part, that belong here."""
         half = bands.shape[1] // 2
         ids, counts = np.unique(comp, return_counts=True)
@@ -260,8 +329,10 @@ def unsettled(firsts: DataFrame, comps: DataFrame, nodes: DataFrame, percent: in
         for x in np.flatnonzero(outside).tolist():
             y = np.flatnonzero((comp != comp[x]) & (~outside | (place > x)) & ((part != part[x]) if two else True))
             y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            y = y[(100 + percent) * np.minimum(shared[y], shared[x]) >= percent * (size[y] + size[x])]
+            y = y[(marks[y] == marks[x]).sum(axis=1) >= least]
             equal = bands[y] == bands[x]
-            good = (equal.sum(axis=1) >= least) & (smallest(equal[:, :half], bands[x, :half]) == u)
+            good = smallest(equal[:, :half], bands[x, :half]) == u
             first = smallest(equal[:, half:], bands[x, half:])
             good &= equal[:, half:].any(axis=1) if v is None else first == v
             y = y[good]
@@ -269,15 +340,17 @@ def unsettled(firsts: DataFrame, comps: DataFrame, nodes: DataFrame, percent: in
                 yield np.minimum(key[y], key[x]), np.maximum(key[y], key[x])
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        u, part, key, comp, size = (table.column(c).to_numpy() for c in ("u", "part", "key", "comp", "size"))
+        names = ("u", "part", "key", "comp", "size", "shared")
+        u, part, key, comp, size, shared = (table.column(c).to_numpy() for c in names)
         v = table.column("v").to_pylist()
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(key), -1)
         ends = [*_cuts(table, group), len(key)]
         found = [
             pair
             for s, e in zip(ends[:-1], ends[1:])
             if e - s > 1
-            for pair in compare(u[s], v[s], part[s:e], key[s:e], comp[s:e], size[s:e], bands[s:e])
+            for pair in compare(u[s], v[s], *(c[s:e] for c in (part, key, comp, size, shared, bands, marks)))
         ]
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
@@ -318,8 +391,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     )
     firsts = stored(first_groups(nodes))
     cells = stored(tables(firsts, nodes))
-    centres = cells.groupBy("u", "v").agg(F.min("key").alias("a"))
-    stars = cells.join(centres, ["u", "v"]).where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    stars = centred(cells)
     sizes = nodes.select("key", "size")
     stars = stored(
         stars.join(sizes.toDF("a", "size_a"), "a")
@@ -332,7 +404,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     texts = stored(packed_texts(documents, wanted, shingle))
     links = stored(verified(stars, texts, shingle, percent))
     discard(cells)
-    rest = unsettled(firsts, connected(links), nodes, percent, least_equal(percent, miss))
+    rest = unsettled(firsts, connected(links), nodes, texts, shingle, percent, least_equal(percent, miss))
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
     discard(firsts)
     more = stored(links.unionByName(verified(rest, texts, shingle, percent)))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from kilocast.llm import minhash
-from kilocast.llm.common import Words
+from kilocast.llm.common import Words, mix
 from tests.llm.test_operators import DOCS, corpus, plain_components
 
 
@@ -42,15 +42,16 @@ def test_clusters_of_texts_near_the_threshold(spark):
 def test_linked_sets_share_a_table():
     rng = np.random.default_rng(3)
     count, missed, few = minhash.collections_of(80, 1e-6), 0, 0
-    least = minhash.least_equal(80, 1e-6)
+    least, factors = minhash.least_equal(80, 1e-6), minhash.factors_of(minhash.MARKS, 1)
     for _ in range(400):
         both = rng.integers(0, 2**63, 80, dtype=np.uint64)
         a, b = (np.concatenate([both, rng.integers(0, 2**63, 10, dtype=np.uint64)]) for _ in range(2))
         keys = minhash.banded(np.concatenate([a, b]), np.array([0, 90]), 2 * count)
         same = keys[0] == keys[1]
         missed += not (same[:count].any() and same[count:].any())
-        few += same.sum() < least
-    assert (missed, few) == (0, 0) and count == 21 and 2 < least < 12
+        marks = [mix(np.array([(s * f).min() for f in factors])).astype(np.uint8) for s in (a, b)]
+        few += (marks[0] == marks[1]).sum() < least
+    assert (missed, few) == (0, 0) and count == 21 and 0.6 * minhash.MARKS < least < 0.75 * minhash.MARKS
 
 
 def test_sets_and_their_sizes():
