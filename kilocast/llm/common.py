@@ -205,6 +205,7 @@ def connected(edges: DataFrame) -> DataFrame:
         open_ends = now.join(roots, "a", "left_semi").limit(1).count() + (
             now.groupBy("a").count().where("count > 1").limit(1).count()
         )
+        discard(pairs)
         pairs = now
         if not open_ends:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(

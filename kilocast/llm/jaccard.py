@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import IdFilter, Words, blocks, bytes_of, connected, mix, offsets_list, read, stored
+from kilocast.llm.common import IdFilter, Words, blocks, bytes_of, connected, discard, mix, offsets_list, read, stored
 
 #: Sets of a block that make a token a frequent one, and bits of the filter that holds those.
 OFTEN = 3
@@ -257,12 +257,14 @@ def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     wanted = IdFilter.of(nodes.join(involved, "key", "left_semi").select("doc_id"), "doc_id")
     texts = stored(packed_texts(documents, wanted, shingle))
     links = stored(verified(stars, texts, shingle, percent))
+    discard(stars)
     joined = stored(connected(links))
 
     # Sets that share a signature and not yet a component: the token-group matrix.
     placed = members.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     several = placed.groupBy("signature").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     unsettled = stored(placed.join(several.select("signature"), "signature", "left_semi"))
+    discard(members)
     sizes = joined.groupBy("comp").count().where(F.col("count") >= GROUP).select("comp", F.lit(True).alias("large"))
     homes = (
         unsettled.groupBy("key", "comp")
@@ -290,8 +292,11 @@ def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .select("q", "q_comp", "gid")
         .distinct()
     )
-    more = open_groups(stored(candidates), groups, texts, shingle, percent)
+    candidates = stored(candidates)
+    discard(unsettled)
+    more = open_groups(candidates, groups, texts, shingle, percent)
     final = connected(links.union(more))
+    discard(candidates, groups, texts, links, joined)
 
     known = nodes.select("key", "doc_id").join(final.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("comp", F.coalesce("comp", "key"))

@@ -66,6 +66,11 @@ class _Spots(dict):
 _SPOTS = _Spots()
 
 
+def _forget() -> None:
+    """Python workers live on after a task, and other operators' tasks want their memory."""
+    _SPOTS.clear()
+
+
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct word coordinates, their weights (root of the counts, of length one) and the number of words."""
     words = text.lower().split()
@@ -122,16 +127,19 @@ def posteriors(documents: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        for table in blocks(batches):
-            counts, values = [], []
-            for text in table.column("text").to_pylist():
-                at, x, n = features(text or b"")
-                counts.append(n)
-                values.append(_softmax(x @ w[at] + 0.3 * w[-1]))
-            flat = np.concatenate(values)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, w.shape[1]), pa.int32()), pa.array(flat))
-            out = table.select(names).append_column("n_tokens", pa.array(counts, pa.int64())).append_column("posterior", lists)
-            yield from out.to_batches()
+        try:
+            for table in blocks(batches):
+                counts, values = [], []
+                for text in table.column("text").to_pylist():
+                    at, x, n = features(text or b"")
+                    counts.append(n)
+                    values.append(_softmax(x @ w[at] + 0.3 * w[-1]))
+                flat = np.concatenate(values)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, w.shape[1]), pa.int32()), pa.array(flat))
+                out = table.select(names).append_column("n_tokens", pa.array(counts, pa.int64())).append_column("posterior", lists)
+                yield from out.to_batches()
+        finally:
+            _forget()
 
     return documents.select(*names, bytes_of("text")).mapInArrow(run, schema)
 

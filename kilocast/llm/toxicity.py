@@ -56,6 +56,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _forget() -> None:
+    """Python workers live on after a task, and other operators' tasks want their memory."""
+    _HASHES.clear()
+
+
 def features(text: bytes) -> np.ndarray:
     """The distinct coordinates of a text; the last one, 2**BITS, is the constant."""
     words = text.lower().split()
@@ -108,6 +113,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn", kind="stable")
         w = learn(zip(map(bytes, pdf.text), (pdf.toxic > 0).astype(int)))
+        _forget()
         at = np.flatnonzero(w)
         return pd.DataFrame({"spot": at, "weight": w[at]})
 
@@ -127,11 +133,14 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        for table in blocks(batches, "_bytes"):
-            sums = [w[features(x or b"")].sum() for x in table.column("_bytes").to_pylist()]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(sums), -35, 35)))
-            out = table.select(names).append_column("score", pa.array(scores, pa.float64()))
-            yield from out.to_batches()
+        try:
+            for table in blocks(batches, "_bytes"):
+                sums = [w[features(x or b"")].sum() for x in table.column("_bytes").to_pylist()]
+                scores = 1 / (1 + np.exp(-np.clip(np.array(sums), -35, 35)))
+                out = table.select(names).append_column("score", pa.array(scores, pa.float64()))
+                yield from out.to_batches()
+        finally:
+            _forget()
 
     return documents.drop("score").withColumn("_bytes", bytes_of("text").cast("binary")).mapInArrow(run, schema)
 

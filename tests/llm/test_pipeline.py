@@ -43,3 +43,52 @@ def test_copies_leave_one_row_for_each_group(spark):
     found = [(r.doc_id, r.text) for r in kept.collect()]
     assert (3, long) in found and found.count((3, long)) == 1
     assert {i for i, _ in found} == {3, 7, 8, None} and (None, "no id here") in found
+
+
+ITEM = "The red fox carried seven small stones across the frozen river before anyone in the village woke up that morning"
+ODD = "doc_id long, text string, lang string, source string, cluster string"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", None, "c") for i, t in rows], ODD)
+
+
+def test_leaks_go_row_by_row(spark, tmp_path):
+    """Rows without id, or with one id, are judged by their own texts."""
+    clean = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    rows = [(None, clean[0]), (None, f"{clean[1]} {ITEM}"), (7, clean[2]), (7, f"x y z {ITEM}"), (8, clean[0]), (9, None)]
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = pipeline.drop_benchmark_leaks(spark, odd(spark, rows), str(tmp_path))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {rows[0], rows[2], rows[4], rows[5]}
+
+
+def test_near_copies_go_row_by_row(spark):
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+    rows = [
+        (3, long[0]),
+        (None, long[0] + " end"),  # a copy without id
+        (4, long[1]),
+        (9, long[2]),
+        (9, long[1] + " end"),  # a copy under an id that a clean row has
+        (None, long[3]),
+        (None, long[3] + " end"),  # a group without any id
+        (None, ""),
+        (None, None),
+        (5, "short text"),
+    ]
+    kept = pipeline.keep_one_of_near_copies(spark, odd(spark, rows), SMOKE)
+    assert kept.columns == odd(spark, rows).columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    alone = {(None, long[3]), (None, long[3] + " end")}
+    assert len(found) == len(set(found)) == 7 and len(alone & set(found)) == 1
+    assert set(found) - alone == {rows[0], rows[2], rows[3], rows[7], rows[8], rows[9]}
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    docs = odd(spark, []).drop("cluster")
+    for name, schema in (("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == ["doc_id", "text", "lang", "source"] and docs.count() == 0
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
