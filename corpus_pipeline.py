@@ -2,14 +2,15 @@
 
 Each stage takes all that the one before has kept. ``run`` stores the result of
 every stage as Parquet in the folder of ``spark.checkpoint.dir`` and reads it
-again as the next one's documents. Rows with null in any column, repeated rows
-and empty texts pass through as each stage describes; empty tables give empty
-results.
+again as the next one's documents. Stages decide on rows: rows that share a
+doc_id, or have none, are judged one by one by their own texts. Rows with null
+in any column, repeated rows and empty texts pass through as each stage
+describes; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilocast.llm import decontaminate, jaccard, mixing, tokens, toxicity
@@ -28,26 +29,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights).where("score < 0.5").select(*docs.columns)
 
 
+def _row() -> Column:
+    """A key of a row, from its id and text; rows of the same id and text are alike to every stage."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows' keys and texts, as the operators take documents."""
+    return docs.select(_row().alias("doc_id"), "text")
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at a Jaccard index of 0.8.
+    """One row of each group linked by five-word shingles at a Jaccard index of 0.8: that of the smallest doc_id.
 
-    Texts without words are kept, repeated rows once. Rows without doc_id are
-    kept if no document with an id is like them.
+    Rows without doc_id come last in a group. Texts without words are kept,
+    repeated rows once.
     """
-    found = jaccard.components(docs.select("doc_id", "text"), shingle=5, percent=80)
-    keep = found.where(
-        F.col("cluster").isNull() | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    )
-    ids = keep.select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    found = jaccard.components(_rows(docs), shingle=5, percent=80).select(F.col("doc_id").alias("_key"), "cluster")
+    ids = docs.select(_row().alias("_key"), "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_key"))
+    chosen = found.where("cluster is not null").join(ids, "_key").groupBy("cluster").agg(first.alias("first"))
+    keep = chosen.select("first._key").unionByName(found.where("cluster is null").select("_key"))
+    kept = docs.withColumn("_key", _row()).join(keep, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no template passage with an item of the benchmark."""
-    found = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark"))
-    ids = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    found = decontaminate.leaks(_rows(docs), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key"))
+    return docs.withColumn("_key", _row()).join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
