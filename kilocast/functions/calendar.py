@@ -49,6 +49,12 @@ def minute_number(ts: Column) -> Column:
     return (F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)) * 60 + F.minute(ts)
 
 
+def microseconds(ts: Column) -> Column:
+    """Microseconds on the wall clock since 1970, free of any time zone."""
+    of_minute = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return minute_number(ts).cast("long") * 60_000_000 + of_minute
+
+
 def year_of(ts: Column) -> Column:
     return F.year(ts).cast("long")
 
