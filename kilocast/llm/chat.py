@@ -102,6 +102,8 @@ def levels(edges: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             break
         reached = stored(reached.union(frontier).groupBy("row").agg(F.max("level").alias("level"), F.max("most").alias("most")))
+    else:
+        raise RuntimeError(f"a chain of calls is longer than {MAX_ROUNDS} references; raise MAX_ROUNDS")
     return reached.select("row", "level", (F.col("level") > F.col("most")).alias("cyclic"))
 
 

@@ -14,8 +14,8 @@ sets of word shingles; a group of linked documents keeps its smallest doc_id.
    and only those that meet anyone get the keys (u_i, v_j). Groups that hold
    the same nodes count once: near copies share most of their keys.
 4. *Stars.* Every node of a key is verified against one of them, the one that
-   meets most others over all keys: the text that copies were made from meets
-   more of them than they meet each other.
+   meets most others by its u: the text that copies were made from meets more
+   of them than they meet each other.
 5. *The rest.* For nodes that share a u_i, but no component after that, the
    shingles are counted that any other of them has too. No set has more in
    common with another than these, so sets that are alone in too many of
@@ -169,10 +169,10 @@ def tables(firsts: DataFrame, nodes: DataFrame) -> DataFrame:
     return distinct_groups(pairs, "v", "u")
 
 
-def centred(cells: DataFrame) -> DataFrame:
-    """Pairs (a, b): the nodes b of a key and its centre a, the node that meets most others over all keys."""
-    sizes = cells.groupBy("u", "v").agg(F.count("*").alias("n"))
-    degrees = cells.join(sizes, ["u", "v"]).groupBy("key").agg(F.sum("n").alias("degree"))
+def centred(firsts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs (a, b): the nodes b of a table's key and its centre a, the node that meets most others by their first keys."""
+    sizes = firsts.groupBy("u").agg(F.count("*").alias("n"))
+    degrees = firsts.join(sizes, "u").groupBy("key").agg(F.sum("n").alias("degree"))
     ranked = cells.join(degrees, "key")
     centres = ranked.groupBy("u", "v").agg(F.max_by("key", F.struct("degree", "key")).alias("a"))
     return cells.join(centres, ["u", "v"]).where("a <> key").select("a", F.col("key").alias("b")).distinct()
@@ -391,7 +391,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     )
     firsts = stored(first_groups(nodes))
     cells = stored(tables(firsts, nodes))
-    stars = centred(cells)
+    stars = centred(firsts, cells)
     sizes = nodes.select("key", "size")
     stars = stored(
         stars.join(sizes.toDF("a", "size_a"), "a")

@@ -465,6 +465,15 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert other.errors == "unknown tool" and json.loads(other.json)["content"] == "x"
 
 
+def test_long_chains_behind_a_forward_reference(spark, monkeypatch):
+    edges = [(0, 100, 1, True), *[(i, i - 1, 1, False) for i in range(1, 12)]]
+    df = spark.createDataFrame(edges, "row long, needs long, conv_id long, forward boolean")
+    assert {tuple(r) for r in chat.levels(df).collect()} == {(i, 1, False) for i in range(12)}
+    monkeypatch.setattr(chat, "MAX_ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="longer than 3"):
+        chat.levels(df)
+
+
 # Every operator on nothing, and the registered queries
 
 
