@@ -424,6 +424,14 @@ add(
     lambda i: _cut(_client(i).get_annual_peak_demand(), "value"),
     f"SELECT scenario, geography, year, {cut('MAX(total)')} AS value FROM {_ALL_HOURS} GROUP BY ALL",
 )
+add(
+    "stored_peak_by_sector",
+    lambda i: _cut(_client(i).get_annual_peak_demand(group_by="Sector"), "value", digits=6),
+    f"SELECT p.scenario, p.geography, model_year AS year, sector, {cut('value', 6)} AS value FROM projections p JOIN "
+    f"(SELECT * FROM {_ALL_HOURS} QUALIFY row_number() OVER (PARTITION BY scenario, geography, year "
+    'ORDER BY total DESC, "timestamp") = 1) h ON h.scenario = p.scenario AND h.geography = p.geography '
+    'AND h.year = p.model_year AND h."timestamp" = p."timestamp"',
+)
 add(
     "stored_hours",
     lambda i: _cut(_client(i).get_time_series_comparison("baseline", YEARS, resample=series.HOURLY), "value", digits=6),

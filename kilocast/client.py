@@ -11,6 +11,10 @@ from kilocast.queries import annual, duration, listing, seasonal, secondary, ser
 from kilocast.queries.scope import Scope
 
 
+# Rows of a table with one for each scenario, year and country that are sent to all tasks.
+FEW_KEYS = 100_000
+
+
 def _as_list(years: int | Sequence[int]) -> list[int]:
     return [years] if isinstance(years, int) else list(years)
 
@@ -37,6 +41,7 @@ class ProjectionClient:
         self.geography = geography
         self._years: list[int] | None = None
         self._scenarios: list[str] | None = None
+        self._few_keys: bool | None = None
 
     def _stored(self) -> tuple[int, DataFrame, DataFrame, DataFrame]:
         """Version, rows, sums by hour and sums by year of the project's result as it is now."""
@@ -48,7 +53,7 @@ class ProjectionClient:
                 self.project.get_hourly_sums(),
                 self.project.get_annual_sums(),
             )
-            self._years = self._scenarios = None
+            self._years = self._scenarios = self._few_keys = None
         return self._read
 
     @property
@@ -66,6 +71,13 @@ class ProjectionClient:
         """What queries read that need no hours: stored sums by year, sector and end use where there are any."""
         return self._stored()[3] if self._given is None else self._given
 
+    def _has_few_keys(self) -> bool:
+        """Whether the result has at most ``FEW_KEYS`` scenarios, years and countries; counted once a version."""
+        self._stored()
+        if self._few_keys is None:
+            self._few_keys = self.project.get_projection_keys().limit(FEW_KEYS + 1).count() <= FEW_KEYS
+        return self._few_keys
+
     # What is there
 
     @property
@@ -140,7 +152,9 @@ class ProjectionClient:
         scope = self._or_all(scenarios, years)
         if group_by is None:
             return annual.peak(self._hours, scope)
-        return annual.peak_breakdown(self.projection, scope, group_by)
+        if self._given is not None:
+            return annual.peak_breakdown(self._given, scope, group_by)
+        return annual.peak_breakdown(self.projection, scope, group_by, self._hours, self._has_few_keys())
 
     def get_scenario_summary(self, scenario: str, year: int) -> dict[str, float]:
         """Consumption, growth since the first year in percent, and peak, of one country."""

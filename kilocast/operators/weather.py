@@ -29,6 +29,9 @@ WEATHER_COLUMNS = {
     "BAIT": "bait",
 }
 
+# Kinds of temperature multipliers.
+KINDS = ("heating", "cooling", "other")
+
 # Days of one month that share a typical-day shape.
 GROUP_KEYS = ["geography", "weather_year", "month", "day_type"]
 
@@ -165,12 +168,15 @@ def temperature_multipliers(
     )
 
 
+def range_columns() -> list[Column]:
+    """The smallest and largest multiplier of each kind, as aggregates."""
+    return [
+        pick(f"{kind}_multiplier").alias(f"{label}_{kind}")
+        for kind in KINDS
+        for label, pick in (("min", F.min), ("max", F.max))
+    ]
+
+
 def multiplier_range(multipliers: DataFrame) -> DataFrame:
     """One row with the smallest and largest multiplier of each kind."""
-    return multipliers.agg(
-        *[
-            pick(f"{kind}_multiplier").alias(f"{label}_{kind}")
-            for kind in ("heating", "cooling", "other")
-            for label, pick in (("min", F.min), ("max", F.max))
-        ]
-    )
+    return multipliers.agg(*range_columns())

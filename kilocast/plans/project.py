@@ -6,9 +6,9 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager, nullcontext
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from kilocast.config import BASELINE, ProjectConfig, TableOverride
 from kilocast.errors import InvalidOperation, InvalidParameter
@@ -70,6 +70,8 @@ class Project:
         # Multipliers as planned or as stored, and as stored.
         self._pinned: list[tuple[DataFrame, DataFrame]] = []
         self._stored_paths: list[str] = []
+        # Ranges of the multipliers, seen while they were stored.
+        self._ranges: list[tuple[DataFrame, Observation]] = []
 
     @classmethod
     def from_files(
@@ -252,7 +254,9 @@ class Project:
             if stored is None:
                 path = fresh_path(self.spark)
                 self._stored_paths.append(path)
-                stored = pin(multipliers, path)
+                seen = Observation()
+                stored = pin(multipliers.observe(seen, *weather.range_columns()), path)
+                self._ranges.append((stored, seen))
                 self._pinned += [(multipliers, stored), (stored, stored)]
             self.catalog.scenario(name).use_stored_multipliers(stored)
 
@@ -262,13 +266,22 @@ class Project:
             remove(self.spark, path)
         self._stored_paths.clear()
         self._pinned.clear()
+        self._ranges.clear()
         self.catalog.forget_plans()
 
     def multiplier_statistics(self, scenario: str) -> DataFrame:
-        """Range of each temperature multiplier of a scenario, in one row."""
-        return weather.multiplier_range(
-            self.calculated_table(scenario, "temperature_multipliers")
-        )
+        """Range of each temperature multiplier of a scenario, in one row.
+
+        Multipliers that a computation has stored were looked at while they were
+        written, and are not read again.
+        """
+        table = self.calculated_table(scenario, "temperature_multipliers")
+        seen = next((seen for stored, seen in self._ranges if stored is table), None)
+        if seen is None:
+            return weather.multiplier_range(table)
+        names = [f"{label}_{kind}" for kind in weather.KINDS for label in ("min", "max")]
+        schema = StructType([StructField(name, DoubleType()) for name in names])
+        return self.spark.createDataFrame([tuple(seen.get[name] for name in names)], schema)
 
     def compute_energy_projection(
         self,

@@ -30,23 +30,33 @@ def peak(projection: DataFrame, scope: Scope) -> DataFrame:
     )
 
 
-def peak_breakdown(projection: DataFrame, scope: Scope, group_by: str) -> DataFrame:
+def peak_breakdown(
+    projection: DataFrame,
+    scope: Scope,
+    group_by: str,
+    totals: DataFrame | None = None,
+    few_peaks: bool = False,
+) -> DataFrame:
     """The rows of the peak hour, one per sector and end use, not summed.
 
     The peak hour is picked by aggregation with partial maxima rather than by
     ranking all hours; of equal peaks the earliest counts. They are one row for
     each scenario, year and country, so Spark measures them and broadcasts few.
+
+    ``totals`` are stored sums by hour to find the peaks in, so that the rows
+    are read once. With ``few_peaks`` the caller has counted the scenarios,
+    years and countries, and the rows stay where they are.
     """
     extra = breakdown_column(group_by)
     earlier = -minute_number(F.col("timestamp"))
     hours = (
-        scope.hourly_totals(projection)
+        scope.hourly_totals(projection if totals is None else totals)
         .groupBy(*scope.keys)
         .agg(F.max_by("timestamp", F.struct("total", earlier)).alias("timestamp"))
     )
     found = (
         scope.rows(projection)
-        .join(hours, [*scope.keys, "timestamp"])
+        .join(F.broadcast(hours) if few_peaks else hours, [*scope.keys, "timestamp"])
         .select(*scope.keys, *extra, "value")
     )
     return scope.sorted_rows(found, *extra)

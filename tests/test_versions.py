@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import YEARS
-from kilocast import ProjectionClient, TableOverride
+from conftest import CONFIG, YEARS
+from kilocast import Project, ProjectionClient, TableOverride
 from kilocast.errors import InvalidOperation, InvalidParameter
 from kilocast.plans import project as module
 from kilocast.plans import versions
@@ -191,7 +191,6 @@ QUERIES = {
     "season_area": ("_hours", lambda c: c.get_seasonal_load_area("rich", 2030)),
     "daily": ("data", lambda c: c.get_time_series_comparison("rich", 2030)),
     "season_by_sector": ("data", lambda c: c.get_seasonal_load_area("rich", 2030, breakdown="Sector")),
-    "peak_by_sector": ("data", lambda c: c.get_annual_peak_demand(group_by="Sector")),
 }
 
 
@@ -209,6 +208,55 @@ def test_queries_read_the_smallest_table_that_answers_them(project):
     assert quick.years == slow.years and quick.scenarios == slow.scenarios
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def parents(text, scan):
+    """The lines of a printed plan that stand above the (only) scan of a folder, from below."""
+    lines = text.splitlines()
+    [at] = [i for i, line in enumerate(lines) if "FileScan" in line and scan in line]
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    found, now = [], depth[at]
+    for i in reversed(range(at)):
+        if depth[i] < now:
+            found.append(lines[i])
+            now = depth[i]
+    return found
+
+
+def test_peak_rows_stay_where_they_are(project, monkeypatch):
+    """Peaks are found in the sums by hour, and rows of the result are neither summed nor moved for them."""
+    project.compute_energy_projection()
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = project.spark.conf.get(setting)
+    project.spark.conf.set(setting, "-1")
+    try:
+        quick = ProjectionClient(project)
+        ours = quick.get_annual_peak_demand(group_by="End Use")
+        text = plan(ours)
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        above = parents(text, "/data/run=")
+        assert any("BroadcastHashJoin" in x for x in above)
+        moved = [x for x in above[: next(i for i, x in enumerate(above) if "HashJoin" in x)] if "Exchange" in x or "Aggregate" in x]
+        assert moved == []
+        theirs = ProjectionClient(project, project.get_energy_projection()).get_annual_peak_demand(group_by="End Use")
+        key = lambda r: tuple(r)[:-1] + (round(r.value, 6),)
+        assert sorted(map(key, ours.collect())) == sorted(map(key, theirs.collect()))
+        monkeypatch.setattr("kilocast.client.FEW_KEYS", 3)
+        assert "BroadcastHashJoin" not in plan(ProjectionClient(project).get_annual_peak_demand(group_by="End Use"))
+    finally:
+        project.spark.conf.set(setting, before)
+
+
+def test_ranges_of_stored_multipliers_are_not_read_again(stored):
+    seen = stored.multiplier_statistics("rich")
+    assert not seen.inputFiles()
+    plain = Project(stored.spark, CONFIG, {n: stored.data_table("baseline", n) for n in stored.list_data_tables()})
+    assert seen.columns == plain.multiplier_statistics("baseline").columns
+    assert seen.collect() == plain.multiplier_statistics("baseline").collect()
+
+
 def test_hours_are_written_in_order_without_being_sorted(stored, tmp_path):
     """Below the writer the hours come from a sort of representative rows; rows of a country lie together."""
     status = stored.spark._jsparkSession.sharedState().statusStore()
