@@ -351,6 +351,15 @@ def test_no_gram_is_left_out_however_many_there_are(spark, monkeypatch):
         assert found[i] == pytest.approx(trie.code(ppm.grams_of(ppm.normal([text.encode()]))[0]).sum(), abs=1e-4)
 
 
+def test_frequent_words_are_at_most_so_many(spark):
+    for counts in ([1] * 9 + [5] * 4 + [70_000] * 50, [3] * 50, [2**40 + i for i in range(30)], [], [1, 2, 3]):
+        table = spark.createDataFrame([(n,) for n in counts], "n long")
+        for most in (0, 3, 10, 54, 100):
+            least = ppm._fitting(table, most)
+            assert sum(n >= least for n in counts) <= most
+    assert ppm._fitting(spark.createDataFrame([(n,) for n in [1, 1, 9, 12]], "n long"), 2) == 9
+
+
 def test_adaptive_scores_fall_with_repetition():
     once, twice = ppm.adaptive_score(b"some words here"), ppm.adaptive_score(b"some words here some words here")
     assert twice < once < 0 and twice > 1.8 * once
