@@ -50,6 +50,11 @@ def _long(column: Column) -> Column:
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def forget_stored() -> None:
+    """Let the aggregates be computed again when they are next asked for."""
+    _STORED.clear()
+
+
 class Inputs:
     """One data directory; inputs are planned when first asked for.
 
@@ -216,8 +221,8 @@ class Inputs:
 
     @cached_property
     def energy_intensity(self) -> DataFrame:
-        """Coefficients by region, sector and subsector. Commerce in Asia has none, one
-        European series has an unknown form, and each series an unused parameter."""
+        """Coefficients by region, sector and subsector. One European
+        series has an unknown form, and each series an unused parameter."""
         segment = F.col("c_mktsegment")
         sector = _recode(
             segment,
