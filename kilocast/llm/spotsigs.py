@@ -1,36 +1,44 @@
 """Document fingerprints from spot signatures, with DataFrame functions only.
 
-A spot signature is a common word (an anchor) and the chain of up to
-``CHAIN`` content words that follow it before the next anchor. The set of a
-text's signatures hardly changes when parts around it do. The fingerprint is
-the size of the set and its ``SIZE`` smallest 32-bit hashes, so it has a fixed
-length for texts of any length.
-
-``likeness`` compares two fingerprints: sets whose lengths differ so much that
-their Jaccard index is at most ``PRUNE`` are in other length partitions and get
-0 without a look at the hashes; for all others the index is estimated from the
-smallest hashes of the union (exact for sets of up to ``SIZE`` signatures).
-
-Case and all marks between words are left out. Every distinct content word is
-a signature of its own besides, so that texts or parts without anchors (lists,
-tables, short texts) have fingerprints too.
-
-Defined results: a null or empty text has an empty set; two empty sets have
-likeness 0; rows with null doc_id have no next document; of repeated doc_ids
-one row (smallest head, smallest fingerprint) is the next document; extra
-columns are ignored.
+A spot signature is an anchor (a common word, or the beginning of a line) and
+the chain of up to ``CHAIN`` content words that follow it before the next
+anchor; what follows beyond that is cut into chains without an anchor. The set
+of a text's signatures hardly changes when parts around it do.
+Case and all marks between words are left out. The fingerprint is the size of
+the set and its ``SIZE`` smallest 32-bit hashes as a string, which has a fixed
+length for texts of any length; comparisons use the whole sets.
+
+``likeness`` is the Jaccard index of two whole sets. With a threshold, sets are
+in partitions by the logarithm of their length to the base of its reciprocal:
+sets whose partitions are not neighbours cannot reach it and get 0 without a
+look at their signatures, and so do those whose lengths alone rule it out.
+
+The query needs every text beside the one that follows it. Texts are dealt by
+ranges of doc_id, a few for each shuffle partition, and travel once; inside a
+range the following text is that of the next row, and the last ids of a range
+take the first text of the next range.
+
+Defined results: a null or empty text, or one of marks alone, has an empty set;
+two empty sets have likeness 0; rows with null doc_id have no next document
+(their edited text is their own without the last quarter); of repeated doc_ids
+the row with the smallest text is the next document; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from kilocast.llm.common import read, stored
+from kilocast.llm.common import read
 
 CHAIN = 2
+#: Hashes that a printed fingerprint shows.
 SIZE = 64
-PRUNE = 0.02
+#: Ranges of doc_id for each shuffle partition.
+RANGES = 4
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -41,110 +49,105 @@ ANCHORS = (
 
 
 def _anchor_pattern() -> str:
-    """The anchors as one pattern, grouped by first letter so that few are tried at a place."""
+    """Anchors as one pattern, grouped by first letter so that few are tried at a place; a line's beginning is ``|``."""
     groups: dict[str, list[str]] = {}
     for word in sorted(set(ANCHORS), key=lambda w: (w[0], -len(w))):
         groups.setdefault(word[0], []).append(word[1:])
-    return " (?=(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in groups.items()) + ") )"
+    return " (?=(?:[|]|" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in groups.items()) + ") )"
 
 
 def signatures(text: Column) -> Column:
     """The distinct 32-bit hashes of a text's spot signatures, sorted."""
-    plain = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
-    spots = F.split(plain, _anchor_pattern())
-    chained = F.filter(F.slice(spots, 2, F.greatest(F.size(spots), F.lit(1))), lambda s: F.instr(F.trim(s), " ") > 0)
+    lines = F.regexp_replace(F.translate(F.lower(text), "|", " "), r"[\n\r]+", " | ")
+    plain = F.regexp_replace(F.concat(F.lit(" | "), lines, F.lit(" ")), r"[^\p{L}\p{N}|]+", " ")
+    spots = F.filter(F.split(plain, _anchor_pattern()), lambda s: F.instr(F.trim(s), " ") > 0)
+    words = F.lit(rf"\S+(?: \S+){{0,{CHAIN}}}")
+    chains = F.flatten(F.transform(spots, lambda s: F.regexp_extract_all(s, words, F.lit(0))))
     low = F.lit(0xFFFFFFFF).cast("long")
-    chains = F.transform(chained, lambda s: F.xxhash64(F.substring_index(s, " ", CHAIN + 1)).bitwiseAND(low))
-    rest = F.array_except(F.split(F.trim(plain), " "), F.array(F.lit(""), *map(F.lit, ANCHORS)))
-    words = F.transform(rest, lambda w: F.xxhash64(w).bitwiseAND(low))
-    return F.sort_array(F.array_distinct(F.concat(chains, words)))
+    return F.sort_array(F.array_distinct(F.transform(chains, lambda c: F.xxhash64(c).bitwiseAND(low))))
 
 
-def sketch(text: Column) -> Column:
-    """Set length and smallest hashes, the parts of a fingerprint."""
-    all_of = F.transform(F.array(signatures(text)), lambda s: F.struct(F.size(s).alias("n"), F.slice(s, 1, SIZE).alias("low")))
-    return all_of[0]
+def fingerprint(set_: Column) -> Column:
+    """A set as a string: its length, then its smallest hashes, all in hexadecimal."""
+    shown = F.transform(F.slice(set_, 1, SIZE), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
+    return F.concat(F.lower(F.hex(F.size(set_))), F.lit(":"), F.array_join(shown, ""))
 
 
-def fingerprint(part: Column) -> Column:
-    """The sketch as a string: set length, then the hashes, all in hexadecimal."""
-    return F.concat(
-        F.lower(F.hex(part["n"])), F.lit(":"), F.array_join(F.transform(part["low"], lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
-    )
+def length_partition(size: Column, threshold: float) -> Column:
+    """Sets of likeness ``threshold`` or more are in the same partition or in neighbours."""
+    return F.floor(F.log(size.cast("double")) / math.log(1 / threshold))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two sketches, 0 to 1; 0 where the lengths alone keep it at or under ``PRUNE``."""
-    union = F.slice(F.sort_array(F.array_union(a["low"], b["low"])), 1, SIZE)
-    both = F.size(F.array_intersect(F.array_intersect(a["low"], b["low"]), union))
-    shorter, longer = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-    return F.when((longer == 0) | (shorter <= F.lit(PRUNE) * longer), F.lit(0.0)).otherwise(
-        both / F.greatest(F.size(union), F.lit(1))
-    )
+def likeness(a: Column, b: Column, threshold: float | None = None) -> Column:
+    """Jaccard index of two sets, 0 to 1; with a threshold, 0 for those that lengths keep under it."""
+    shorter, longer = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    both = F.size(F.array_intersect(a, b))
+    index = F.when(shorter <= 0, F.lit(0.0))
+    if threshold:
+        apart = length_partition(longer, threshold) - length_partition(shorter, threshold) > 1
+        index = index.when(apart | (shorter < threshold * longer), F.lit(0.0))
+    return index.otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def next_ids(documents: DataFrame) -> DataFrame:
-    """doc_id and next_id of every distinct doc_id in ascending order; the first one follows the last."""
-    count = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = documents.select("doc_id").where("doc_id is not null").distinct().repartitionByRange(count, "doc_id")
-    placed = stored(ids.withColumn("part", F.spark_partition_id()))
-    firsts = placed.groupBy("part").agg(F.min("doc_id").alias("first"))  # a row for each partition
-    every = Window.orderBy("part")
-    after = firsts.select(
-        "part",
-        F.coalesce(
-            F.lead("first").over(every),
-            F.min("first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        ).alias("after"),
-    )
-    within = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
-    return placed.select("doc_id", "part", within.alias("within")).join(after, "part").select(
-        "doc_id", F.coalesce("within", "after").alias("next_id")
-    )
+def ranges(documents: DataFrame, count: int) -> list:
+    """The smallest doc_id of each of about ``count`` ranges with as many ids."""
+    ids = documents.select("doc_id").where("doc_id is not null").repartitionByRange(count, "doc_id")
+    firsts = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("first"))
+    return sorted(r["first"] for r in firsts.collect())  # one for each range
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every document."""
-    return documents.select("doc_id", fingerprint(sketch(F.coalesce("text", F.lit("")))).alias("fingerprint"))
+    return documents.select("doc_id", fingerprint(signatures(F.coalesce("text", F.lit("")))).alias("fingerprint"))
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit: the last quarter replaced by the head of the next document."""
+    parts = RANGES * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = documents.schema["doc_id"].dataType
+    firsts = ranges(documents, parts)
+    bounds = F.lit(firsts).cast(ArrayType(kind)) if firsts else F.array().cast(ArrayType(kind))
+    place = F.size(F.filter(bounds, lambda first: first <= F.col("doc_id")))
+    alone = F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")  # rows without id are dealt out
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = stored(next_ids(documents))
-    lengths = rows.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("quarter"))
-    wanted = links.join(lengths, "doc_id").select(F.col("doc_id").alias("of"), F.col("next_id").alias("doc_id"), "quarter")
-    heads = (
-        rows.join(wanted, "doc_id")
-        .select(F.col("of").alias("doc_id"), F.expr("substring(text, 1, quarter)").alias("head"))
-        .groupBy("doc_id")
-        .agg(F.min("head").alias("head"))
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNotNull(), place).otherwise(alone))
+    rows = rows.withColumn("own", signatures(F.col("text")))
+
+    # The first text of each range is what follows the range before; the first range follows the last.
+    smallest = F.min(F.struct("text", "own"))
+    heads = rows.where(F.array_contains(bounds, F.col("doc_id"))).groupBy("part").agg(smallest.alias("after"))
+    before = F.when(F.col("part") > 1, F.col("part") - 1).otherwise(F.lit(len(firsts)))
+    heads = heads.select(before.cast("int").alias("part"), F.col("after.text").alias("after_text"), F.col("after.own").alias("after_own"))
+
+    # From the largest id down: the row before is that of the next id, with its smallest text.
+    down = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    first_of_id = F.lag("doc_id").over(down) > F.col("doc_id")
+    rows = rows.withColumn("following", F.when(first_of_id, F.struct(F.lag("text").over(down).alias("text"), F.lag("own").over(down).alias("own"))))
+    rows = rows.withColumn("following", F.last("following", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = rows.join(heads, "part", "left")
+    has_id = F.col("doc_id").isNotNull()
+    whole = whole.select(
+        "doc_id",
+        "text",
+        "own",
+        F.length("text").cast("long").alias("n_chars"),
+        F.when(has_id, F.coalesce("following.text", "after_text")).alias("next_text"),
+        F.when(has_id, F.coalesce("following.own", "after_own")).alias("next_own"),
     )
-    whole = rows.join(heads, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr(
         "concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) as int)), "
-        "substring(coalesce(head, ''), 1, cast(floor(n_chars / 4) as int)))"
-    )
-    made = stored(
-        whole.withColumn("edited", edited)
-        .select(
-            "doc_id",
-            "n_chars",
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            sketch(F.col("text")).alias("own"),
-            sketch(F.col("edited")).alias("changed"),
-        )
+        "substring(coalesce(next_text, ''), 1, cast(floor(n_chars / 4) as int)))"
     )
-    following = made.where("doc_id is not null").groupBy("doc_id").agg(F.min("own").alias("next"))
-    after = links.join(following.withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", "next")
-    return made.join(after, "doc_id", "left").select(
+    made = whole.select("doc_id", "n_chars", "own", "next_own", edited.alias("edited"))
+    made = made.select("*", F.transform(F.array("edited"), lambda t: signatures(t))[0].alias("changed"))
+    return made.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        F.coalesce(likeness(F.col("own"), F.col("next")), F.lit(0.0)).alias("near_next"),
+        F.coalesce(likeness(F.col("own"), F.col("next_own")), F.lit(0.0)).alias("near_next"),
     )
 
 

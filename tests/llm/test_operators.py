@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -426,22 +427,64 @@ def test_posteriors_follow_the_labels(spark):
 # Fingerprints
 
 
+def plain_signatures(text):
+    """Anchors with the two content words after them, and what follows in threes."""
+    found = set()
+    for line in re.split("[\\n\\r]+", text.lower().replace("|", " ")):
+        words = re.sub(r"[\W_]+", " ", line).split()
+        chains, chain = [], ["|"]
+        for w in words:
+            if w in spotsigs.ANCHORS:
+                chains.append(chain)
+                chain = [w]
+            else:
+                chain.append(w)
+        for chain in [*chains, chain]:
+            if len(chain) > 1:
+                found |= {tuple(chain[i : i + 3]) for i in range(0, len(chain), 3)}
+    return found
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
 def test_fingerprints_of_texts_and_their_edits(docs):
     rows = {r.doc_id: r for r in spotsigs.edited_fingerprints(docs).collect() if r.doc_id is not None}
     texts = {r[0]: r[1] or "" for r in corpus() if r[0] is not None}
     ids = sorted(texts)
-    same = {}
+    same, sets = {}, {i: plain_signatures(t) for i, t in texts.items()}
     for i, following in zip(ids, ids[1:] + ids[:1]):
         q = len(texts[i]) // 4
         edited = texts[i][: len(texts[i]) - q] + texts[following][:q]
         assert rows[i].n_chars == len(texts[i])
         assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert same.setdefault(texts[i], rows[i].fingerprint) == rows[i].fingerprint
-        assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
+        assert rows[i].near_edited == pytest.approx(plain_likeness(sets[i], plain_signatures(edited)))
+        assert rows[i].near_next == pytest.approx(plain_likeness(sets[i], sets[following]))
+        assert int(rows[i].fingerprint.split(":")[0], 16) == len(sets[i])
     long = [rows[i] for i in ids if len(split(texts[i])) > 60 and texts[i] != "the " * 400]
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.2
 
 
+def test_fingerprints_of_odd_rows(spark):
+    """Repeated ids: the smallest text of the next id follows; rows without id have no next."""
+    rows = [(2, "b two", 1), (2, "a one", 1), (1, "x" * 8, 1), (None, "y" * 8, 1), (None, None, 1), (3, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, part int")
+    found = sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in spotsigs.edited_fingerprints(df).collect())
+    edited = [(0, 0, ""), (0, 8, "y" * 6), (1, 8, "x" * 6 + "a "), (2, 5, "a on"), (2, 5, "b tw"), (3, 0, "")]
+    assert found == sorted((i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in edited)
+    assert spotsigs.edited_fingerprints(df.limit(0)).collect() == []
+
+
+def test_likeness_by_length_partitions(spark):
+    sets = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 5, 8, 9, 10, 30, 100)], "a array<long>")
+    pairs = sets.crossJoin(sets.withColumnRenamed("a", "b"))
+    for row in pairs.select("a", "b", spotsigs.likeness(F.col("a"), F.col("b"), 0.8), spotsigs.likeness(F.col("a"), F.col("b"))).collect():
+        exact = plain_likeness(set(row[0]), set(row[1]))
+        assert row[3] == pytest.approx(exact) and (row[2] == row[3] if exact >= 0.8 else row[2] in (0, row[3]))
+
+
 # Chats
 
 
