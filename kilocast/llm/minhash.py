@@ -57,6 +57,8 @@ PART = 3
 MISS = 1e-6
 BLOCK = 1024
 SHARE = 256
+#: Bytes of text that a task works on at once; an executor's tasks share its memory with Spark.
+BYTES = 1 << 20
 #: Further min-hashes, a byte each, of the texts that stars have not settled.
 MARKS = 512
 _SEED = 20
@@ -126,7 +128,7 @@ def sketch(documents: DataFrame, shingle: int, count: int) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches):
+        for table in blocks(batches, size=BYTES):
             hashes, edges = shingle_sets([x or b"" for x in table.column("text").to_pylist()], shingle)
             full, found = keys_of(hashes, edges)
             keys, here = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, bool)
@@ -183,7 +185,7 @@ def packed_texts(documents: DataFrame, wanted: IdFilter, shingle: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
-        for table in blocks(batches):
+        for table in blocks(batches, size=BYTES):
             ids = table.column("doc_id").to_pylist()
             open_ = wanted.has(np.array([x or 0 for x in ids], np.int64))
             texts = [t or b"" for t, x, o in zip(table.column("text").to_pylist(), ids, open_) if o or x is None]
@@ -225,7 +227,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, head = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64)
-        for table in blocks(batches, "packed", 1 << 20):
+        for table in blocks(batches, "packed", BYTES // 2):
             texts_ = [unzip.decompress(x) for x in table.column("packed").to_pylist()]
             hashes, edges = shingle_sets(texts_, shingle)
             good = []
@@ -248,7 +250,7 @@ def shared_shingles(keys: DataFrame, texts: DataFrame, shingle: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for table in blocks(batches, "packed", 1 << 20):
+        for table in blocks(batches, "packed", BYTES // 2):
             hashes, edges = shingle_sets([unzip.decompress(x) for x in table.column("packed").to_pylist()], shingle)
             owner = np.repeat(table.column("key").to_numpy(), np.diff(edges))
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(hashes.view(np.int64))], ["key", "token"])
@@ -265,7 +267,7 @@ def marked(keys: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, factors = zstandard.ZstdDecompressor(), factors_of(MARKS, _SEED + 1)
-        for table in blocks(batches, "packed", 1 << 20):
+        for table in blocks(batches, "packed", BYTES // 2):
             hashes, edges = shingle_sets([unzip.decompress(x) for x in table.column("packed").to_pylist()], shingle)
             low = np.stack([np.minimum.reduceat(hashes * f, edges[:-1]) for f in factors], axis=1)
             marks = [row.tobytes() for row in mix(low).astype(np.uint8)]
