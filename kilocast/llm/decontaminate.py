@@ -57,6 +57,10 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(WINDOW)], np.uint64)
 
 
+#: Windows that a task sends at once.
+SLICE = 1 << 14
+
+
 class _Kinds(dict):
     """Of a word: hash, kind and whether it ends a sentence; 10 bytes, kept per Python worker, bounded."""
 
@@ -81,6 +85,13 @@ class _Kinds(dict):
 
 
 _KINDS = _Kinds()
+
+
+def _forget() -> None:
+    """Python workers live on after a task, and other operators' tasks want their memory."""
+    _KINDS.clear()
+
+
 _DTYPE = np.dtype([("hash", "<u8"), ("kind", "u1"), ("ends", "u1")])
 
 
@@ -155,29 +166,36 @@ def spread(table: DataFrame, key: str, wanted: IdFilter | None, sizes: tuple[int
     """A row for each template window: key, row, window, form, position, its words' hashes and the text's windows."""
     held = table.sparkSession.sparkContext.broadcast(wanted)
 
+    names = ("window", "form", "spot", "n_windows")
+
+    def rows(keys: list, parts: list[tuple[np.ndarray, ...]]) -> list[pa.RecordBatch]:
+        *columns, words, lengths = (np.concatenate(x) for x in zip(*parts))
+        lists = offsets_list(words.view(np.int64), lengths, pa.int64())
+        arrays = [pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in columns), lists]
+        return pa.table(arrays, names=["key", *names, "words"]).to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = held.value
-        for block in blocks(batches):
-            columns: dict[str, list] = {n: [] for n in ("key", "window", "form", "spot", "n_windows")}
-            words, lengths = [np.zeros(0, np.uint64)], []
-            for key_, text in zip(block.column(0).to_pylist(), block.column("text").to_pylist()):
-                hashes, forms, spots, lengths_, h = windows(text or b"", sizes)
-                count = max(1, len(h) - WINDOW + 1)
-                keep = np.flatnonzero(filter_.has(hashes)) if filter_ else np.arange(len(hashes))
-                for i in keep:
-                    columns["key"].append(key_)
-                    columns["spot"].append(int(spots[i]))
-                    columns["n_windows"].append(count)
-                    words.append(h[spots[i] : spots[i] + lengths_[i]])
-                    lengths.append(int(lengths_[i]))
-                columns["window"] += hashes[keep].view(np.int64).tolist()
-                columns["form"] += forms[keep].tolist()
-            out = pa.table(
-                [pa.array(columns[n], pa.int64()) for n in columns]
-                + [offsets_list(np.concatenate(words).view(np.int64), np.array(lengths, np.int64), pa.int64())],
-                names=[*columns, "words"],
-            )
-            yield from out.to_batches()
+        try:
+            for block in blocks(batches):
+                keys, parts = [], []
+                for key_, text in zip(block.column(0).to_pylist(), block.column("text").to_pylist()):
+                    hashes, forms, spots, lengths, h = windows(text or b"", sizes)
+                    keep = np.flatnonzero(filter_.has(hashes)) if filter_ else np.arange(len(hashes))
+                    for i in range(0, len(keep), SLICE):
+                        some = keep[i : i + SLICE]
+                        at, n = spots[some], lengths[some]
+                        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        count = np.full(len(some), max(1, len(h) - WINDOW + 1))
+                        keys += [key_] * len(some)
+                        parts.append((hashes[some].view(np.int64), forms[some], at, count, h[np.repeat(at, n) + inside], n))
+                        if len(keys) >= SLICE:
+                            yield from rows(keys, parts)
+                            keys, parts = [], []
+                if parts:
+                    yield from rows(keys, parts)
+        finally:
+            _forget()
 
     return (
         table.select(key, bytes_of("text"))

@@ -43,6 +43,8 @@ MAGIC = b"KWM1"
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
 END_ID = 1
+#: Words, and pieces of words, whose ids a Python worker keeps; up to twice as many for a while.
+KEPT = 500_000
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xff]*")
 
@@ -63,7 +65,7 @@ class WordEncoder:
 
     _known: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,10 +76,11 @@ class WordEncoder:
         self.old_words, self.old_pieces = self.words, self.pieces
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str, most: int) -> WordEncoder:
         """The Python worker's encoder: later tasks find the words of earlier ones."""
         if path not in cls._known:
             cls._known[path] = cls(path)
+        cls._known[path].most = most
         return cls._known[path]
 
     def _piece(self, piece: str) -> bytes:
@@ -233,13 +236,15 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return ids, np.frombuffer(parts[2], "<i8"), WaveletMatrix(head["tokens"], head["bits"], head["zeros"], planes)
 
 
-def write_shards(documents: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(
+    documents: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, kept: int = KEPT
+) -> DataFrame:
     """Write the token files; returns the stored manifest: path, part, turn, n_docs, n_tokens, start."""
     spark = documents.sparkSession
     folder = new_folder(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = WordEncoder.of(tokenizer), TaskContext.get()
+        encoder, context = WordEncoder.of(tokenizer, kept), TaskContext.get()
         part, end = context.partitionId(), np.array([end_id], np.uint32).tobytes()
         ids: list[int | None] = []
         coded: list[bytes] = []
