@@ -218,9 +218,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
         .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "packed")
         .select("a", "share", F.lit(None).cast("long").alias("b"), "packed")
     )
+    # Only centres of many pairs have several shares.
     others = (
-        pairs.join(shares, "a")
-        .withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
+        pairs.join(shares.where("shares > 1"), "a", "left")
+        .withColumn("share", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1).cast("long"))))
         .join(texts.withColumnRenamed("key", "b"), "b")
         .select("a", "share", "b", "packed")
     )

@@ -22,8 +22,9 @@ def test_components_are_those_of_all_pairs(spark, n, percent):
     assert Counter(found) == kept(corpus(), n, percent)
 
 
-def test_clusters_of_texts_near_the_threshold(spark):
+def test_clusters_of_texts_near_the_threshold(spark, monkeypatch):
     """Variants of one text whose mutual likeness lies on both sides of the threshold: stars leave pairs to compare."""
+    monkeypatch.setattr(minhash, "SHARE", 8)  # pairs of a centre in a share
     rng = random.Random(6)
     rows = []
     for family in range(4):
