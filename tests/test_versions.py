@@ -1,5 +1,8 @@
 """Versions of the stored result: failures, pinned readers, taken-over years, stored sums."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +293,34 @@ def test_one_file_exports_refuse_existing_targets_first(stored, tmp_path, monkey
     stored.export_calculated_table("baseline", "gdp_country", str(path), overwrite=True, single_file=True)
     assert len(path.read_text().splitlines()) == 5
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("all")] == ["all.csv"]
+
+
+def test_sums_planned_beside_the_rows_are_written_after_them(project, tmp_path, monkeypatch):
+    """The rows' write sets how many files a task may have open, for the whole session and for its own time only."""
+    ended, writers = tmp_path / "ended", "spark.sql.maxConcurrentOutputFileWriters"
+    marker, write_rows, write_sums = str(ended), module.write_projection, module.write_sums
+
+    def wait(condition):
+        stop = time.time() + 60
+        while not condition() and time.time() < stop:
+            time.sleep(0.01)
+
+    def rows(*args, **kwargs):
+        write_rows(*args, **kwargs)
+        ended.touch()
+
+    def late(batches):
+        wait(lambda: os.path.exists(marker))
+        yield from batches
+
+    def sums(df, path):
+        wait(lambda: project.spark.conf.get(writers) != "0")
+        write_sums(df.coalesce(1).mapInArrow(late, df.schema), path)
+
+    monkeypatch.setattr(module, "write_projection", rows)
+    monkeypatch.setattr(module, "write_sums", sums)
+    project.result_path = str(tmp_path / "result")
+    project.compute_energy_projection()
+    expected = total(project.get_energy_projection())
+    assert total(project.get_hourly_sums()) == pytest.approx(expected)
+    assert total(project.get_annual_sums()) == pytest.approx(expected)
