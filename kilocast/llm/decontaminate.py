@@ -49,6 +49,7 @@ UNITS = frozenset(
     "years dollar dollars euro euros cent cents percent degree degrees mph kmh kph hz khz mhz ghz w kw mw v kb mb gb tb".split()
 )
 EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
+_UNIT_BYTES = frozenset(unit.encode() for unit in UNITS)
 NUMBER = re.compile(rb"[+-]?\d[\d.,:/]*")
 GLUED = re.compile(rb"([+-]?\d[\d.,]*)([a-z]+)")
 PLAIN, NUM, UNIT, CAPITAL, GLUE = range(5)
@@ -61,6 +62,9 @@ _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(WINDOW)], np.uint64)
 SLICE = 1 << 14
 
 
+_TAILS = [[bytes([kind, ends]) for ends in (0, 1)] for kind in range(16)]
+
+
 class _Kinds(dict):
     """Of a word: hash, kind and whether it ends a sentence; 10 bytes, kept per Python worker, bounded."""
 
@@ -68,19 +72,21 @@ class _Kinds(dict):
         if len(self) > 250_000:
             self.clear()
         bare = word.strip(EDGES)
-        letters = bare.decode("utf-8", "replace")
-        low = letters.lower().encode()
+        letters = bare if bare.isascii() else bare.decode("utf-8", "replace")
+        low = bare.lower() if letters is bare else letters.lower().encode()
         kind = PLAIN
-        if NUMBER.fullmatch(low):
-            kind = NUM
-        elif (glued := GLUED.fullmatch(low)) and glued[2].decode() in UNITS:
-            kind = GLUE
-        elif low.isascii() and low.decode() in UNITS:
+        if low[:1].isdigit():  # signs are marks at the edge
+            if NUMBER.fullmatch(low):
+                kind = NUM
+            elif (glued := GLUED.fullmatch(low)) and glued[2] in _UNIT_BYTES:
+                kind = GLUE
+        elif low in _UNIT_BYTES:
             kind = UNIT
         elif letters[:1].isupper() and not letters.isupper():
             kind = CAPITAL
-        ends = word.rstrip(b"\"')]}*&%$#")[-1:] in (b".", b"!", b"?", b":")
-        self[word] = value = xxhash.xxh3_64_digest(low)[::-1] + bytes([kind + 8 * (not bare), ends])
+        # What ends a sentence is a mark, too.
+        ends = len(bare) < len(word) and word.rstrip(b"\"')]}*&%$#")[-1:] in (b".", b"!", b"?", b":")
+        self[word] = value = xxhash.xxh3_64_digest(low)[::-1] + _TAILS[kind + 8 * (not bare)][ends]
         return value
 
 
@@ -126,8 +132,14 @@ def tokens(text: bytes) -> tuple[np.ndarray, ...]:
 
 def _hashed(token: np.ndarray, size: int, form: int, at: np.ndarray) -> np.ndarray:
     """Hashes of the windows of ``size`` tokens that begin at the given places."""
-    total = np.full(len(at), size, np.uint64)
     mixed = mix(token)
+    if 2 * len(at) > len(token):  # most of them: all at once
+        n = len(token) - size + 1
+        total = np.full(n, size, np.uint64)
+        for i in range(size):
+            total += mixed[i : i + n] * _POWERS[i]
+        return mix(total[at] ^ np.uint64(form))
+    total = np.full(len(at), size, np.uint64)
     for i in range(size):
         total += mixed[at + i] * _POWERS[i]
     return mix(total ^ np.uint64(form))

@@ -563,3 +563,31 @@ def test_blocks_cut_by_bytes():
     sizes = [t.column("text").to_pylist() for t in blocks([batch, batch], size=10)]
     assert [x for s in sizes for x in s] == batch.column("text").to_pylist() * 2
     assert all(len(s) == 1 or sum(len(x or b"") for x in s) <= 10 for s in sizes)
+
+
+
+def test_kinds_of_words_cost_no_pattern_unless_they_begin_with_a_digit(monkeypatch):
+    class Asked:
+        def __init__(self, pattern):
+            self.pattern, self.words = pattern, []
+
+        def fullmatch(self, word):
+            self.words.append(word)
+            return self.pattern.fullmatch(word)
+
+    for name in ("NUMBER", "GLUED"):
+        monkeypatch.setattr(decontaminate, name, Asked(getattr(decontaminate, name)))
+    text = "Say \u212am -5 +7.5, 3kg 12km/h 4th kg KG Km. (Paris) \u00c9cole 'end.' ... \u00bd \u0661 x-1 U.S.A. 1,000!"
+    kinds = decontaminate._Kinds()
+    plain, num, unit, capital, glue, marks = 0, 1, 2, 3, 4, 8
+    wanted = [capital, unit, num, num, glue, plain, plain, unit, unit, unit, capital, capital, plain, marks, plain, plain, plain, plain, num]
+    assert [kinds[w.encode()][8] for w in text.split()] == wanted
+    assert [w for w in text.split() if kinds[w.encode()][9]] == ["Km.", "'end.'", "...", "U.S.A.", "1,000!"]
+    assert all(w[:1].isdigit() for p in (decontaminate.NUMBER, decontaminate.GLUED) for w in p.words)
+
+
+def test_windows_of_most_places_hash_as_those_of_a_few():
+    token = common.mix(np.arange(40, dtype=np.uint64))
+    at = np.delete(np.arange(33), 5)
+    alone = [decontaminate._hashed(token, 8, 1, np.array([i]))[0] for i in at.tolist()]
+    assert decontaminate._hashed(token, 8, 1, at).tolist() == alone
