@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -47,6 +48,8 @@ END_ID = 1
 KEPT = 500_000
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xff]*")
+#: The same cut of ASCII words in lower case.
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def _byte_letters() -> str:
@@ -88,18 +91,19 @@ class WordEncoder:
         if known is None:
             known = self.old_pieces.get(piece)
             if known is None:
-                letters = piece.encode().decode("latin-1").translate(self.letters)
+                # Printing ASCII letters stand for themselves.
+                letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
                 known = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             self.pieces[piece] = known
         return known
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
         if len(self.words) > self.most:  # words in use come over from the old table
             self.old_words, self.words = self.words, {}
         if len(self.pieces) > self.most:
             self.old_pieces, self.pieces = self.pieces, {}
+        split = [t.split() for t in texts]
         others = []
         for w in set(chain.from_iterable(split)).difference(self.words):
             known = self.old_words.get(w)
@@ -107,7 +111,13 @@ class WordEncoder:
                 self.words[w] = known
                 continue
             text = w.decode("utf-8", "replace")
-            if _SIMPLE.fullmatch(text) and "<|" not in text:
+            if w.isalpha():  # ASCII letters alone are one piece
+                self.words[w] = self._piece(text.lower())
+            elif "<|" in text:
+                others.append(w)
+            elif w.isascii() and text.isprintable():
+                self.words[w] = b"".join(map(self._piece, _ASCII_PIECE.findall(text.lower())))
+            elif _SIMPLE.fullmatch(text):
                 self.words[w] = b"".join(map(self._piece, _PIECE.findall(text.lower())))
             else:
                 others.append(w)

@@ -591,3 +591,15 @@ def test_windows_of_most_places_hash_as_those_of_a_few():
     at = np.delete(np.arange(33), 5)
     alone = [decontaminate._hashed(token, 8, 1, np.array([i]))[0] for i in at.tolist()]
     assert decontaminate._hashed(token, 8, 1, at).tolist() == alone
+
+
+def test_ascii_words_are_cut_without_the_general_pattern(monkeypatch):
+    encoder = tokens.WordEncoder(tokens.default_tokenizer())
+    texts = ["Plain words, don't WE'LL x_1-2 <b>a</b> 3kg\u00a0 A\x01b \x7f <|endoftext|> 'S 's're", "caf\u00e9 na\u00efve\u00bd \u65e5\u672c \u0130 \u212a"]
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode([t.encode() for t in texts])] == wanted
+    monkeypatch.setattr(tokens, "_PIECE", None)
+    monkeypatch.setattr(tokens, "_SIMPLE", None)
+    other = ["Other words, she's 9mm (THEY'RE) a-b;c"]
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in other]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode([t.encode() for t in other])] == wanted
