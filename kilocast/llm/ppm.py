@@ -52,6 +52,9 @@ NEAR = 3
 SCORE_BLOCK = 4 << 20
 SHARD = 1 << 20
 COMMON = 1 << 18
+#: Bytes of a block of texts to be counted, and counts in a batch that leaves a Python worker.
+COUNT_BLOCK = 1 << 20
+ROWS = 1 << 16
 END = b"\n"
 END_WORD = -1
 GRAM, WORD = 0, 1
@@ -85,30 +88,34 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def count(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """kind, key, n: grams and word hashes of the texts with their counts, the end mark as word ``END_WORD``."""
 
-    def rows(kind: int, parts: list) -> pa.RecordBatch:
+    def rows(kind: int, parts: list) -> Iterator[pa.RecordBatch]:
         keys, counts = _merge(parts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())],
-            ["kind", "key", "n"],
-        )
+        parts.clear()
+        # In small batches: the executor holds a whole one beside its heap.
+        for i in range(0, len(keys), ROWS):
+            some = keys[i : i + ROWS].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), kind), pa.int32()), pa.array(some), pa.array(counts[i : i + ROWS], pa.int64())],
+                ["kind", "key", "n"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {GRAM: [], WORD: []}
-        for table in blocks(batches):
+        for table in blocks(batches, size=COUNT_BLOCK):
             texts = normal(table.column("text").to_pylist())
             words = Words(texts)
             hashes, n = np.unique(words.hashes(words.start, words.end), return_counts=True)
             held[WORD] += [(hashes, n), (np.array([END_WORD]).view(np.uint64), np.array([len(texts)]))]
+            del words, hashes
             held[GRAM].append(np.unique(grams_of(texts, order)[0], return_counts=True))
             for kind, parts in held.items():
-                if len(parts) > 6:
+                if len(parts) > 6 and (len(parts) > 24 or sum(len(p[0]) for p in parts) > 2_000_000):
                     held[kind] = [_merge(parts)]
                     if len(held[kind][0][0]) > 1_000_000:
-                        yield rows(kind, held[kind])
-                        held[kind] = []
+                        yield from rows(kind, held[kind])
         for kind, parts in held.items():
             if parts:
-                yield rows(kind, parts)
+                yield from rows(kind, parts)
 
     found = documents.select(bytes_of("text")).mapInArrow(run, "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -565,6 +566,26 @@ def test_blocks_cut_by_bytes():
     assert all(len(s) == 1 or sum(len(x or b"") for x in s) <= 10 for s in sizes)
 
 
+def test_counts_leave_the_workers_in_small_batches(spark, monkeypatch):
+    """A batch is held whole beside the executor's heap, whatever a task has counted."""
+    sizes, made = [], pa.RecordBatch.from_arrays
+
+    class Documents:
+        """In the place of a table: runs the function here, on one text after the other."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = made([pa.array([b"one two three", b"two three four five", None, b"six"], pa.binary())], ["text"])
+            sizes.extend(b.num_rows for b in run(iter([batch])))
+            return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(ppm, "bytes_of", lambda name: name)
+    monkeypatch.setattr(ppm, "ROWS", 5, raising=False)
+    ppm.count(Documents())
+    assert sum(sizes) > 40 and max(sizes) == 5
+
 
 def test_kinds_of_words_cost_no_pattern_unless_they_begin_with_a_digit(monkeypatch):
     class Asked:
