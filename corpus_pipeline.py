@@ -20,7 +20,7 @@ from kilocast.llm.common import read, stored
 ORACLE_SQL = None
 
 # Words whose ids a Python worker keeps; its memory holds what other stages have left, too.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 50_000
 MIX = {"growth": 1.5, "min_rate": 1.0, "max_rate": 4.0}
 
 

@@ -92,3 +92,12 @@ def test_empty_tables_pass_all_stages(spark, tmp_path):
         docs = stored(stage(spark, docs, str(tmp_path)))
         assert docs.columns == ["doc_id", "text", "lang", "source"] and docs.count() == 0
     assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_the_encoder_keeps_few_words_beside_what_other_stages_have_left():
+    from kilocast.llm import tokens
+
+    encoder = tokens.WordEncoder(tokens.default_tokenizer(), pipeline.KEPT_WORDS)
+    for i in range(0, 140_000, 10_000):
+        encoder.encode([b" ".join(b"w%dx" % n for n in range(i, i + 10_000))])
+    assert len(encoder.words) + len(encoder.old_words) <= 120_000
