@@ -28,7 +28,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +104,11 @@ class WordEncoder:
         if len(self.pieces) > self.most:
             self.old_pieces, self.pieces = self.pieces, {}
         split = [t.split() for t in texts]
+        every = list(chain.from_iterable(split))
+        found = list(map(self.words.get, every))
+        missing = [i for i, x in enumerate(found) if x is None]
         others = []
-        for w in set(chain.from_iterable(split)).difference(self.words):
+        for w in {every[i] for i in missing}:
             known = self.old_words.get(w)
             if known is not None:
                 self.words[w] = known
@@ -122,10 +125,12 @@ class WordEncoder:
             else:
                 others.append(w)
         texts = [w.decode("utf-8", "replace") for w in others]
-        for w, found in zip(others, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            self.words[w] = array("I", found.ids).tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for w, ids in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.words[w] = array("I", ids.ids).tobytes()
+        for i in missing:
+            found[i] = self.words[every[i]]
+        ends = accumulate(map(len, split), initial=0)
+        return [b"".join(found[a:b]) for a, b in pairwise(ends)]
 
 
 class WaveletMatrix:
@@ -143,9 +148,9 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             one = (left >> k) & 1 == 1
             planes.append(np.packbits(one, bitorder="little"))
-            low = left[~one]
+            low = np.flatnonzero(~one)
             zeros.append(len(low))
-            left = np.concatenate([low, left[one]])
+            left = left[np.concatenate([low, np.flatnonzero(one)])]
         return cls(len(values), bits, zeros, planes)
 
     def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -170,8 +175,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.size, bitorder="little").view(bool)
             above = np.empty_like(out)
-            above[~one] = out[: self.zeros[k]]
-            above[one] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~one)] = out[: self.zeros[k]]
+            above[np.flatnonzero(one)] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
             out = above
         return out
 

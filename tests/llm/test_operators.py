@@ -624,3 +624,17 @@ def test_ascii_words_are_cut_without_the_general_pattern(monkeypatch):
     other = ["Other words, she's 9mm (THEY'RE) a-b;c"]
     wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in other]
     assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode([t.encode() for t in other])] == wanted
+
+
+def test_known_words_are_looked_up_once_a_text():
+    class Once(dict):
+        def __getitem__(self, key):
+            raise AssertionError("looked up again")
+
+    encoder = tokens.WordEncoder(tokens.default_tokenizer())
+    texts = [b"one Two, <|x|> \xe6\x97\xa5\xe6\x9c\xac one", b"", b" two  one\n"]
+    first = encoder.encode(texts)
+    wanted = [encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in first] == wanted
+    encoder.words = Once(encoder.words)
+    assert encoder.encode(texts) == first
