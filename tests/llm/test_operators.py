@@ -638,3 +638,20 @@ def test_known_words_are_looked_up_once_a_text():
     assert [np.frombuffer(x, np.uint32).tolist() for x in first] == wanted
     encoder.words = Once(encoder.words)
     assert encoder.encode(texts) == first
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+    import tempfile
+    import time
+
+    def files():
+        top = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+        return set(glob.glob(f"{top}/blockmgr-*/*/shuffle_*.data"))
+
+    before = files()
+    kept = common.stored(spark.range(100).repartition(3, "id"))
+    stop = time.time() + 20
+    while files() - before and time.time() < stop:
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 100
