@@ -13,7 +13,8 @@ shingle sets. The result is one row per document with its component.
    smallest; links found so join most copies without pairs within a group.
 4. *Token-group matrix.* Sets that share a signature but not a component are
    partitioned into groups of similar sets (same component or same star
-   centre, about ``GROUP`` sets each). A group keeps the union of its tokens.
+   centre, about ``GROUP`` sets each). A set asks the groups that have one of
+   about its size under one of its signatures. A group keeps the union of its tokens.
    For a query set Q the bound |Q & union| >= percent / 100 * |Q| must hold if
    any member links to it; only groups that meet the bound are opened, their
    parts of ``PART`` sets are held to the same bound, and the members of those
@@ -242,7 +243,7 @@ def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("signatures").alias("signatures")
         )
     )
-    spread = nodes.select(F.explode("signatures").alias("signature"), "key")
+    spread = nodes.select(F.explode("signatures").alias("signature"), "key", "size")
     shared = spread.groupBy("signature").agg(F.min("key").alias("centre"), F.max("key").alias("last")).where("centre <> last")
     members = stored(spread.join(shared.select("signature", "centre"), "signature"))
 
@@ -278,17 +279,25 @@ def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("chunks"))).alias("gid"), "key", "comp"
         )
     )
+    # Linked sets differ little in size, so a group's sets of a signature are taken by bands of sizes.
     cells = (
-        unsettled.select("signature", "key")
+        unsettled.select("signature", "key", "size")
         .join(groups, "key")
-        .groupBy("signature", "gid")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("key").alias("least"))
+        .groupBy("signature", "gid", F.floor(F.log(F.col("size")) * (100 / max(1, 100 - percent))).alias("band"))
+        .agg(
+            F.min("comp").alias("low"),
+            F.max("comp").alias("high"),
+            F.min("key").alias("least"),
+            F.min("size").alias("small"),
+            F.max("size").alias("big"),
+        )
     )
     # A pair is looked at from its larger key.
     candidates = (
-        unsettled.select("signature", F.col("key").alias("q"), F.col("comp").alias("q_comp"))
+        unsettled.select("signature", F.col("key").alias("q"), F.col("comp").alias("q_comp"), "size")
         .join(cells, "signature")
         .where("least < q and not (low = q_comp and high = q_comp)")
+        .where((100 * F.col("big") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("small")))
         .select("q", "q_comp", "gid")
         .distinct()
     )

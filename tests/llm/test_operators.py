@@ -655,3 +655,22 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     while files() - before and time.time() < stop:
         time.sleep(0.1)
     assert not files() - before and kept.count() == 100
+
+
+def test_sets_ask_only_groups_with_one_of_about_their_size(spark, monkeypatch):
+    """Two passages that begin alike and are shared by a short and long texts."""
+    words = [f"s{i}" for i in range(40)]
+    texts = [words, [*words, "x"], [*words, *(f"l{i}" for i in range(60))], [*words, *(f"l{i}" for i in range(60)), "y"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "connected", lambda edges: common.connected(edges.where("false")))
+    asked, plain = [], jaccard.open_groups
+
+    def spy(candidates, groups, *rest):
+        asked.append(candidates.count())
+        return plain(candidates, groups, *rest)
+
+    monkeypatch.setattr(jaccard, "open_groups", spy)
+    monkeypatch.setattr(jaccard, "prefix", lambda tokens, *_: tokens)
+    monkeypatch.setattr(jaccard, "GROUP", 1)
+    jaccard.components(docs, shingle=3, percent=90).collect()
+    assert asked[0] <= 2 * 2
