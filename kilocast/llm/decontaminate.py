@@ -56,6 +56,7 @@ PLAIN, NUM, UNIT, CAPITAL, GLUE = range(5)
 EXACT = 2
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(WINDOW)], np.uint64)
+_PLACEHOLDERS = mix(np.arange(16, dtype=np.uint64))
 
 
 #: Windows that a task sends at once.
@@ -71,6 +72,9 @@ class _Kinds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > 250_000:
             self.clear()
+        if word.isalpha() and word.islower():  # ASCII letters in lower case: no mark, number or name
+            self[word] = value = xxhash.xxh3_64_digest(word)[::-1] + _TAILS[UNIT if word in _UNIT_BYTES else PLAIN][0]
+            return value
         bare = word.strip(EDGES)
         letters = bare if bare.isascii() else bare.decode("utf-8", "replace")
         low = bare.lower() if letters is bare else letters.lower().encode()
@@ -130,11 +134,10 @@ def tokens(text: bytes) -> tuple[np.ndarray, ...]:
     return h, plain, named, np.where(named_opener, np.uint64(CAPITAL), named)
 
 
-def _hashed(token: np.ndarray, size: int, form: int, at: np.ndarray) -> np.ndarray:
-    """Hashes of the windows of ``size`` tokens that begin at the given places."""
-    mixed = mix(token)
-    if 2 * len(at) > len(token):  # most of them: all at once
-        n = len(token) - size + 1
+def _hashed(mixed: np.ndarray, size: int, form: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of ``size`` tokens, scrambled, that begin at the given places."""
+    if 2 * len(at) > len(mixed):  # most of them: all at once
+        n = len(mixed) - size + 1
         total = np.full(n, size, np.uint64)
         for i in range(size):
             total += mixed[i : i + n] * _POWERS[i]
@@ -151,13 +154,15 @@ def windows(text: bytes, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.nd
     ``sizes`` are the window sizes of a document; an item has one size, its own length if that is under ``WINDOW``.
     """
     h, *forms = tokens(text)
+    mixed = mix(h)
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for size in sizes or (min(WINDOW, len(h)),):
         if not 0 < size <= len(h):
             continue
         most = size - min(MIN_PLAIN, size)
         for form, token in enumerate(forms):
-            slots = np.concatenate([[0], np.cumsum(token < 16)])
+            slot = token < 16
+            slots = np.concatenate([[0], np.cumsum(slot)])
             held = slots[size:] - slots[:-size]
             if not form:
                 # The first word of an item may be a unit that the document's number before it makes a slot.
@@ -169,8 +174,11 @@ def windows(text: bytes, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.nd
                 changed = np.concatenate([[0], np.cumsum(token != forms[1])])
                 at = at[changed[at + size] > changed[at]]
             form = min(form, 1)
-            found.append((_hashed(token, size, form, at), np.full(len(at), form), at, np.full(len(at), size)))
-        found.append((_hashed(h, size, EXACT, exact), np.full(len(exact), EXACT), exact, np.full(len(exact), size)))
+            # All but the placeholders are words' hashes.
+            scrambled = mixed.copy()
+            scrambled[slot] = _PLACEHOLDERS[token[slot]]
+            found.append((_hashed(scrambled, size, form, at), np.full(len(at), form), at, np.full(len(at), size)))
+        found.append((_hashed(mixed, size, EXACT, exact), np.full(len(exact), EXACT), exact, np.full(len(exact), size)))
     return *(np.concatenate(x) for x in zip(*found)), h
 
 

@@ -640,6 +640,15 @@ def test_known_words_are_looked_up_once_a_text():
     assert encoder.encode(texts) == first
 
 
+def test_template_windows_scramble_the_words_once(monkeypatch):
+    text = b"Ask Bob about 5 km of road, then ask Bob again how many miles that is today"
+    wanted = [x.tolist() for x in decontaminate.windows(text, (8,))]
+    lengths, mix = [], decontaminate.mix
+    monkeypatch.setattr(decontaminate, "mix", lambda x: lengths.append(len(x)) or mix(x))
+    assert [x.tolist() for x in decontaminate.windows(text, (8,))] == wanted
+    assert lengths.count(len(wanted[-1])) == 1
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     import glob
     import tempfile
