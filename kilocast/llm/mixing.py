@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from kilocast.llm.common import blocks, bytes_of, read, stored
+from kilocast.llm.common import blocks, bytes_of, read, stored, tidy
 
 BITS = 15
 SHARDS = 4
@@ -125,6 +125,7 @@ def posteriors(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     names = base.columns
     schema = StructType(list(base.schema.fields)).add("n_tokens", "long").add("posterior", ArrayType(DoubleType()))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
         try:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import blocks, bytes_of, new_folder, read, read_file, stored, write_file
+from kilocast.llm.common import blocks, bytes_of, new_folder, read, read_file, stored, tidy, write_file
 
 MAGIC = b"KWM1"
 SHARD_TOKENS = 1 << 21
@@ -86,6 +86,10 @@ class WordEncoder:
         cls._known[path].most = most
         return cls._known[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        cls._known.clear()
+
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
@@ -148,9 +152,9 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             one = (left >> k) & 1 == 1
             planes.append(np.packbits(one, bitorder="little"))
-            low = np.flatnonzero(~one)
+            low = left[np.flatnonzero(~one)]
             zeros.append(len(low))
-            left = left[np.concatenate([low, np.flatnonzero(one)])]
+            left = np.concatenate([low, left[np.flatnonzero(one)]])
         return cls(len(values), bits, zeros, planes)
 
     def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -258,6 +262,7 @@ def write_shards(
     spark = documents.sparkSession
     folder = new_folder(spark, "tokens")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, context = WordEncoder.of(tokenizer, kept), TaskContext.get()
         part, end = context.partitionId(), np.array([end_id], np.uint32).tobytes()
@@ -307,7 +312,9 @@ def write_shards(
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WordEncoder.forget()  # all files are written
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 ids, offsets, matrix = unpack(read_file(path))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import blocks, bytes_of, fold, mix, read
+from kilocast.llm.common import blocks, bytes_of, fold, free_memory, mix, read, tidy
 
 BITS = 18
 SHARDS = 4
@@ -75,7 +75,7 @@ def learn(rows: Iterable[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray
     """FTRL-proximal over (text, label) in the given order; returns the weights."""
     z = np.zeros((1 << BITS) + 1)
     n = np.zeros((1 << BITS) + 1)
-    seen = [(features(text), label) for text, label in rows]
+    seen = [(features(text).astype(np.int32), label) for text, label in rows]
 
     def weights(at) -> np.ndarray:
         zs = z[at]
@@ -114,6 +114,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
         pdf = pdf.sort_values("turn", kind="stable")
         w = learn(zip(map(bytes, pdf.text), (pdf.toxic > 0).astype(int)))
         _forget()
+        free_memory()
         at = np.flatnonzero(w)
         return pd.DataFrame({"spot": at, "weight": w[at]})
 
@@ -131,6 +132,7 @@ def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     schema = documents.drop("score").schema.add("score", "double", False)
     names = documents.drop("score").columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
         try:
