@@ -29,15 +29,15 @@ rows give one row for each; items with equal texts are all reported.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import IdFilter, blocks, bytes_of, mix, offsets_list, read, stored
+from kilocast.llm.common import IdFilter, blocks, byte_sums, bytes_of, mix, mixed_letters, offsets_list, place_free, read, stored, tidy
 
 WINDOW = 8
 MIN_SHARE = 0.2
@@ -59,22 +59,56 @@ _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(WINDOW)], np.uint64)
 _PLACEHOLDERS = mix(np.arange(16, dtype=np.uint64))
 
 
-#: Windows that a task sends at once.
+#: Windows that a task sends at once, and bytes of texts whose words it tells apart at once.
 SLICE = 1 << 14
+READ_BLOCK = 1 << 18
+
+# Of bytes: white space, in lower case, what is left of a word without its edges, marks that may follow the end of a sentence, ends.
+_BYTES = np.arange(256)
+_SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_LOWER = (_BYTES >= 97) & (_BYTES <= 122)
+_LETTERS = mixed_letters(np.where(_UPPER, _BYTES + 32, _BYTES))
+_BARE = ~_SPACE & ~np.isin(_BYTES, list(EDGES))
+_BEFORE_CLOSING = ~_SPACE & ~np.isin(_BYTES, list(b"\"')]}*&%$#"))
+_SENTENCE_END = np.isin(_BYTES, list(b".!?:"))
+# Words of other letters, and those that begin with a digit, are looked at one by one.
+_DIGIT, _WIDE = (_BYTES >= 48) & (_BYTES <= 57), _BYTES >= 128
 
 
 _TAILS = [[bytes([kind, ends]) for ends in (0, 1)] for kind in range(16)]
 
 
+def _digests(words: list[bytes]) -> np.ndarray:
+    """The hashes of words in lower case."""
+    ends = np.cumsum([0, *map(len, words)])
+    sums, factors = byte_sums(np.frombuffer(b"".join(words), np.uint8), _LETTERS)
+    return place_free(sums, factors, ends[:-1], ends[1:])
+
+
+_UNIT_HASHES = np.sort(_digests(list(_UNIT_BYTES)))
+
+
 class _Kinds(dict):
     """Of a word: hash, kind and whether it ends a sentence; 10 bytes, kept per Python worker, bounded."""
 
     def __missing__(self, word: bytes) -> bytes:
+        self.learn([word])
+        return self[word]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Take up new words, hashed all at once."""
         if len(self) > 250_000:
             self.clear()
-        if word.isalpha() and word.islower():  # ASCII letters in lower case: no mark, number or name
-            self[word] = value = xxhash.xxh3_64_digest(word)[::-1] + _TAILS[UNIT if word in _UNIT_BYTES else PLAIN][0]
-            return value
+        words = [w for w in words if w not in self]
+        found = [self._parsed(w) for w in words]
+        digests = _digests([low for low, _ in found]).tobytes()
+        for i, (word, (_, tail)) in enumerate(zip(words, found)):
+            self[word] = digests[8 * i : 8 * i + 8] + tail
+
+    @staticmethod
+    def _parsed(word: bytes) -> tuple[bytes, bytes]:
+        """The word in lower case without its edges, and its kind and end."""
         bare = word.strip(EDGES)
         letters = bare if bare.isascii() else bare.decode("utf-8", "replace")
         low = bare.lower() if letters is bare else letters.lower().encode()
@@ -90,8 +124,7 @@ class _Kinds(dict):
             kind = CAPITAL
         # What ends a sentence is a mark, too.
         ends = len(bare) < len(word) and word.rstrip(b"\"')]}*&%$#")[-1:] in (b".", b"!", b"?", b":")
-        self[word] = value = xxhash.xxh3_64_digest(low)[::-1] + _TAILS[kind + 8 * (not bare)][ends]
-        return value
+        return low, _TAILS[kind + 8 * (not bare)][ends]
 
 
 _KINDS = _Kinds()
@@ -105,21 +138,57 @@ def _forget() -> None:
 _DTYPE = np.dtype([("hash", "<u8"), ("kind", "u1"), ("ends", "u1")])
 
 
-def tokens(text: bytes) -> tuple[np.ndarray, ...]:
-    """Of each word: its hash, its token with names as words, its token with names as placeholders.
+def _before(marked: np.ndarray) -> np.ndarray:
+    """How many are marked before each place."""
+    return np.concatenate([[0], np.cumsum(marked, dtype=np.int32)])
+
+
+def words_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text its words' hashes and kinds, and whether they open a sentence or line."""
+    data = b"\n".join(texts) + b"\n"
+    buffer = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACE[buffer]])
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    start, end = turns[::2], turns[1::2]
+    bare, at = _before(_BARE[buffer]), np.flatnonzero(_BARE[buffer])
+    full = bare[end] > bare[start]
+    first, last = start.copy(), end.copy()
+    first[full], last[full] = at[bare[start[full]]], at[bare[end[full]] - 1] + 1
+    sums, factors = byte_sums(buffer, _LETTERS)
+    each = np.empty(len(start), _DTYPE)
+    each["hash"] = place_free(sums, factors, first, last)
+    unit = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, each["hash"]), len(_UNIT_HASHES) - 1)] == each["hash"]
+    low = _before(_LOWER[buffer])
+    name = _UPPER[buffer[first]] & (low[last] > low[first])
+    each["kind"] = np.select([~full, unit, name], [PLAIN + 8, UNIT, CAPITAL], PLAIN)
+    # What ends a sentence is a mark, too.
+    closing, at = _before(_BEFORE_CLOSING[buffer]), np.flatnonzero(_BEFORE_CLOSING[buffer])
+    some = np.flatnonzero(closing[end] > closing[start])
+    each["ends"] = 0
+    each["ends"][some] = _SENTENCE_END[buffer[at[closing[end[some]] - 1]]]
+    wide = _before(_WIDE[buffer])
+    odd = np.flatnonzero((wide[end] > wide[start]) | (full & _DIGIT[buffer[first]]))
+    if len(odd):
+        words = [data[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist())]
+        _KINDS.learn(set(words))
+        each[odd] = np.frombuffer(b"".join(map(_KINDS.__getitem__, words)), _DTYPE)
+    opens = np.diff(np.cumsum(buffer == 10, dtype=np.int32)[start], prepend=-1) > 0
+    opens[1:] |= each["ends"][:-1] == 1
+    cuts = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    hashes, kinds = each["hash"].copy(), each["kind"].copy()
+    return [(hashes[a:b], kinds[a:b], opens[a:b]) for a, b in pairwise(cuts)]
+
+
+def tokens(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of each word of a text: its hash, its token with names as words, its token with names as placeholders.
 
     If names of the text also open sentences, a fourth has those as placeholders too.
     """
-    lines = [line.split() for line in text.split(b"\n")]
-    words = [w for line in lines for w in line]
-    each = np.frombuffer(b"".join(map(_KINDS.__getitem__, words)), _DTYPE)
-    opens = np.zeros(len(each) + 1, bool)
-    opens[np.cumsum([0, *map(len, lines[:-1])])] = True
-    opens[1:] |= each["ends"] == 1
-    full = each["kind"] < 8  # a word of marks alone is no token
-    h, kind = each["hash"][full].copy(), each["kind"][full].copy()
+    each, kind, opens = words
+    full = kind < 8  # a word of marks alone is no token
+    h, kind = each[full], kind[full]
     # Marks alone may stand between the end of a sentence and its next word.
-    seen = np.cumsum(opens[: len(each)])[full]
+    seen = np.cumsum(opens)[full]
     opened = np.diff(seen, prepend=0) > 0
     opener = (kind == CAPITAL) & opened
     # One that is a name inside another sentence is a name here too, in a form of its own.
@@ -153,7 +222,12 @@ def windows(text: bytes, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.nd
 
     ``sizes`` are the window sizes of a document; an item has one size, its own length if that is under ``WINDOW``.
     """
-    h, *forms = tokens(text)
+    return windows_of(words_of([text])[0], sizes)
+
+
+def windows_of(words: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """``windows`` of a text whose words are known."""
+    h, *forms = tokens(words)
     mixed = mix(h)
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for size in sizes or (min(WINDOW, len(h)),):
@@ -194,13 +268,14 @@ def spread(table: DataFrame, key: str, wanted: IdFilter | None, sizes: tuple[int
         arrays = [pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in columns), lists]
         return pa.table(arrays, names=["key", *names, "words"]).to_batches()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = held.value
         try:
-            for block in blocks(batches):
+            for block in blocks(batches, size=READ_BLOCK):
                 keys, parts = [], []
-                for key_, text in zip(block.column(0).to_pylist(), block.column("text").to_pylist()):
-                    hashes, forms, spots, lengths, h = windows(text or b"", sizes)
+                for key_, words in zip(block.column(0).to_pylist(), words_of([x or b"" for x in block.column("text").to_pylist()])):
+                    hashes, forms, spots, lengths, h = windows_of(words, sizes)
                     keep = np.flatnonzero(filter_.has(hashes)) if filter_ else np.arange(len(hashes))
                     for i in range(0, len(keep), SLICE):
                         some = keep[i : i + SLICE]
