@@ -20,8 +20,9 @@ sets of word shingles; a group of linked documents keeps its smallest doc_id.
    shingles are counted that any other of them has too. No set has more in
    common with another than these, so sets that are alone in too many of
    their shingles are settled; far copies of one text mostly are. The others
-   are compared by their u and v: those of small groups at once, those of
-   groups of over ``BLOCK`` nodes by table, in squares of blocks. Pairs
+   are compared by their u and v: within the groups of a u, in squares of
+   blocks of ``BLOCK`` nodes; those of groups with more blocks than a node
+   has v by table, in squares as well. Pairs
    without an equal v_j, of too different sizes, with too few shared shingles
    or with too few equal ones of ``MARKS`` more min-hashes (a linked pair has
    as few with probability ``miss``) go. A pair that meets in several groups
@@ -166,17 +167,19 @@ def first_groups(nodes: DataFrame) -> DataFrame:
 
 
 def tables(firsts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (u, v, key): the keys of all tables that several nodes share."""
-    pairs = firsts.join(nodes.select("key", "v"), "key").select("u", "key", F.explode("v").alias("v"))
-    return distinct_groups(pairs, "v", "u")
+    """Rows (u, v, key, degree): the keys of all tables that several nodes share, and how often a node meets others by its first keys."""
+    sizes = firsts.groupBy("u").agg(F.count("*").alias("n"))
+    degrees = firsts.join(sizes, "u").groupBy("key").agg(F.sum("n").alias("degree"))
+    # Joined before the tables are spelt out, of which a node has many times as many.
+    met = stored(firsts.join(degrees.join(nodes.select("key", "v"), "key"), "key"))
+    cells = stored(distinct_groups(met.select("u", "key", "degree", F.explode("v").alias("v")), "v", "u"))
+    discard(met)
+    return cells
 
 
-def centred(firsts: DataFrame, cells: DataFrame) -> DataFrame:
+def centred(cells: DataFrame) -> DataFrame:
     """Pairs (a, b): the nodes b of a table's key and its centre a, the node that meets most others by their first keys."""
-    sizes = firsts.groupBy("u").agg(F.count("*").alias("n"))
-    degrees = firsts.join(sizes, "u").groupBy("key").agg(F.sum("n").alias("degree"))
-    ranked = cells.join(degrees, "key")
-    centres = ranked.groupBy("u", "v").agg(F.max_by("key", F.struct("degree", "key")).alias("a"))
+    centres = cells.groupBy("u", "v").agg(F.max_by("key", F.struct("degree", "key")).alias("a"))
     return cells.join(centres, ["u", "v"]).where("a <> key").select("a", F.col("key").alias("b")).distinct()
 
 
@@ -292,20 +295,23 @@ def unsettled(
     shared = shared_shingles(open_.select("key").distinct(), texts, shingle)
     known = nodes.select("key", "size", "v", F.concat("u", "v").alias("bands")).join(shared, "key")
     known = stored(known.where(100 * F.col("shared") >= percent * F.col("size")))
-    open_ = stored(several(open_.join(known.select("key"), "key"), "u"))
+    open_ = stored(several(open_.join(known.select("key"), "key", "left_semi"), "u"))
     known = stored(known.join(marked(open_.select("key").distinct(), texts, shingle), "key"))
-    small = open_.where(F.col("n") <= BLOCK).select("u", F.lit(None).cast("long").alias("v"), "key", "comp", F.lit(1).cast("long").alias("parts"))
-    large = open_.where(F.col("n") > BLOCK).join(known.select("key", "v"), "key").select("u", F.explode("v").alias("v"), "key", "comp")
-    large = several(large, "u", "v").select("u", "v", "key", "comp", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    rows = small.unionByName(large).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    open_ = open_.join(known.select("key", "size", "shared", "v", "bands", "marks"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    own = ["key", "comp", "size", "shared", "bands", "marks"]
+    # A node goes to as many squares as its group has blocks, or to those of a table for each of its v.
+    by_table = F.col("parts") > F.size("v")
+    small = open_.where(~by_table).select("u", F.lit(None).cast("long").alias("v"), "parts", *own)
+    large = several(open_.where(by_table).select("u", F.explode("v").alias("v"), *own), "u", "v")
+    rows = small.unionByName(large.select("u", "v", F.ceil(F.col("n") / BLOCK).alias("parts"), *own))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     # Parts i <= j of a group meet in the square (i, j).
     squares = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
         lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")),
     )
-    rows = rows.select("u", "v", F.explode(squares).alias("at"), "part", "key", "comp")
-    rows = rows.join(known.select("key", "size", "shared", "bands", "marks"), "key")
-    rows = rows.select("u", "v", "at.i", "at.j", "part", "key", "comp", "size", "shared", "bands", "marks")
+    rows = rows.select("u", "v", F.explode(squares).alias("at"), "part", *own)
+    rows = rows.select("u", "v", "at.i", "at.j", "part", *own)
     group = ["u", "v", "i", "j"]
 
     def smallest(equal: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -393,8 +399,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("u").alias("u"), F.first("v").alias("v"))
     )
     firsts = stored(first_groups(nodes))
-    cells = stored(tables(firsts, nodes))
-    stars = centred(firsts, cells)
+    cells = tables(firsts, nodes)
+    stars = centred(cells)
     sizes = nodes.select("key", "size")
     stars = stored(
         stars.join(sizes.toDF("a", "size_a"), "a")

@@ -73,3 +73,29 @@ def test_odd_tables(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     pair = spark.createDataFrame([(9, long), (4, long + " end")], "doc_id long, text string")
     assert {tuple(r) for r in minhash.near_duplicates(pair).collect()} == {(9, 29_996, 4, False), (4, 29_997, 4, True)}
+
+
+def test_joins_by_key_make_no_row_for_each_table(spark, monkeypatch):
+    """Nodes of a large family, in squares within a u and by table, give few rows before tables are spelt out."""
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        words = [f"w{j}" for j in range(90)]
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(90)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected, made, join = kept(rows, 4, 80), [], type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        found = join(self, other, on, how)
+        if on == "key" and how is None:
+            made.append(found.count())
+        return found
+
+    for block in (8, 1):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        with monkeypatch.context() as patch:
+            patch.setattr(type(docs), "join", counted)
+            found = minhash.near_duplicates(docs, 4, 80)
+        assert Counter(tuple(r) for r in found.collect()) == expected
+    assert made and max(made) <= 21 * len(rows)
