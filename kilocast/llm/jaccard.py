@@ -21,7 +21,8 @@ shingle sets. The result is one row per document with its component.
    that meet it compared one by one, one link for each local component.
 
 Whole texts and all tokens take part; sets are compared by 64-bit hashes.
-Texts travel compressed to the comparison, and only those with a candidate.
+Texts travel compressed to the comparison, and only those with a candidate; the
+groups are opened in rounds, so that few texts are on the way at a time.
 
 Defined results: a null or empty text, or one without words, has no shingles
 and links with nothing, not even another empty one; a text with fewer words
@@ -32,7 +33,9 @@ doc_id of the component (null if it has none). Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import IdFilter, Words, blocks, bytes_of, connected, discard, mix, offsets_list, read, stored
+from kilocast.llm.common import IdFilter, Words, blocks, bytes_of, connected, discard, distinct, mix, offsets_list, read, stored, tidy
 
 #: Sets of a block that make a token a frequent one, and bits of the filter that holds those.
 OFTEN = 3
@@ -49,6 +52,7 @@ FREQUENT_BITS = 1 << 24
 GROUP = 512
 PART = 64
 QUERIES = 1024
+TRAVEL = 2
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -62,7 +66,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
         if not len(found) and words.first[i + 1] > words.first[i]:
             a, b = words.start[words.first[i]], words.end[words.first[i + 1] - 1]
             found = words.hashes(np.array([a]), np.array([b]))
-        out.append(np.unique(found))
+        out.append(distinct(found))
     return out
 
 
@@ -78,6 +82,7 @@ def frequent_tokens(documents: DataFrame, shingle: int) -> IdFilter:
     whatever the filter holds.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches):
             sets = shingle_sets([x or b"" for x in table.column("text").to_pylist()], shingle)
@@ -102,6 +107,7 @@ def sketch(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, size, key (hash of the set, null if empty) and the prefix tokens of every document."""
     held = documents.sparkSession.sparkContext.broadcast(frequent_tokens(documents, shingle))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = held.value
         for table in blocks(batches):
@@ -127,6 +133,7 @@ def sketch(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
 def packed_texts(documents: DataFrame, wanted: IdFilter, shingle: int) -> DataFrame:
     """key and compressed text of the documents that may be wanted; one row for each key."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
         for table in blocks(batches):
@@ -171,6 +178,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets link."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "packed_b", 1 << 20):
             a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
@@ -214,8 +222,8 @@ def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shin
             sets = _unpack(list(members.member), shingle)
             comps, keys = members.comp.to_list(), members.key.to_list()
             parts = [range(i, min(i + PART, len(sets))) for i in range(0, len(sets), PART)]
-            unions = [np.unique(np.concatenate([sets[i] for i in part])) for part in parts]
-            union = np.unique(np.concatenate(unions))
+            unions = [distinct(np.concatenate([sets[i] for i in part])) for part in parts]
+            union = distinct(np.concatenate(unions))
             for q, comp, tokens in zip(queries.q, queries.q_comp, _unpack(list(queries["query"]), shingle)):
                 if 100 * _common(tokens, union) < percent * len(tokens):
                     continue
@@ -234,6 +242,19 @@ def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shin
     )
 
 
+def opened(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> list[DataFrame]:
+    """The stored links of ``open_groups``, group by group in rounds.
+
+    In a round about ``TRAVEL`` times as many texts travel as there are, so that
+    the disk they take follows the texts, not the number of candidates.
+    """
+    rounds = max(1, math.ceil(candidates.count() / max(1, TRAVEL * texts.count())))
+    turn = F.pmod(F.xxhash64("gid", F.lit(rounds)), F.lit(rounds))
+    return [
+        stored(open_groups(candidates.where(turn == i), groups.where(turn == i), texts, shingle, percent)) for i in range(rounds)
+    ]
+
+
 def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and cluster (a key of the component, null for empty sets) of every document."""
     docs = stored(sketch(documents, shingle, percent))
@@ -303,9 +324,9 @@ def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     candidates = stored(candidates)
     discard(unsettled)
-    more = open_groups(candidates, groups, texts, shingle, percent)
-    final = connected(links.union(more))
-    discard(candidates, groups, texts, links, joined)
+    more = opened(candidates, groups, texts, shingle, percent)
+    final = connected(reduce(DataFrame.union, more, links))
+    discard(candidates, groups, texts, links, joined, *more)
 
     known = nodes.select("key", "doc_id").join(final.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("comp", F.coalesce("comp", "key"))
