@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilocast.llm.common import BLOCK_BYTES, Words, blocks, bytes_of, fold, mix, offsets_list, read, stored
+from kilocast.llm.common import BLOCK_BYTES, Words, blocks, bytes_of, distinct, fold, mix, offsets_list, read, stored
 
 ORDER = 6
 NEAR = 3
@@ -226,6 +226,36 @@ def shards_of(grams: np.ndarray, shards: int, order: int) -> tuple[np.ndarray, n
     return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
+def _by_bytes(values: np.ndarray) -> bytes:
+    """Integers as their lowest bytes, then their next ones, and so on: alike ones stand together and compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_bytes(data: bytes | memoryview, kind: type) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return _by_bytes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_bytes(data, np.uint64), dtype=np.uint64)
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """The distinct numbers, which are few, and the place of each code among them."""
+    values, at = np.unique(codes, return_inverse=True)
+    return np.uint64(len(values)).tobytes() + values.tobytes() + _by_bytes(at.astype(np.uint16 if len(values) < 1 << 16 else np.uint32))
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    count = int(np.frombuffer(data, np.uint64, 1)[0])
+    values = np.frombuffer(data, np.float64, count, 8)
+    return values[_from_bytes(memoryview(data)[8 * (count + 1) :], np.uint16 if count < 1 << 16 else np.uint32)]
+
+
 def packed_blocks(documents: DataFrame) -> DataFrame:
     """block, packed: the documents in blocks of about ``SCORE_BLOCK`` bytes, compressed; a block's rows count up from its number."""
 
@@ -261,33 +291,54 @@ def codes(packed: DataFrame, counts: DataFrame, order: int, shards: int) -> Data
         zip_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, bytes_ in zip(batch.column("block").to_pylist(), batch.column("packed")):
-                distinct = np.unique(grams_of(_unpacked(bytes_.as_py())[1], order)[0])
-                by_shard, edges = shards_of(distinct, shards, order)
-                distinct = distinct[by_shard]
+                found = distinct(grams_of(_unpacked(bytes_.as_py())[1], order)[0])
+                by_shard, edges = shards_of(found, shards, order)
+                found = found[by_shard]
                 used = np.flatnonzero(np.diff(edges))
-                asked = [zip_.compress(np.diff(distinct[edges[i] : edges[i + 1]], prepend=np.uint64(0)).tobytes()) for i in used]
+                asked = [zip_.compress(pack_sorted(found[edges[i] : edges[i + 1]])) for i in used]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(used), block), pa.int64()), pa.array(used, pa.int64()), pa.array(asked, pa.binary())],
                     ["block", "shard", "asked"],
                 )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_, held = zstandard.ZstdCompressor(level=1), []
+
+        def packed_rows() -> pa.RecordBatch:
+            keys, counts = _merge(held)
+            by_shard, edges = shards_of(keys, shards, order)
+            keys, counts = keys[by_shard], counts[by_shard]
+            held.clear()
+            used = np.flatnonzero(np.diff(edges))
+            cut = [(keys[edges[i] : edges[i + 1]], counts[edges[i] : edges[i + 1]]) for i in used]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used, pa.int64()),
+                    pa.array([zip_.compress(pack_sorted(k)) for k, _ in cut], pa.binary()),
+                    pa.array([zip_.compress(_by_bytes(n)) for _, n in cut], pa.binary()),
+                ],
+                ["shard", "keys", "counts"],
+            )
+
         for batch in batches:
-            near = batch.column("key").to_numpy().view(np.uint64) & np.uint64(_near(order))
-            shard = pa.array((mix(near) % np.uint64(shards)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([shard, batch.column("key"), batch.column("n")], ["shard", "key", "n"])
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+            if sum(len(k) for k, _ in held) >= SHARD:
+                yield packed_rows()
+        if held:
+            yield packed_rows()
 
     def answer(_, model: pa.Table, asked: pa.Table) -> pa.Table:
-        trie = Trie(_numbers(model.column("key")).astype(np.int64).view(np.uint64), _numbers(model.column("n")).astype(np.int64), order, shorter.value)
         zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        keys = [unpack_sorted(unzip.decompress(x.as_py())) for x in model.column("keys")]
+        counts_ = [_from_bytes(unzip.decompress(x.as_py()), np.int64) for x in model.column("counts")]
+        trie = Trie(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts_]), order, shorter.value)
         out = []
         for x in asked.column("asked"):
-            keys = np.cumsum(np.frombuffer(unzip.decompress(x.as_py()), np.uint64), dtype=np.uint64)
-            out.append(zip_.compress(trie.code(keys).tobytes()))
+            out.append(zip_.compress(pack_codes(trie.code(unpack_sorted(unzip.decompress(x.as_py()))))))
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "codes": pa.array(out, pa.binary())})
 
     asked = packed.mapInArrow(ask, "block long, shard long, asked binary")
-    model = grams.mapInArrow(deal, "shard long, key long, n long")
+    model = grams.mapInArrow(deal, "shard long, keys binary, counts binary")
     return model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "block long, shard long, codes binary")
 
 
@@ -335,13 +386,13 @@ def score(documents: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFr
         row = own.column("block")[0].as_py()
         table, texts = _unpacked(own.column("packed")[0].as_py())
         grams, firsts = grams_of(texts, order)
-        distinct, member = np.unique(grams, return_inverse=True)
+        asked, member = np.unique(grams, return_inverse=True)
         del grams
         unzip = zstandard.ZstdDecompressor()
         found_codes = answers.sort_by("shard").column("codes")
-        code = np.empty(len(distinct))
-        code[shards_of(distinct, shards, order)[0]] = np.concatenate(
-            [np.zeros(0), *(np.frombuffer(unzip.decompress(x.as_py()), np.float64) for x in found_codes)]
+        code = np.empty(len(asked))
+        code[shards_of(asked, shards, order)[0]] = np.concatenate(
+            [np.zeros(0), *(unpack_codes(unzip.decompress(x.as_py())) for x in found_codes)]
         )
         sums = np.concatenate([[0.0], np.cumsum(code[member])])
         del member

@@ -683,3 +683,61 @@ def test_sets_ask_only_groups_with_one_of_about_their_size(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 1)
     jaccard.components(docs, shingle=3, percent=90).collect()
     assert asked[0] <= 2 * 2
+
+
+def test_words_of_a_block_are_those_of_its_texts_one_by_one():
+    """Told apart all at once, most of them without the table of odd words."""
+    texts = ["Ask Bob about 5 km. Then (Bob) said: 'No!' ... \u00c9cole x.) KG", "", "km\nKm 5\nkm \u00e9t\u00e9.", "A don't U.S.A. 3kg"]
+    decontaminate._KINDS.clear()
+    each = decontaminate.words_of([t.encode() for t in texts])
+    assert set(decontaminate._KINDS) == {w.encode() for t in texts for w in t.split() if w[0].isdigit() or not w.isascii()}
+    kinds = decontaminate._Kinds()
+    for text, (hashes, found, opens) in zip(texts, each):
+        known = [kinds[w.encode()] for w in text.split()]
+        assert found.tolist() == [k[8] for k in known]
+        assert [h.tobytes() for h, k in zip(hashes, known) if k[8] < 8] == [k[:8] for k in known if k[8] < 8]
+        ends = [True, *(bool(k[9]) for k in known[:-1])][: len(known)]
+        lines = [not i for line in text.split("\n") for i in range(len(line.split()))]
+        assert opens.tolist() == [a or b for a, b in zip(ends, lines)]
+
+
+def test_tasks_give_their_memory_back():
+    words, freed = Words([b"a b c"]), []
+    kept = words.hashes(words.start, words.end).tolist()
+    run = common.tidy(lambda batches: (freed.append(len(common._POWERS.up)) or b for b in batches))
+    assert list(run([1, 2])) == [1, 2] and freed[0] > 1 and len(common._POWERS.up) == 1
+    words = Words([b"a b c"])
+    assert words.hashes(words.start, words.end).tolist() == kept
+    tokens.WordEncoder.of(tokens.default_tokenizer(), 9)
+    tokens.WordEncoder.forget()
+    assert not tokens.WordEncoder._known
+
+
+def test_groups_are_opened_in_rounds_of_few_texts(spark, monkeypatch):
+    rows, plain, asked = [(i, t) for i, t, *_ in corpus()], jaccard.open_groups, []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "GROUP", 1)
+
+    def spy(candidates, *rest):
+        asked.append(candidates.count())
+        return plain(candidates, *rest)
+
+    monkeypatch.setattr(jaccard, "open_groups", spy)
+    wanted = {tuple(r) for r in jaccard.components(docs, 2, 60).drop("cluster").collect()}
+    whole = sum(asked)
+    asked.clear()
+    monkeypatch.setattr(jaccard, "TRAVEL", 0.02)
+    assert {tuple(r) for r in jaccard.components(docs, 2, 60).drop("cluster").collect()} == wanted
+    assert whole and sum(asked) == whole and max(asked) < whole
+
+
+def test_codes_and_grams_are_packed_without_loss():
+    rng = np.random.default_rng(4)
+    keys = common.distinct(rng.integers(0, 1 << 56, 5000, dtype=np.uint64))
+    assert len(keys) == len(set(keys.tolist())) and ppm.unpack_sorted(ppm.pack_sorted(keys)).tolist() == keys.tolist()
+    for kinds in (3, 70_000):
+        codes = np.log10(rng.permutation(100_000) % kinds + 0.5)
+        packed = ppm.pack_codes(codes)
+        assert ppm.unpack_codes(packed).tolist() == codes.tolist()
+    few = np.log10(np.arange(10_000) % 3 + 0.5)
+    assert len(ppm.pack_codes(few)) < len(few) * 8 / 3
