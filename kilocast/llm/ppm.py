@@ -19,7 +19,7 @@ the model keeps them all: its grams are dealt into shards by the last
 length and longer. Counts of shorter contexts are sums over all grams, at most
 256 ** ``NEAR`` rows whatever the corpus, and go to every shard. The distinct
 grams of a block of texts travel to their shards and their code lengths back
-to the block. The unigram base score is exact for the whole vocabulary: the
+to the block, in ``ROUNDS`` rounds of blocks. The unigram base score is exact for the whole vocabulary: the
 ``COMMON`` most frequent words are sent to the executors, all others meet their
 counts in a join.
 
@@ -36,6 +36,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ NEAR = 3
 #: Bytes of a block of texts to be scored, and grams of the model in a shard.
 SCORE_BLOCK = 4 << 20
 SHARD = 1 << 20
+#: Rounds in which blocks are scored: the code lengths of one round at a time take disk.
+ROUNDS = 4
 COMMON = 1 << 18
 #: Bytes of a block of texts to be counted, and counts in a batch that leaves a Python worker.
 COUNT_BLOCK = 1 << 20
@@ -244,18 +247,6 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_from_bytes(data, np.uint64), dtype=np.uint64)
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """The distinct numbers, which are few, and the place of each code among them."""
-    values, at = np.unique(codes, return_inverse=True)
-    return np.uint64(len(values)).tobytes() + values.tobytes() + _by_bytes(at.astype(np.uint16 if len(values) < 1 << 16 else np.uint32))
-
-
-def unpack_codes(data: bytes) -> np.ndarray:
-    count = int(np.frombuffer(data, np.uint64, 1)[0])
-    values = np.frombuffer(data, np.float64, count, 8)
-    return values[_from_bytes(memoryview(data)[8 * (count + 1) :], np.uint16 if count < 1 << 16 else np.uint32)]
-
-
 def packed_blocks(documents: DataFrame) -> DataFrame:
     """block, packed: the documents in blocks of about ``SCORE_BLOCK`` bytes, compressed; a block's rows count up from its number."""
 
@@ -334,7 +325,7 @@ def codes(packed: DataFrame, counts: DataFrame, order: int, shards: int) -> Data
         trie = Trie(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts_]), order, shorter.value)
         out = []
         for x in asked.column("asked"):
-            out.append(zip_.compress(pack_codes(trie.code(unpack_sorted(unzip.decompress(x.as_py()))))))
+            out.append(zip_.compress(trie.code(unpack_sorted(unzip.decompress(x.as_py()))).tobytes()))
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "codes": pa.array(out, pa.binary())})
 
     asked = packed.mapInArrow(ask, "block long, shard long, asked binary")
@@ -392,7 +383,7 @@ def score(documents: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFr
         found_codes = answers.sort_by("shard").column("codes")
         code = np.empty(len(asked))
         code[shards_of(asked, shards, order)[0]] = np.concatenate(
-            [np.zeros(0), *(unpack_codes(unzip.decompress(x.as_py())) for x in found_codes)]
+            [np.zeros(0), *(np.frombuffer(unzip.decompress(x.as_py()), np.float64) for x in found_codes)]
         )
         sums = np.concatenate([[0.0], np.cumsum(code[member])])
         del member
@@ -430,15 +421,15 @@ def score(documents: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFr
             }
         )
 
-    answers = codes(packed, counts, order, shards)
-    scored = stored(
-        packed.groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(
-            run,
-            "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, rare array<long>",
-        )
-    )
+    kind = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, rare array<long>"
+    rounds = min(ROUNDS, max(1, packed.count()))
+    turn = F.pmod(F.xxhash64("block", F.lit(rounds)), F.lit(rounds))
+    parts = []
+    for i in range(rounds):
+        some = packed.where(turn == i)
+        answers = codes(some, counts, order, shards)
+        parts.append(stored(some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kind)))
+    scored = reduce(DataFrame.union, parts)
     others = (
         scored.select("row", F.explode("rare").alias("key"))
         .join(words.where(F.col("n") < least), "key", "left")

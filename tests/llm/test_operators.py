@@ -731,13 +731,24 @@ def test_groups_are_opened_in_rounds_of_few_texts(spark, monkeypatch):
     assert whole and sum(asked) == whole and max(asked) < whole
 
 
-def test_codes_and_grams_are_packed_without_loss():
+def test_grams_are_packed_without_loss():
     rng = np.random.default_rng(4)
     keys = common.distinct(rng.integers(0, 1 << 56, 5000, dtype=np.uint64))
     assert len(keys) == len(set(keys.tolist())) and ppm.unpack_sorted(ppm.pack_sorted(keys)).tolist() == keys.tolist()
-    for kinds in (3, 70_000):
-        codes = np.log10(rng.permutation(100_000) % kinds + 0.5)
-        packed = ppm.pack_codes(codes)
-        assert ppm.unpack_codes(packed).tolist() == codes.tolist()
-    few = np.log10(np.arange(10_000) % 3 + 0.5)
-    assert len(ppm.pack_codes(few)) < len(few) * 8 / 3
+
+
+def test_blocks_are_scored_in_rounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, i % 3 == 0, t) for i, t, *_ in corpus()], "doc_id long, held_out boolean, text string").repartition(6)
+    counts, asked, plain = common.stored(ppm.count(docs.where("not held_out"))), [], ppm.codes
+
+    def spy(packed, *rest):
+        asked.append(packed.count())
+        return plain(packed, *rest)
+
+    monkeypatch.setattr(ppm, "codes", spy)
+    found = ppm.score(docs, counts).collect()
+    assert len(asked) > 1 and max(asked) < sum(asked)
+    monkeypatch.setattr(ppm, "ROUNDS", 1)
+    once = ppm.score(docs, counts).collect()
+    key = lambda r: (r.doc_id, r.score)
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, once), key=str) and len({key(r) for r in once}) > 40
