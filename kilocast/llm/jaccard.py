@@ -14,15 +14,19 @@ shingle sets. The result is one row per document with its component.
 4. *Token-group matrix.* Sets that share a signature but not a component are
    partitioned into groups of similar sets (same component or same star
    centre, about ``GROUP`` sets each). A set asks the groups that have one of
-   about its size under one of its signatures. A group keeps the union of its tokens.
+   about its size under one of its signatures. First they meet by parity bits
+   alone: of the tokens of either set in each of some 2**k classes, whether they
+   are odd in number. Classes that differ are at most the tokens that only one
+   set has, so sets with too many of those cannot link. Queries and members that
+   are left meet with their texts. A group keeps the union of its tokens.
    For a query set Q the bound |Q & union| >= percent / 100 * |Q| must hold if
    any member links to it; only groups that meet the bound are opened, their
    parts of ``PART`` sets are held to the same bound, and the members of those
    that meet it compared one by one, one link for each local component.
 
 Whole texts and all tokens take part; sets are compared by 64-bit hashes.
-Texts travel compressed to the comparison, and only those with a candidate; the
-groups are opened in rounds, so that few texts are on the way at a time.
+Texts travel compressed to the comparison, and only those with a candidate; groups
+meet in rounds, so that few texts or bits are on the way at a time.
 
 Defined results: a null or empty text, or one without words, has no shingles
 and links with nothing, not even another empty one; a text with fewer words
@@ -36,6 +40,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -43,6 +48,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from kilocast.llm.common import IdFilter, Words, blocks, bytes_of, connected, discard, distinct, mix, offsets_list, read, stored, tidy
 
@@ -52,7 +58,9 @@ FREQUENT_BITS = 1 << 24
 GROUP = 512
 PART = 64
 QUERIES = 1024
-TRAVEL = 2
+#: Queries that meet groups in a round, in times of the texts: by their parity bits, and then by their texts.
+TRAVEL = 8
+TRAVEL_TEXTS = 1
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -130,8 +138,23 @@ def sketch(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     )
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """For each class of tokens, by their low bits, whether their number is odd; at least as many classes as tokens, 64 at least."""
+    classes = max(64, 1 << (len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits, 64 in an item of the last axis, brought to fewer classes."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def packed_texts(documents: DataFrame, wanted: IdFilter, shingle: int) -> DataFrame:
-    """key and compressed text of the documents that may be wanted; one row for each key."""
+    """key, compressed text, size and parity bits of the documents that may be wanted; one row for each key."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +164,19 @@ def packed_texts(documents: DataFrame, wanted: IdFilter, shingle: int) -> DataFr
             open_ = wanted.has(np.array([x or 0 for x in ids], np.int64)) if ids else np.zeros(0, bool)
             texts = [t or b"" for t, x, o in zip(table.column("text").to_pylist(), ids, open_) if o or x is None]
             sets = shingle_sets(texts, shingle) if texts else []
-            rows = [(key_of(s), zip_.compress(t)) for s, t in zip(sets, texts) if len(s)]
+            rows = [(key_of(s), zip_.compress(t), len(s), parity(s)) for s, t in zip(sets, texts) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k for k, _ in rows], pa.int64()),
-                    pa.array([t for _, t in rows], pa.binary()),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.binary()),
+                    pa.array([r[2] for r in rows], pa.int64()),
+                    pa.array([r[3] for r in rows], pa.binary()),
                 ],
-                ["key", "packed"],
+                ["key", "packed", "size", "parity"],
             )
 
-    found = documents.select("doc_id", bytes_of("text")).mapInArrow(run, "key long, packed binary")
-    return found.groupBy("key").agg(F.first("packed").alias("packed"))
+    found = documents.select("doc_id", bytes_of("text")).mapInArrow(run, "key long, packed binary, size long, parity binary")
+    return found.groupBy("key").agg(*[F.first(name).alias(name) for name in ("packed", "size", "parity")])
 
 
 def _unpack(packed: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -196,35 +221,84 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
 
 
-def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between query sets and the members of the groups that their token unions do not rule out.
+def _meeting(candidates: DataFrame, groups: DataFrame, carried: DataFrame) -> PandasCogroupedOps:
+    """Queries and members by group and share, each with its row of ``carried`` (key, ...).
 
     ``candidates``: (q, q_comp, gid); ``groups``: (gid, key, comp). Queries of a
     group are cut into shares of about ``QUERIES``; the members, about
     ``GROUP``, go to each share.
     """
     shares = candidates.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("shares"))
+    own = [F.col(name).alias(name) for name in carried.drop("key").columns]
     asked = (
         candidates.join(shares, "gid")
         .withColumn("share", F.pmod(F.xxhash64("q"), F.col("shares")))
-        .join(texts.select(F.col("key").alias("q"), F.col("packed").alias("query")), "q")
-        .select("gid", "share", "q", "q_comp", "query")
+        .drop("shares")
+        .join(carried.select(F.col("key").alias("q"), *own), "q")
     )
-    held = (
-        groups.join(shares, "gid")
-        .join(texts.select("key", F.col("packed").alias("member")), "key")
-        .select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "key", "comp", "member")
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")
+    held = groups.join(shares, "gid").join(carried, "key").select("gid", share, "key", "comp", *carried.drop("key").columns)
+    return asked.groupBy("gid", "share").cogroup(held.groupBy("gid", "share"))
+
+
+def near_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Queries (asks) and members (not asks) that their sizes and parity bits do not rule out, as rows (gid, key, comp, asks).
+
+    Sets link if (100 + percent) * different <= (100 - percent) * (size + size),
+    where ``different`` counts the tokens that only one of them has.
+    """
+
+    def match(_, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        asking, found = np.zeros(len(queries), bool), np.zeros(len(members), bool)
+        if len(queries) and len(members):
+            sides = [
+                {words: np.flatnonzero(side.parity.map(len) == 8 * words) for words in (side.parity.map(len) // 8).unique()}
+                for side in (queries, members)
+            ]
+            for (words, rows), (others, cols) in product(sides[0].items(), sides[1].items()):
+                least = min(words, others)
+                bits, held = (
+                    folded(np.frombuffer(b"".join(side.parity.iloc[at]), np.uint64).reshape(len(at), -1), least)
+                    for side, at in ((queries, rows), (members, cols))
+                )
+                sizes, comps, keys = (members[name].to_numpy()[cols] for name in ("size", "comp", "key"))
+                low, high = sizes.min(), sizes.max()
+                for i, size, comp, key, own in zip(
+                    rows, queries["size"].to_numpy()[rows], queries.q_comp.to_numpy()[rows], queries.q.to_numpy()[rows], bits
+                ):
+                    if 100 * size < percent * low or 100 * high < percent * size:
+                        continue
+                    different = np.maximum(np.bitwise_count(held ^ own).sum(axis=1, dtype=np.int64), np.abs(sizes - size))
+                    good = ((100 + percent) * different <= (100 - percent) * (sizes + size)) & (comps != comp) & (keys != key)
+                    if good.any():
+                        asking[i] = True
+                        found[cols[good]] = True
+        return pd.DataFrame(
+            {
+                "gid": np.concatenate([queries.gid.to_numpy()[asking], members.gid.to_numpy()[found]]),
+                "key": np.concatenate([queries.q.to_numpy()[asking], members.key.to_numpy()[found]]),
+                "comp": np.concatenate([queries.q_comp.to_numpy()[asking], members.comp.to_numpy()[found]]),
+                "asks": np.arange(asking.sum() + found.sum()) < asking.sum(),
+            }
+        )
+
+    return _meeting(candidates, groups, texts.select("key", "size", "parity")).applyInPandas(
+        match, "gid long, key long, comp long, asks boolean"
     )
 
+
+def matched(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between query sets and the members of the groups that their token unions do not rule out."""
+
     def match(_, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(members):
-            sets = _unpack(list(members.member), shingle)
+            sets = _unpack(list(members.packed), shingle)
             comps, keys = members.comp.to_list(), members.key.to_list()
             parts = [range(i, min(i + PART, len(sets))) for i in range(0, len(sets), PART)]
             unions = [distinct(np.concatenate([sets[i] for i in part])) for part in parts]
             union = distinct(np.concatenate(unions))
-            for q, comp, tokens in zip(queries.q, queries.q_comp, _unpack(list(queries["query"]), shingle)):
+            for q, comp, tokens in zip(queries.q, queries.q_comp, _unpack(list(queries.packed), shingle)):
                 if 100 * _common(tokens, union) < percent * len(tokens):
                     continue
                 done = {comp}
@@ -237,22 +311,36 @@ def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shin
                             done.add(comps[i])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return (
-        asked.groupBy("gid", "share").cogroup(held.groupBy("gid", "share")).applyInPandas(match, "a long, b long")
-    )
+    return _meeting(candidates, groups, texts.select("key", "packed")).applyInPandas(match, "a long, b long")
 
 
-def opened(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> list[DataFrame]:
-    """The stored links of ``open_groups``, group by group in rounds.
+def in_rounds(candidates: DataFrame, groups: DataFrame, most: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Candidates and groups, group by group, in rounds of about ``most`` candidates.
 
-    In a round about ``TRAVEL`` times as many texts travel as there are, so that
-    the disk they take follows the texts, not the number of candidates.
+    So the disk that a round takes follows ``most``, not the number of candidates.
     """
-    rounds = max(1, math.ceil(candidates.count() / max(1, TRAVEL * texts.count())))
+    rounds = max(1, math.ceil(candidates.count() / max(1, most)))
     turn = F.pmod(F.xxhash64("gid", F.lit(rounds)), F.lit(rounds))
-    return [
-        stored(open_groups(candidates.where(turn == i), groups.where(turn == i), texts, shingle, percent)) for i in range(rounds)
-    ]
+    for i in range(rounds):
+        yield candidates.where(turn == i), groups.where(turn == i)
+
+
+def open_groups(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> list[DataFrame]:
+    """The stored links between queries and members of groups: those left by ``near_groups`` meet with their texts."""
+    near = stored(near_groups(candidates, groups, texts, percent))
+    asking = near.where("asks").select(F.col("key").alias("q"), F.col("comp").alias("q_comp"), "gid")
+    hosts = stored(near.where("not asks").select("gid", "key", "comp").distinct())
+    left = stored(texts.select("key", "packed").join(near.select("key").distinct(), "key", "left_semi"))
+    most = TRAVEL_TEXTS * texts.count()
+    links = [stored(matched(c, g, left, shingle, percent)) for c, g in in_rounds(asking, hosts, most)]
+    discard(near, hosts, left)
+    return links
+
+
+def opened(candidates: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> list[DataFrame]:
+    """The stored links of ``open_groups``, group by group in rounds."""
+    rounds = in_rounds(candidates, groups, TRAVEL * texts.count())
+    return [links for c, g in rounds for links in open_groups(c, g, texts, shingle, percent)]
 
 
 def components(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -752,3 +752,35 @@ def test_blocks_are_scored_in_rounds(spark, monkeypatch):
     once = ppm.score(docs, counts).collect()
     key = lambda r: (r.doc_id, r.score)
     assert sorted(map(tuple, found), key=str) == sorted(map(tuple, once), key=str) and len({key(r) for r in once}) > 40
+
+
+def test_texts_travel_only_where_parity_bits_leave_a_link_open(spark, monkeypatch):
+    """Texts share a passage, so all ask each other; few of them are near."""
+    passage, rng = [f"s{i}" for i in range(12)], random.Random(3)
+    words = [[*passage, *(f"t{i}-{j}" for j in range(rng.randint(80, 99)))] for i in range(30)]
+    words += [[*w[:60], "other", *w[61:]] for w in words[:4]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    opened, unpack = spark.sparkContext.accumulator(0), jaccard._unpack
+
+    def spy(packed, shingle):
+        opened.add(len(packed))
+        return unpack(packed, shingle)
+
+    monkeypatch.setattr(jaccard, "_unpack", spy)
+    monkeypatch.setattr(jaccard, "prefix", lambda tokens, *_: tokens)
+    monkeypatch.setattr(jaccard, "GROUP", 1)
+    found = {r.doc_id: r.component_id for r in jaccard.components(docs, shingle=3, percent=80).collect()}
+    assert found == {i: i % 30 for i in range(34)}
+    assert opened.value <= 4 * len(words)
+
+
+def test_parity_bits_count_no_more_than_the_tokens_that_differ():
+    rng = np.random.default_rng(8)
+    for size in (1, 63, 64, 65, 200, 1000):
+        for cut in (0, size // 9, size):
+            both = common.distinct(rng.integers(0, 1 << 63, 2 * size).astype(np.uint64))
+            a, b = both[:size], both[cut : 2 * size - cut // 2]
+            bits = [np.frombuffer(jaccard.parity(x), np.uint64) for x in (a, b)]
+            assert all(64 * len(x) >= len(t) for x, t in zip(bits, (a, b)))
+            a_bits, b_bits = (jaccard.folded(x, min(map(len, bits))) for x in bits)
+            assert np.bitwise_count(a_bits ^ b_bits).sum() <= len(np.setxor1d(a, b))
