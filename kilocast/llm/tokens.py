@@ -10,7 +10,7 @@ compressed one by one, so a reader opens only those it needs.
 File: magic, length of a JSON head, head (counts, bits, zeros of each plane,
 length of each section), sections (doc ids, offsets, planes).
 
-Words are encoded once per task by the given tokenizer and kept; the ids of a
+Words are told apart block by block, encoded by the given tokenizer and kept; the ids of a
 text are those of its words in a row, which is what the tokenizer itself
 gives, since it treats white space as a border (tests compare both).
 
@@ -28,10 +28,11 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -46,6 +47,8 @@ BLOCK = 512
 END_ID = 1
 #: Words, and pieces of words, whose ids a Python worker keeps; up to twice as many for a while.
 KEPT = 500_000
+#: Bytes of text that are encoded at once; a word that comes again there is looked up once.
+ENCODED_BYTES = 6 << 20
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xff]*")
 #: The same cut of ASCII words in lower case.
@@ -107,34 +110,43 @@ class WordEncoder:
             self.old_words, self.words = self.words, {}
         if len(self.pieces) > self.most:
             self.old_pieces, self.pieces = self.pieces, {}
-        split = [t.split() for t in texts]
-        every = list(chain.from_iterable(split))
-        found = list(map(self.words.get, every))
-        missing = [i for i, x in enumerate(found) if x is None]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = split.values.dictionary_encode()
+        every = coded.dictionary.view(pa.binary()).to_pylist()
+        words, old, piece = self.words, self.old_words.get, self._piece
+        found = list(map(words.get, every))
         others = []
-        for w in {every[i] for i in missing}:
-            known = self.old_words.get(w)
-            if known is not None:
-                self.words[w] = known
-                continue
-            text = w.decode("utf-8", "replace")
-            if w.isalpha():  # ASCII letters alone are one piece
-                self.words[w] = self._piece(text.lower())
-            elif "<|" in text:
-                others.append(w)
-            elif w.isascii() and text.isprintable():
-                self.words[w] = b"".join(map(self._piece, _ASCII_PIECE.findall(text.lower())))
-            elif _SIMPLE.fullmatch(text):
-                self.words[w] = b"".join(map(self._piece, _PIECE.findall(text.lower())))
-            else:
-                others.append(w)
-        texts = [w.decode("utf-8", "replace") for w in others]
-        for w, ids in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.words[w] = array("I", ids.ids).tobytes()
-        for i in missing:
-            found[i] = self.words[every[i]]
-        ends = accumulate(map(len, split), initial=0)
-        return [b"".join(found[a:b]) for a, b in pairwise(ends)]
+        for i in [i for i, x in enumerate(found) if x is None]:
+            w = every[i]
+            known = old(w)
+            if known is None:
+                if w.isalpha():  # ASCII letters alone are one piece
+                    known = piece(w.lower().decode())
+                elif b"<|" in w:
+                    others.append(i)
+                    continue
+                else:
+                    text = w.decode("utf-8", "replace")
+                    if w.isascii() and text.isprintable():
+                        known = b"".join(map(piece, _ASCII_PIECE.findall(text.lower())))
+                    elif _SIMPLE.fullmatch(text):
+                        known = b"".join(map(piece, _PIECE.findall(text.lower())))
+                    else:
+                        others.append(i)
+                        continue
+            words[w] = found[i] = known
+        odd = [every[i].decode("utf-8", "replace") for i in others]
+        for i, ids in zip(others, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            words[every[i]] = found[i] = array("I", ids.ids).tobytes()
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        word = coded.indices.to_numpy()
+        count = lengths[word]
+        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        # The place of a word's ids among those of the distinct words, less its place in the texts.
+        shift = (np.cumsum(lengths, dtype=np.int32) - lengths)[word] - ends[:-1]
+        data = ids[np.repeat(shift, count) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        return [data[4 * a : 4 * b] for a, b in pairwise(ends[split.offsets.to_numpy()].tolist())]
 
 
 class WaveletMatrix:
@@ -280,7 +292,7 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row], schema)
 
         schema = pa.schema([("path", pa.string()), *[(n, pa.int64()) for n in ("part", "turn", "n_docs", "n_tokens")]])
-        for table in blocks(batches):
+        for table in blocks(batches, size=ENCODED_BYTES):
             keys = table.column("doc_id").to_pylist()
             for key, text in zip(keys, encoder.encode([x or b"" for x in table.column("text").to_pylist()])):
                 ids.append(key)

@@ -784,3 +784,21 @@ def test_parity_bits_count_no_more_than_the_tokens_that_differ():
             assert all(64 * len(x) >= len(t) for x, t in zip(bits, (a, b)))
             a_bits, b_bits = (jaccard.folded(x, min(map(len, bits))) for x in bits)
             assert np.bitwise_count(a_bits ^ b_bits).sum() <= len(np.setxor1d(a, b))
+
+
+def test_words_of_a_block_are_looked_up_once_a_block():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    encoder = tokens.WordEncoder(tokens.default_tokenizer())
+    texts = ["Some words come, come again: again", "", "  again\x0b some Some\u00a0words\n", "\x1c \x85 <|endoftext|> \u65e5", "come"] * 3
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        encoder.words = Counted(encoder.words)
+        assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode([t.encode() for t in texts])] == wanted
+        assert encoder.words.asked <= len({w for t in texts for w in t.encode().split()} | {b""})
+    assert encoder.encode([]) == [] and encoder.encode([b"", b" "]) == [b"", b""]
