@@ -19,8 +19,10 @@ from kilocast.llm.common import read, stored
 # No SQL expresses the learnt stages; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
-# Words whose ids a Python worker keeps; its memory holds what other stages have left, too.
+# Words whose ids a Python worker keeps, and bytes of text that it encodes at once; its memory holds what other stages
+# have left, too.
 KEPT_WORDS = 50_000
+ENCODED_BYTES = 1 << 20
 MIX = {"growth": 1.5, "min_rate": 1.0, "max_rate": 4.0}
 
 
@@ -79,7 +81,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' rows: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.read_shards(tokens.write_shards(docs, tokens.default_tokenizer(), kept=KEPT_WORDS))
+    written = tokens.write_shards(docs, tokens.default_tokenizer(), kept=KEPT_WORDS, block_bytes=ENCODED_BYTES)
+    return tokens.read_shards(written)
 
 
 STAGES = [

@@ -61,6 +61,8 @@ QUERIES = 1024
 #: Queries that meet groups in a round, in times of the texts: by their parity bits, and then by their texts.
 TRAVEL = 8
 TRAVEL_TEXTS = 1
+#: Bytes of compressed texts whose pairs are compared at once; both sides are opened to a few times as much.
+PACKED_BYTES = 1 << 18
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -205,7 +207,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "packed_b", 1 << 20):
+        for table in blocks(batches, "packed_b", PACKED_BYTES):
             a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
             firsts = dict(zip(a, table.column("packed_a").to_pylist()))
             known = dict(zip(firsts, _unpack(list(firsts.values()), shingle)))

@@ -268,7 +268,12 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
 
 
 def write_shards(
-    documents: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, kept: int = KEPT
+    documents: DataFrame,
+    tokenizer: str,
+    end_id: int = END_ID,
+    shard_tokens: int = SHARD_TOKENS,
+    kept: int = KEPT,
+    block_bytes: int = ENCODED_BYTES,
 ) -> DataFrame:
     """Write the token files; returns the stored manifest: path, part, turn, n_docs, n_tokens, start."""
     spark = documents.sparkSession
@@ -292,7 +297,7 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row], schema)
 
         schema = pa.schema([("path", pa.string()), *[(n, pa.int64()) for n in ("part", "turn", "n_docs", "n_tokens")]])
-        for table in blocks(batches, size=ENCODED_BYTES):
+        for table in blocks(batches, size=block_bytes):
             keys = table.column("doc_id").to_pylist()
             for key, text in zip(keys, encoder.encode([x or b"" for x in table.column("text").to_pylist()])):
                 ids.append(key)

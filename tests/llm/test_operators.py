@@ -802,3 +802,19 @@ def test_words_of_a_block_are_looked_up_once_a_block():
         assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode([t.encode() for t in texts])] == wanted
         assert encoder.words.asked <= len({w for t in texts for w in t.encode().split()} | {b""})
     assert encoder.encode([]) == [] and encoder.encode([b"", b" "]) == [b"", b""]
+
+
+def test_letters_are_summed_in_little_memory():
+    import tracemalloc
+
+    buffer = np.random.default_rng(5).integers(0, 256, 1 << 20).astype(np.uint8)
+    up, _ = common._POWERS.get(len(buffer) + 1)
+    wanted = np.cumsum(common._LETTERS[buffer] * up[: len(buffer)], dtype=np.uint64)
+    tracemalloc.start()
+    try:
+        sums, _ = common.byte_sums(buffer)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not sums[0] and (sums[1:] == wanted).all() and peak < 1.5 * sums.nbytes
+    assert common.byte_sums(buffer[:0])[0].tolist() == [0]
